@@ -4,13 +4,25 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, matroska, quality, toxicity
+from . import bpe, decontaminate, langid, matroska, pages, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_pii(spark, sf_dir):
+    return pii.pseudonymise(_table(spark, sf_dir, "documents"))
+
+
+def op3_decontamination(spark, sf_dir):
+    return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_pages(spark, sf_dir):
+    return pages.extract(_table(spark, sf_dir, "pages"))
+
+
 def op6_toxicity(spark, sf_dir):
     docs = _table(spark, sf_dir, "documents")
     return toxicity.predict(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -36,7 +48,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op6_toxicity, op7_quality, op8_matroska, op9_language, op10_bpe)}
+    return {f.__name__: f for f in (op2_pii, op3_decontamination, op5_pages, op6_toxicity, op7_quality, op8_matroska, op9_language, op10_bpe)}
 
 
 def oracle_sql() -> dict:
