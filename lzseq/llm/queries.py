@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, matroska, pages, pii, quality, toxicity
+from . import bpe, decontaminate, langid, matroska, neardup, pages, pii, quality, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -19,6 +19,10 @@ def op3_decontamination(spark, sf_dir):
     return decontaminate.matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_neardup(spark, sf_dir):
+    return neardup.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 def op5_pages(spark, sf_dir):
     return pages.extract(_table(spark, sf_dir, "pages"))
 
@@ -48,7 +52,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_decontamination, op5_pages, op6_toxicity, op7_quality, op8_matroska, op9_language, op10_bpe)}
+    return {f.__name__: f for f in (op2_pii, op3_decontamination, op4_neardup, op5_pages, op6_toxicity, op7_quality, op8_matroska, op9_language, op10_bpe)}
 
 
 def oracle_sql() -> dict:
