@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, mix64, texts_of, word_hashes
+from .textkit import LOWER, mix64, shared_folder, texts_of, word_hashes
 
 U64, U32 = np.uint64, np.uint32
 #: Sketch: registers, base, rate and limit. At a similarity of 0.8 a pair meets in no band once in 2e7.
@@ -181,6 +181,7 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     costs each of its members a few comparisons. Null and empty texts, and texts of white space, are linked with nothing.
     Rows that repeat a doc_id are one node. Only doc_id and text are read.
     """
+    shared_folder(docs.sparkSession)
     rows = sketched(docs, words).checkpoint()
     classes = rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).checkpoint()
     width = 2 * ROWS
@@ -204,6 +205,8 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 def unique(docs: DataFrame, words: int = 5) -> DataFrame:
-    """The documents of which no near copy has a smaller doc_id, with all their columns."""
-    gone = near_duplicates(docs, words).where(~F.col("kept")).select("doc_id").distinct()
+    """The documents of which no near copy has a smaller doc_id, with all their columns. Rows that repeat a doc_id are one document and stay together."""
+    gone = near_duplicates(docs, words).where(~F.col("kept")).select("doc_id").distinct().checkpoint()
+    if gone.count() <= BROADCAST_IDS:
+        gone = F.broadcast(gone)
     return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, matroska, neardup, pages, pii, quality, toxicity
+from . import bpe, decontaminate, langid, matroska, neardup, pages, pii, quality, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secrets(spark, sf_dir):
+    return secrets.scan(_table(spark, sf_dir, "documents"), secrets.train(secrets.labelled_findings(spark)))
+
+
 def op2_pii(spark, sf_dir):
     return pii.pseudonymise(_table(spark, sf_dir, "documents"))
 
@@ -52,7 +56,7 @@ def op10_bpe(spark, sf_dir):
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op2_pii, op3_decontamination, op4_neardup, op5_pages, op6_toxicity, op7_quality, op8_matroska, op9_language, op10_bpe)}
+    return {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontamination, op4_neardup, op5_pages, op6_toxicity, op7_quality, op8_matroska, op9_language, op10_bpe)}
 
 
 def oracle_sql() -> dict:

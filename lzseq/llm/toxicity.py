@@ -241,3 +241,12 @@ def score(docs: DataFrame, model: ToxicityModel) -> DataFrame:
 def predict(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
     """score() with held_out and predicted."""
     return score(docs, model).select("doc_id", (remainder(4) == 2).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def acceptable(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
+    """The documents, all columns, whose text scores below threshold; null and empty texts stay."""
+
+    def low(texts: pa.Array) -> pa.Array:
+        return pa.array([x < threshold for x in model.scores([t or b"" for t in texts.cast(pa.binary()).to_pylist()])], pa.bool_())
+
+    return docs.where(F.arrow_udf(low, "boolean")("text"))
