@@ -1,0 +1,17 @@
+"""Schemas of the library's relations. Positions start at 0; SAM text has them from 1."""
+
+SEQS = "seq_id bigint, header string, seq string"
+CHUNK = "seq_id bigint, chunk_ix int, length int, chunk string"
+DICTIONARY = "`group` string, dict_ord int, seq_id bigint, dict_start bigint, dict_end bigint, seq string"
+PHRASE = "key string, phrase_ix bigint, pos bigint, len bigint"
+MERGED = "key string, phrase_ix bigint, pos bigint, len bigint, is_literal boolean, text_start bigint, text_end bigint"
+GRID = "key string, x bigint, x_end bigint, phrase_ix bigint, text_start bigint"
+KERNEL = "key string, phrase_ix bigint, k_start bigint, k_end bigint, piece string"
+CATALOGUE = "key string, seq_ix bigint, name string, length bigint, start bigint, `end` bigint"
+FASTA_META = "file string, seq_ix bigint, name string, length bigint, header_sp bigint, header_ep bigint, line_len bigint"
+PATTERN = "query_id bigint, pattern string"
+OCCURRENCE = "query_id bigint, pos bigint, length int, flag int"
+SAM = "qname string, flag int, rname string, pos bigint, mapq int, cigar string, rnext string, pnext bigint, tlen bigint, seq string, qual string"
+BLAST6 = "qseqid string, sseqid string, pident double, length bigint, mismatch int, gapopen int, qstart bigint, qend bigint, sstart bigint, send bigint, evalue double, bitscore double"
+READ = "name string, seq string, qual string, mate int"
+PARAMETERS = "key string, text_len bigint, separator string, max_query_len int, max_edit_distance int, sample_ratio int, kernel_type string, kernel_text_len bigint"
