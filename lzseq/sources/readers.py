@@ -54,16 +54,19 @@ def fasta_records(rows: DataFrame, single_line: bool = False, strict: bool = Fal
 
 
 def fastq(spark: SparkSession, path: str, mates: str | None = None, interleaved: bool = False) -> DataFrame:
-    """(name, seq, qual, mate) of one or two files of four-line records."""
+    """(name, seq, qual, mate) of one or two files (or folders) of four-line records; each file has whole records.
+
+    Lines are numbered over partitions, as no separator tells records apart: a quality line may begin with @.
+    """
     if mates and interleaved:
         raise ValueError("reads are in two files or interleaved, not both")
 
     def one(p, mate):
-        text = spark.read.option("lineSep", "\n@").text(p).select("value")
-        cells = F.split(F.regexp_replace("value", "^@|\r", ""), "\n")
-        name = F.substring_index(F.get(cells, F.lit(0)), " ", 1)
+        nth = F.col("line") % 4
+        rows = numbered_lines(spark, p).groupBy(F.floor(F.col("line") / 4).alias("record")).agg(*(F.max(F.when(nth == k, F.regexp_replace("value", "\r$", ""))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))))
+        name = F.substring_index(F.regexp_replace("head", "^@", ""), " ", 1)
         number = F.when(F.endswith(name, F.lit("/2")), 2).otherwise(1) if interleaved else F.lit(mate)
-        return text.where(F.size(cells) >= 4).select(F.regexp_replace(name, "/[12]$", "").alias("name"), F.get(cells, F.lit(1)).alias("seq"), F.get(cells, F.lit(3)).alias("qual"), number.cast("int").alias("mate"))
+        return rows.where(F.startswith("head", F.lit("@"))).select(F.regexp_replace(name, "/[12]$", "").alias("name"), "seq", "qual", number.cast("int").alias("mate"))
 
     return one(path, 1).unionByName(one(mates, 2)) if mates else one(path, 1)
 
@@ -78,10 +81,15 @@ def blast6(spark: SparkSession, path: str) -> DataFrame:
 
 def patterns(spark: SparkSession, path: str) -> DataFrame:
     """(query_id, pattern): lines numbered in their order within and over files; ids are dense."""
+    return numbered_lines(spark, path).select(F.col("line").alias("query_id"), F.col("value").alias("pattern"))
+
+
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(line, value) with dense numbers over the files in the order of their names."""
     from ..operators.chunks import dense_ids
 
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), F.col("value").alias("pattern"))
-    return dense_ids(rows, ["file", "block", "line"], "query_id").select("query_id", "pattern")
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    return dense_ids(rows, ["file", "block", "nth"], "line").select("line", "value")
 
 
 def parse_files(spark: SparkSession, path: str, kind: str = "u64", glob: str | None = None) -> DataFrame:
