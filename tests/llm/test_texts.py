@@ -1,0 +1,349 @@
+"""Operators that look at one text at a time: secrets, personal data, leaks, toxicity, quality, media, language, tokens."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lzseq.llm import bpe, decontaminate, langid, matroska, pii, quality, secrets, textkit, toxicity
+
+from .helpers import ODD, prose, table
+
+RNG = random.Random(9)
+
+
+def test_word_hashes_follow_words():
+    texts = [b"", b" ", b"a", b"a a b", b" ab\tcd\n ab ", "é e é".encode(), b"x" * 1000 + b" " + b"x" * 1000]
+    for t in texts:
+        words, h = t.split(), textkit.word_hashes(t)
+        assert len(words) == len(h)
+        assert all((a == b) == (x == y) for a, x in zip(words, h) for b, y in zip(words, h))
+    big, size = b"ab cd " * 3000, textkit.PIECE
+    try:
+        textkit.PIECE = 1000
+        assert (textkit.word_hashes(big) == textkit._hash_piece(big)).all()
+        assert len(textkit.word_hashes(b"z" * 5000)) == 1
+    finally:
+        textkit.PIECE = size
+
+
+# Secrets
+
+
+@pytest.fixture(scope="module")
+def forest(spark):
+    return secrets.train(secrets.labelled_findings(spark, 3000))
+
+
+def test_forest_tells_findings_apart(spark, forest):
+    fresh = secrets.labelled_findings(spark, 4000).where("label is not null").offset(3000)
+    named = secrets.features(F.col("candidate"), F.col("before"), F.col("after"), F.col("path"))
+    rows = forest.transform(fresh.select("label", *(v.alias(f"f_{k}") for k, v in named.items())))
+    right = rows.select((F.col("prediction") == F.col("label")).cast("int").alias("ok")).agg(F.avg("ok")).first()[0]
+    assert right > 0.95
+
+
+def test_secret_positions_and_odd_texts(spark, forest):
+    hex40 = hashlib.sha1(b"k").hexdigest()
+    texts = [*ODD, f'so token = "{hex40}" and', "card 4111111111111111 paid", f"commit {hex40} merged", f"é password=s3cr3tPass99 x token: {hex40} end {hex40}"]
+    df = table(spark, texts)
+    found = [r for r in secrets.scan(df, forest).collect()]
+    by_text = {r.doc_id: texts[r.doc_id] for r in found}
+    for r in found:
+        value = by_text[r.doc_id][r.start : r.start + r.n_chars]
+        assert hashlib.sha256(value.encode()).hexdigest() == r.finding_sha256 and r.finding[:4] == value[:4] and "*" in r.finding
+    n = len(ODD)
+    secret = {(r.doc_id, r.start) for r in found if r.is_secret}
+    assert (n, texts[n].index(hex40)) in secret
+    assert not any(d in (n + 1, n + 2) for d, _ in secret)
+    want = [m.start() for m in re.finditer(re.escape(hex40), texts[n + 3])]
+    assert sorted(r.start for r in found if r.doc_id == n + 3) == sorted([texts[n + 3].index("s3cr"), *want])
+    assert secrets.scan(df.limit(0), forest).count() == 0
+    assert secrets.scan(df.drop("source"), forest).count() == len(found)
+    plan = secrets.scan(df, forest)._jdf.queryExecution().toString()
+    assert not re.search("Python|Pandas|Arrow", plan)
+
+
+# Personal data
+
+
+def test_permutation_is_one_to_one_without_fixed_points():
+    s = pii.Surrogates(b"key")
+    for n in (2, 3, 10, 26, 777, 1000):
+        got = [s.permute(x, n, b"t") for x in range(n)]
+        assert sorted(got) == list(range(n)) and all(x != y for x, y in enumerate(got))
+
+
+def test_surrogates_keep_type_and_coreference(spark):
+    s = pii.Surrogates(pii.DEFAULT_KEY)
+    values = {"email": "Ann.Lee7@mail.example.com", "phone": "+1 (663) 555-6869", "card": "4111 1111 1111 1111", "ip": "108.51.216.133", "ssn": "123-45-6789", "iban": "DE89 3704 0044 0532 0130 00", "name": "Mrs. Alice Müller"}
+    for kind, v in values.items():
+        new = s.of(kind, v)
+        assert new != v and pii.valid(kind, new) and re.sub(r"\w", "x", new) == re.sub(r"\w", "x", v) or kind in ("name", "ip")
+        assert new == pii.Surrogates(pii.DEFAULT_KEY).of(kind, v) != pii.Surrogates(b"other").of(kind, v)
+        text, count, _ = s.replace(f"see {v}, and {v} again")
+        assert v not in text and text.count(new) == 2 and sum(count.values()) == 2
+    assert s.of("name", values["name"]).split()[1] in pii.GIVEN["latin", "f"]
+    assert s.of("name", "Анна Иванова").split()[0] in pii.GIVEN["cyrillic", "f"]
+    assert s.of("card", "4111-1111-1111-1111").replace("-", "") == s.of("card", values["card"]).replace(" ", "")
+
+
+def test_distinct_values_get_distinct_surrogates():
+    s = pii.Surrogates(b"k")
+    for kind, make in (("phone", lambda i: f"+1 (2{i % 100:02d}) 555-{i:04d}"), ("ip", lambda i: f"9.8.{i // 256}.{i % 256}"), ("email", lambda i: f"u{i}@x{i % 7}.org")):
+        values = {make(i) for i in range(3000)}
+        assert len({s.of(kind, v) for v in values}) == len(values)
+
+
+def test_pii_odd_texts(spark):
+    clean = [*ODD, prose(RNG, 50), "version 1.2.3.4.5 and 8646308210557563 and 999.1.1.1"]
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, clean)).collect()}
+    assert all(got[i].text == t and got[i].n_entities == 0 for i, t in enumerate(clean))
+    out = pii.anonymised(table(spark, ["mail a@b.org now", None]))
+    assert out.columns == table(spark, ["x"]).columns
+    assert pii.pseudonymise(table(spark, ["x"]).limit(0)).count() == 0
+
+
+# Leaks
+
+
+def distance(p, t):
+    row = [0] * (len(t) + 1)
+    for i, c in enumerate(p, 1):
+        new = [i]
+        for j, d in enumerate(t, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (c != d)))
+        row = new
+    return min(row)
+
+
+def test_bit_parallel_distance():
+    rng = random.Random(4)
+    for _ in range(300):
+        p, t = "".join(rng.choices("abc", k=rng.randint(1, 14))), "".join(rng.choices("abc", k=rng.randint(0, 30)))
+        masks = {}
+        for j, c in enumerate(p):
+            masks[c] = masks.get(c, 0) | 1 << j
+        got = decontaminate.best_match(masks, len(p), t, 0, len(t), len(p))
+        assert (got[0] if got else len(p)) == distance(p, t)
+
+
+def edited(rng, t, k):
+    t = list(t)
+    for _ in range(k):
+        at = rng.randrange(len(t))
+        rng.choice((lambda: t.__setitem__(at, "#"), lambda: t.insert(at, "q"), lambda: t.pop(at)))()
+    return "".join(t)
+
+
+def test_leaks_within_the_budget_are_found(spark):
+    rng = random.Random(6)
+    items = [prose(rng, n) for n in (1, 3, 12, 25, 40)] + ["", None]
+    items.append(items[3])
+    docs, want = [*ODD, prose(rng, 300)], set()
+    for _ in range(40):
+        i = rng.randrange(5)
+        text = prose(rng, 60) + " " + edited(rng, items[i], rng.randint(0, 1 + int(0.1 * len(items[i])))) + "  " + prose(rng, 60).upper()
+        docs.append(text)
+    for d, t in enumerate(docs):
+        for i, item in enumerate(items):
+            a, b = decontaminate.normalised(item or ""), decontaminate.normalised(t or "")
+            k = int(decontaminate.RATE * len(a))
+            if a and b and len(b) < 5000 and distance(a, b) <= k:
+                want.add((d, i, distance(a, b)))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(table(spark, docs), bench).collect()}
+    assert {g for g in got if len(docs[g[0]]) < 5000} == want
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(table(spark, docs), bench, block_chars=100).collect()} == got
+    left = decontaminate.clean(table(spark, docs), bench)
+    assert {r.doc_id for r in left.collect()} == set(range(len(docs))) - {d for d, _, _ in got}
+    assert decontaminate.matches(table(spark, docs), bench.limit(0)).count() == 0
+    assert decontaminate.matches(table(spark, docs).limit(0), bench).count() == 0
+
+
+# Toxicity and quality
+
+
+def labelled(rng, n):
+    bad = "grumpf zlorg blatherskite".split()
+    out = []
+    for _ in range(n):
+        y = int(rng.random() < 0.2)
+        words = prose(rng, 80).split()
+        for _ in range(3 * y):
+            words.insert(rng.randrange(len(words)), rng.choice(bad) + rng.choice(["", ".", "!"]))
+        out.append((" ".join(words).encode(), y))
+    return out
+
+
+def test_toxicity_held_out():
+    rng = random.Random(1)
+    model, fresh = toxicity.train(labelled(rng, 600)), labelled(rng, 300)
+    got = model.scores([t for t, _ in fresh])
+    assert sum((s >= 0.3) == bool(y) for s, (_, y) in zip(got, fresh)) >= 297
+    assert model.scores([b""])[0] < 0.3
+    assert 0 <= min(got) and max(got) <= 1
+    assert toxicity.train([]).scores([b"x"])[0] < 0.3 and toxicity.train([(b"a", 0)]).scores([b"a"])[0] < 0.3
+
+
+def test_label_model_trusts_better_voters():
+    rng = np.random.default_rng(0)
+    y = rng.random(4000) < 0.3
+    good = np.where(rng.random(4000) < 0.9, np.where(y, 1, -1), np.where(y, -1, 1))
+    poor = np.where(rng.random(4000) < 0.6, np.where(y, 1, -1), np.where(y, -1, 1))
+    other = np.where(rng.random(4000) < 0.85, np.where(y, 1, -1), np.where(y, -1, 1))
+    votes = np.stack([good, other, poor, poor, poor], 1).astype(np.int8)  # a copied voter counts about once
+    model = toxicity.LabelModel.fit(votes)
+    right = ((model.posterior(votes) > 0.5) == y).mean()
+    majority = ((votes.sum(1) > 0) == y).mean()
+    assert right > majority + 0.1 and model.weight[2] < 0.5 < model.weight[0]
+
+
+def test_scores_of_tables(spark):
+    rng = random.Random(2)
+    data = labelled(rng, 200)
+    texts = [t.decode() for t, _ in data] + ODD
+    docs = table(spark, texts)
+    labels = spark.createDataFrame([(i, y, y) for i, (_, y) in enumerate(data)], "doc_id long, toxic int, quality int")
+    got = toxicity.predict(docs, toxicity.fit(docs, labels)).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) for r in got)
+    got = quality.predict(docs, quality.fit(docs, labels)).collect()
+    assert len(got) == len(texts) and all(0 <= r.score <= 1 and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 3 == 1) for r in got)
+    none = labels.limit(0)
+    assert toxicity.predict(docs, toxicity.fit(docs, none)).count() == quality.predict(docs, quality.fit(docs, none)).count() == len(texts)
+    assert toxicity.acceptable(docs, toxicity.fit(docs, labels)).columns == docs.columns
+
+
+def test_factorisation_machine_is_the_sum_over_pairs():
+    rng = np.random.default_rng(3)
+    fm = quality.FactorisationMachine(0.3, rng.normal(size=quality.FEATURES), rng.normal(size=(quality.FEATURES, 4)))
+    at, x = quality.features(b"Some text, some TEXT with words 12 $$$\nand lines\nand lines")
+    pairs = sum(float(fm.v[at[i]] @ fm.v[at[j]]) * x[i] * x[j] for i in range(len(at)) for j in range(i))
+    assert abs(fm.raw(at, x) - (0.3 + float(fm.w[at] @ x) + pairs)) < 1e-8
+
+
+def test_quality_held_out():
+    rng = random.Random(7)
+
+    def make():
+        y = rng.random() < 0.7
+        words = prose(rng, rng.randint(30, 120)).split()
+        return (" ".join(words) if y else " ".join(w.upper() + "!!" for w in words) if rng.random() < 0.5 else " ".join(w for w in words[:5] for _ in range(10))).encode(), int(y)
+
+    model = quality.train([make() for _ in range(400)])
+    fresh = [make() for _ in range(200)]
+    assert sum((model.score(t) >= 0.5) == bool(y) for t, y in fresh) >= 195
+
+
+# Matroska
+
+
+def test_media_round_trip(spark):
+    texts = [*ODD, prose(RNG, 40_000), "y" * 192, "y" * 193, "y" * (192 * 64 * 16), "y" * (192 * 64 * 16 + 1)]
+    got = {r.doc_id: r for r in matroska.media_digest(table(spark, texts)).collect()}
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw + b" " * ((-len(raw)) % 192 or (0 if raw else 192))
+        r = got[i]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]))
+        data = matroska.mux(payload)
+        assert (r.media_bytes, r.media_sha256) == (len(data), hashlib.sha256(data).hexdigest())
+    assert matroska.media_digest(table(spark, ["x"]).limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("kind", [1, 2, 3])
+def test_lacing(kind):
+    rng = random.Random(kind)
+    for _ in range(100):
+        n = rng.randint(2, 20)
+        frames = [bytes(rng.randbytes(9 if kind == 2 else rng.choice([0, 1, 254, 255, 256, 600, 20_000]))) for _ in range(n)]
+        flags, body = matroska.lace(frames, kind)
+        got = matroska.unlace(body, 0, len(body), flags >> 1)
+        assert [body[a : a + s] for a, s in got] == frames
+
+
+def test_parser_reads_groups_unknown_sizes_and_cues():
+    M = matroska
+    block = lambda t, flags, data: M.size_bytes(2) + t.to_bytes(2, "big", signed=True) + bytes([flags]) + data
+    flags, body = M.lace([b"ab", b"cde"], 1)
+    cluster = M.unsigned(M.CLUSTER_TIMESTAMP, 7) + M.element(M.SIMPLE_BLOCK, block(-2, 0x80, b"xyz")) + M.element(M.BLOCK_GROUP, M.element(M.BLOCK, block(3, flags, body)) + M.unsigned(M.BLOCK_DURATION, 4))
+    unknown = M.id_bytes(M.CLUSTER) + b"\x01" + b"\xff" * 7 + cluster
+    cues = M.element(M.CUES, M.element(M.CUE_POINT, M.unsigned(M.CUE_TIME, 7) + M.element(M.CUE_TRACK_POSITIONS, M.unsigned(M.CUE_TRACK, 2) + M.unsigned(M.CUE_CLUSTER_POSITION, 0))))
+    data = M.element(M.EBML, M.element(M.DOC_TYPE, b"webm")) + M.id_bytes(M.SEGMENT) + b"\xff" + unknown + M.element(0xEC, b"void") + unknown + cues
+    got = M.parse(data)
+    assert got["doc_type"] == "webm" and len(got["clusters"]) == 2 and got["cues"] == [(7, 2, 0)]
+    assert [data[p.start : p.start + p.size] for p in got["packets"]] == [b"xyz", b"ab", b"cde"] * 2
+    assert [p.timestamp_ns for p in got["packets"][:3]] == [5_000_000, 10_000_000, 10_000_000] and got["packets"][0].track == 2
+    whole = M.mux(b"a" * 192 * 3)
+    for cut in range(1, len(whole), 17):
+        try:
+            M.parse(whole[:cut])
+        except M.Malformed:
+            pass
+
+
+def test_packet_table(spark):
+    df = spark.createDataFrame([(1, bytearray(matroska.mux(b"a" * 192 * 70))), (2, None), (3, bytearray(b"\x1a\x45"))], "doc_id long, media binary")
+    rows = matroska.packet_table(df).collect()
+    assert len([r for r in rows if r.doc_id == 1]) == 70 and [r.packet for r in rows if r.doc_id == 3] == [-1]
+    assert [r.timestamp_ns for r in sorted(rows) if r.doc_id == 1][:3] == [0, 24_000_000, 48_000_000]
+
+
+# Language
+
+
+def test_language_held_out():
+    rng = random.Random(8)
+    syllables = {"aa": "ba ke lo mi".split(), "bb": "schu pfa rö tz".split(), "cc": "ция ова пре сто".split()}
+    make = lambda lang: (" ".join("".join(rng.choices(syllables[lang], k=3)) for _ in range(rng.randint(2, 90))).encode(), lang)
+    model = langid.train([make(x) for x in syllables for _ in range(60)], steps=150)
+    fresh = [make(x) for x in syllables for _ in range(50)]
+    got = model.predict([t for t, _ in fresh])
+    assert sum(a == y for (a, _), (_, y) in zip(got, fresh)) >= 147
+    assert model.predict([b"", b"123 !!", b"ba"])[:2] == [("und", 0.0)] * 2
+    one_by_one = [model.predict([t])[0] for t, _ in fresh]
+    assert [a for a, _ in one_by_one] == [a for a, _ in got] and np.allclose([p for _, p in one_by_one], [p for _, p in got], atol=1e-4)
+
+
+def test_language_of_tables(spark):
+    docs = table(spark, [prose(RNG, 30) for _ in range(20)] + ODD, lang="en").union(table(spark, ["ция ова пре " * 9] * 9, ids=range(100, 109), lang="ru"))
+    got = langid.predict(docs, langid.fit(docs)).collect()
+    assert len(got) == docs.count() and {r.lang_pred for r in got} <= {"en", "ru", "und"} and all(0 <= r.score <= 1 for r in got)
+    assert all(r.lang_pred == "und" for r in got if r.doc_id in (20, 21, 22, 29))
+
+
+# Tokens
+
+
+@pytest.fixture(scope="module")
+def library():
+    from tokenizers import Tokenizer
+
+    return Tokenizer.from_file(bpe.default_path())
+
+
+def test_tokens_equal_the_librarys(library):
+    ours, rng = bpe.load(bpe.default_path()), random.Random(3)
+    texts = ["", " ", "<|endoftext|> a<|startoftext|>b's it's don't I'LL", "ΟΔΟΣ ὈΔΥΣΣΕΎΣ", "İ ﬁ é 한국어 a\x1cb c\x85d e　f", "a" * 300, "!!!'s ''s", "123 ½ 4५६", "\x00\x7f", "😀👍🏽"]
+    texts += ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz' !.,0123éßñ", k=rng.randint(1, 150))) for _ in range(500)]
+    texts += [prose(rng, 60) for _ in range(200)]
+    for t in texts:
+        want = library.encode(t, add_special_tokens=False).ids
+        ids, decoded = ours.encode(t)
+        assert np.frombuffer(ids, "<u4").tolist() == want, t
+        assert decoded.decode() == library.decode(want, skip_special_tokens=False)
+
+
+def test_token_tables(spark, library):
+    texts = [*ODD, prose(RNG, 500), "Hello, World's 2nd test"]
+    got = {r.doc_id: r for r in bpe.encode_documents(table(spark, texts), with_ids=True).collect()}
+    for i, t in enumerate(texts):
+        want = library.encode(t or "", add_special_tokens=False).ids
+        assert got[i].n_tokens == len(want) and got[i].ids == want
+        assert got[i].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
+    back = {r.doc_id: r.text for r in bpe.decode_documents(bpe.encode_documents(table(spark, texts), with_ids=True)).collect()}
+    assert back[len(texts) - 1] == "hello , world 's 2 nd test"
