@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, mix64, shared_folder, texts_of, word_hashes
+from .textkit import LOWER, bounded_batches, mix64, shared_folder, texts_of, word_hashes
 
 U64, U32 = np.uint64, np.uint32
 #: Sketch: registers, base, rate and limit. At a similarity of 0.8 a pair meets in no band once in 2e7.
@@ -77,7 +77,7 @@ def likeliest_similarity(a: np.ndarray, b: np.ndarray, n_a: np.ndarray, n_b: np.
     c, log_b = (BASE - 1) / BASE, np.log(BASE)
     low, high = np.zeros(len(a)), np.minimum(u / v, v / u)
     eps = 1e-9
-    for _ in range(40):
+    for _ in range(24):
         j = (low + high) / 2
         x, y = np.maximum(u - v * j, eps), np.maximum(v - u * j, eps)
         p, q = -np.log1p(-x * c) / log_b, -np.log1p(-y * c) / log_b
@@ -111,95 +111,183 @@ def sketched(docs: DataFrame, words: int = 2) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, registers binary")
 
 
-def _estimate(a: pa.Array, b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-    x, y = (np.frombuffer(b"".join(z.to_pylist()), np.uint16).reshape(-1, REGISTERS) for z in (a, b))
-    return pa.array(likeliest_similarity(x, y, *(z.to_numpy(zero_copy_only=False).astype(float) for z in (n_a, n_b))))
+#: Members of a block. A group of more is dealt out by pairs of blocks, so a task holds two blocks at most.
+BLOCK = 512
+#: Up to so many ids are broadcast to a scan of the documents (16 MB); beyond it, that join shuffles.
+BROADCAST_IDS = 2_000_000
 
 
-def _linked(a: pa.Array, b: pa.Array) -> pa.Array:
-    out = []
-    for x, y in zip(a, b):
-        x, y = np.frombuffer(x.as_py(), U64), np.frombuffer(y.as_py(), U64)
-        if 100 * min(len(x), len(y)) < PERCENT * max(len(x), len(y)):
-            out.append(False)
+def forest(size: int, near) -> list[tuple[int, int]]:
+    """Edges that connect 0 .. size-1 as near does. near(i, others) tells which of the others are near to i; what is connected already isn't asked again."""
+    out, left = [], np.ones(size, bool)
+    for i in range(size):
+        if not left[i]:
             continue
-        small, large = (x, y) if len(x) <= len(y) else (y, x)
-        at = np.minimum(np.searchsorted(large, small), len(large) - 1)
-        both = int(np.count_nonzero(large[at] == small))
-        out.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-    return pa.array(out, pa.bool_())
-
-
-#: Up to so many ids of documents that take part in candidate pairs are broadcast to the scan that hashes them again (16 MB); beyond it, that join shuffles.
-BROADCAST_IDS = 2_000_000
+        left[i] = False
+        todo = [i]
+        while todo:
+            at = todo.pop()
+            others = np.flatnonzero(left)
+            if not len(others):
+                return out
+            found = others[near(at, others)]
+            left[found] = False
+            out += [(at, int(k)) for k in found]
+            todo += found.tolist()
+    return out
+
+
+def likely(n: list[int], registers: list[bytes]):
+    """near() of sketches: pairs estimated within MARGIN of the threshold or above it."""
+    x, size = np.frombuffer(b"".join(registers), np.uint16).reshape(-1, REGISTERS), np.array(n, float)
+
+    def near(i, others):
+        a, b = size[i], size[others]
+        same = (x[others] == x[i]).sum(1)
+        out = (same >= (PERCENT / 100 - 1.5 * MARGIN) * REGISTERS) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
+        at = others[out]
+        if len(at):
+            out[out] = likeliest_similarity(np.broadcast_to(x[i], (len(at), REGISTERS)), x[at], np.full(len(at), a), size[at]) >= PERCENT / 100 - MARGIN
+        return out
+
+    return near
+
+
+def confirmed(elements: list[bytes]):
+    """near() of full sets."""
+    found = linked([np.frombuffer(x, U64) for x in elements])
+    return lambda i, others: found[i, others]
+
+
+def linked(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+    """Which pairs of a group of sorted sets are links, by the sizes of all intersections (a matrix product over elements that two sets have)."""
+    n = np.array([len(x) for x in sets], np.int64)
+    both = np.zeros((len(sets), len(sets)))
+    elements, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), n)
+    order = np.argsort(elements, kind="stable")
+    elements, owner = elements[order], owner[order]
+    new = np.append(True, elements[1:] != elements[:-1])
+    place = np.cumsum(new) - 1
+    twice = np.bincount(place) > 1
+    keep = twice[place]
+    owner, place = owner[keep], (np.cumsum(twice) - 1)[place[keep]]
+    total = int(twice.sum())
+    for at in range(0, total, columns):
+        some = (place >= at) & (place < at + columns)
+        x = np.zeros((len(sets), min(columns, total - at)), np.float32)
+        x[owner[some], place[some] - at] = 1
+        both += x @ x.T
+    out = 100 * both >= PERCENT * (n[:, None] + n[None] - both)
+    np.fill_diagonal(out, False)
+    return out
+
+
+def by_blocks(rows: DataFrame, group: str, data: list[str], near) -> DataFrame:
+    """Edges (a, b) that connect what near() finds within each group.
+
+    rows has group, id, blocks (how many the group has) and data. A row goes to every pair of blocks that its own is in;
+    a pair of two blocks looks at pairs across them only. near takes the data columns of a pair of blocks as lists and returns forest's near().
+    Rows come by id, so most edges lead to a group's smallest ids and are the same from group to group.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("own")
+    dealt = rows.select(group, "id", own, *data, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
+    keys = [group, "lo", "hi"]
+    dealt = dealt.select(group, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "own", *data).repartition(*keys).sortWithinPartitions(*keys, "id")
 
+    def run(batches):
+        def groups():
+            now, rows = None, []
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                for r in zip(*columns):
+                    if r[:3] != now:
+                        if rows:
+                            yield now, rows
+                        now, rows = r[:3], []
+                    rows.append(r[3:])
+            if rows:
+                yield now, rows
+
+        a, b = [], []
+        for (_, lo, hi), rows in groups():
+            if len(rows) > 1:
+                test = near(*([r[2 + k] for r in rows] for k in range(len(data))))
+                own = np.array([r[1] for r in rows])
+                for i, k in forest(len(rows), test if lo == hi else lambda i, others: test(i, others) & (own[others] != own[i])):
+                    a.append(min(rows[i][0], rows[k][0]))
+                    b.append(max(rows[i][0], rows[k][0]))
+            if len(a) >= 4096:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+                a, b = [], []
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint").where("a < b").distinct().checkpoint()
+
+
+def candidate_links(classes: DataFrame) -> DataFrame:
+    """Edges that connect all classes (id, n, registers) which share a band and are likely links."""
+    width = 2 * ROWS
+    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", 1 + i * width, F.lit(width))))
+    banded = classes.select("id", F.explode(keys).alias("key"))
+    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = banded.join(shared, "key").select("key", "id", F.ceil(F.col("size") / BLOCK).alias("blocks"))
+    return by_blocks(members.join(classes.select("id", "n", "registers"), "id"), "key", ["n", "registers"], likely)
 
-def confirmed(pairs: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
-    """The pairs (a, b) of class ids that are links: estimated from registers first, then counted on the full sets."""
-    def side(c):
-        return classes.select(F.col("id").alias(c), F.col("n").alias(f"n_{c}"), F.col("registers").alias(f"r_{c}"))
 
-    both = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * F.least("n_a", "n_b") >= PERCENT * F.greatest("n_a", "n_b"))
-    likely = both.withColumn("j", F.arrow_udf(_estimate, "double")("r_a", "r_b", "n_a", "n_b")).where(F.col("j") >= PERCENT / 100 - MARGIN).select("a", "b").checkpoint()
-    ids = likely.select(F.col("a").alias("doc_id")).union(likely.select("b")).distinct().checkpoint()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
+def confirmed_links(groups: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+    """Edges that connect all links within the groups (id, component), counted on the full sets of the documents with these ids."""
+    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    placed = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", "blocks").checkpoint()
+    if placed.count() <= BROADCAST_IDS:
+        placed = F.broadcast(placed)
 
     def run(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([shingles(t, words).tobytes() for t in texts_of(batch)], pa.binary())], names=["id", "elements"])
+            sets = pa.array([shingles(t, words).tobytes() for t in texts_of(batch)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("doc_id"), batch.column("blocks"), sets], names=["component", "id", "blocks", "elements"])
 
-    sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(ids, "doc_id", "left_semi").mapInArrow(run, "id bigint, elements binary")
-    full = likely.join(sets.select(F.col("id").alias("a"), F.col("elements").alias("s_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("elements").alias("s_b")), "b")
-    return full.where(F.arrow_udf(_linked, "boolean")("s_a", "s_b")).select("a", "b").distinct().checkpoint()
+    sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(placed, "doc_id").mapInArrow(run, "component bigint, id bigint, blocks bigint, elements binary")
+    return by_blocks(sets, "component", ["elements"], confirmed)
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every end of the links (a, b).
 
-    Each round takes the smallest component among a node and its neighbours, then follows components twice; minima are
-    combined before they are shuffled, so a node with many links costs no task more. Ends when a round changes nothing.
+    Each round hooks every node to the smallest of itself and its neighbours, follows the hooks twice and contracts the
+    links to those between different hooks, until none is left. Minima are combined before they are shuffled, so a node
+    with many links costs no task more, and the links left shrink fast.
     """
-    edges = links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
-    labels = edges.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("c")).select("id", F.least("id", "c").alias("component")).checkpoint()
+    edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    labels = None
     while True:
-        near = edges.join(labels.select(F.col("id").alias("b"), "component"), "b").groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        lower = labels.join(near, "id").select("id", F.col("component").alias("was"), F.least("component", "near").alias("component"))
-        jump = lower.select(F.col("id").alias("component"), F.col("component").alias("next"))
-        new = lower.join(jump, "component", "left").select("id", "was", F.least("component", "next").alias("component")).checkpoint()
-        if new.where("component < was").isEmpty():
+        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("hook"))
+        for _ in range(2):
+            hooks = hooks.join(hooks.select(F.col("id").alias("hook"), F.col("hook").alias("next")), "hook").select("id", F.col("next").alias("hook"))
+        hooks = hooks.checkpoint()
+        if labels is None:
+            labels = hooks.select("id", F.col("hook").alias("component"))
+        else:
+            labels = labels.join(hooks.select(F.col("id").alias("component"), "hook"), "component", "left").select("id", F.coalesce("hook", "component").alias("component")).checkpoint()
+        edges = edges.join(hooks.select(F.col("id").alias("a"), F.col("hook").alias("x")), "a").join(hooks.select(F.col("id").alias("b"), F.col("hook").alias("y")), "b")
+        edges = edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
+        if edges.isEmpty():
             return labels
-        labels = new.select("id", "component")
 
 
 def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every document.
 
-    Equal sets become one class. In a bucket (a band's registers) every class is first held against the bucket's smallest
-    id; then, in buckets that still have several components, the classes of different components against each other. So
-    each pair that shares a bucket is either connected or counted on its full sets, and a group of thousands of copies
-    costs each of its members a few comparisons. Null and empty texts, and texts of white space, are linked with nothing.
-    Rows that repeat a doc_id are one node. Only doc_id and text are read.
+    Equal sets become one class. Classes that share a band and are likely links by their registers form groups, which
+    hold every pair that can be a link; within each group the links are counted on the full sets. Both steps hand on
+    edges that connect what they found, never all pairs. Null and empty texts, and texts of white space, are linked with
+    nothing. Rows that repeat a doc_id are one node. Only doc_id and text are read.
     """
     shared_folder(docs.sparkSession)
+    bounded_batches(docs.sparkSession)
     rows = sketched(docs, words).checkpoint()
     classes = rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).checkpoint()
-    width = 2 * ROWS
-    keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", 1 + i * width, F.lit(width))))
-    banded = classes.select("id", F.explode(keys).alias("key"))
-    buckets = banded.groupBy("key").agg(F.min("id").alias("first"), F.max("id").alias("last")).where("first < last").select("key", "first")
-    members = banded.join(buckets, "key").select("key", "first", "id").checkpoint()
-    stars = members.where("id > first").select(F.col("first").alias("a"), F.col("id").alias("b")).distinct()
-    links = confirmed(stars, classes, docs, words)
-    labels = components(links)
-    placed = members.join(labels, "id", "left").select("key", "first", "id", F.coalesce("component", "id").alias("component"))
-    open_buckets = placed.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("key")
-    rest = placed.join(open_buckets, "key").where("id > first").select("key", "id", "component").checkpoint()
-    other = rest.select("key", F.col("id").alias("b"), F.col("component").alias("other"))
-    crossing = rest.withColumnRenamed("id", "a").join(other, "key").where("a < b and component <> other").select("a", "b").distinct()
-    more = confirmed(crossing, classes, docs, words)
-    if not more.isEmpty():
-        labels = components(links.union(more))
+    labels = components(confirmed_links(components(candidate_links(classes)), docs, words))
     by_class = classes.join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
     return rows.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
