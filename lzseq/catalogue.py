@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import chunks, dictionaries, parses, phrases, ranges, records, search
-from .plans import index
+from .plans import index, jobs
 from .sources import readers
 
 _HEADER = "'ACC' || CAST(doc_id AS VARCHAR) || ' ' || lang || ' ' || source || ' chromosome ' || CAST(doc_id % 3 AS VARCHAR) || CASE WHEN doc_id % 5 = 0 THEN ', complete genome' ELSE ', scaffold' END"
@@ -156,24 +156,19 @@ def entries() -> dict:
     def texts_of(s, d):
         return seqs(s, d).select(F.col("seq_id").alias("key"), F.col("seq").alias("text"))
 
-    def dictionary_rows(s, d):
-        need_checkpoints(s)
-        packed, cat = parses.block_texts(grouped(s, d))
-        first = cat.where("seq_ix = 0").select("key", "seq_id")
-        seq = seqs(s, d).select("seq_id", "seq")
-        refs = first.join(seq, "seq_id").select("key", F.col("seq").alias("dictionary"))
-        return cat.select("key", "seq_id").join(seq, "seq_id").join(refs, "key").select("key", "seq_id", "seq", "dictionary"), refs
+    def relative(s, d):
+        g = grouped(s, d).select("groupname", "seq_id", "header", "seq")
+        return jobs.compress_taxa(g)
 
     def rlz_decode(s, d):
-        rows, refs = dictionary_rows(s, d)
-        p = parses.rlz_phrases(rows, ["key", "seq_id"])
-        return parses.decoded(p, ["key", "seq_id"], refs).select("seq_id", _digest("text").alias("md5"))
+        p, texts = relative(s, d)
+        return parses.decoded(p, ["groupname", "seq_id"], texts).select("seq_id", _digest("text").alias("md5"))
 
     full = f"WITH {_SEQS} SELECT seq_id, md5(seq) AS md5 FROM seqs WHERE length(seq) > 0"
     add("suffix_array", lambda s, d: parses.suffix_arrays(texts_of(s, d).withColumn("key", F.col("key").cast("string"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rank") * F.col("suffix")).alias("weight")))
     add("lz77_phrases", lambda s, d: parses.lz77_phrases(texts_of(s, d), leftmost=True))
     add("lz77_decode", lambda s, d: parses.decoded(parses.lz77_phrases(texts_of(s, d)), ["key"]).select(F.col("key").alias("seq_id"), _digest("text").alias("md5")), full)
-    add("rlz_phrases", lambda s, d: parses.rlz_phrases(dictionary_rows(s, d)[0], ["key", "seq_id"]))
+    add("rlz_phrases", lambda s, d: relative(s, d)[0])
     add("rlz_decode", rlz_decode, full)
     add("parse_statistics", lambda s, d: phrases.statistics(parses.lz77_phrases(texts_of(s, d))).select("key", "n_chars"), f"WITH {_SEQS} SELECT seq_id AS key, length(seq)::BIGINT AS n_chars FROM seqs WHERE length(seq) > 0")
 
@@ -214,14 +209,19 @@ def entries() -> dict:
 
     add("merge_limits", merge_limits, f"WITH {_PHRASE}, {_LIMITS}, {limit_rows}, t AS (SELECT part, max(lim) AS last FROM lim GROUP BY part), m AS (SELECT part, coalesce(sum(last) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, row_number() OVER (ORDER BY part) AS nth FROM t) SELECT part, ix, (lim + moved)::BIGINT AS \"limit\" FROM lim JOIN m USING (part) WHERE nth = 1 OR ix > 0")
 
+    def metadata(s, d):
+        need_checkpoints(s)
+        return records.fasta_metadata(fasta_lines(s, d))
+
     def with_size(s, d):
+        need_checkpoints(s)
         lines = fasta_lines(s, d)
         return records.fasta_metadata(lines).join(lines.groupBy("file").agg(F.sum(F.length("value") + 1).cast("bigint").alias("file_len")), "file")
 
-    add("fasta_metadata", lambda s, d: records.fasta_metadata(fasta_lines(s, d)), f"WITH {_META} SELECT * FROM meta")
+    add("fasta_metadata", metadata, f"WITH {_META} SELECT * FROM meta")
     add("merge_metadata", lambda s, d: records.merged_metadata(with_size(s, d)), f"WITH {_META}, size AS (SELECT file, sum(length(value) + 1) AS bytes, sum(CAST(h AS BIGINT)) AS n FROM line2 GROUP BY file), m AS (SELECT file, coalesce(sum(bytes) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, coalesce(sum(n) OVER (ORDER BY file ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved_ix FROM size) SELECT file, (seq_ix + moved_ix)::BIGINT AS seq_ix, name, length, (header_sp + moved)::BIGINT AS header_sp, (header_ep + moved)::BIGINT AS header_ep FROM meta JOIN m USING (file)")
-    add("seqpos_to_filepos", lambda s, d: records.fasta_metadata(fasta_lines(s, d)).where("length > 0").select("file", "seq_ix", records.file_position(F.col("header_ep"), F.col("line_len"), F.col("length") - 1).alias("at")), f"WITH {_META} SELECT file, seq_ix, CASE WHEN line_len IS NULL THEN header_ep + length ELSE header_ep + 1 + (length - 1) % line_len + ((length - 1) // line_len) * (line_len + 1) END AS at FROM meta WHERE length > 0")
-    add("in_header", lambda s, d: records.in_header(table(s, d, "events").select(F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")).alias("file"), (F.col("event_id") * 13).alias("at")), records.fasta_metadata(fasta_lines(s, d))), f"WITH {_META}, place AS (SELECT 'f' || CAST(user_id % 7 AS VARCHAR) AS file, event_id * 13 AS at FROM events) SELECT p.file, p.at, m.seq_ix FROM place p JOIN meta m ON p.file = m.file AND p.at >= m.header_sp AND p.at <= m.header_ep")
+    add("seqpos_to_filepos", lambda s, d: metadata(s, d).where("length > 0").select("file", "seq_ix", records.file_position(F.col("header_ep"), F.col("line_len"), F.col("length") - 1).alias("at")), f"WITH {_META} SELECT file, seq_ix, CASE WHEN line_len IS NULL THEN header_ep + length ELSE header_ep + 1 + (length - 1) % line_len + ((length - 1) // line_len) * (line_len + 1) END AS at FROM meta WHERE length > 0")
+    add("in_header", lambda s, d: records.in_header(table(s, d, "events").select(F.concat(F.lit("f"), (F.col("user_id") % 7).cast("string")).alias("file"), (F.col("event_id") * 13).alias("at")), metadata(s, d)), f"WITH {_META}, place AS (SELECT 'f' || CAST(user_id % 7 AS VARCHAR) AS file, event_id * 13 AS at FROM events) SELECT p.file, p.at, m.seq_ix FROM place p JOIN meta m ON p.file = m.file AND p.at >= m.header_sp AND p.at <= m.header_ep")
 
     # Range joins
     hits = lambda s, d: table(s, d, "events").select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("key"), F.col("event_id").alias("query_id"), (F.col("event_id") * 31 % 900).alias("pos"), (F.lit(3) + F.col("event_id") % 8).alias("m"))

@@ -29,12 +29,13 @@ def stripe_selection(chunks: DataFrame, reference_size: int, repeat_first: bool
 def taxon_selection(seqs: DataFrame, quotient: float = QUOTIENT, most: int = MOST) -> DataFrame:
     """Each group's dictionary: complete sequences by id (at most `most`), then the longest others by size_rule().
 
-    Rows (groupname, dict_ord, seq_id, length, complete). Ranks are drawn over ids and lengths only.
+    Rows (groupname, dict_ord, seq_id, length, complete). Ranks are drawn over ids and lengths only, and the bound on them
+    is plain, so that Spark drops what lies beyond it before the shuffle: a hot group sends `most` rows from a task.
     """
     rows = seqs.select(group_key(F.col("header")).alias("groupname"), "seq_id", F.length("seq").alias("length"), is_complete(F.col("header")).alias("complete"))
     n = rows.where(~F.col("complete")).groupBy("groupname").agg(F.count(F.lit(1)).alias("n"))
     rank = F.row_number().over(Window.partitionBy("groupname", "complete").orderBy(F.when(F.col("complete"), 0).otherwise(-F.col("length")), "seq_id"))
-    ranked = rows.withColumn("rank", rank).join(n, "groupname", "left")
+    ranked = rows.withColumn("rank", rank).where(F.col("rank") <= max(most, SMALL)).join(n, "groupname", "left")
     chosen = ranked.where(F.when(F.col("complete"), F.col("rank") <= most).otherwise(F.col("rank") <= size_rule(F.col("n"), quotient, most)))
     order = F.row_number().over(Window.partitionBy("groupname").orderBy(F.col("complete").desc(), "rank"))
     return chosen.select("groupname", order.alias("dict_ord"), "seq_id", "length", "complete")

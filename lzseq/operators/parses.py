@@ -64,6 +64,39 @@ def rlz_phrases(rows: DataFrame, keys: list[str], leftmost: bool = True) -> Data
     return _phrases(rows, parse, keys, ["seq", "dictionary"])
 
 
+def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], leftmost: bool = True, block_chars: int = 64 << 20) -> DataFrame:
+    """(group, ids, phrase_ix, pos, len) of sequences relative to their group's dictionary (group, dictionary).
+
+    A group is dealt into blocks of about block_chars characters; its dictionary goes to each block once, ahead of the
+    block's sequences, and its suffix array is made once a block. ids has seq_id. Groups without a dictionary are all literals.
+    """
+    from .chunks import with_blocks
+
+    types = dict(seqs.dtypes)
+    dealt = with_blocks(seqs, group, block_chars).select(group, "block", F.lit(1).alias("kind"), *ids, "seq")
+    blocks = dealt.select(group, "block").distinct()
+    heads = blocks.join(dictionaries.select(group, "dictionary"), group).select(group, "block", F.lit(0).alias("kind"), *(F.lit(None).cast(types[k]).alias(k) for k in ids), F.col("dictionary").alias("seq"))
+    rows = dealt.unionByName(heads).repartition(group, "block").sortWithinPartitions(group, "block", "kind")
+    schema = ", ".join(f"`{k}` {types[k]}" for k in (group, *ids)) + ", phrase_ix bigint, pos bigint, len bigint"
+
+    def run(batches):
+        at, reference = None, None
+        for batch in batches:
+            for r in range(batch.num_rows):
+                key = (batch.column(group)[r].as_py(), batch.column("block")[r].as_py())
+                if key != at:
+                    at, reference = key, None
+                text = (batch.column("seq")[r].as_py() or "").encode("latin-1", "replace")
+                if not batch.column("kind")[r].as_py():
+                    reference = kernels.Reference(text)
+                    continue
+                pos, length = (reference or kernels.Reference(b"")).parse(text, leftmost)
+                n = len(pos)
+                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(k)[r], n) for k in (group, *ids)), pa.array(np.arange(n)), pa.array(pos), pa.array(length)], names=[group, *ids, "phrase_ix", "pos", "len"])
+
+    return rows.mapInArrow(run, schema)
+
+
 def decoded(phrases: DataFrame, keys: list[str], references: DataFrame | None = None) -> DataFrame:
     """(keys, text) of parses; references: (first key, dictionary)."""
     ordered = F.array_sort(F.collect_list(F.struct("phrase_ix", "pos", "len")))

@@ -67,10 +67,11 @@ def fasta_metadata(lines: DataFrame) -> DataFrame:
     header_sp is the place of >, header_ep of the header's newline. Characters count as one byte each; line_len is null
     for a sequence on one line, which has no line length of its own.
     """
-    w = Window.partitionBy("file").orderBy("line_no")
-    at = F.coalesce(F.sum(F.length("value") + 1).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
-    is_header = F.startswith("value", F.lit(">"))
-    rows = lines.withColumn("at", at).withColumn("is_header", is_header).withColumn("seq_ix", F.sum(is_header.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    from .chunks import prefix_sums
+
+    rows = lines.withColumn("is_header", F.startswith("value", F.lit(">")))
+    rows = prefix_sums(rows, "file", ["line_no"], {"at": (F.length("value") + 1).cast("bigint"), "_headers": F.col("is_header").cast("bigint")})
+    rows = rows.withColumn("seq_ix", F.col("_headers") + F.col("is_header").cast("bigint") - 1)
     body = ~F.col("is_header")
     out = rows.groupBy("file", "seq_ix").agg(
         F.max(F.when(F.col("is_header"), first_token(F.substring("value", 2, 1 << 30)))).alias("name"),

@@ -33,16 +33,14 @@ def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat
     selection = dictionaries.stripe_selection(cut, reference_size, repeat_first)
     ordered = F.array_sort(F.collect_list(F.struct("dict_ord", "chunk")))
     texts = selection.groupBy("chunk_ix").agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), "").alias("dictionary"))
-    rows = cut.select("chunk_ix", "seq_id", F.col("chunk").alias("seq")).join(texts, "chunk_ix")
-    return parses.rlz_phrases(rows, ["chunk_ix", "seq_id"], leftmost), texts
+    return parses.rlz_by_group(cut.select("chunk_ix", "seq_id", F.col("chunk").alias("seq")), texts, "chunk_ix", ["seq_id"], leftmost), texts
 
 
 def compress_taxa(seqs: DataFrame, quotient: float = dictionaries.QUOTIENT, most: int = dictionaries.MOST, leftmost: bool = True) -> tuple[DataFrame, DataFrame]:
     """(phrases, dictionaries) of sequences relative to their group's dictionary: (groupname, seq_id, phrase_ix, pos, len) and (groupname, dictionary)."""
     named = seqs.withColumn("groupname", C.group_key(F.col("header")))
     texts = dictionaries.texts(dictionaries.taxon_selection(seqs, quotient, most), seqs).withColumnRenamed("text", "dictionary")
-    rows = named.select("groupname", "seq_id", "seq").join(texts, "groupname")
-    return parses.rlz_phrases(rows, ["groupname", "seq_id"], leftmost), texts
+    return parses.rlz_by_group(named.select("groupname", "seq_id", "seq"), texts, "groupname", ["seq_id"], leftmost), texts
 
 
 def index_fasta(spark: SparkSession, path: str, out: str, parameters: index.Parameters, **options) -> None:
