@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 
 import ahocorasick
@@ -26,8 +27,8 @@ _spaces = regex.compile(f"[{SPACE}]+")
 #: The separators that str.split() takes besides; texts with one of them go the slower way.
 _other_spaces = regex.compile("[\x1c-\x1f]")
 NEVER = 1 << 60
-#: Entries that a worker keeps of each cache, and the longest chunk that goes into it.
-CACHED, CACHED_CHARS = 250_000, 48
+#: Entries in each of a cache's two generations, in the table of token pairs, and the longest text that is kept.
+CACHED, CACHED_PAIRS, CACHED_CHARS = 150_000, 300_000, 48
 
 
 def byte_letters() -> list[str]:
@@ -85,7 +86,8 @@ class WordBpe:
                 self.automaton.add_word(symbols[i], (i, len(symbols[i])))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.chunks: dict[str, tuple[bytes, bytes]] = {}
+        self.young: dict[str, tuple[bytes, bytes]] = {}
+        self.old: dict[str, tuple[bytes, bytes]] = {}
 
     def _apart(self, a: int, b: int, before: int = NEVER) -> bool:
         """Whether no merge across the border of tokens a and b comes before a, b or the rank before is reached.
@@ -124,7 +126,7 @@ class WordBpe:
                     continue
                 ok = fits.get(key := before << 24 | token)
                 if ok is None:
-                    if len(fits) > 4 * CACHED:
+                    if len(fits) >= CACHED_PAIRS:
                         fits.clear()
                     ok = fits[key] = self._apart(before, token)
                 if not ok:
@@ -136,33 +138,52 @@ class WordBpe:
             n = back[n]
         return ids[::-1]
 
-    def encode_plain(self, chunk: str) -> list[int]:
-        """Ids of a piece without special tokens."""
+    def _keep(self, text: str, got: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
+        """Puts into the young generation; a full one becomes the old one, so what is used often stays."""
+        if len(text) <= CACHED_CHARS:
+            if len(self.young) >= CACHED:
+                self.young, self.old = {}, self.young
+            self.young[text] = got
+        return got
+
+    def _of_ids(self, ids: list[int]) -> tuple[bytes, bytes]:
+        return struct.pack(f"<{len(ids)}I", *ids), " ".join([self.token_text[i] for i in ids]).encode()
+
+    def _word(self, word: str) -> tuple[bytes, bytes]:
+        """Of a word of the pattern, which as a chunk is the same."""
+        got = self.young.get(word) or self.old.get(word) or self._of_ids(self.encode_word(word))
+        return self._keep(word, got)
+
+    def _plain(self, chunk: str) -> tuple[bytes, bytes]:
+        """Of a piece without special tokens."""
         if not chunk.isascii():
             chunk = unicodedata.normalize("NFC", chunk)
             if "Σ" in chunk:  # lower case here is letter by letter, without the rule for a final sigma
                 chunk = chunk.replace("Σ", "σ")
-        return [i for w in self.words(chunk.lower()) for i in self.encode_word(w)]
+        chunk = chunk.lower()
+        words = [chunk] if chunk.isalpha() else self.words(chunk)
+        if len(words) == 1:
+            return self._word(words[0])
+        got = [self._word(w) for w in words]
+        return b"".join([x[0] for x in got]), b" ".join([x[1] for x in got])
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
-        ids = []
-        for part in self.split_special(chunk) if self.has_special(chunk) else (chunk,):
-            if part in self.special:
-                ids.append(self.special[part])
-            elif part:
-                ids += self.encode_plain(part)
-        out = np.array(ids, "<u4").tobytes(), " ".join([self.token_text[i] for i in ids]).encode()
-        if len(chunk) <= CACHED_CHARS:
-            if len(self.chunks) >= CACHED:
-                self.chunks.clear()
-            self.chunks[chunk] = out
-        return out
+        got = self.old.get(chunk)
+        if got is None:
+            if "<" in chunk and self.has_special(chunk):
+                parts = [self._of_ids([self.special[p]]) if p in self.special else self._plain(p) for p in self.split_special(chunk) if p]
+                got = b"".join([x[0] for x in parts]), b" ".join([x[1] for x in parts])
+            else:
+                got = self._plain(chunk)
+        return self._keep(chunk, got)
 
     def encode(self, text: str) -> tuple[bytes, bytes]:
         """(ids as little-endian unsigned 32-bit integers, UTF-8 of the tokens' texts with spaces between)."""
         parts = _spaces.split(text) if _other_spaces.search(text) else text.split()
-        get, chunk = self.chunks.get, self._chunk
-        got = [get(p) or chunk(p) for p in parts if p]
+        chunk, got = self._chunk, []
+        for p in parts:
+            if p:
+                got.append(self.young.get(p) or chunk(p))
         return b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])
 
     def text_of(self, ids) -> str:
