@@ -162,7 +162,7 @@ def entries() -> dict:
 
     def rlz_decode(s, d):
         p, texts = relative(s, d)
-        return parses.decoded(p, ["groupname", "seq_id"], texts).select("seq_id", _digest("text").alias("md5"))
+        return parses.decoded_by_group(p, texts, "groupname", ["seq_id"]).select("seq_id", _digest("text").alias("md5"))
 
     full = f"WITH {_SEQS} SELECT seq_id, md5(seq) AS md5 FROM seqs WHERE length(seq) > 0"
     add("suffix_array", lambda s, d: parses.suffix_arrays(texts_of(s, d).withColumn("key", F.col("key").cast("string"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("rank") * F.col("suffix")).alias("weight")))

@@ -97,20 +97,48 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
     return rows.mapInArrow(run, schema)
 
 
-def decoded(phrases: DataFrame, keys: list[str], references: DataFrame | None = None) -> DataFrame:
-    """(keys, text) of parses; references: (first key, dictionary)."""
+def decoded(phrases: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, text) of parses whose sources are in their own text."""
+    rows = _gathered(phrases, keys)
+
+    def text(pos: pa.Array, length: pa.Array) -> pa.Array:
+        return pa.array([kernels.decode(p, n).decode("latin-1") for p, n in zip(pos.to_pylist(), length.to_pylist())], pa.string())
+
+    return rows.select(*keys, F.arrow_udf(text, "string")("pos", "len").alias("text"))
+
+
+def _gathered(phrases: DataFrame, keys: list[str]) -> DataFrame:
     ordered = F.array_sort(F.collect_list(F.struct("phrase_ix", "pos", "len")))
     rows = phrases.groupBy(*keys).agg(ordered.alias("p"))
-    rows = rows.select(*keys, F.transform("p", lambda x: x["pos"]).alias("pos"), F.transform("p", lambda x: x["len"]).alias("len"))
-    if references is not None:
-        rows = rows.join(references, keys[0])
+    return rows.select(*keys, F.transform("p", lambda x: x["pos"]).alias("pos"), F.transform("p", lambda x: x["len"]).alias("len"))
+
 
-    def text(pos: pa.Array, length: pa.Array, dictionary: pa.Array) -> pa.Array:
-        out = [kernels.decode(p, n, None if d is None else d.encode("latin-1", "replace")).decode("latin-1") for p, n, d in zip(pos.to_pylist(), length.to_pylist(), dictionary.to_pylist())]
-        return pa.array(out, pa.string())
+def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], blocks: int = 64) -> DataFrame:
+    """(group, ids, text) of parses relative to their group's dictionary.
 
-    dictionary = F.col("dictionary") if references is not None else F.lit(None).cast("string")
-    return rows.select(*keys, F.arrow_udf(text, "string")("pos", "len", dictionary).alias("text"))
+    A group's parses are dealt into up to so many blocks; the dictionary goes to each block once, ahead of its parses.
+    """
+    types = dict(phrases.dtypes)
+    rows = _gathered(phrases, [group, *ids]).withColumn("block", F.pmod(F.xxhash64(*ids), F.lit(blocks))).withColumn("kind", F.lit(1)).withColumn("dictionary", F.lit(None).cast("string"))
+    heads = dictionaries.select(group, "dictionary").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).withColumn("kind", F.lit(0))
+    heads = heads.join(rows.select(group, "block").distinct(), [group, "block"], "left_semi")
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(group, "block").sortWithinPartitions(group, "block", "kind")
+    schema = ", ".join(f"`{k}` {types[k]}" for k in (group, *ids)) + ", text string"
+
+    def run(batches):
+        dictionary = b""
+        for batch in batches:
+            kind = np.array(batch.column("kind").to_pylist())
+            out = []
+            for r in range(batch.num_rows):
+                if not kind[r]:
+                    dictionary = (batch.column("dictionary")[r].as_py() or "").encode("latin-1", "replace")
+                else:
+                    out.append(kernels.decode(batch.column("pos")[r].as_py(), batch.column("len")[r].as_py(), dictionary).decode("latin-1"))
+            keep = pa.array(kind == 1)
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in (group, *ids)), pa.array(out, pa.string())], names=[group, *ids, "text"])
+
+    return dealt.mapInArrow(run, schema)
 
 
 def suffix_arrays(texts: DataFrame) -> DataFrame:

@@ -27,10 +27,10 @@ def test_compression_round_trips(spark, tmp_path):
     seqs = jobs.fasta_sequences(spark, str(tmp_path / "a.fa")).checkpoint()
     assert [r.seq for r in seqs.orderBy("seq_id").collect()] == [s for _, s in records]
     phrases, texts = jobs.compress_taxa(seqs)
-    back = parses.decoded(phrases, ["groupname", "seq_id"], texts)
+    back = parses.decoded_by_group(phrases, texts, "groupname", ["seq_id"])
     assert {r.seq_id: r.text for r in back.collect()} == dict(enumerate(s for _, s in records))
     phrases, texts = jobs.compress_stripes(seqs, 4, 2)
-    parts = parses.decoded(phrases, ["chunk_ix", "seq_id"], texts).orderBy("seq_id", "chunk_ix").groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "text"))), lambda x: x["text"]), "").alias("text"))
+    parts = parses.decoded_by_group(phrases, texts, "chunk_ix", ["seq_id"]).orderBy("seq_id", "chunk_ix").groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "text"))), lambda x: x["text"]), "").alias("text"))
     assert {r.seq_id: r.text for r in parts.collect()} == dict(enumerate(s for _, s in records))
 
 

@@ -69,7 +69,7 @@ def test_parse_round_trips(spark):
     want = {k: s for k, s, _ in rows if s}
     full = parses.decoded(parses.lz77_phrases(df.withColumn("text", F.col("seq"))), ["key"])
     assert {r.key: r.text for r in full.collect()} == want
-    relative = parses.decoded(parses.rlz_phrases(df, ["key"]), ["key"], df.select("key", "dictionary"))
+    relative = parses.decoded_by_group(parses.rlz_phrases(df.withColumn("n", F.lit(1)), ["key", "n"]), df.select("key", "dictionary"), "key", ["n"])
     assert {r.key: r.text for r in relative.collect()} == want
 
 
