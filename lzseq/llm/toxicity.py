@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import by_text, mix64, remainder, sample_texts
+from .textkit import bounded_batches, by_text, mix64, remainder, sample_texts
 
 _words = re.compile(r"[^\W_]+").findall
 #: Lengths of word beginnings that can be lexicon entries.
@@ -26,7 +26,7 @@ STEMS = (4, 5)
 #: Fixed seeds of the min-hashes that find copies: 8 bands of 2.
 SEEDS = mix64(np.arange(1, 17, dtype=np.uint64))
 #: Words that a worker remembers entries of.
-REMEMBERED = 400_000
+REMEMBERED = 200_000
 
 
 def units(word: str) -> list[str]:
@@ -142,7 +142,10 @@ class Voters:
 
 @dataclass
 class LabelModel:
-    """P(vote | class) of every voter and the share of toxic texts, by EM; voters that agree more than the class explains share their weight."""
+    """P(vote | class) of every voter and the share of toxic texts, by EM; voters that agree more than the class explains share their weight.
+
+    Copies of one voter would outvote the rest before the class is known, so votes that correlate by `copied` share theirs from the start.
+    """
 
     prior: float
     table: np.ndarray  # (voters, 2, 3): log P(vote - 1 .. 1 | class)
@@ -150,12 +153,12 @@ class LabelModel:
     correlation: np.ndarray
 
     @staticmethod
-    def fit(votes: np.ndarray, rounds: int = 25, strength: float = 0.3) -> LabelModel:
+    def fit(votes: np.ndarray, rounds: int = 25, strength: float = 0.3, copied: float = 0.9) -> LabelModel:
         n, k = votes.shape
         said = [(votes == x).astype(np.float64) for x in (-1, 0, 1)]
-        total = votes.sum(1)
-        q = np.where(total > 0, 0.9, 0.05).astype(np.float64)
-        weight, rho = np.ones(k), np.zeros((k, k))
+        rho = LabelModel._correlation(votes - votes.mean(0))
+        weight = 1 / (1 + np.where(rho > copied, rho, 0).sum(1))
+        q = np.where(votes @ weight > 0, 0.9, 0.05).astype(np.float64)
         table, prior = np.zeros((k, 2, 3)), 0.1
         for r in range(rounds):
             prior = float(np.clip(q.mean(), 0.005, 0.5))
@@ -164,14 +167,18 @@ class LabelModel:
                 table[:, c] = np.log(p / p.sum(1, keepdims=True))
             if r in (4, 12):  # what is left of each vote when the class is known, and how voters share it
                 expected = ((np.exp(table) * np.array([-1, 0, 1])).sum(2) @ np.stack([1 - q, q])).T
-                left = votes - expected
-                scale = np.sqrt((left**2).sum(0)) + 1e-9
-                rho = np.abs(left.T @ left) / np.outer(scale, scale)
-                np.fill_diagonal(rho, 0)
+                rho = LabelModel._correlation(votes - expected)
                 weight = 1 / (1 + np.where(rho > strength, rho, 0).sum(1))
             q = LabelModel(prior, table, weight, rho).posterior(votes)
         return LabelModel(prior, table, weight, rho)
 
+    @staticmethod
+    def _correlation(left: np.ndarray) -> np.ndarray:
+        scale = np.sqrt((left**2).sum(0)) + 1e-9
+        rho = np.abs(left.T @ left) / np.outer(scale, scale)
+        np.fill_diagonal(rho, 0)
+        return rho
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
         log_odds = math.log(self.prior) - math.log(1 - self.prior)
         ratio = (self.table[:, 1] - self.table[:, 0]) * self.weight[:, None]
@@ -249,4 +256,5 @@ def acceptable(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) ->
     def low(texts: pa.Array) -> pa.Array:
         return pa.array([x < threshold for x in model.scores([t or b"" for t in texts.cast(pa.binary()).to_pylist()])], pa.bool_())
 
+    bounded_batches(docs.sparkSession)
     return docs.where(F.arrow_udf(low, "boolean")("text"))
