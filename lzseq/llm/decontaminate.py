@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import texts_of
+from .textkit import bounded_batches, texts_of
 
 #: Production parameters: edits for each character of an item; characters of items searched in one pass.
 RATE, BLOCK_CHARS = 0.08, 1_000_000
@@ -165,6 +165,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
 
         return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
 
+    bounded_batches(docs.sparkSession)
     out = None
     for items in blocks(benchmark, block_chars, rate):
         found = search(items)
@@ -182,6 +183,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars
 
         return held
 
+    bounded_batches(docs.sparkSession)
     out = docs
     for items in blocks(benchmark, block_chars, rate):
         out = out.where(~flagged(items)(F.col("text")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 import numpy as np
@@ -87,6 +88,18 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
+#: Rows and bytes of the batches that texts go to Python in, so that a worker's memory doesn't hang on their lengths.
+BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limits of Arrow batches to these, where they are higher."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(re.sub(r"\D+$", "", str(spark.conf.get(key))))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
+
+
 def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """mapInArrow over (id, text) alone, so other columns, whatever their names, are not read.
 
@@ -99,6 +112,7 @@ def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_co
             out = fn(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(x if isinstance(x, pa.Array) else pa.array(x) for x in out)], names=names)
 
+    bounded_batches(docs.sparkSession)
     names = [x.split()[0] for x in f"{id_column} bigint, {schema}".split(",")]
     return docs.select(F.col(id_column).cast("bigint").alias(id_column), F.col(text_column).alias("text")).mapInArrow(run, f"{id_column} bigint, {schema}")
 
