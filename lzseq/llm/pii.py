@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .textkit import bounded_batches
+
 # Given names by script and gender; their surrogates come from the same list.
 GIVEN = {
     ("latin", "f"): "Alice Amelia Barbara Beatrice Camille Carmen Caroline Charlotte Claire Dorothy Elizabeth Emily Florence Gabriela Hannah Isabella Jessica Julia Katharina Laura Margaret Michelle Patricia Sophie Victoria Yvonne".split(),
@@ -40,10 +42,10 @@ _family = rf"{_name}(?:-{_name})?"
 PATTERN = re.compile(
     rf"""(?P<email>(?<![\w.+%-])[^\W_][\w.+%-]{{0,63}}@(?:[^\W_](?:[\w-]{{0,61}}[^\W_])?\.){{1,8}}[^\W\d_]{{2,24}}(?![\w-]))
 |(?P<iban>(?<!\w)[A-Z]{{2}}\d{{2}}(?:[ ]?[A-Z0-9]{{4}}){{2,7}}(?:[ ]?[A-Z0-9]{{1,3}})?(?!\w))
-|(?P<phone>(?<![\w.+/-])\+\d{{1,3}}[ .-]?(?:\(\d{{1,5}}\)|\d{{1,5}})(?:[ .-]?\d{{2,5}}){{1,4}}(?![\w/-]))
+|(?P<phone>(?<![\w.+/-])(?:\+1[ .-]?(?:\(\d{{3}}\)|\d{{3}})[ .-]?\d{{3}}[ .-]?\d{{4}}|\+(?!1[ .(-])\d{{1,3}}[ .-]?(?:\(\d{{1,5}}\)|\d{{1,5}})(?:[ -]?\d{{2,5}}){{1,4}})(?![\w/-]|\.\d))
 |(?P<phone2>(?<![\w.+/-])(?:\(\d{{3}}\)[ ]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?![\w/-]))
 |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
-|(?P<card>(?<![\w.-])\d(?:[ -]?\d){{12,18}}(?![\w-]))
+|(?P<card>(?<![\w.-])(?:\d{{13,19}}|\d{{4}}(?P<gap>[ -])\d{{4}}(?P=gap)\d{{4}}(?P=gap)\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-]))
 |(?P<ip>(?<![\w.])\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?![\w]|\.\d))
 |(?P<name>\b(?:(?:{"|".join(TITLES)})\.?[ ]{_family}(?:[ ]{_family}){{0,2}}|(?:{"|".join(n for v in GIVEN.values() for n in v)})[ ]{_family}))(?!\w)""",
     re.X,
@@ -80,6 +82,18 @@ def valid(kind: str, text: str) -> bool:
     return True
 
 
+def entities(text: str):
+    """(kind, match) of every valid entity. What turns out to be none is gone over again from its second character, as it may begin too early."""
+    at = 0
+    while m := PATTERN.search(text, at):
+        kind = m.lastgroup
+        if valid(kind, m[0]):
+            yield kind.rstrip("2"), m
+            at = m.end()
+        else:
+            at = m.start() + 1
+
+
 class Surrogates:
     """Keyed surrogates of values. The same key gives the same surrogates everywhere."""
 
@@ -199,13 +213,8 @@ class Surrogates:
         if not _any.search(text):
             return text, {}, 0
         out, at, count, seen = [], 0, {}, {}
-        for m in PATTERN.finditer(text):
-            kind = m.lastgroup
+        for kind, m in entities(text):
             old = m[0]
-            if kind in ("phone2",):
-                kind = "phone"
-            if not valid(m.lastgroup, old):
-                continue
             new = self.of(kind, old)
             seen[old] = new
             out += [text[at : m.start()], new]
@@ -247,11 +256,13 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
 
     Null and empty texts stay and have no entities. Repeated rows repeat, with the same surrogates. Only doc_id and text are read.
     """
+    bounded_batches(docs.sparkSession)
     r = docs.select("doc_id", replaced(F.col("text"), key).alias("r"))
     return r.select("doc_id", "r.text", "r.n_entities", F.array_join(F.array_sort(F.map_keys("r.kinds")), ",").alias("kinds"), "r.collisions")
 
 
 def anonymised(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     """The documents, all columns, with surrogates in text; n_chars, where there is one, is the new length."""
+    bounded_batches(docs.sparkSession)
     out = docs.withColumn("text", replaced(F.col("text"), key)["text"])
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

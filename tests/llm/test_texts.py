@@ -92,6 +92,12 @@ def test_surrogates_keep_type_and_coreference(spark):
     assert s.of("card", "4111-1111-1111-1111").replace("-", "") == s.of("card", values["card"]).replace(" ", "")
 
 
+def test_entities_beside_each_other():
+    values = ["4451718024887799", "27.65.93.188", "+1 (836) 555-9331", "4913187196670932", "53.121.55.90", "a@b.org", "4111 1111 1111 1111", "86.227.24.100", "+49 30 1234567", "123-45-6789", "9.8.7.6"]
+    for sep in (" ", ", ", "\n", "### ", " | "):
+        assert [m[0] for _, m in pii.entities(sep.join(values))] == values
+
+
 def test_distinct_values_get_distinct_surrogates():
     s = pii.Surrogates(b"k")
     for kind, make in (("phone", lambda i: f"+1 (2{i % 100:02d}) 555-{i:04d}"), ("ip", lambda i: f"9.8.{i // 256}.{i % 256}"), ("email", lambda i: f"u{i}@x{i % 7}.org")):
