@@ -75,7 +75,7 @@ class Items:
             ids[normalised(text or "")].append(item_id)
         ids.pop("", None)
         self.texts = sorted(ids)
-        self.ids = [sorted(ids[t]) for t in self.texts]
+        self.ids = [sorted(ids[t], key=lambda i: (i is None, i)) for t in self.texts]
         self.budget = [int(self.rate * len(t)) for t in self.texts]
         places = defaultdict(list)
         for i, t in enumerate(self.texts):
@@ -151,7 +151,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
     """A row for each document and benchmark item that it holds: doc_id, item_id, distance, end (in the normalised text), budget.
 
     No shuffle. Each block of the benchmark costs a pass over the texts, so what tasks hold doesn't grow with the
-    benchmark. Null and empty texts and items match nothing; an item too short for an edit must occur exactly. Repeated
+    benchmark. Null and empty texts and items match nothing, a null item_id stays null; an item too short for an edit must occur exactly. Repeated
     rows repeat their matches. Only doc_id and text, item_id and text are read.
     """
 

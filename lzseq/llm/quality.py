@@ -85,7 +85,7 @@ def train(examples: list[tuple[bytes, int]], factors: int = 6, epochs: int = 5,
     rng = np.random.default_rng(seed)
     fm = FactorisationMachine(0.0, np.zeros(FEATURES), rng.normal(0, 0.05, (FEATURES, factors)))
     gw, gv, gb = np.full(FEATURES, 1e-4), np.full((FEATURES, factors), 1e-4), 1e-4
-    rows = [(*features(t), int(y)) for t, y in examples]
+    rows = [(*features(t), int(y > 0)) for t, y in examples]
     good = sum(y for *_, y in rows)
     share = (0.5 * len(rows) / max(1, len(rows) - good), 0.5 * len(rows) / max(1, good))
     for _ in range(epochs if rows else 0):

@@ -219,7 +219,7 @@ def train_linear(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, steps: int = 40
 
 def train(examples: list[tuple[bytes, int]]) -> ToxicityModel:
     """From labelled texts: labels choose the lexicon; the label model and the classifier then see votes only."""
-    texts, labels = [t for t, _ in examples], [int(y) for _, y in examples]
+    texts, labels = [t for t, _ in examples], [int(y > 0) for _, y in examples]
     voters = Voters(mine(texts, labels))
     votes = np.stack([voters.votes(t) for t in texts]) if texts else np.zeros((0, len(Voters.PATTERNS)), np.int8)
     k = len(voters.lexicon)

@@ -168,6 +168,8 @@ def test_leaks_within_the_budget_are_found(spark):
     left = decontaminate.clean(table(spark, docs), bench)
     assert {r.doc_id for r in left.collect()} == set(range(len(docs))) - {d for d, _, _ in got}
     assert decontaminate.matches(table(spark, docs), bench.limit(0)).count() == 0
+    twice = spark.createDataFrame([(None, items[3]), (3, items[3])], "item_id long, text string")
+    assert sorted(str(r.item_id) for r in decontaminate.matches(table(spark, [items[3]]), twice).collect()) == ["3", "None"]
     assert decontaminate.matches(table(spark, docs).limit(0), bench).count() == 0
 
 
