@@ -137,26 +137,40 @@ def forest(size: int, near) -> list[tuple[int, int]]:
     return out
 
 
-def likely(n: list[int], registers: list[bytes]):
+class Sketches:
     """near() of sketches: pairs estimated within MARGIN of the threshold or above it."""
-    x, size = np.frombuffer(b"".join(registers), np.uint16).reshape(-1, REGISTERS), np.array(n, float)
-
-    def near(i, others):
-        a, b = size[i], size[others]
-        same = (x[others] == x[i]).sum(1)
-        out = (same >= (PERCENT / 100 - 1.5 * MARGIN) * REGISTERS) & (100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b))
-        at = others[out]
-        if len(at):
-            out[out] = likeliest_similarity(np.broadcast_to(x[i], (len(at), REGISTERS)), x[at], np.full(len(at), a), size[at]) >= PERCENT / 100 - MARGIN
+
+    def __init__(self, n: list[int], registers: list[bytes], whole: bool):
+        self.x, self.n = np.frombuffer(b"".join(registers), np.uint16).reshape(-1, REGISTERS), np.array(n, float)
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        a, b = self.n[i], self.n[j]
+        out = 100 * np.minimum(a, b) >= PERCENT * np.maximum(a, b)
+        i, j, a, b = i[out], j[out], a[out], b[out]
+        x, y = self.x[i], self.x[j]
+        enough = (x == y).sum(1) >= (PERCENT / 100 - 1.5 * MARGIN) * REGISTERS
+        enough[enough] = likeliest_similarity(x[enough], y[enough], a[enough], b[enough]) >= PERCENT / 100 - MARGIN
+        out[out] = enough
         return out
 
-    return near
 
+class FullSets:
+    """near() of full sets: links. whole: the sets are one group, and all its intersections are counted at once."""
+
+    def __init__(self, elements: list[bytes], whole: bool):
+        self.sets = [np.frombuffer(x, U64) for x in elements]
+        self.matrix = linked(self.sets) if whole else None
+
+    def near(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        return self.matrix[i, j] if self.matrix is not None else np.array([self._link(self.sets[a], self.sets[b]) for a, b in zip(i, j)], bool)
 
-def confirmed(elements: list[bytes]):
-    """near() of full sets."""
-    found = linked([np.frombuffer(x, U64) for x in elements])
-    return lambda i, others: found[i, others]
+    @staticmethod
+    def _link(x: np.ndarray, y: np.ndarray) -> bool:
+        small, large = (x, y) if len(x) <= len(y) else (y, x)
+        if 100 * len(small) < PERCENT * len(large):
+            return False
+        both = int(np.count_nonzero(large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small))
+        return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
 def linked(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
@@ -182,11 +196,15 @@ def linked(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
     return out
 
 
-def by_blocks(rows: DataFrame, group: str, data: list[str], near) -> DataFrame:
-    """Edges (a, b) that connect what near() finds within each group.
+#: Groups of so few rows are looked at many at once, all their pairs; larger ones each by forest().
+FEW, AT_ONCE = 8, 2048
+
+
+def by_blocks(rows: DataFrame, group: str, data: list[str], kind) -> DataFrame:
+    """Edges (a, b) that connect what is near within each group.
 
     rows has group, id, blocks (how many the group has) and data. A row goes to every pair of blocks that its own is in;
-    a pair of two blocks looks at pairs across them only. near takes the data columns of a pair of blocks as lists and returns forest's near().
+    a pair of two blocks looks at pairs across them only. kind (Sketches or FullSets) is made of the data columns of rows.
     Rows come by id, so most edges lead to a group's smallest ids and are the same from group to group.
     """
     own = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("own")
@@ -208,18 +226,34 @@ def by_blocks(rows: DataFrame, group: str, data: list[str], near) -> DataFrame:
             if rows:
                 yield now, rows
 
-        a, b = [], []
-        for (_, lo, hi), rows in groups():
-            if len(rows) > 1:
-                test = near(*([r[2 + k] for r in rows] for k in range(len(data))))
-                own = np.array([r[1] for r in rows])
-                for i, k in forest(len(rows), test if lo == hi else lambda i, others: test(i, others) & (own[others] != own[i])):
-                    a.append(min(rows[i][0], rows[k][0]))
-                    b.append(max(rows[i][0], rows[k][0]))
-            if len(a) >= 4096:
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-                a, b = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+        def made(rows, whole):
+            return kind(*([r[2 + k] for r in rows] for k in range(len(data))), whole)
+
+        def edges():
+            few, i, j = [], [], []
+            for (_, lo, hi), rows in groups():
+                if len(rows) <= FEW:
+                    n = len(few)
+                    for y in range(1, len(rows)):
+                        for x in range(y):
+                            if lo == hi or rows[x][1] != rows[y][1]:
+                                i.append(n + x)
+                                j.append(n + y)
+                    few += rows
+                    if len(few) >= AT_ONCE:
+                        yield few, i, j, made(few, False).near(np.array(i, np.int64), np.array(j, np.int64))
+                        few, i, j = [], [], []
+                    continue
+                test, own = made(rows, True), np.array([r[1] for r in rows])
+                near = lambda x, others: test.near(np.full(len(others), x), others) & ((lo == hi) | (own[others] != own[x]))  # noqa: B023, E731
+                found = forest(len(rows), near)
+                yield rows, [x for x, _ in found], [y for _, y in found], np.ones(len(found), bool)
+            if few:
+                yield few, i, j, made(few, False).near(np.array(i, np.int64), np.array(j, np.int64))
+
+        for rows, i, j, near in edges():
+            pairs = [sorted((rows[x][0], rows[y][0])) for x, y, ok in zip(i, j, near) if ok]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a bigint, b bigint").where("a < b").distinct().checkpoint()
 
@@ -231,7 +265,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     banded = classes.select("id", F.explode(keys).alias("key"))
     shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = banded.join(shared, "key").select("key", "id", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    return by_blocks(members.join(classes.select("id", "n", "registers"), "id"), "key", ["n", "registers"], likely)
+    return by_blocks(members.join(classes.select("id", "n", "registers"), "id"), "key", ["n", "registers"], Sketches)
 
 
 def confirmed_links(groups: DataFrame, docs: DataFrame, words: int) -> DataFrame:
@@ -247,7 +281,7 @@ def confirmed_links(groups: DataFrame, docs: DataFrame, words: int) -> DataFrame
             yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("doc_id"), batch.column("blocks"), sets], names=["component", "id", "blocks", "elements"])
 
     sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(placed, "doc_id").mapInArrow(run, "component bigint, id bigint, blocks bigint, elements binary")
-    return by_blocks(sets, "component", ["elements"], confirmed)
+    return by_blocks(sets, "component", ["elements"], FullSets)
 
 
 def components(links: DataFrame) -> DataFrame:
