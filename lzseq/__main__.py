@@ -31,8 +31,8 @@ def parser() -> argparse.ArgumentParser:
 
 
 def main(argv: list[str] | None = None) -> None:
-    from lzseq.catalogue import need_checkpoints
     from lzseq.functions import columns as C
+    from lzseq.functions.session import shared_folder
     from lzseq.operators import parses
     from lzseq.plans import index, jobs
     from lzseq.sinks import writers
@@ -40,7 +40,7 @@ def main(argv: list[str] | None = None) -> None:
 
     a = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"lzseq {a.command}").getOrCreate()
-    need_checkpoints(spark)
+    shared_folder(spark)
     if a.command in ("compress-lines", "compress-taxa"):
         if a.command == "compress-lines":
             phrases, texts = jobs.compress_stripes(jobs.aligned_sequences(spark, a.path), a.chunks, a.reference_size)

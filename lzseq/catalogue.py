@@ -75,20 +75,9 @@ def tiles(spark, sf_dir) -> DataFrame:
 
 
 def sequence_index(spark, sf_dir) -> index.Index:
-    need_checkpoints(spark)
     return index.over_sequences(grouped(spark, sf_dir), index.Parameters(max_query_len=_TILE))
 
 
-def need_checkpoints(spark) -> None:
-    """checkpoint() writes to spark.checkpoint.dir; in local mode a folder is made where it is unset."""
-    if not (spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()):
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a shared folder")
-        import tempfile
-
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lzseq-"))
-
-
 def fasta_lines(spark, sf_dir) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     body = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z\n]", ""), "\n"), lambda x: F.length(x) > 0)
@@ -130,7 +119,6 @@ def entries() -> dict:
     add("fixed_chunks", lambda s, d: chunks.fixed_chunks(seqs(s, d), _CHUNKS, "raw").select("seq_id", "chunk_ix", "length", _digest("chunk").alias("md5")), f"WITH {_SEQS}, {_CHUNK} SELECT seq_id, chunk_ix, CAST(length(chunk) AS INTEGER) AS length, md5(chunk) AS md5 FROM cut")
 
     def global_id(s, d):
-        need_checkpoints(s)
         return chunks.dense_ids(seqs(s, d).select("header", "seq_id"), ["header", "seq_id"]).select("id", "seq_id")
 
     add("global_id", global_id, f"WITH {_SEQS} SELECT row_number() OVER (ORDER BY header, seq_id) - 1 AS id, seq_id FROM seqs")
@@ -210,11 +198,9 @@ def entries() -> dict:
     add("merge_limits", merge_limits, f"WITH {_PHRASE}, {_LIMITS}, {limit_rows}, t AS (SELECT part, max(lim) AS last FROM lim GROUP BY part), m AS (SELECT part, coalesce(sum(last) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, row_number() OVER (ORDER BY part) AS nth FROM t) SELECT part, ix, (lim + moved)::BIGINT AS \"limit\" FROM lim JOIN m USING (part) WHERE nth = 1 OR ix > 0")
 
     def metadata(s, d):
-        need_checkpoints(s)
         return records.fasta_metadata(fasta_lines(s, d))
 
     def with_size(s, d):
-        need_checkpoints(s)
         lines = fasta_lines(s, d)
         return records.fasta_metadata(lines).join(lines.groupBy("file").agg(F.sum(F.length("value") + 1).cast("bigint").alias("file_len")), "file")
 

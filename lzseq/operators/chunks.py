@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder
+
 
 def fixed_chunks(seqs: DataFrame, chunks: int, width_from: str = "seq", compat: bool = False) -> DataFrame:
     """Rows (seq_id, chunk_ix, length, chunk) of chunks of len / chunks characters; a shorter one may follow.
@@ -25,6 +27,7 @@ def dense_ids(rows: DataFrame, order: list[str], id_column: str = "id", parts: i
 
     Rows are sorted over partitions by range; each partition's count is summed for those before it (a row a partition).
     """
+    shared_folder(rows.sparkSession)
     ranged = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
     ranged = ranged.checkpoint()
     counts = ranged.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))
@@ -38,6 +41,7 @@ def prefix_sums(rows: DataFrame, group: str, order: list[str], values: dict) ->
     A group of any size is spread over tasks: rows are sorted by range, each partition's sums are added to those of the
     group's partitions before it (a row for each group and partition) and to the sums within the partition.
     """
+    shared_folder(rows.sparkSession)
     ranged = rows.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
     totals = ranged.groupBy(group, "_part").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

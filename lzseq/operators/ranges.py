@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder
+
 
 def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end: str, keys: list[str], bin_size: int) -> DataFrame:
     """Points inside [start, end), equal keys: an equi-join on bins with the bounds checked after.
@@ -29,6 +31,7 @@ def closure(occurrences: DataFrame, grid: DataFrame, bin_size: int = 4096, most_
 
     A round follows the last round's new places only and is checkpointed. Places grow with each copy, so it ends.
     """
+    shared_folder(occurrences.sparkSession)
     names = ["key", "query_id", "pos", "m"]
     found = occurrences.select(*names).distinct().checkpoint()
     fresh = found

@@ -7,6 +7,7 @@ from dataclasses import asdict, dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder
 from ..operators import parses, phrases
 
 
@@ -86,6 +87,7 @@ def kernelize(texts: DataFrame, parsed: DataFrame, parameters: Parameters) -> tu
 
 def build(texts: DataFrame, catalogue: DataFrame, parameters: Parameters = Parameters(), method: str = "lz77", prefix_chars: int | None = None, checkpoint: bool = True) -> Index:
     """An index over texts. checkpoint keeps the parse, so that it isn't computed for the limits and the kernels each."""
+    shared_folder(texts.sparkSession)
     parsed = parse(texts, method, prefix_chars)
     if checkpoint:
         parsed = parsed.checkpoint()
@@ -97,6 +99,7 @@ def build(texts: DataFrame, catalogue: DataFrame, parameters: Parameters = Param
 
 def over_sequences(seqs: DataFrame, parameters: Parameters = Parameters(), group: str = "groupname", block_chars: int = parses.BLOCK_CHARS, **options) -> Index:
     """An index over sequences (seq_id, seq, group), packed into blocks."""
+    shared_folder(seqs.sparkSession)
     texts, catalogue = parses.block_texts(seqs, group, block_chars)
     return build(texts.checkpoint(), catalogue.checkpoint(), parameters, **options)
 
