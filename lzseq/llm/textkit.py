@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import re
-import tempfile
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.session import shared_folder as shared_folder
+
 U64 = np.uint64
 WHITE = b" \t\n\x0b\x0c\r"
 #: A-Z to a-z on bytes; other bytes, so every other letter in UTF-8, stay.
@@ -135,14 +135,3 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, label: str, limit: int, o
     keys = spark.createDataFrame([(r[0], r[1], i) for i, r in enumerate(chosen)], f"doc_id bigint, y {dict(labelled.dtypes)[label]}, k int")
     got = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("k", "text", "y").collect()
     return [((r[1] or "").encode("utf-8", "replace"), r[2]) for r in sorted(got, key=lambda r: (r[0], r[1] or ""))]
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which checkpoint() writes to. Where it is unset, a temporary one, in local mode only."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = tempfile.mkdtemp(prefix="lzseq-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found
