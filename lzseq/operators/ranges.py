@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -33,11 +35,13 @@ def closure(occurrences: DataFrame, grid: DataFrame, bin_size: int = 4096, most_
     """
     shared_folder(occurrences.sparkSession)
     names = ["key", "query_id", "pos", "m"]
-    found = occurrences.select(*names).distinct().checkpoint()
-    fresh = found
+    parts = [occurrences.select(*names).distinct().checkpoint()]
     for _ in range(most_rounds):
-        fresh = copies_of(fresh, grid, bin_size).distinct().join(found, names, "left_anti").checkpoint()
+        found = reduce(DataFrame.unionByName, parts)
+        fresh = copies_of(parts[-1], grid, bin_size).distinct().join(found, names, "left_anti").checkpoint()
         if fresh.isEmpty():
             return found
-        found = found.unionByName(fresh).checkpoint()
+        if len(parts) == 16:  # keeps plans short
+            parts = [found.checkpoint()]
+        parts.append(fresh)
     raise RuntimeError("the copies form a cycle")

@@ -107,6 +107,12 @@ def test_range_join_and_closure(spark):
     assert sorted(r.pos for r in ranges.closure(first, grid).collect()) == [1, 3, 11, 21]
 
 
+def test_closure_of_a_long_chain(spark):
+    grid = spark.createDataFrame([("k", 4 * i, 4 * i + 4, i, 4 * i + 4) for i in range(19)], "key string, x long, x_end long, phrase_ix long, text_start long")
+    first = spark.createDataFrame([("k", 1, 1, 2)], "key string, query_id long, pos long, m long")
+    assert sorted(r.pos for r in ranges.closure(first, grid).collect()) == [4 * i + 1 for i in range(20)]
+
+
 def test_merge_boundaries(spark):
     for n, pieces in ((4, 1), (5, 2)):  # 2C and 2C + 1 with C = 2
         df = spark.createDataFrame([("k", 0, 65, 0), ("k", 1, 0, n)], "key string, phrase_ix long, pos long, len long")
