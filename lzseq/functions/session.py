@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -17,3 +17,18 @@ def shared_folder(spark: SparkSession) -> str:
         found = tempfile.mkdtemp(prefix="lzseq-")
         spark.sparkContext.setCheckpointDir(found)
     return found
+
+
+#: Inputs of up to so many estimated bytes are dealt over the cores.
+SMALL_BYTES = 16 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """A small input in few files over all cores, for work that costs far more than its shuffle.
+
+    One file with one row group is one task, however many cores there are. Larger inputs have splits enough and stay.
+    """
+    if int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) > SMALL_BYTES:
+        return rows
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if 0 < len(rows.inputFiles()) < cores else rows

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import spread
 from . import kernels
 
 #: Characters of a text that one task parses at once; packing into blocks (chunks.with_blocks) keeps to it.
@@ -44,7 +45,7 @@ def _phrases(rows: DataFrame, parse, keys: list[str], columns: list[str]) -> Dat
                 n = len(pos)
                 yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(k)[r], n) for k in keys), pa.array(np.arange(n)), pa.array(pos), pa.array(length)], names=[*keys, "phrase_ix", "pos", "len"])
 
-    return rows.select(*keys, *columns).mapInArrow(run, schema)
+    return spread(rows.select(*keys, *columns)).mapInArrow(run, schema)
 
 
 def lz77_phrases(texts: DataFrame, keys: list[str] | None = None, leftmost: bool = False) -> DataFrame:
@@ -150,7 +151,7 @@ def suffix_arrays(texts: DataFrame) -> DataFrame:
                 sa = kernels.suffix_array((batch.column("text")[r].as_py() or "").encode("latin-1", "replace"))
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("key")[r], len(sa)), pa.array(np.arange(len(sa))), pa.array(sa)], names=["key", "rank", "suffix"])
 
-    return texts.select("key", "text").mapInArrow(run, "key string, rank bigint, suffix bigint")
+    return spread(texts.select("key", "text")).mapInArrow(run, "key string, rank bigint, suffix bigint")
 
 
 def located(texts: DataFrame, patterns: list[tuple[int, str]], column: str = "text") -> DataFrame:
@@ -172,4 +173,4 @@ def located(texts: DataFrame, patterns: list[tuple[int, str]], column: str = "te
                 found = [(q, end + 1 - m, m) for end, (m, qs) in (automaton.iter(batch.column(column)[r].as_py() or "") if ids else ()) for q in qs]
                 yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("key")[r], len(found)), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], names=["key", "query_id", "pos", "m"])
 
-    return texts.select("key", column).mapInArrow(run, "key string, query_id bigint, pos bigint, m bigint")
+    return spread(texts.select("key", column)).mapInArrow(run, "key string, query_id bigint, pos bigint, m bigint")
