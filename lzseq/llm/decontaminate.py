@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import bounded_batches, texts_of
+from .textkit import bounded_batches, spread, texts_of
 
 #: Production parameters: edits for each character of an item; characters of items searched in one pass.
 RATE, BLOCK_CHARS = 0.08, 1_000_000
@@ -163,7 +163,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
                     rows += [(doc_id, *x) for x in items.find(t.decode("utf-8", "replace"))]
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()))], names=["doc_id", "item_id", "distance", "end", "budget"])
 
-        return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+        return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, SCHEMA)
 
     bounded_batches(docs.sparkSession)
     out = None

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import LOWER, bounded_batches, mix64, shared_folder, texts_of, word_hashes
+from .textkit import LOWER, bounded_batches, mix64, shared_folder, spread, texts_of, word_hashes
 
 U64, U32 = np.uint64, np.uint32
 #: Sketch: registers, base, rate and limit. At a similarity of 0.8 a pair meets in no band once in 2e7.
@@ -108,7 +108,7 @@ def sketched(docs: DataFrame, words: int = 2) -> DataFrame:
                     regs.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "registers"])
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, registers binary")
+    return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, registers binary")
 
 
 #: Members of a block. A group of more is dealt out by pairs of blocks, so a task holds two blocks at most.

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import bounded_batches
+from .textkit import bounded_batches, spread
 
 # Given names by script and gender; their surrogates come from the same list.
 GIVEN = {
@@ -257,7 +257,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
     Null and empty texts stay and have no entities. Repeated rows repeat, with the same surrogates. Only doc_id and text are read.
     """
     bounded_batches(docs.sparkSession)
-    r = docs.select("doc_id", replaced(F.col("text"), key).alias("r"))
+    r = spread(docs.select("doc_id", "text")).select("doc_id", replaced(F.col("text"), key).alias("r"))
     return r.select("doc_id", "r.text", "r.n_entities", F.array_join(F.array_sort(F.map_keys("r.kinds")), ",").alias("kinds"), "r.collisions")
 
 

@@ -13,6 +13,8 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .textkit import spread
+
 #: Words that introduce a value, and words around values that are none.
 INTRODUCES = "password|passwd|pwd|passphrase|secret|token|api[_-]?key|access[_-]?key|private[_-]?key|client[_-]?secret|credentials?|auth|bearer"
 HARMLESS = "sha\\d*|md5|checksum|digest|hash|commit|revision|etag|integrity|uuid|guid|version|build|order|invoice|phone|isbn|serial|image|base64|id"
@@ -33,7 +35,7 @@ def candidates(docs: DataFrame, path_column: str | None = "source") -> DataFrame
     A text is split once by the pattern into what stands between candidates; no row carries a whole text.
     """
     path = F.coalesce(F.col(path_column).cast("string"), F.lit("")) if path_column and path_column in docs.columns else F.lit("")
-    cut = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), path.alias("path"), F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between")).where(F.size("found") > 0)
+    cut = spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), path.alias("path"), "text")).select("doc_id", "path", F.regexp_extract_all("text", F.lit(CANDIDATE), F.lit(0)).alias("found"), F.split("text", CANDIDATE, -1).alias("between")).where(F.size("found") > 0)
 
     def one(i: Column) -> Column:
         value = F.get("found", i)

@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import shared_folder as shared_folder
+from ..functions.session import shared_folder, spread
+
+__all__ = ["LOWER", "bounded_batches", "by_text", "mix64", "remainder", "sample_texts", "shared_folder", "spread", "texts_of", "word_hashes"]
 
 U64 = np.uint64
 WHITE = b" \t\n\x0b\x0c\r"
@@ -114,7 +117,7 @@ def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_co
 
     bounded_batches(docs.sparkSession)
     names = [x.split()[0] for x in f"{id_column} bigint, {schema}".split(",")]
-    return docs.select(F.col(id_column).cast("bigint").alias(id_column), F.col(text_column).alias("text")).mapInArrow(run, f"{id_column} bigint, {schema}")
+    return spread(docs.select(F.col(id_column).cast("bigint").alias(id_column), F.col(text_column).alias("text"))).mapInArrow(run, f"{id_column} bigint, {schema}")
 
 
 def remainder(modulus: int, id_column: str = "doc_id") -> Column:
