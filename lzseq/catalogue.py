@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
+from .functions.session import spread
 from .operators import chunks, dictionaries, parses, phrases, ranges, records, search
 from .plans import index, jobs
 from .sources import readers
@@ -49,7 +50,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def seqs(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
     suffix = F.when(F.col("doc_id") % 5 == 0, ", complete genome").otherwise(", scaffold")
     header = F.concat(F.lit("ACC"), F.col("doc_id").cast("string"), F.lit(" "), "lang", F.lit(" "), "source", F.lit(" chromosome "), (F.col("doc_id") % 3).cast("string"), suffix)
     return d.select(F.col("doc_id").alias("seq_id"), header.alias("header"), F.col("text").alias("raw"), C.as_bases(F.col("text")).alias("seq"))
@@ -79,7 +80,7 @@ def sequence_index(spark, sf_dir) -> index.Index:
 
 
 def fasta_lines(spark, sf_dir) -> DataFrame:
-    d = table(spark, sf_dir, "documents")
+    d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
     body = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z\n]", ""), "\n"), lambda x: F.length(x) > 0)
     rows = F.concat(F.array(F.concat(F.lit(">ACC"), F.col("doc_id").cast("string"), F.lit(" "), "lang")), body)
     return d.select(F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("file"), "doc_id", F.posexplode(rows).alias("sub", "value")).select("file", (F.col("doc_id") * 1000000 + F.col("sub") + 1).alias("line_no"), "value")
