@@ -154,6 +154,14 @@ def test_marked_pages_keep_shared_articles_whole(spark):
     assert pages.extract(rows_of(spark, data).limit(0)).count() == 0
 
 
+def test_unmarked_lines_of_marked_pages_are_differenced(spark):
+    make = lambda i: f"<body><div>Best site in town</div><p>Standfirst {i}</p><article><p>Read our rules</p><p>Story {i}</p></article><p>Correction {i}</p><div>All rights kept by us</div></body>"
+    data = [(i, f"http://h.org/{i}", make(i)) for i in range(30)] + [(99, "http://single.org/", make(99))]
+    got = {r.page_id: r.text for r in pages.extract(rows_of(spark, data)).collect()}
+    assert all(got[i] == f"Standfirst {i} Read our rules Story {i} Correction {i}" for i in range(30))
+    assert got[99] == "Best site in town Standfirst 99 Read our rules Story 99 Correction 99 All rights kept by us"
+
+
 # Pipeline
 
 
