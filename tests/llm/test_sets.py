@@ -162,6 +162,28 @@ def test_unmarked_lines_of_marked_pages_are_differenced(spark):
     assert got[99] == "Best site in town Standfirst 99 Read our rules Story 99 Correction 99 All rights kept by us"
 
 
+@pytest.mark.parametrize("partitions", [1, 4, 23])
+def test_copies_in_a_row_are_passed_over(spark, partitions):
+    make = lambda words, more="": f"<body><div>Best site in town</div><p>{words}</p>{more}<div>All rights kept by us</div></body>"
+    rng = random.Random(5)
+    story, other = prose(rng, 12), [prose(rng, 12) for _ in range(4)]
+    data = [(i, f"http://h.org/b/5?session={i}", make(story, "<p>print</p>" if i % 7 == 3 else "")) for i in range(60)]
+    data += [(100 + i, f"http://h.org/{'ac'[i // 2]}/{i}", make(other[i])) for i in range(4)] + [(200 + i, "http://copies.org/", make(story)) for i in range(9)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    adaptive = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        got = {r.page_id: r.text for r in pages.extract(rows_of(spark, data)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", adaptive)
+    plain = [i for i in range(60) if i % 7 != 3]
+    assert all(got[i] == story for i in plain)
+    assert all(got[100 + i] == other[i] for i in range(4))
+    assert all(got[i] == f"Best site in town {story} All rights kept by us" for i in range(200, 209))
+
+
 # Pipeline
 
 
