@@ -22,8 +22,10 @@ PLACEHOLDER = "example|sample|dummy|placeholder|your|test|fake|changeme|xxxx|tod
 #: The dictionary whose coverage of a candidate is a feature.
 DICTIONARY = "access account action active admin api app application array attribute auth background base block body border bottom box build button cache call card center change check class click client close code color column command comment commit component config connection container content context control count create current custom data database date debug default delete description design dialog direction display document domain element email enable end entity entry error event example export field file filter final find first font footer form format function get global google group handle handler header height hidden home host html icon id image import index info init input instance item java javascript key label last layout left length library line link list load local location log login main manager map margin master max media menu message method min mobile model module name navigation new node null number object open option order output package page panel parameter parent password path player plugin point position post prefix print process product project property public query read record reference release remove render report request reset resource response result return right root row save script search section select server service session set setting size source start state static status string style submit success support system table tag target template test text theme time title token tool top total type update upload url user util valid value version view web widget width window word write".split()
 _assigned = rf"""(?i:(?:{INTRODUCES})["']?[ \t]{{0,2}}[=:]{{1,2}}>?[ \t]{{0,2}}["']?)"""
-#: A candidate is an assigned value of 8 characters and more, or a run of 16 and more that isn't plain letters.
-CANDIDATE = _assigned + r"""[^\s"'<>]{8,512}""" + r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]))[A-Za-z0-9+/_-]{16,512}+={0,2}"
+# An assigned value ends before the next assignment: after a separator of query strings, connection strings and lists, or where a word introduces a value.
+_next = rf"""(?![&;,|][\w.%\[\]-]+[=:]|(?<![A-Za-z0-9]){_assigned})"""
+#: A candidate is an assigned value of 8 characters and more, or a run of 16 and more that isn't plain letters; both have no upper bound.
+CANDIDATE = _assigned + rf"""(?:{_next}[^\s"'<>]){{8,}}+""" + r"|(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*(?:[0-9]|[a-z][A-Z]|[A-Z]{2}[a-z]))[A-Za-z0-9+/_-]{16,}+={0,2}"
 #: Characters of neighbouring words on either side.
 NEAR = 48
 TREES, DEPTH, SEED, FINDINGS, THRESHOLD = 24, 8, 17, 6000, 0.5
@@ -53,13 +55,17 @@ def candidates(docs: DataFrame, path_column: str | None = "source") -> DataFrame
 
 
 def _share(pattern: str, text: Column) -> Column:
-    return F.regexp_count(text, F.lit(pattern)) / F.greatest(F.length(text), F.lit(1))
+    """Matches of a pattern of one character, or of none (a look-ahead), by length; no array of a long text's matches is made."""
+    put = "." if pattern.startswith("(?=") else ""
+    return F.abs(F.length(F.regexp_replace(text, pattern, put)) - F.length(text)) / F.greatest(F.length(text), F.lit(1))
 
 
 def features(c: Column, before: Column, after: Column, path: Column) -> dict[str, Column]:
     """Named features of a candidate."""
     low, n = F.lower(c), F.greatest(F.length(c), F.lit(1))
-    letters = F.array_distinct(F.split(c, ""))
+    common = [chr(i) for i in range(33, 127) if chr(i).isalnum() or chr(i) in "+/=_-"]
+    rest = F.array_distinct(F.split(F.regexp_replace(c, "[A-Za-z0-9+/=_-]", ""), ""))
+    letters = F.filter(F.concat(F.array(*map(F.lit, common)), rest), lambda x: (x != "") & F.contains(c, x))
     p = lambda x: (n - F.length(F.replace(c, x, F.lit("")))) / n
     yes = lambda x: x.cast("double")
     near = F.concat_ws(" ", before, after)

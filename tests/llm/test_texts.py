@@ -68,6 +68,17 @@ def test_secret_positions_and_odd_texts(spark, forest):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_long_secrets_are_found_whole(spark, forest):
+    rng = random.Random(12)
+    run = lambda n: "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", k=n))
+    head = "Zq3" + run(600)
+    a, b, c, late = head + run(900), head + run(900) + "7", run(200_000), "AKIA" + "Q7Z4M2X9W1K8P3T6"
+    texts = [f'key "{a}" x', f'private_key="{b}"', f"see {c} end", f"https://h.org/?token={a}&sig={late}&page=2", f"Password=hunter2hunter2;Server=db01;api_key={late}"]
+    found = {(r.doc_id, r.start, r.n_chars, r.finding_sha256) for r in secrets.scan(table(spark, texts), forest).collect()}
+    want = [(0, a), (1, b), (2, c), (3, a), (3, late), (4, "hunter2hunter2"), (4, late)]
+    assert {(d, texts[d].index(v), len(v), hashlib.sha256(v.encode()).hexdigest()) for d, v in want} == found
+
+
 # Personal data
 
 
