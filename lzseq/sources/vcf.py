@@ -27,17 +27,28 @@ def variants(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(cell("chrom").alias("chrom"), (cell("pos").cast("bigint") - 1).alias("pos"), cell("ref").alias("ref"), F.split(cell("alt"), ",").alias("alts"), gt.alias("genotypes"))
 
 
-def haplotypes(reference: DataFrame, calls: DataFrame, names: list[str], chunk: int = 65_536) -> DataFrame:
+def haplotypes(reference: DataFrame, calls: DataFrame, names: list[str], chunk: int = 65_536, each: bool = False) -> DataFrame:
     """(chrom, chunk_ix, name, seq): the reference (chrom, seq) and every phased haplotype, aligned with - over equal columns.
 
-    Work is dealt by chunks of the reference; a variant belongs to the chunk of its first base, and one that overlaps the
-    variant before it or reaches past its chunk is left out. An allele that is missing, symbolic or unphased is the reference's.
+    Work is dealt by chunks of the reference; a variant belongs to the chunk of its first base. Where one reaches past its
+    chunk, the chunk's seq reaches as far, the next one starts behind it, and these chunks are one piece of work; so the
+    whole sequences don't depend on chunk. An allele that is missing, symbolic or unphased is the reference's.
+    A variant that overlaps one before it is left out, for all haplotypes; with each, every haplotype takes its own
+    variants, and two that overlap on one haplotype raise.
     """
     if not names:
         raise ValueError("no samples")
-    starts = F.sequence(F.lit(0).cast("bigint"), F.greatest(F.length("seq") - 1, F.lit(0)).cast("bigint"), F.lit(chunk).cast("bigint"))
-    parts = reference.select("chrom", "seq", F.explode(starts).alias("start")).select("chrom", (F.col("start") / chunk).cast("bigint").alias("chunk_ix"), F.substring("seq", (F.col("start") + 1).cast("int"), F.lit(chunk)).alias("text"))
-    by_chunk = calls.groupBy("chrom", F.floor(F.col("pos") / chunk).alias("chunk_ix")).agg(F.array_sort(F.collect_list(F.struct((F.col("pos") % chunk).alias("at"), "ref", "alts", "genotypes"))).alias("calls"))
+    ix = lambda c: F.floor(c / chunk).cast("bigint")
+    reach = ix(F.col("pos") + F.greatest(F.length("ref"), F.lit(1)) - 1)
+    joined = calls.where(reach > ix(F.col("pos"))).select("chrom", F.explode(F.sequence(ix(F.col("pos")) + 1, reach)).alias("i")).groupBy("chrom").agg(F.collect_set("i").alias("joined"))
+    n = ix(F.greatest(F.length("seq") - 1, F.lit(0))) + 1
+    heads = F.array_except(F.sequence(F.lit(0).cast("bigint"), n - 1), F.coalesce("joined", F.array().cast("array<bigint>")))
+    pieces = F.transform("heads", lambda x, i: F.struct(x.alias("chunk_ix"), F.coalesce(F.get("heads", i + 1), "n").alias("stop")))
+    split = reference.join(F.broadcast(joined), "chrom", "left").select("chrom", "seq", n.alias("n"), heads.alias("heads")).select("chrom", "seq", F.explode(pieces).alias("p")).select("chrom", "seq", "p.*")
+    parts = split.select("chrom", "chunk_ix", (F.col("stop") - F.col("chunk_ix")).cast("int").alias("n_chunks"), F.substring("seq", (F.col("chunk_ix") * chunk + 1).cast("int"), ((F.col("stop") - F.col("chunk_ix")) * chunk).cast("int")).alias("text"))
+    later = split.where("stop > chunk_ix + 1").select("chrom", F.col("chunk_ix").alias("head"), F.explode(F.sequence(F.col("chunk_ix") + 1, F.col("stop") - 1)).alias("i")).distinct()
+    placed = calls.withColumn("i", ix(F.col("pos"))).join(F.broadcast(later), ["chrom", "i"], "left").withColumn("chunk_ix", F.coalesce("head", "i"))
+    by_chunk = placed.groupBy("chrom", "chunk_ix").agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("chunk_ix") * chunk).alias("at"), "ref", "alts", "genotypes"))).alias("calls"))
     rows = parts.join(by_chunk, ["chrom", "chunk_ix"], "left")
 
     def allele(genotype: str, k: int, ref: str, alts: list[str]) -> str:
@@ -47,22 +58,52 @@ def haplotypes(reference: DataFrame, calls: DataFrame, names: list[str], chunk:
         alt = alts[int(called[k]) - 1]
         return alt if alt.isalpha() else ref
 
+    every = ["reference", *(f"{n}.{k + 1}" for n in names for k in (0, 1))]
+
+    def own(text: str, group: list[tuple[int, str, dict]], name: str, start: int, end: int, where: str) -> str:
+        """text[start:end] with the alleles of a haplotype."""
+        out, at = [], start
+        for a, ref, chosen in group:
+            alt = chosen.get(name, ref)
+            if alt.upper() == ref.upper() and len(group) > 1:
+                continue
+            if a < at:
+                raise ValueError(f"{where}: variants that overlap on haplotype {name}")
+            out += [text[at:a], alt]
+            at = a + len(ref)
+        return "".join(out) + text[at:end]
+
     def run(batches):
         for batch in batches:
             for r in range(batch.num_rows):
                 text, found = batch.column("text")[r].as_py(), batch.column("calls")[r].as_py() or []
-                lines: dict[str, list[str]] = {"reference": [], **{f"{n}.{k + 1}": [] for n in names for k in (0, 1)}}
-                at = 0
+                chrom, first, n_chunks = (batch.column(c)[r].as_py() for c in ("chrom", "chunk_ix", "n_chunks"))
+                groups: list[tuple[int, int, list]] = []  # start, end and variants that overlap each other
                 for v in found:
                     a, ref = v["at"], v["ref"]
-                    if a < at or a + len(ref) > len(text) or text[a : a + len(ref)].upper() != ref.upper():
+                    overlaps = bool(groups) and a < groups[-1][1]
+                    if overlaps and not each or a + len(ref) > len(text) or text[a : a + len(ref)].upper() != ref.upper():
                         continue
-                    chosen = {"reference": ref} | {f"{n}.{k + 1}": allele(g, k, ref, v["alts"]) for n, g in zip(names, v["genotypes"]) for k in (0, 1)}
-                    width = max(map(len, chosen.values()))
-                    for name, parts_of in lines.items():
-                        parts_of += [text[at:a], chosen.get(name, ref).ljust(width, "-")]
-                    at = a + len(ref)
-                seqs = ["".join(x) + text[at:] for x in lines.values()]
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("chrom")[r], len(lines)), pa.repeat(batch.column("chunk_ix")[r], len(lines)), pa.array(list(lines)), pa.array(seqs)], names=["chrom", "chunk_ix", "name", "seq"])
+                    one = (a, ref, {f"{n}.{k + 1}": allele(g, k, ref, v["alts"]) for n, g in zip(names, v["genotypes"]) for k in (0, 1)})
+                    if overlaps:
+                        start, end, others = groups.pop()
+                        groups.append((start, max(end, a + len(ref)), [*others, one]))
+                    else:
+                        groups.append((a, a + len(ref), [one]))
+                at, i = 0, 0
+                for k in range(n_chunks):
+                    lines: dict[str, list[str]] = {name: [] for name in every}
+                    border = len(text) if k == n_chunks - 1 else (k + 1) * chunk
+                    while i < len(groups) and groups[i][0] < border:
+                        start, end, group = groups[i]
+                        seqs = {name: own(text, group, name, start, end, f"{chrom}:{first * chunk + start + 1}") for name in every}
+                        width = max(map(len, seqs.values()))
+                        for name, parts_of in lines.items():
+                            parts_of += [text[at:start], seqs[name].ljust(width, "-")]
+                        at, i = end, i + 1
+                    rest = text[at:border]
+                    at = max(at, border)
+                    seqs_of = ["".join(x) + rest for x in lines.values()]
+                    yield pa.RecordBatch.from_arrays([pa.array([chrom] * len(lines), pa.string()), pa.array([first + k] * len(lines), pa.int64()), pa.array(list(lines)), pa.array(seqs_of, pa.string())], names=["chrom", "chunk_ix", "name", "seq"])
 
-    return rows.select("chrom", "chunk_ix", "text", "calls").mapInArrow(run, "chrom string, chunk_ix bigint, name string, seq string")
+    return rows.select("chrom", "chunk_ix", "n_chunks", "text", "calls").mapInArrow(run, "chrom string, chunk_ix bigint, name string, seq string")

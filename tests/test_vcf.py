@@ -21,3 +21,33 @@ def test_haplotypes(spark, tmp_path):
     assert got["1", 0, "S2.1"] == "AGGT--ACGT" == got["1", 0, "S2.2"]
     assert got["1", 1, "S2.2"] == "ATGT" and got["1", 1, "S1.2"] == "ACGT"
     assert got["2", 0, "S1.1"] == "TT" and len(got) == 15
+
+
+HEAD = "#CHROM\tPOS\tID\tREF\tALT\tQUAL\tFILTER\tINFO\tFORMAT\tS1\n"
+
+
+def whole(rows):
+    out = {}
+    for r in sorted(rows, key=lambda r: r.chunk_ix):
+        out[r.name] = out.get(r.name, "") + r.seq
+    return out
+
+
+def test_variants_across_chunk_borders(spark, tmp_path):
+    text = "ACGTTGCAACGTTGCAACGTTGCA"
+    lines = [(3, text[2:5], "G", "1|0"), (8, "A", "T", "0|1"), (10, text[9:19], "C", "0|1"), (15, "C", "A", "1|1"), (21, "TG", "TAAG", "1|0")]
+    (tmp_path / "x.vcf").write_text(HEAD + "".join(f"1\t{p}\t.\t{ref}\t{alt}\t.\t.\t.\tGT\t{gt}\n" for p, ref, alt, gt in lines))
+    calls, reference = vcf.variants(spark, str(tmp_path / "x.vcf")), spark.createDataFrame([("1", text)], "chrom string, seq string")
+    want = whole(vcf.haplotypes(reference, calls, ["S1"], chunk=100).collect())
+    assert want["S1.1"].replace("-", "") == "ACG" + text[5:20] + "TAAGCA" and want["S1.2"].replace("-", "") == text[:7] + "TAC" + text[19:]
+    for chunk in (1, 3, 4, 7, 16):
+        rows = vcf.haplotypes(reference, calls, ["S1"], chunk=chunk).collect()
+        assert whole(rows) == want and {r.chunk_ix for r in rows} == set(range(-(-len(text) // chunk)))
+
+
+def test_overlapping_variants_of_different_haplotypes(spark, tmp_path):
+    (tmp_path / "x.vcf").write_text(HEAD + "1\t3\t.\tGTA\tG\t.\t.\t.\tGT\t1|0\n1\t4\t.\tT\tC\t.\t.\t.\tGT\t0|1\n")
+    calls, reference = vcf.variants(spark, str(tmp_path / "x.vcf")), spark.createDataFrame([("1", "ACGTACGT")], "chrom string, seq string")
+    for chunk in (2, 4, 100):
+        got = whole(vcf.haplotypes(reference, calls, ["S1"], chunk=chunk, each=True).collect())
+        assert got == {"reference": "ACGTACGT", "S1.1": "ACG--CGT", "S1.2": "ACGCACGT"}
