@@ -58,20 +58,31 @@ def placed(occurrences: DataFrame, catalogue: DataFrame, bin_size: int = 4096) -
     return rows.withColumn("seq_pos", F.col("pos") - F.col("start")).withColumn("fits", F.col("pos") + F.col("m") <= F.col("end")).drop("start", "end")
 
 
-def seeds(reads: DataFrame, k: int) -> DataFrame:
-    """(query_id, read, offset, seed): pieces of k characters next to each other."""
-    n = F.floor(F.length("pattern") / k).cast("int")
-    rows = reads.where(F.length("pattern") >= k)
-    return rows.select("query_id", F.col("pattern").alias("read"), F.explode(F.sequence(F.lit(0), n - 1)).alias("i")).select("query_id", "read", (F.col("i") * k).alias("offset"), F.substring("read", F.col("i") * k + 1, F.lit(k)).alias("seed"))
+def seeds(reads: DataFrame, k: int, mismatches: int | None = None) -> DataFrame:
+    """(query_id, read, offset, seed): pieces of k characters next to each other.
+
+    With mismatches, a read that has no more pieces of k than mismatches is cut into shorter ones, one more than
+    mismatches; one too short for that raises. Without, reads under k characters have none.
+    """
+    length = F.length("pattern")
+    if mismatches is None:
+        rows, size = reads.where(length >= k), F.lit(k)
+    else:
+        short = F.raise_error(F.concat(F.lit("read "), F.col("query_id").cast("string"), F.lit(f" needs more than {mismatches} characters")))
+        rows, size = reads.where(length > 0), F.when(length > mismatches, F.least(F.lit(k), F.floor(length / (mismatches + 1)).cast("int"))).otherwise(short.cast("int"))
+    rows = rows.select("query_id", F.col("pattern").alias("read"), size.alias("size"))
+    rows = rows.select("query_id", "read", "size", F.explode(F.sequence(F.lit(0), F.floor(F.length("read") / F.col("size")).cast("int") - 1)).alias("i"))
+    return rows.select("query_id", "read", (F.col("i") * F.col("size")).alias("offset"), F.substring("read", F.col("i") * F.col("size") + 1, F.col("size")).alias("seed"))
 
 
 def seed_align(reads: DataFrame, texts: DataFrame, k: int, mismatches: int) -> DataFrame:
-    """Reads at every place of every text (key, text) with at most so many mismatches, if one of their seeds is exact there.
+    """Reads at every place of every text (key, text) with at most so many mismatches.
 
-    (query_id, key, pos, mismatches). With more seeds than mismatches no place is missed. The reads' seeds are a stated set
+    (query_id, key, pos, mismatches). Seeds have k characters, of short reads fewer, so that each read has more seeds than
+    mismatches, one of them is exact at every such place and none is missed. The reads' seeds are a stated set
     that goes to the texts in blocks; only places with a seed are compared.
     """
-    s = seeds(reads, k)
+    s = seeds(reads, k, mismatches)
     numbered = s.select("query_id", "read", "offset", "seed")
     hits = None
     for block in pattern_blocks(numbered.select(F.xxhash64("seed").alias("query_id"), F.col("seed").alias("pattern")).distinct(), k):

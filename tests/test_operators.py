@@ -169,3 +169,20 @@ def test_seed_align(spark):
     reads = spark.createDataFrame([(1, "ACGTACGT")], "query_id long, pattern string")
     got = sorted((r.pos, r.mismatches) for r in search.seed_align(reads, texts, 4, 1).collect())
     assert got == [(3, 0), (14, 1)]
+
+
+def test_seed_align_of_short_reads(spark):
+    rng = random.Random(3)
+    text = "".join(rng.choices("ACGT", k=400))
+    read = list(text[100:160])
+    for i in (10, 30, 50):  # one in each piece of 24 and in the rest
+        read[i] = "ACGT"["ACGT".index(read[i]) - 1]
+    reads = spark.createDataFrame([(1, "".join(read)), (2, text[200:210])], "query_id long, pattern string")
+    texts = spark.createDataFrame([("t", text)], "key string, text string")
+    got = sorted((r.query_id, r.pos, r.mismatches) for r in search.seed_align(reads, texts, 24, 3).collect())
+    far = lambda r, p: sum(a != b for a, b in zip(r, text[p : p + len(r)]))
+    want = [(q, p, far(r, p)) for q, r in ((1, "".join(read)), (2, text[200:210])) for p in range(400 - len(r) + 1) if far(r, p) <= 3]
+    assert got == want and (1, 100, 3) in got
+    with pytest.raises(Exception, match="more than 3"):
+        search.seed_align(spark.createDataFrame([(1, "ACG")], "query_id long, pattern string"), texts, 24, 3).collect()
+
