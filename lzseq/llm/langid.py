@@ -11,7 +11,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .textkit import by_text, remainder, sample_texts
@@ -159,10 +159,32 @@ def train(examples: list[tuple[bytes, str]], widths=(2, 3, 4), filters: int = 16
     return ByteCnn(langs, p["e"].astype(f32), [p[f"w{w}"].astype(f32) for w in widths], [p[f"b{w}"].astype(f32) for w in widths], p["o"].astype(f32), p["ob"].astype(f32), window)
 
 
+def shares(counts: dict[str, int], limit: int) -> dict[str, int]:
+    """How many texts of each language to take: equal parts of limit, what small languages leave going to larger ones; one at least."""
+    out, left = {}, limit
+    for i, (lang, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
+        out[lang] = max(1, min(n, left // (len(counts) - i)))
+        left = max(0, left - out[lang])
+    return out
+
+
+def by_language(rows: DataFrame, limit: int) -> DataFrame:
+    """doc_id, lang of about limit rows, drawn for each language by a hash of the id."""
+    counts = dict(rows.groupBy("lang").count().collect())
+    if not counts:
+        return rows
+    # A little more than the share by the hash's range first, so that few rows are ranked.
+    parts = rows.sparkSession.createDataFrame([(lang, n, min(1.0, (2 * n + 64) / counts[lang])) for lang, n in shares(counts, limit).items()], "lang string, share int, most double")
+    h = F.xxhash64("doc_id", F.lit(11))
+    drawn = rows.join(F.broadcast(parts), "lang").where(F.shiftrightunsigned(h, 11) / F.lit(float(1 << 53)) < F.col("most"))
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(h, "doc_id"))
+    return drawn.withColumn("rank", rank).where("rank <= share").select("doc_id", "lang")
+
+
 def fit(docs: DataFrame, limit: int = 3000) -> ByteCnn:
-    """A network fitted on at most limit texts (whole ones) with a lang whose crc32 remainder modulo 4 isn't 2."""
+    """A network fitted on at most limit texts (whole ones, of each language as evenly as there are rows) with a lang whose crc32 remainder modulo 4 isn't 2."""
     rows = docs.where(F.col("lang").isNotNull() & (remainder(4) != 2)).select("doc_id", "lang")
-    return train(sample_texts(docs, rows, "lang", limit))
+    return train(sample_texts(docs, by_language(rows, limit), "lang", limit))
 
 
 def predict(docs: DataFrame, model: ByteCnn) -> DataFrame:

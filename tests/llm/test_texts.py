@@ -335,6 +335,15 @@ def test_language_of_tables(spark):
     assert all(r.lang_pred == "und" for r in got if r.doc_id in (20, 21, 22, 29))
 
 
+def test_rare_languages_are_learned(spark):
+    docs = table(spark, [f"the an in re {i}" for i in range(4000)], lang="en").union(table(spark, ["ция ова пре " * 9] * 4, ids=[5000, 5001, 5003, 5004], lang="ru"))
+    rows = docs.select("doc_id", "lang")
+    got = [tuple(r) for r in langid.by_language(rows, 100).groupBy("lang").count().orderBy("lang").collect()]
+    assert got == [("en", 96), ("ru", 4)] and langid.by_language(rows.limit(0), 100).count() == 0
+    assert "ru" in langid.fit(docs, 100).langs
+    assert langid.shares({"a": 1, "b": 5, "c": 1000}, 12) == {"a": 1, "b": 5, "c": 6}
+
+
 # Tokens
 
 
