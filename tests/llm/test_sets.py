@@ -122,16 +122,29 @@ def test_longest_common_subsequence():
 PAGE = '<html><head><title>no</title><style>p{}</style><script>var t="</p><p>no";</script></head><body><nav><ul><li><a href="/x">no</a></ul></nav><div class="ad">no</div><header>no</header><article><header><h1>Title &amp; more</h1></header><p><b>First</b>   line&nbsp;here<br>next<p>Sec<i>ond</i><!-- no --><div class="comments"><p>no</div><form>no</form></article><aside>no</aside><footer>&copy; no</footer></body></html>'
 
 
+def text_alone(page):
+    return pages.main_text(page)[0]
+
+
 def test_marked_article():
-    assert pages.main_text(PAGE) == "Title & more First line here next Second"
-    assert pages.main_text("") == "" and pages.main_text("plain &lt; text") == "plain < text" and pages.main_text("<p>a<p>b<") == "a b<"
-    assert pages.main_text("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
-    assert pages.main_text('<p title="a > b">x</p><p title="open>y</p>') in ("x", "x y")
-    assert pages.main_text("<ul><li class='menu'>no<li>yes</ul>") == "yes"
+    assert text_alone(PAGE) == "Title & more First line here next Second"
+    assert text_alone("") == "" and text_alone("plain &lt; text") == "plain < text" and text_alone("<p>a<p>b<") == "a b<"
+    assert text_alone("<div>" * 5000 + "deep" + "</div>" * 10) == "deep"
+    assert text_alone('<p title="a > b">x</p><p title="open>y</p>') in ("x", "x y")
+    assert text_alone("<ul><li class='menu'>no<li>yes</ul>") == "yes"
+
+
+def test_units_of_a_page():
+    lines = pages.lines_of("<nav><ul><li>a<li>b</ul></nav><div class='ad'>x</div><p>y<div class='ad'>z</div><article><p>w")
+    keys, kinds, sizes = pages.units_of(lines)
+    assert kinds == b"ttpta" and sizes == [2, 1, 1, 1, 1] and keys[1] == keys[3] != keys[0]
+    other = pages.units_of(pages.lines_of("<nav><ul><li>c</ul></nav><div class='ad'>new</div>"))[0]
+    assert other == keys[:2] and pages.unshared(keys, kinds, other) == [2, 3] and pages.unshared(keys, kinds) == [0, 1, 2, 3]
+    assert pages.covers([*keys, 5], keys, kinds) and not pages.covers(other, keys, kinds) and not pages.covers(other, other, b"tt")
 
 
 def rows_of(spark, data):
-    return spark.createDataFrame([(i, u, h, "x", "y") for i, u, h in data], "page_id long, url string, html string, text string, host string").repartition(5)
+    return spark.createDataFrame([(i, u, h, *"xyzabcd") for i, u, h in data], "page_id long, url string, html string, text string, host string, mark string, left string, end string, kinds string, part string").repartition(5)
 
 
 def test_template_of_pages_without_marks(spark):
@@ -154,6 +167,35 @@ def test_marked_pages_keep_shared_articles_whole(spark):
     assert pages.extract(rows_of(spark, data).limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("partitions", [1, 9])
+def test_differencing_against_brute_force(spark, partitions):
+    rng = random.Random(8)
+    slots = [("nav", "<nav><a>{}</a></nav>"), ("ad", "<div class='ad'>{}</div>"), ("free0", "<div>Read more on our site</div>"), ("free1", "<h2>Latest from the desk</h2>"), ("free2", "<p>All rights kept</p>"), ("foot", "<footer>{}</footer>")]
+    data, want = [], {}
+    for host in range(6):
+        made = []
+        for i in range(1 if host == 0 else 25):
+            taken = sorted(rng.sample(range(6), rng.randint(0, 6)))
+            story = prose(rng, 15)
+            at = len(data)
+            made.append((at, taken, story))
+            body = "".join(slots[k][1].format(prose(rng, 2)) for k in taken if k < 3) + (f"<article><p>{story}</p></article>" if i % 2 else f"<p>{story}</p>") + "".join(slots[k][1].format(prose(rng, 2)) for k in taken if k >= 3)
+            data.append((at, f"https://h{host}.org/a/{i}", f"<body>{body}</body>"))
+        for n, (at, taken, story) in enumerate(made):
+            near = {k for m in (n - 1, n + 1) if 0 <= m < len(made) for k in made[m][1]}
+            kept = [k for k in taken if k not in near]
+            words = {2: "Read more on our site", 3: "Latest from the desk", 4: "All rights kept"}
+            text = [*(words[k] for k in kept if k == 2), story, *(words[k] for k in kept if k in (3, 4))]
+            want[at] = (" ".join(text), len(taken) - len(kept), sum(k in (0, 1, 5) for k in kept))
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {r.page_id: (r.text, r.n_shared, r.n_marked) for r in pages.extract(rows_of(spark, data)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == want and sum(x[1] for x in want.values()) > 200
+
+
 def test_unmarked_lines_of_marked_pages_are_differenced(spark):
     make = lambda i: f"<body><div>Best site in town</div><p>Standfirst {i}</p><article><p>Read our rules</p><p>Story {i}</p></article><p>Correction {i}</p><div>All rights kept by us</div></body>"
     data = [(i, f"http://h.org/{i}", make(i)) for i in range(30)] + [(99, "http://single.org/", make(99))]
