@@ -16,6 +16,7 @@ import ahocorasick
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,6 +54,9 @@ class WordBpe:
         self.suffix = model["end_of_word_suffix"]
         pattern = next(x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split")
         self.words = regex.compile(pattern.replace(r"\s", SPACE)).findall
+        # Normal forms, and whatever holds characters newer than Python's tables, follow the library's own tables.
+        self.composed, self.lowered = tokenizers.normalizers.NFC().normalize_str, tokenizers.normalizers.Lowercase().normalize_str
+        self.split_newer = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True).pre_tokenize_str
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split
         self.has_special = regex.compile("|".join(map(regex.escape, self.special))).search
@@ -156,12 +160,17 @@ class WordBpe:
 
     def _plain(self, chunk: str) -> tuple[bytes, bytes]:
         """Of a piece without special tokens."""
+        newer = False
         if not chunk.isascii():
-            chunk = unicodedata.normalize("NFC", chunk)
+            chunk = self.composed(chunk)
+            newer = any(unicodedata.category(c) == "Cn" for c in chunk)
             if "Σ" in chunk:  # lower case here is letter by letter, without the rule for a final sigma
                 chunk = chunk.replace("Σ", "σ")
-        chunk = chunk.lower()
-        words = [chunk] if chunk.isalpha() else self.words(chunk)
+        if newer:
+            words = [w for w, _ in self.split_newer(self.lowered(chunk))]
+        else:
+            chunk = chunk.lower()
+            words = [chunk] if chunk.isalpha() else self.words(chunk)
         if len(words) == 1:
             return self._word(words[0])
         got = [self._word(w) for w in words]
