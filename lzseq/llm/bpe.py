@@ -15,6 +15,7 @@ import unicodedata
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tokenizers
 from pyspark.sql import DataFrame
@@ -25,11 +26,9 @@ from .textkit import by_text
 #: Unicode's White_Space.
 SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _spaces = regex.compile(f"[{SPACE}]+")
-#: The separators that str.split() takes besides; texts with one of them go the slower way.
-_other_spaces = regex.compile("[\x1c-\x1f]")
 NEVER = 1 << 60
 #: Entries in each of a cache's two generations, in the table of token pairs, and the longest text that is kept.
-CACHED, CACHED_PAIRS, CACHED_CHARS = 150_000, 300_000, 48
+CACHED, CACHED_PAIRS, CACHED_CHARS = 250_000, 300_000, 48
 
 
 def byte_letters() -> list[str]:
@@ -177,23 +176,39 @@ class WordBpe:
         return b"".join([x[0] for x in got]), b" ".join([x[1] for x in got])
 
     def _chunk(self, chunk: str) -> tuple[bytes, bytes]:
+        """Of a piece without ASCII white space."""
+        got = self.young.get(chunk)
+        if got is not None:
+            return got
         got = self.old.get(chunk)
         if got is None:
+            pieces = [chunk] if chunk.isascii() else _spaces.split(chunk)
             if "<" in chunk and self.has_special(chunk):
-                parts = [self._of_ids([self.special[p]]) if p in self.special else self._plain(p) for p in self.split_special(chunk) if p]
-                got = b"".join([x[0] for x in parts]), b" ".join([x[1] for x in parts])
-            else:
-                got = self._plain(chunk)
+                pieces = [p for piece in pieces for p in self.split_special(piece)]
+            parts = [self._of_ids([self.special[p]]) if p in self.special else self._plain(p) for p in pieces if p]
+            got = parts[0] if len(parts) == 1 else (b"".join([x[0] for x in parts]), b" ".join([x[1] for x in parts if x[1]]))
         return self._keep(chunk, got)
 
+    def encode_all(self, texts: list[str]) -> list[tuple[memoryview, memoryview]]:
+        """For each text (ids as little-endian unsigned 32-bit integers, UTF-8 of the tokens' texts with spaces between).
+
+        The texts' different pieces are encoded once and put together by Arrow.
+        """
+        cut = pc.ascii_split_whitespace(pa.array(texts, pa.large_string()))
+        pieces = cut.flatten().dictionary_encode()
+        got = list(map(self._chunk, pieces.dictionary.to_pylist()))
+
+        def joined(parts: list[bytes]) -> tuple[list[int], memoryview]:
+            rows = pa.array(parts, pa.large_binary()).take(pieces.indices)
+            ends = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1]
+            return ends[cut.offsets.to_numpy()].tolist(), memoryview(rows.buffers()[2] or b"").cast("B")
+
+        (a, ids), (b, said) = joined([x[0] for x in got]), joined([x[1] + b" " if x[1] else b"" for x in got])
+        return [(ids[a[i] : a[i + 1]], said[b[i] : max(b[i], b[i + 1] - 1)]) for i in range(len(texts))]
+
     def encode(self, text: str) -> tuple[bytes, bytes]:
-        """(ids as little-endian unsigned 32-bit integers, UTF-8 of the tokens' texts with spaces between)."""
-        parts = _spaces.split(text) if _other_spaces.search(text) else text.split()
-        chunk, got = self._chunk, []
-        for p in parts:
-            if p:
-                got.append(self.young.get(p) or chunk(p))
-        return b"".join([x[0] for x in got]), b" ".join([x[1] for x in got if x[1]])
+        a, b = self.encode_all([text])[0]
+        return bytes(a), bytes(b)
 
     def text_of(self, ids) -> str:
         """The text that ids stand for: word ends become spaces."""
@@ -237,8 +252,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     def run(texts):
         bpe = load(path)
         n, ids, digests, decoded = [], [], [], []
-        for t in texts:
-            a, b = bpe.encode(t.decode("utf-8", "replace"))
+        for a, b in bpe.encode_all([t.decode("utf-8", "replace") for t in texts]):
             n.append(len(a) // 4)
             digests.append(hashlib.sha256(a).hexdigest())
             decoded.append(hashlib.sha256(b).hexdigest())
