@@ -2,13 +2,16 @@
 
 A surrogate is a keyed permutation of the values of the entity's format (a Feistel network over mixed digits with cycle
 walking, conjugated with a shift so that nothing stays as it is). Different values of a format so get different
-surrogates on any number of machines without a shared table, and one value gets one surrogate in all documents.
+surrogates on any number of machines without a shared table, and one value gets one surrogate in all documents, however
+it is written (a phone number with or without its country code, an address short or long). A family or given name that
+stands alone after the full name gets the same surrogate there.
 """
 
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from collections.abc import Callable
 from functools import lru_cache
@@ -21,8 +24,8 @@ from .textkit import bounded_batches, spread
 
 # Given names by script and gender; their surrogates come from the same list.
 GIVEN = {
-    ("latin", "f"): "Alice Amelia Barbara Beatrice Camille Carmen Caroline Charlotte Claire Dorothy Elizabeth Emily Florence Gabriela Hannah Isabella Jessica Julia Katharina Laura Margaret Michelle Patricia Sophie Victoria Yvonne".split(),
-    ("latin", "m"): "Albert Alexander Benjamin Carlos Christopher Daniel Edward Felipe Frederick George Gregory Heinrich Jonathan Joseph Kenneth Lawrence Michael Nicholas Patrick Philippe Richard Robert Samuel Thomas Timothy William".split(),
+    ("latin", "f"): "Alice Amanda Amelia Barbara Beatrice Camille Carmen Caroline Charlotte Claire Deborah Dorothy Elizabeth Emily Emma Florence Gabriela Hannah Helen Ingrid Isabella Jennifer Jessica Julia Karen Katharina Laura Linda Margaret Maria Mary Melissa Michelle Nancy Olivia Patricia Sandra Sarah Sophie Susan Victoria Yvonne".split(),
+    ("latin", "m"): "Albert Alexander Andrew Anthony Benjamin Brian Carlos Charles Christopher Daniel David Edward Felipe Frederick George Gregory Heinrich James John Jonathan Joseph Juan Kenneth Kevin Lawrence Matthew Michael Nicholas Patrick Paul Peter Philippe Richard Robert Ronald Samuel Stephen Steven Thomas Timothy Walter William".split(),
     ("cyrillic", "f"): "Анна Вера Галина Дарья Екатерина Ирина Ксения Людмила Мария Наталья Ольга Светлана".split(),
     ("cyrillic", "m"): "Алексей Борис Виктор Дмитрий Евгений Иван Константин Михаил Николай Павел Сергей Юрий".split(),
     ("greek", "f"): "Αικατερίνη Βασιλική Δήμητρα Ελένη Ζωή Ιωάννα Κωνσταντίνα Μαρία Σοφία Χριστίνα".split(),
@@ -30,14 +33,19 @@ GIVEN = {
 }
 # Forms of address.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа", "Κύριος", "Κυρία")
-FEMALE_TITLES = frozenset(("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία"))
+GENDERS = dict.fromkeys(("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία"), "f") | dict.fromkeys(("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"), "m")
+# Endings of given names by script and gender, after a vowel and after a consonant.
+ENDINGS = {("latin", "f"): ("na", "a"), ("latin", "m"): ("n", "us"), ("cyrillic", "f"): ("на", "а"), ("cyrillic", "m"): ("н", "ий"), ("greek", "f"): ("να", "α"), ("greek", "m"): ("ς", "ος")}
+# Small words within family names.
+PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "la", "le", "du", "al", "bin", "ibn", "ter", "zu")
 # Letters that are permuted among each other, by script: vowels, consonants.
 ALPHABETS = ("aeiou", "bcdfghjklmnpqrstvwxyz", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "αειουω", "βγδζθκλμνξπρστφχψ", "áéíóú", "äöü", "0123456789")
 _alphabet = {c: i for i, a in enumerate(ALPHABETS) for c in a}
 _value = {c: k for a in ALPHABETS for k, c in enumerate(a)}
 _known = {n: (script, gender) for (script, gender), names in GIVEN.items() for n in names}
 _name = r"[A-ZÀ-ÖØ-ÞΑ-ΩА-ЯΆΈΉΊΌΎΏЁ][a-zß-öø-ÿα-ωа-яάέήίόύώςё]+"
-_family = rf"{_name}(?:-{_name})?"
+_one = rf"(?:[OD]['’]|Ma?c(?=[A-Z]))?{_name}"
+_family = rf"(?:(?:{'|'.join(PARTICLES)})[ ]){{0,3}}{_one}(?:-{_one})?"
 #: All kinds in one pass; what each really is, valid() decides.
 PATTERN = re.compile(
     rf"""(?P<email>(?<![\w.+%-])[^\W_][\w.+%-]{{0,63}}@(?:[^\W_](?:[\w-]{{0,61}}[^\W_])?\.){{1,8}}[^\W\d_]{{2,24}}(?![\w-]))
@@ -46,12 +54,13 @@ PATTERN = re.compile(
 |(?P<phone2>(?<![\w.+/-])(?:\(\d{{3}}\)[ ]?|\d{{3}}[ .-])\d{{3}}[ .-]\d{{4}}(?![\w/-]))
 |(?P<ssn>(?<![\w-])\d{{3}}-\d{{2}}-\d{{4}}(?![\w-]))
 |(?P<card>(?<![\w.-])(?:\d{{13,19}}|\d{{4}}(?P<gap>[ -])\d{{4}}(?P=gap)\d{{4}}(?P=gap)\d{{1,7}}|\d{{4}}[ -]\d{{6}}[ -]\d{{5}})(?![\w-]))
+|(?P<ipv6>(?<![\w:.])(?=[0-9A-Fa-f]{{3,4}}:)[0-9A-Fa-f]{{3,4}}(?:::?[0-9A-Fa-f]{{1,4}}){{1,7}}(?:::)?(?![\w:]|\.\w))
 |(?P<ip>(?<![\w.])\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}\.\d{{1,3}}(?![\w]|\.\d))
-|(?P<name>\b(?:(?:{"|".join(TITLES)})\.?[ ]{_family}(?:[ ]{_family}){{0,2}}|(?:{"|".join(n for v in GIVEN.values() for n in v)})[ ]{_family}))(?!\w)""",
+|(?P<name>\b(?:(?:{"|".join(TITLES)})\.?[ ]{_family}(?:[ ]{_family}){{0,2}}|(?:{"|".join(n for v in GIVEN.values() for n in v)})(?:[ ][A-Z]\.)?[ ]{_family}))(?!\w)""",
     re.X,
 )
 #: What a document must have for PATTERN to find anything.
-_any = re.compile(rf"@|\d[\d .)-]{{5}}|\b(?:{'|'.join(TITLES)}|{'|'.join(_known)})\b")
+_any = re.compile(rf"@|\d[\d .)-]{{5}}|[0-9A-Fa-f]{{3}}::?[0-9A-Fa-f]|\b(?:{'|'.join(TITLES)}|{'|'.join(_known)})\b")
 
 
 def luhn(digits: str) -> int:
@@ -72,6 +81,12 @@ def valid(kind: str, text: str) -> bool:
         return 13 <= len(digits) <= 19 and digits[0] in "23456" and luhn(digits[:-1]) == int(digits[-1]) and len(set(digits)) > 1
     if kind == "ip":
         return all(int(x) < 256 and str(int(x)) == x for x in text.split(".")) and text not in ("0.0.0.0", "127.0.0.1", "255.255.255.255")
+    if kind == "ipv6":
+        try:
+            first = int(ipaddress.IPv6Address(text)) >> 112
+        except ValueError:
+            return False
+        return 0x2000 <= first < 0x4000 or first >= 0xFC00
     if kind == "iban":
         s = text.replace(" ", "")
         return 15 <= len(s) <= 34 and iban_check(s[:2], s[4:]) == s[2:4]
@@ -133,9 +148,7 @@ class Surrogates:
 
     def letters(self, text: str, tweak: bytes) -> str:
         """Letters and digits among their kind (script, vowel or consonant, digit), case and all other characters kept."""
-        lower = text.lower()
-        if len(lower) != len(text):
-            return text
+        lower = [c.lower() if len(c.lower()) == 1 else c for c in text]
         at = [i for i, c in enumerate(lower) if c in _alphabet]
         sizes = [len(ALPHABETS[_alphabet[lower[i]]]) for i in at]
         shape = bytes(_alphabet[lower[i]] for i in at)
@@ -183,46 +196,125 @@ class Surrogates:
                 new = [*parts[:kept], *x.to_bytes(4 - kept, "big")]
                 if kept or (0 < new[0] < 224 and new[0] not in (10, 127) and new[:2] != [192, 168]) or not 0 < parts[0] < 224:
                     return ".".join(map(str, new))
+        if kind == "ipv6":
+            # Of the address's short form; a group keeps its number of digits, so the surrogate is a short form too.
+            groups = str(ipaddress.IPv6Address(text)).split(":")
+            at = [i for i, g in enumerate(groups) if i and g not in ("", "0")]
+            x, n = 0, 1
+            for i in at:
+                low, high = 16 ** (len(groups[i]) - 1), 16 ** len(groups[i])
+                x, n = x * (high - low) + int(groups[i], 16) - low, n * (high - low)
+            x = self.permute(x, n, f"ipv6|{groups[0]}|{[len(g) * (g != '0') for g in groups]}".encode())
+            for i in reversed(at):
+                low, high = 16 ** (len(groups[i]) - 1), 16 ** len(groups[i])
+                x, k = divmod(x, high - low)
+                groups[i] = f"{low + k:x}"
+            return ":".join(groups)
         if kind == "ssn":
             return poured(self.digits(digits, b"ssn", lambda s: valid("ssn", s)), text)
         country = re.match(r"\+(1(?=\D|\d{10}$)|\d{1,3})", text)
         kept = country[1] if country else ""
         rest = digits[len(kept) :]
-        plain = len(rest) == 10 and kept in ("", "1")
-        return poured(kept + self.digits(rest, b"phone" + kept.encode(), lambda s: plain and s[0] >= "2" and s[3] >= "2" or not plain and s[0] != "0"), text)
-
-    def _name(self, text: str) -> str:
-        """Titles stay; known given names go to others of their script and gender; other names letter by letter."""
+        plain = len(rest) == 10 and kept in ("", "1")  # one number, with or without the country's code
+        return poured(kept + self.digits(rest, b"phone" + (b"1" if plain else kept.encode()), lambda s: plain and s[0] >= "2" and s[3] >= "2" or not plain and s[0] != "0"), text)
+
+    def given(self, word: str, gender: str | None) -> str:
+        """A known given name becomes another of its script and gender; another name one with an ending of the gender, if that is known."""
+        if word in _known:
+            names = GIVEN[_known[word]]
+            return names[self.permute(names.index(word), len(names), "|".join(_known[word]).encode())]
+        new = self.letters(word, b"given")
+        script = next((s for s, i in (("latin", (0, 1, 6, 7)), ("cyrillic", (2, 3)), ("greek", (4, 5))) if any(_alphabet.get(c) in i for c in word.lower())), None)
+        if gender and script:
+            vowel = _alphabet.get(word[-1].lower()) in (0, 2, 4, 6, 7)
+            new += ENDINGS[script, gender][0 if vowel else 1]
+        return self.given(new, None) if new in _known else new
+
+    def family(self, word: str) -> str:
+        """A family name letter by letter; what stands before it, such as O' or Mc, stays."""
+        lead = re.match(r"[OD]['’]|Ma?c(?=[A-Z])", word)
+        start = lead.end() if lead else 0
+        return word[:start] + "-".join(self.letters(w, b"family") for w in word[start:].split("-"))
+
+    def parts(self, text: str) -> list[tuple[str, str]]:
+        """(word, its surrogate) of a name. Titles and small words stay; the first of several names is a given one."""
         words = text.split(" ")
-        out, first = [], True
         title = words[0].rstrip(".") if words[0].rstrip(".") in TITLES and len(words) > 1 else None
-        for i, w in enumerate(words):
-            if i == 0 and title:
-                out.append(w)
-            elif first and w in _known and len(words) - i > 1:
-                names = GIVEN[_known[w]]
-                out.append(names[self.permute(names.index(w), len(names), "|".join(_known[w]).encode())])
-                first = False
-            else:
-                out.append(self.letters(w, b"family"))
-                first = False
-        return " ".join(out)
+        out = [(words[0], words[0])] if title else []
+        rest = words[len(out) :]
+        first = len(rest) > 1 and rest[0] not in PARTICLES
+        for i, w in enumerate(rest):
+            out.append((w, w if w in PARTICLES else self.given(w, GENDERS.get(title)) if first and i == 0 else self.family(w)))
+        return out
+
+    def _name(self, text: str) -> str:
+        return " ".join(new for _, new in self.parts(text))
 
     def replace(self, text: str) -> tuple[str, dict[str, int], int]:
-        """(text with surrogates, count of each kind, collisions). A collision is a surrogate that is also an original in the text, or one of two originals."""
+        """(text with surrogates, count of each kind, collisions).
+
+        A surrogate that is also an original in the text, or another value's surrogate there, is a collision: such a
+        value takes the surrogate's own surrogate, and so on. Words of names that stand alone are names too.
+        """
         if not _any.search(text):
             return text, {}, 0
-        out, at, count, seen = [], 0, {}, {}
-        for kind, m in entities(text):
-            old = m[0]
+        found = [(kind, m.start(), m[0]) for kind, m in entities(text)]
+        values = dict.fromkeys(canonical(kind, old) for kind, _, old in found)
+        taken: set[str] = set()
+        collisions = 0
+
+        def surrogate(kind: str, old: str) -> str:
+            nonlocal collisions
+            value = canonical(kind, old)
             new = self.of(kind, old)
-            seen[old] = new
-            out += [text[at : m.start()], new]
-            at = m.end()
+            if values[value] is None:
+                steps = 0
+                while (c := canonical(kind, new)) in values or c in taken:
+                    new, steps = self.of(kind, new), steps + 1
+                taken.add(c)
+                values[value], collisions = steps, collisions + steps
+                return new
+            for _ in range(values[value]):
+                new = self.of(kind, new)
+            return new
+
+        made = [surrogate(kind, old) for kind, _, old in found]
+        spans = [(start, old, new) for (_, start, old), new in zip(found, made)]
+        words: dict[str, str] = {}
+        for (kind, _, old), new in zip(found, made):
+            if kind == "name":
+                words |= {w: x for w, x in zip(old.split(" "), new.split(" ")) if w != x and w not in words and len(w) > 2}
+        if words:
+            alone = re.compile(rf"(?<![\w@.'’-])(?:{'|'.join(map(re.escape, sorted(words, key=len, reverse=True)))})(?![\w@-])")
+            ends, i, single = [(start, start + len(old)) for start, old, _ in spans], 0, []
+            for m in alone.finditer(text):
+                while i < len(ends) and ends[i][1] <= m.start():
+                    i += 1
+                if i == len(ends) or m.end() <= ends[i][0]:
+                    single.append((m.start(), m[0], words[m[0]]))
+            spans = sorted(spans + single)
+        out, at, count = [], 0, {}
+        for kind, _, _ in found:
             count[kind] = count.get(kind, 0) + 1
+        for start, old, new in spans:
+            out += [text[at:start], new]
+            at = start + len(old)
         out.append(text[at:])
-        twice = len(seen) - len(set(seen.values()))
-        return "".join(out), count, twice + sum(s in seen for s in seen.values())
+        return "".join(out), count, collisions
+
+
+def canonical(kind: str, text: str) -> str:
+    """One spelling of a value, by which mentions of it are known to be the same."""
+    if kind == "phone":
+        digits = re.sub(r"\D", "", text)
+        return f"phone:{digits[1:] if text.startswith('+1') and len(digits) == 11 else digits}"
+    if kind in ("card", "ssn"):
+        return f"{kind}:{re.sub(r'\D', '', text)}"
+    if kind == "iban":
+        return f"iban:{text.replace(' ', '')}"
+    if kind == "ipv6":
+        return f"ip:{ipaddress.IPv6Address(text)}"
+    return f"{kind}:{text.lower() if kind == 'email' else text}"
 
 
 def poured(characters: str, form: str) -> str:

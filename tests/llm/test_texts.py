@@ -116,6 +116,47 @@ def test_distinct_values_get_distinct_surrogates():
         assert len({s.of(kind, v) for v in values}) == len(values)
 
 
+def test_one_value_in_many_spellings():
+    s = pii.Surrogates(b"k")
+    digits = lambda x: re.sub(r"\D", "", x)
+    a, b = s.of("phone", "+1 555 234 5678"), s.of("phone", "(555) 234-5678")
+    assert digits(a) == "1" + digits(b) and digits(b) != "5552345678"
+    assert s.of("ipv6", "2001:db8::1") == s.of("ipv6", "2001:0DB8:0:0:0:0:0:1") != "2001:db8::1"
+    for v in ("2001:db8:85a3::8a2e:370:7334", "fe80::1ff:fe23:4567:890a", "2a00:1450:4001:81b:0:1:2:3"):
+        new = s.of("ipv6", v)
+        assert pii.valid("ipv6", new) and new != v and new.split(":")[0] == v.split(":")[0] and [k for k, _ in pii.entities(f"at {v}, and")] == ["ipv6"]
+    assert not list(pii.entities("12:30:45 std::abs a::b ::1 dead::beef"))
+    made = {s.of("ipv6", f"2001:db8::{i:x}:{j:x}") for i in range(1, 60) for j in range(1, 60)}
+    assert len(made) == 59 * 59
+
+
+def test_names_by_gender_and_alone():
+    s = pii.Surrogates(b"k")
+    f, m = s.of("name", "Mrs Astrid Larsen").split(), s.of("name", "Mr Astrid Larsen").split()
+    assert f[0] == "Mrs" and f[1].endswith("a") and m[1].endswith("us") and f[2] == m[2] != "Larsen"
+    assert s.of("name", "Frau Dana Weiß").split()[1].endswith("na") and s.of("name", "Госпожа Алла Петрова").split()[1].endswith("а")
+    name = s.of("name", "Dr. Robert O'Neil")
+    assert name.startswith("Dr. ") and name.split()[1] in pii.GIVEN["latin", "m"] and name.split()[2].startswith("O'") and "Neil" not in name
+    text, count, _ = s.replace("Mary Johnson met John Q. Smith and Mr. van der Berg. Johnson said Mary's note for Smith; Johnsonville stays.")
+    assert count == {"name": 3} and not re.search(r"Johnson\b|Smith|Mary|John\b|Berg", text) and "van der" in text and "Johnsonville" in text
+    family = s.of("name", "Mary Johnson").split()[1]
+    assert text.count(family) == 2 and s.of("name", "Ms Johnson") == f"Ms {family}"
+    given = {s.of("name", f"Mrs {g} Larsen") for g in ("Astrid", "Ingrun", "Berta", "Bertha", "Ylva", "Yrsa", "Mary", "Emma", "Tove", "Tore")}
+    assert len(given) == 10
+
+
+def test_collisions_are_resolved():
+    s = pii.Surrogates(b"k")
+    at, chain = "9.8.7.6", []
+    for _ in range(4):
+        chain.append(at)
+        at = s.of("ip", at)
+    text, count, collisions = s.replace(" ; ".join(chain + chain[:1]))
+    new = text.split(" ; ")
+    assert collisions and count == {"ip": 5} and new[0] == new[4] and len(set(new)) == 4 and not set(new) & set(chain)
+    assert s.replace("8.8.4.4 and 8.8.4.4")[2] == 0
+
+
 def test_pii_odd_texts(spark):
     clean = [*ODD, prose(RNG, 50), "version 1.2.3.4.5 and 8646308210557563 and 999.1.1.1"]
     got = {r.doc_id: r for r in pii.pseudonymise(table(spark, clean)).collect()}
