@@ -74,6 +74,8 @@ class ByteCnn:
                 windows[:] = 32
                 k = 0
 
+        if not self.langs:
+            return [(UNKNOWN, 0.0)] * len(texts)
         live = [bool(_letter(t.decode("utf-8", "replace"))) for t in texts]
         for i, t in enumerate(texts):
             if not live[i]:
@@ -105,11 +107,12 @@ class ByteCnn:
 
 
 def train(examples: list[tuple[bytes, str]], widths=(2, 3, 4), filters: int = 16, dim: int = 8, window: int = 128, steps: int = 500, batch: int = 96, rate: float = 0.004, seed: int = 11) -> ByteCnn:
-    """Fits by Adam on random windows of the examples, every language as often. The same examples give the same weights."""
+    """Fits by Adam on random windows of the examples, every language as often. The same examples give the same weights.
+
+    Without examples the network knows no language, and all texts are und.
+    """
     rng = np.random.default_rng(seed)
     langs = sorted({y for _, y in examples})
-    if not langs:
-        raise ValueError("no labelled text to learn from")
     by_lang = [[np.frombuffer(t.ljust(window), np.uint8) for t, y in examples if y == lang] for lang in langs]
     widest = max(widths)
     p = {"e": rng.normal(0, 0.3, (256, dim))}
@@ -182,13 +185,13 @@ def by_language(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def fit(docs: DataFrame, limit: int = 3000) -> ByteCnn:
-    """A network fitted on at most limit texts (whole ones, of each language as evenly as there are rows) with a lang whose crc32 remainder modulo 4 isn't 2."""
+    """A network fitted on at most limit texts (whole ones, of each language as evenly as there are rows) with a lang whose crc32 remainder modulo 4 isn't 2; one that knows no language where there are none."""
     rows = docs.where(F.col("lang").isNotNull() & (remainder(4) != 2)).select("doc_id", "lang")
     return train(sample_texts(docs, by_language(rows, limit), "lang", limit))
 
 
 def predict(docs: DataFrame, model: ByteCnn) -> DataFrame:
-    """doc_id, lang_pred, score of every text; und and 0.0 for a null text or one without a letter. Only doc_id and text are read."""
+    """doc_id, lang_pred, score of every text; und and 0.0 for a null text or one without a letter, and for all where no language could be learned. Repeated rows repeat. Only doc_id and text are read."""
 
     def run(texts):
         got = model.predict(texts)

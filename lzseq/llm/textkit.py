@@ -6,7 +6,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import shared_folder, spread
@@ -125,10 +125,15 @@ def remainder(modulus: int, id_column: str = "doc_id") -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
 
 
-def sample_texts(docs: DataFrame, labelled: DataFrame, label: str, limit: int, order_seed: int = 7) -> list[tuple[bytes, object]]:
+#: Bytes of texts that fitting takes to the driver at most.
+SAMPLE_BYTES = 256 << 20
+
+
+def sample_texts(docs: DataFrame, labelled: DataFrame, label: str, limit: int, order_seed: int = 7, most_bytes: int = SAMPLE_BYTES) -> list[tuple[bytes, object]]:
     """Up to limit labelled texts for fitting, as [(UTF-8 text, label)] in an order that only the ids decide.
 
-    limit bounds what the driver holds. The ids are chosen first, without texts; only the chosen texts are collected.
+    limit and most_bytes (the first texts within it, one at least) bound what the driver holds. The ids are chosen
+    first, without texts; only the chosen texts are collected. Of several texts with one doc_id the smallest is taken.
     """
     ids = labelled.where(F.col(label).isNotNull()).select("doc_id", label).orderBy(F.xxhash64("doc_id", F.lit(order_seed)), "doc_id", label).limit(limit)
     chosen = ids.collect()
@@ -136,5 +141,7 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, label: str, limit: int, o
         return []
     spark = docs.sparkSession
     keys = spark.createDataFrame([(r[0], r[1], i) for i, r in enumerate(chosen)], f"doc_id bigint, y {dict(labelled.dtypes)[label]}, k int")
-    got = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").select("k", "text", "y").collect()
-    return [((r[1] or "").encode("utf-8", "replace"), r[2]) for r in sorted(got, key=lambda r: (r[0], r[1] or ""))]
+    got = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("k").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("y").alias("y"))
+    before = F.sum(F.octet_length("text")).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
+    got = got.withColumn("total", before).where((F.col("total") <= most_bytes) | (F.col("total") == F.octet_length("text"))).select("k", "text", "y").collect()
+    return [(r[1].encode("utf-8", "replace"), r[2]) for r in sorted(got, key=lambda r: r[0])]
