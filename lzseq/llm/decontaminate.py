@@ -9,13 +9,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from dataclasses import dataclass
+from functools import reduce
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textkit import bounded_batches, spread, texts_of
+from .textkit import bounded_batches, shared_folder, spread, texts_of
 
 #: Production parameters: edits for each character of an item; characters of items searched in one pass.
 RATE, BLOCK_CHARS = 0.08, 1_000_000
@@ -166,25 +167,48 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_cha
         return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, SCHEMA)
 
     bounded_batches(docs.sparkSession)
-    out = None
-    for items in blocks(benchmark, block_chars, rate):
-        found = search(items)
-        out = found if out is None else out.unionByName(found)
+    rest = blocks(benchmark, block_chars, rate)
+    out, following = search(next(rest)), next(rest, None)
+    if following is None:
+        return out
+    shared_folder(docs.sparkSession)
+    out = out.checkpoint()  # so that the driver, too, has one block at a time
+    while following is not None:
+        out, following = out.unionByName(search(following).checkpoint()), next(rest, None)
     return out
 
 
+#: Digests of up to so many texts are broadcast (some 100 MB); beyond it, that join shuffles.
+BROADCAST_DIGESTS = 1_000_000
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, rate: float = RATE, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """The documents that hold no benchmark item, with all their columns."""
+    """The documents that hold no benchmark item, with all their columns.
+
+    A benchmark of one block is a filter. Of more, each block is a pass that keeps the digests of texts it found
+    something in, so that a task and the driver have one block at a time. Null and empty texts hold nothing and stay;
+    what holds for a text holds for all rows with it.
+    """
 
     def flagged(items):
         @F.arrow_udf("boolean")
         def held(texts: pa.Array) -> pa.Array:
             return pa.array([bool(t) and bool(items.find(t)) for t in texts.to_pylist()], pa.bool_())
 
-        return held
+        return held(F.col("text"))
 
     bounded_batches(docs.sparkSession)
-    out = docs
-    for items in blocks(benchmark, block_chars, rate):
-        out = out.where(~flagged(items)(F.col("text")))
-    return out
+    rest = blocks(benchmark, block_chars, rate)
+    first, following = next(rest), next(rest, None)
+    if following is None:
+        return docs.where(~flagged(first))
+    shared_folder(docs.sparkSession)
+    digest = F.md5(F.col("text").cast("binary"))
+    parts, items = [], first
+    while items is not None:
+        parts.append(docs.select("text").where(flagged(items)).select(digest.alias("digest")).distinct().checkpoint())
+        items, following = following, next(rest, None)
+    gone = reduce(DataFrame.unionByName, parts).distinct().checkpoint()
+    if gone.count() <= BROADCAST_DIGESTS:
+        gone = F.broadcast(gone)
+    return docs.join(gone, F.coalesce(digest, F.lit("")) == gone["digest"], "left_anti")

@@ -111,10 +111,14 @@ def sketched(docs: DataFrame, words: int = 2) -> DataFrame:
     return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, registers binary")
 
 
-#: Members of a block. A group of more is dealt out by pairs of blocks, so a task holds two blocks at most.
-BLOCK = 512
+#: Members of a block, and bytes of full sets. A group of more has more blocks, and a task holds two blocks at most.
+BLOCK, BLOCK_BYTES = 512, 64 << 20
+#: Members of a block's largest connected part that stand for it where blocks are connected.
+STAND = 2
 #: Up to so many ids are broadcast to a scan of the documents (16 MB); beyond it, that join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Rows of a key from which on its label is broadcast.
+HOT_ROWS = 100_000
 
 
 def forest(size: int, near) -> list[tuple[int, int]]:
@@ -200,17 +204,15 @@ def linked(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
 FEW, AT_ONCE = 8, 2048
 
 
-def by_blocks(rows: DataFrame, group: str, data: list[str], kind) -> DataFrame:
-    """Edges (a, b) that connect what is near within each group.
+def compared(dealt: DataFrame, data: list[str], kind) -> DataFrame:
+    """Edges (a, b) that connect what is near within each task (group, lo, hi), and the ids that stand for it (grp, a).
 
-    rows has group, id, blocks (how many the group has) and data. A row goes to every pair of blocks that its own is in;
-    a pair of two blocks looks at pairs across them only. kind (Sketches or FullSets) is made of the data columns of rows.
-    Rows come by id, so most edges lead to a group's smallest ids and are the same from group to group.
+    dealt has group, lo, hi, id, side, part, data. Pairs of one part, and of one side (0 or 1; -1 is with all), aren't
+    looked at. kind (Sketches or FullSets) is made of the data columns. Rows come by id, so most edges lead to a group's
+    smallest ids and are the same from group to group.
     """
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).alias("own")
-    dealt = rows.select(group, "id", own, *data, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("other"))
-    keys = [group, "lo", "hi"]
-    dealt = dealt.select(group, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "id", "own", *data).repartition(*keys).sortWithinPartitions(*keys, "id")
+    keys, given = ["group", "lo", "hi"], len(data)
+    dealt = dealt.select(*keys, "id", "side", "part", *data).repartition(*keys).sortWithinPartitions(*keys, "id")
 
     def run(batches):
         def groups():
@@ -227,61 +229,135 @@ def by_blocks(rows: DataFrame, group: str, data: list[str], kind) -> DataFrame:
                 yield now, rows
 
         def made(rows, whole):
-            return kind(*([r[2 + k] for r in rows] for k in range(len(data))), whole)
+            return kind(*([r[3 + k] for r in rows] for k in range(given)), whole)
 
         def edges():
-            few, i, j = [], [], []
-            for (_, lo, hi), rows in groups():
+            few, i, j, size = [], [], [], 0
+            for (group, _, _), rows in groups():
                 if len(rows) <= FEW:
                     n = len(few)
                     for y in range(1, len(rows)):
                         for x in range(y):
-                            if lo == hi or rows[x][1] != rows[y][1]:
+                            if rows[x][2] != rows[y][2] and (rows[x][1] < 0 or rows[x][1] != rows[y][1]):
                                 i.append(n + x)
                                 j.append(n + y)
                     few += rows
-                    if len(few) >= AT_ONCE:
-                        yield few, i, j, made(few, False).near(np.array(i, np.int64), np.array(j, np.int64))
-                        few, i, j = [], [], []
+                    size += sum(len(r[-1]) for r in rows)
+                    if len(few) >= AT_ONCE or size >= BLOCK_BYTES:
+                        yield few, i, j, made(few, False).near(np.array(i, np.int64), np.array(j, np.int64)), []
+                        few, i, j, size = [], [], [], 0
                     continue
-                test, own = made(rows, True), np.array([r[1] for r in rows])
-                near = lambda x, others: test.near(np.full(len(others), x), others) & ((lo == hi) | (own[others] != own[x]))  # noqa: B023, E731
+                test, side, part = made(rows, True), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+                apart = lambda x, others: (part[others] != part[x]) & ((side[x] < 0) | (side[others] != side[x]))  # noqa: B023, E731
+
+                def near(x, others):
+                    out = apart(x, others)  # noqa: B023
+                    out[out] = test.near(np.full(int(out.sum()), x), others[out])  # noqa: B023
+                    return out
+
                 found = forest(len(rows), near)
-                yield rows, [x for x, _ in found], [y for _, y in found], np.ones(len(found), bool)
+                yield rows, [x for x, _ in found], [y for _, y in found], np.ones(len(found), bool), [(group, k) for k in stand_ins(len(rows), found)]
             if few:
-                yield few, i, j, made(few, False).near(np.array(i, np.int64), np.array(j, np.int64))
+                yield few, i, j, made(few, False).near(np.array(i, np.int64), np.array(j, np.int64)), []
+
+        for rows, i, j, near, stands in edges():
+            pairs = [(*sorted((rows[x][0], rows[y][0])), None) for x, y, ok in zip(i, j, near) if ok] + [(rows[k][0], None, g) for g, k in stands]
+            yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(3)], names=["a", "b", "grp"])
+
+    return dealt.mapInArrow(run, "a bigint, b bigint, grp bigint")
+
 
-        for rows, i, j, near in edges():
-            pairs = [sorted((rows[x][0], rows[y][0])) for x, y, ok in zip(i, j, near) if ok]
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], names=["a", "b"])
+def stand_ins(size: int, edges: list[tuple[int, int]]) -> list[int]:
+    """The first STAND members of the largest connected part; edges come as forest() gives them, from parents to children."""
+    root = list(range(size))
+    for x, y in edges:
+        root[y] = root[x]
+    most = max(range(size), key=lambda r, n=np.bincount(root, minlength=size): (n[r], -r))
+    return [k for k in range(size) if root[k] == most][:STAND]
+
+
+def with_labels(rows: DataFrame, labels: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """rows joined to labels, which have a row for each key, however many rows a key has.
+
+    Few labels are broadcast. Of many, those of keys with more than HOT_ROWS rows are, and the rest shuffles.
+    """
+    if labels.count() <= BROADCAST_IDS:
+        return rows.join(F.broadcast(labels), on, how)
+    hot = F.broadcast(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*on).checkpoint())
+    return rows.join(hot, on, "left_anti").join(labels, on, how).unionByName(rows.join(hot, on, "left_semi").join(F.broadcast(labels.join(hot, on, "left_semi")), on, how))
 
-    return dealt.mapInArrow(run, "a bigint, b bigint").where("a < b").distinct().checkpoint()
+
+def by_blocks(members: DataFrame, large: DataFrame | None, fetch, data: list[str], kind) -> DataFrame:
+    """Edges (a, b) that connect what is near within each group of members (group, id, blocks).
+
+    large has the members of groups of several blocks; fetch adds the data columns to rows with ids. A group of one block is one task. A larger one takes three steps: each
+    block by itself; members that stand for the blocks with each other, which connects the blocks of one cluster; and
+    what then isn't in the group's largest connected part with all blocks. So each row of a cluster is sent a few times,
+    and only rows beside it go to all blocks; no link is left out.
+    """
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    none = F.lit(-1)
+    first = compared(fetch(members.select("group", "id", own.alias("lo"), own.alias("hi"), none.alias("side"), F.col("id").alias("part"))), data, kind).checkpoint()
+    links = lambda found: found.where("a < b").select("a", "b")
+    edges = links(first).distinct().checkpoint()
+    if large is None:
+        return edges
+    stands = first.where("grp is not null").select(F.col("grp").alias("group"), F.col("a").alias("id")).join(F.broadcast(large.select("group").distinct()), "group", "left_semi").distinct().checkpoint()
+    stands = with_labels(stands, stands.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).checkpoint(), ["group"])
+    dealt = fetch(stands.select("group", "id", "blocks", own.alias("own"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    second = links(compared(dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": none, "part": F.col("id")}), data, kind)).distinct().checkpoint()
+    edges = edges.unionByName(second).distinct().checkpoint()
+
+    ids = large.select("id").distinct().checkpoint()
+    ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+    among = edges.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
+    large = with_labels(large, components(among), ["id"], "left").withColumn("part", F.coalesce("component", "id")).drop("component").checkpoint()
+    counts = large.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
+    main = counts.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("beside")).where("beside > 0").withColumn("seats", F.ceil(F.col("beside") / F.lit(BLOCK))).checkpoint()
+    if main.isEmpty():
+        return edges
+    rows = fetch(with_labels(large, main, ["group"]).select("group", "id", "blocks", "part", "main", "seats"))
+    to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
+    residents = rows.withColumn("lo", own).withColumn("hi", to("seats")).withColumn("side", F.lit(0))
+    visitors = rows.where("part <> main").withColumn("hi", F.pmod(F.xxhash64("id", F.lit(1)), F.col("seats"))).withColumn("lo", to("blocks")).withColumn("side", F.lit(1))
+    third = links(compared(residents.unionByName(visitors), data, kind))
+    return edges.unionByName(third).distinct().checkpoint()
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """Edges that connect all classes (id, n, registers) which share a band and are likely links."""
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", 1 + i * width, F.lit(width))))
-    banded = classes.select("id", F.explode(keys).alias("key"))
-    shared = banded.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = banded.join(shared, "key").select("key", "id", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    return by_blocks(members.join(classes.select("id", "n", "registers"), "id"), "key", ["n", "registers"], Sketches)
+    banded = classes.select("id", F.explode(keys).alias("group"))
+    shared = banded.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("group", F.ceil(F.col("size") / BLOCK).alias("blocks")).checkpoint()
+    members = with_labels(banded, shared, ["group"])
+    hot = shared.where("blocks > 1")
+    large = with_labels(banded, hot, ["group"]).checkpoint() if not hot.isEmpty() else None
+    return by_blocks(members, large, lambda rows: rows.join(classes.select("id", "n", "registers"), "id"), ["n", "registers"], Sketches)
 
 
-def confirmed_links(groups: DataFrame, docs: DataFrame, words: int) -> DataFrame:
+def confirmed_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Edges that connect all links within the groups (id, component), counted on the full sets of the documents with these ids."""
-    sizes = groups.groupBy("component").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    placed = groups.join(sizes, "component").select(F.col("id").alias("doc_id"), "component", "blocks").checkpoint()
-    if placed.count() <= BROADCAST_IDS:
-        placed = F.broadcast(placed)
+    groups = groups.join(classes.select("id", "n"), "id")
+    blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), 8 * F.sum("n") / F.lit(BLOCK_BYTES)))
+    members = with_labels(groups, groups.groupBy("component").agg(blocks.alias("blocks")).checkpoint(), ["component"]).select(F.col("component").alias("group"), "id", "blocks").checkpoint()
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text")
 
-    def run(batches):
-        for batch in batches:
-            sets = pa.array([shingles(t, words).tobytes() for t in texts_of(batch)], pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column("component"), batch.column("doc_id"), batch.column("blocks"), sets], names=["component", "id", "blocks", "elements"])
+    def fetch(rows: DataFrame) -> DataFrame:
+        rows = rows.checkpoint()
+        names = rows.columns
+        placed = F.broadcast(rows) if rows.count() <= BROADCAST_IDS else rows
+
+        def run(batches):
+            for batch in batches:
+                sets = pa.array([shingles(t, words).tobytes() for t in texts_of(batch)], pa.binary())
+                yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), sets], names=[*names, "elements"])
+
+        schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes)
+        return texts.join(placed, texts["_id"] == placed["id"]).select(*names, "text").mapInArrow(run, f"{schema}, elements binary")
 
-    sets = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(placed, "doc_id").mapInArrow(run, "component bigint, id bigint, blocks bigint, elements binary")
-    return by_blocks(sets, "component", ["elements"], FullSets)
+    large = members.where("blocks > 1")
+    return by_blocks(members, None if large.isEmpty() else large, fetch, ["elements"], FullSets)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -297,13 +373,15 @@ def components(links: DataFrame) -> DataFrame:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("hook"))
         for _ in range(2):
-            hooks = hooks.join(hooks.select(F.col("id").alias("hook"), F.col("hook").alias("next")), "hook").select("id", F.col("next").alias("hook"))
+            hooks = hooks.checkpoint()
+            hooks = with_labels(hooks, hooks.select(F.col("id").alias("hook"), F.col("hook").alias("next")), ["hook"]).select("id", F.col("next").alias("hook"))
         hooks = hooks.checkpoint()
         if labels is None:
             labels = hooks.select("id", F.col("hook").alias("component"))
         else:
-            labels = labels.join(hooks.select(F.col("id").alias("component"), "hook"), "component", "left").select("id", F.coalesce("hook", "component").alias("component")).checkpoint()
-        edges = edges.join(hooks.select(F.col("id").alias("a"), F.col("hook").alias("x")), "a").join(hooks.select(F.col("id").alias("b"), F.col("hook").alias("y")), "b")
+            labels = with_labels(labels, hooks.select(F.col("id").alias("component"), "hook"), ["component"], "left").select("id", F.coalesce("hook", "component").alias("component")).checkpoint()
+        edges = with_labels(edges, hooks.select(F.col("id").alias("a"), F.col("hook").alias("x")), ["a"])
+        edges = with_labels(edges, hooks.select(F.col("id").alias("b"), F.col("hook").alias("y")), ["b"])
         edges = edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
         if edges.isEmpty():
             return labels
@@ -321,9 +399,9 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     bounded_batches(docs.sparkSession)
     rows = sketched(docs, words).checkpoint()
     classes = rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).checkpoint()
-    labels = components(confirmed_links(components(candidate_links(classes)), docs, words))
-    by_class = classes.join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
-    return rows.select("doc_id", "n_shingles", "d1", "d2").join(by_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    labels = components(confirmed_links(components(candidate_links(classes)), classes, docs, words))
+    by_class = classes.join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component")).checkpoint()
+    return with_labels(rows.select("doc_id", "n_shingles", "d1", "d2"), by_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def unique(docs: DataFrame, words: int = 5) -> DataFrame:

@@ -354,7 +354,7 @@ def pseudonymise(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
 
 
 def anonymised(docs: DataFrame, key: bytes = DEFAULT_KEY) -> DataFrame:
-    """The documents, all columns, with surrogates in text; n_chars, where there is one, is the new length."""
+    """The documents, all columns, with surrogates in text; n_chars, where there is one, is the new length. Null and empty texts stay as they are; repeated rows repeat, with the same surrogates."""
     bounded_batches(docs.sparkSession)
     out = docs.withColumn("text", replaced(F.col("text"), key)["text"])
     return out.withColumn("n_chars", F.length("text").cast(dict(docs.dtypes)["n_chars"])) if "n_chars" in docs.columns else out

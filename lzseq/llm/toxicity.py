@@ -251,7 +251,7 @@ def predict(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> Da
 
 
 def acceptable(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
-    """The documents, all columns, whose text scores below threshold; null and empty texts stay."""
+    """The documents, all columns, whose text scores below threshold. Null and empty texts score as a text without words does and stay; repeated rows stay or go together."""
 
     def low(texts: pa.Array) -> pa.Array:
         return pa.array([x < threshold for x in model.scores([t or b"" for t in texts.cast(pa.binary()).to_pylist()])], pa.bool_())
