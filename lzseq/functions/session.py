@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of any file system that Spark reads; nothing where there is none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 #: Inputs of up to so many estimated bytes are dealt over the cores.
 SMALL_BYTES = 16 << 20
 
