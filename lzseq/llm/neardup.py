@@ -7,11 +7,14 @@ register with a probability of about their similarity, so bands of registers fin
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import remove
 from .textkit import LOWER, bounded_batches, mix64, shared_folder, spread, texts_of, word_hashes
 
 U64, U32 = np.uint64, np.uint32
@@ -367,23 +370,33 @@ def components(links: DataFrame) -> DataFrame:
     links to those between different hooks, until none is left. Minima are combined before they are shuffled, so a node
     with many links costs no task more, and the links left shrink fast.
     """
+    spark = links.sparkSession
+    folder, n = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", 0
+
+    def kept(rows: DataFrame) -> DataFrame:
+        # Tables, not checkpoints: a checkpoint hands on the size that the optimizer guessed, and joins multiply guesses, round by round.
+        nonlocal n
+        n += 1
+        rows.write.parquet(f"{folder}/{n}")
+        return spark.read.schema(rows.schema).parquet(f"{folder}/{n}")
+
     edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("hook"))
+        hooks = kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("hook")))
         for _ in range(2):
-            hooks = hooks.checkpoint()
-            hooks = with_labels(hooks, hooks.select(F.col("id").alias("hook"), F.col("hook").alias("next")), ["hook"]).select("id", F.col("next").alias("hook"))
-        hooks = hooks.checkpoint()
+            hooks = kept(with_labels(hooks, hooks.select(F.col("id").alias("hook"), F.col("hook").alias("next")), ["hook"]).select("id", F.col("next").alias("hook")))
         if labels is None:
             labels = hooks.select("id", F.col("hook").alias("component"))
         else:
-            labels = with_labels(labels, hooks.select(F.col("id").alias("component"), "hook"), ["component"], "left").select("id", F.coalesce("hook", "component").alias("component")).checkpoint()
+            labels = kept(with_labels(labels, hooks.select(F.col("id").alias("component"), "hook"), ["component"], "left").select("id", F.coalesce("hook", "component").alias("component")))
         edges = with_labels(edges, hooks.select(F.col("id").alias("a"), F.col("hook").alias("x")), ["a"])
         edges = with_labels(edges, hooks.select(F.col("id").alias("b"), F.col("hook").alias("y")), ["b"])
-        edges = edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct().checkpoint()
+        edges = kept(edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if edges.isEmpty():
+            labels = labels.checkpoint()
+            remove(spark, folder)
             return labels
 
 
