@@ -86,12 +86,46 @@ def common_prefix(a: bytes, i: int, b: bytes, j: int) -> int:
     return n
 
 
+class RangeMinimum:
+    """Smallest of values[low:high] in two look-ups, from minima over runs of 1, 2, 4 ... values."""
+
+    def __init__(self, values: np.ndarray):
+        self.rows = [values]
+        while 2 * (width := 1 << len(self.rows) - 1) <= len(values):
+            self.rows.append(np.minimum(self.rows[-1][:-width], self.rows[-1][width:]))
+
+    def __call__(self, low: int, high: int) -> int:
+        k = (high - low).bit_length() - 1
+        row = self.rows[k]
+        return int(min(row[low], row[high - (1 << k)]))
+
+
+def interval(text: bytes, sa: list[int], key: bytes, at: int) -> tuple[int, int]:
+    """The range of the suffix array whose suffixes begin with key; at is a place in it. Grows from there by doubling, then halves."""
+    n, ends = len(key), []
+    for step, last in ((-1, -1), (1, len(sa))):
+        inside, jump = at, 1
+        while (i := inside + step * jump) * step < last * step and text[sa[i] : sa[i] + n] == key:
+            inside, jump = i, 2 * jump
+        while jump > 1:
+            jump //= 2
+            if (i := inside + step * jump) * step < last * step and text[sa[i] : sa[i] + n] == key:
+                inside = i
+        ends.append(inside)
+    return ends[0], ends[1] + 1
+
+
 def lz77(text: bytes, leftmost: bool = False) -> Phrases:
     """Greedy parse; a phrase is the longest earlier occurrence (it may run into itself), else a literal.
 
     Of equally long sources it takes the one after in suffix order, or, if leftmost, the first in the text. Lengths don't depend on that.
     """
-    before, after = smaller_neighbours(suffix_array(text))
+    sa = suffix_array(text)
+    before, after = smaller_neighbours(sa)
+    if leftmost:
+        rank = np.empty(len(sa), np.int64)
+        rank[sa] = np.arange(len(sa))
+        first, order = RangeMinimum(sa), sa.tolist()
     pos, length, i = [], [], 0
     while i < len(text):
         p, q = before[i], after[i]
@@ -101,7 +135,7 @@ def lz77(text: bytes, leftmost: bool = False) -> Phrases:
         if not n:
             pos.append(text[i])
         elif leftmost:
-            pos.append(text.find(text[i : i + n]))
+            pos.append(first(*interval(text, order, text[i : i + n], int(rank[i]))))
         else:
             pos.append(q if n_q == n else p)
         length.append(n)
@@ -113,10 +147,17 @@ class Reference:
     """A dictionary text with its suffix array, for relative parses."""
 
     def __init__(self, text: bytes):
-        self.text, self.sa = text, suffix_array(text).tolist()
+        order = suffix_array(text)
+        self.text, self.sa, self.order, self.first = text, order.tolist(), order, None
+
+    def leftmost(self, key: bytes, at: int) -> int:
+        """The first place in the text of key, with which the at-th suffix begins."""
+        if self.first is None:
+            self.first = RangeMinimum(self.order)
+        return self.first(*interval(self.text, self.sa, key, at))
 
-    def longest(self, x: bytes, i: int) -> tuple[int, int]:
-        """(a source, length) of the longest prefix of x[i:] in the text; of equal ones the smallest suffix."""
+    def longest(self, x: bytes, i: int) -> tuple[int, int, int]:
+        """(a source, length, its rank) of the longest prefix of x[i:] in the text; of equal ones the smallest suffix."""
         text, sa = self.text, self.sa
         low, high, width = 0, len(sa), 64
         key = x[i : i + width]
@@ -145,14 +186,14 @@ class Reference:
                 else:
                     high = mid
             at = low
-        return (sa[at] if best else -1), best
+        return (sa[at] if best else -1), best, at
 
     def parse(self, x: bytes, leftmost: bool = True) -> Phrases:
         """Greedy parse of x into copies from the text and literals."""
         pos, length, i = [], [], 0
         while i < len(x):
-            source, n = self.longest(x, i)
-            pos.append(x[i] if not n else self.text.find(x[i : i + n]) if leftmost else source)
+            source, n, at = self.longest(x, i)
+            pos.append(x[i] if not n else self.leftmost(x[i : i + n], at) if leftmost else source)
             length.append(n)
             i += max(1, n)
         return np.array(pos, np.int64), np.array(length, np.int64)

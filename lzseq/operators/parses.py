@@ -4,12 +4,15 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import spread
+from ..functions.session import shared_folder, spread
 from . import kernels
 
+#: Groups whose sizes are broadcast (some 50 MB); with more groups than that, that join shuffles.
+BROADCAST_GROUPS = 1_000_000
 #: Characters of a text that one task parses at once; packing into blocks (chunks.with_blocks) keeps to it.
 BLOCK_CHARS = 262_144
 
@@ -33,23 +36,52 @@ def block_texts(seqs: DataFrame, group: str = "groupname", size: int = BLOCK_CHA
     return texts, catalogue
 
 
+def symbols(text: str | None) -> bytes:
+    """A byte for each character; raises on characters above U+00FF, which a parse has no symbol for."""
+    try:
+        return (text or "").encode("latin-1")
+    except UnicodeEncodeError as e:
+        raise ValueError(f"parses take characters up to U+00FF, not {text[e.start]!r} at {e.start}") from None
+
+
+def _batch(columns: dict[str, pa.Array], counts: list[int], found: dict[str, list[np.ndarray]]) -> pa.RecordBatch:
+    """Rows of columns repeated by counts, beside all that was found for them."""
+    at = pa.array(np.repeat(np.arange(len(counts)), counts))
+    joined = {k: pa.array(np.concatenate(v) if v else np.empty(0, np.int64)) for k, v in found.items()}
+    return pa.RecordBatch.from_arrays([*(c.take(at) for c in columns.values()), *joined.values()], names=[*columns, *joined])
+
+
 def _phrases(rows: DataFrame, parse, keys: list[str], columns: list[str]) -> DataFrame:
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", phrase_ix bigint, pos bigint, len bigint"
 
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                one = [batch.column(c)[r].as_py() for c in columns]
-                pos, length = parse(*[(x or "").encode("latin-1", "replace") for x in one])
-                n = len(pos)
-                yield pa.RecordBatch.from_arrays([*(pa.repeat(batch.column(k)[r], n) for k in keys), pa.array(np.arange(n)), pa.array(pos), pa.array(length)], names=[*keys, "phrase_ix", "pos", "len"])
+            for part in _slices(batch, columns):
+                found = [parse(*map(symbols, one)) for one in zip(*(part.column(c).to_pylist() for c in columns))]
+                counts = [len(pos) for pos, _ in found]
+                yield _batch({k: part.column(k) for k in keys}, counts, {"phrase_ix": [np.arange(n) for n in counts], "pos": [x[0] for x in found], "len": [x[1] for x in found]})
 
     return spread(rows.select(*keys, *columns)).mapInArrow(run, schema)
 
 
+def _slices(batch: pa.RecordBatch, columns: list[str], most: int = 4 * BLOCK_CHARS):
+    """The batch in parts of about so many characters, a row at least, so that what is found at once is bounded."""
+    sizes = np.zeros(batch.num_rows, np.int64)
+    for c in columns:
+        sizes += pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False)
+    start, total = 0, 0
+    for r, n in enumerate(sizes.tolist()):
+        if r > start and total + n > most:
+            yield batch.slice(start, r - start)
+            start, total = r, 0
+        total += n
+    if batch.num_rows:
+        yield batch.slice(start)
+
+
 def lz77_phrases(texts: DataFrame, keys: list[str] | None = None, leftmost: bool = False) -> DataFrame:
-    """(keys, phrase_ix, pos, len) of each row's text. Symbols are characters up to U+00FF; null and empty texts have no phrases."""
+    """(keys, phrase_ix, pos, len) of each row's text. Symbols are characters up to U+00FF, others raise; null and empty texts have no phrases, repeated rows repeat theirs."""
     return _phrases(texts, lambda t: kernels.lz77(t, leftmost), keys or ["key"], ["text"])
 
 
@@ -87,7 +119,7 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
                 key = (batch.column(group)[r].as_py(), batch.column("block")[r].as_py())
                 if key != at:
                     at, reference = key, None
-                text = (batch.column("seq")[r].as_py() or "").encode("latin-1", "replace")
+                text = symbols(batch.column("seq")[r].as_py())
                 if not batch.column("kind")[r].as_py():
                     reference = kernels.Reference(text)
                     continue
@@ -114,15 +146,19 @@ def _gathered(phrases: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.transform("p", lambda x: x["pos"]).alias("pos"), F.transform("p", lambda x: x["len"]).alias("len"))
 
 
-def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], blocks: int = 64) -> DataFrame:
+def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], block_chars: int = 64 << 20) -> DataFrame:
     """(group, ids, text) of parses relative to their group's dictionary.
 
-    A group's parses are dealt into up to so many blocks; the dictionary goes to each block once, ahead of its parses.
+    A group's parses are dealt into blocks of about block_chars characters; the dictionary goes to each block once, ahead of its parses.
     """
+    shared_folder(phrases.sparkSession)
     types = dict(phrases.dtypes)
-    rows = _gathered(phrases, [group, *ids]).withColumn("block", F.pmod(F.xxhash64(*ids), F.lit(blocks))).withColumn("kind", F.lit(1)).withColumn("dictionary", F.lit(None).cast("string"))
-    heads = dictionaries.select(group, "dictionary").withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint")))).withColumn("kind", F.lit(0))
-    heads = heads.join(rows.select(group, "block").distinct(), [group, "block"], "left_semi")
+    chars = F.aggregate("len", F.lit(0).cast("bigint"), lambda s, x: s + F.greatest(x, F.lit(1).cast("bigint")))
+    gathered = _gathered(phrases, [group, *ids]).withColumn("chars", chars).checkpoint()
+    sizes = gathered.groupBy(group).agg(F.ceil(F.sum("chars") / block_chars).cast("bigint").alias("blocks")).checkpoint()
+    some = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
+    rows = gathered.join(some, group).withColumn("block", F.pmod(F.xxhash64(*ids), F.col("blocks"))).select(group, "block", F.lit(1).alias("kind"), *ids, "pos", "len", F.lit(None).cast("string").alias("dictionary"))
+    heads = dictionaries.select(group, "dictionary").join(some, group).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("kind", F.lit(0)).drop("blocks")
     dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(group, "block").sortWithinPartitions(group, "block", "kind")
     schema = ", ".join(f"`{k}` {types[k]}" for k in (group, *ids)) + ", text string"
 
@@ -133,7 +169,7 @@ def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, id
             out = []
             for r in range(batch.num_rows):
                 if not kind[r]:
-                    dictionary = (batch.column("dictionary")[r].as_py() or "").encode("latin-1", "replace")
+                    dictionary = symbols(batch.column("dictionary")[r].as_py())
                 else:
                     out.append(kernels.decode(batch.column("pos")[r].as_py(), batch.column("len")[r].as_py(), dictionary).decode("latin-1"))
             keep = pa.array(kind == 1)
@@ -147,9 +183,9 @@ def suffix_arrays(texts: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for r in range(batch.num_rows):
-                sa = kernels.suffix_array((batch.column("text")[r].as_py() or "").encode("latin-1", "replace"))
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("key")[r], len(sa)), pa.array(np.arange(len(sa))), pa.array(sa)], names=["key", "rank", "suffix"])
+            for part in _slices(batch, ["text"]):
+                found = [kernels.suffix_array(symbols(t)) for t in part.column("text").to_pylist()]
+                yield _batch({"key": part.column("key")}, [len(x) for x in found], {"rank": [np.arange(len(x)) for x in found], "suffix": found})
 
     return spread(texts.select("key", "text")).mapInArrow(run, "key string, rank bigint, suffix bigint")
 
@@ -169,8 +205,9 @@ def located(texts: DataFrame, patterns: list[tuple[int, str]], column: str = "te
         if ids:
             automaton.make_automaton()
         for batch in batches:
-            for r in range(batch.num_rows):
-                found = [(q, end + 1 - m, m) for end, (m, qs) in (automaton.iter(batch.column(column)[r].as_py() or "") if ids else ()) for q in qs]
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("key")[r], len(found)), *(pa.array([f[k] for f in found], pa.int64()) for k in range(3))], names=["key", "query_id", "pos", "m"])
+            for part in _slices(batch, [column]):
+                found = [[(q, end + 1 - m, m) for end, (m, qs) in (automaton.iter(t or "") if ids else ()) for q in qs] for t in part.column(column).to_pylist()]
+                flat = np.array([x for one in found for x in one], np.int64).reshape(-1, 3)
+                yield _batch({"key": part.column("key")}, [len(x) for x in found], {"query_id": [flat[:, 0]], "pos": [flat[:, 1]], "m": [flat[:, 2]]})
 
     return spread(texts.select("key", column)).mapInArrow(run, "key string, query_id bigint, pos bigint, m bigint")
