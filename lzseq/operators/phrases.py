@@ -2,12 +2,29 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .chunks import BROADCAST_GROUPS, prefix_sums
 
-def _before(*order: str, key: str = "key") -> Window:
-    return Window.partitionBy(key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+
+#: Phrases of a key from which on its sums are made over many tasks.
+HOT_PHRASES = 2_000_000
+
+
+def _hot(rows: DataFrame, key: str = "key") -> bool:
+    """Whether a key has so many rows that one task shouldn't sort them. Counts are combined before they are shuffled."""
+    return (rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > HOT_PHRASES
+
+
+def running(rows: DataFrame, values: dict[str, Column], order: str = "phrase_ix", key: str = "key", hot: bool | None = None) -> DataFrame:
+    """rows with, for each name: column of values, the sum over the key's rows before; a hot key's rows stay spread over tasks."""
+    if _hot(rows, key) if hot is None else hot:
+        return prefix_sums(rows, key, [order], values)
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumns({k: F.coalesce(F.sum(v).over(before), F.lit(0)).cast("bigint") for k, v in values.items()})
 
 
 def effective(length: Column) -> Column:
@@ -15,24 +32,34 @@ def effective(length: Column) -> Column:
     return F.greatest(length, F.lit(1).cast("bigint"))
 
 
-def limits(phrases: DataFrame) -> DataFrame:
+def limits(phrases: DataFrame, hot: bool | None = None) -> DataFrame:
     """phrases with text_start and text_end, the running sums of their lengths."""
-    start = F.coalesce(F.sum(effective(F.col("len"))).over(_before("phrase_ix")), F.lit(0).cast("bigint"))
-    return phrases.withColumn("text_start", start).withColumn("text_end", F.col("text_start") + effective(F.col("len")))
+    rows = running(phrases, {"text_start": effective(F.col("len"))}, hot=hot)
+    return rows.withColumn("text_end", F.col("text_start") + effective(F.col("len")))
 
 
-def merge_short(phrases: DataFrame, context: int) -> DataFrame:
+def merge_short(phrases: DataFrame, context: int, hot: bool | None = None) -> DataFrame:
     """Runs of phrases of at most 2 * context characters become one literal phrase each; longer ones stay.
 
-    A merged phrase keeps its last member's pos. The first phrase is literal if it was a copy, as nothing stands before it.
+    A merged phrase keeps its last member's pos. The first phrase is literal if it was a copy, as nothing stands before
+    it; where phrases have a source (another key that they copy from), none is. (key, phrase_ix, pos, len, is_literal,
+    text_start, text_end[, source]).
     """
-    w = Window.partitionBy("key").orderBy("phrase_ix")
+    hot = _hot(phrases) if hot is None else hot
+    apart = "source" in phrases.columns
     rows = phrases.withColumn("n", effective(F.col("len"))).withColumn("long", F.col("n") > 2 * context)
-    starts = F.coalesce(F.col("long") | F.lag("long").over(w), F.lit(True))
-    rows = rows.withColumn("run", F.sum(starts.cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    out = rows.groupBy("key", F.col("run").alias("phrase_ix")).agg(F.max_by("pos", "phrase_ix").alias("pos"), F.sum("n").alias("len"), (~F.bool_or("long")).alias("is_literal"), F.min_by("len", "phrase_ix").alias("first_len"))
-    out = out.withColumn("is_literal", F.col("is_literal") | ((F.col("phrase_ix") == 0) & (F.col("first_len") != 0))).drop("first_len")
-    return limits(out).select("key", "phrase_ix", "pos", "len", "is_literal", "text_start", "text_end")
+    if hot:
+        rows = running(rows, {"nth": F.lit(1)}, hot=True).checkpoint()
+        rows = rows.join(rows.select("key", (F.col("nth") + 1).alias("nth"), F.col("long").alias("previous")), ["key", "nth"], "left").drop("nth")
+    else:
+        rows = rows.withColumn("previous", F.lag("long").over(Window.partitionBy("key").orderBy("phrase_ix")))
+    starts = F.coalesce(F.col("long") | F.col("previous"), F.lit(True))
+    rows = running(rows.withColumn("starts", starts.cast("bigint")), {"run": F.col("starts"), "text_start": F.col("n")}, hot=hot)
+    extra = [F.first("source").alias("source")] if apart else []
+    out = rows.groupBy("key", (F.col("run") + F.col("starts") - 1).alias("phrase_ix")).agg(F.max_by("pos", "phrase_ix").alias("pos"), F.sum("n").alias("len"), (~F.bool_or("long")).alias("is_literal"), F.min_by("len", "phrase_ix").alias("first_len"), F.min("text_start").alias("text_start"), *extra)
+    if not apart:
+        out = out.withColumn("is_literal", F.col("is_literal") | ((F.col("phrase_ix") == 0) & (F.col("first_len") != 0)))
+    return out.select("key", "phrase_ix", "pos", "len", "is_literal", "text_start", (F.col("text_start") + F.col("len")).alias("text_end"), *(["source"] if apart else []))
 
 
 def grid(merged: DataFrame) -> DataFrame:
@@ -48,12 +75,18 @@ def piece_length(context: int, edits: int = 0) -> Column:
     return F.when(F.col("is_last"), last).otherwise(inner).cast("bigint")
 
 
-def kernel_limits(merged: DataFrame, context: int, edits: int = 0) -> DataFrame:
+def kernel_limits(merged: DataFrame, context: int, edits: int = 0, hot: bool | None = None) -> DataFrame:
     """merged with is_last, k_start and k_end: where each piece lies in its key's kernel text."""
-    w = Window.partitionBy("key").orderBy("phrase_ix")
-    rows = merged.withColumn("is_last", F.lead("phrase_ix").over(w).isNull()).withColumn("k_len", piece_length(context, edits))
-    start = F.coalesce(F.sum("k_len").over(_before("phrase_ix")), F.lit(0).cast("bigint"))
-    return rows.withColumn("k_start", start).withColumn("k_end", F.col("k_start") + F.col("k_len")).drop("k_len")
+    hot = _hot(merged) if hot is None else hot
+    if hot:
+        last = merged.groupBy("key").agg(F.max("phrase_ix").alias("_last"))
+        if last.count() <= BROADCAST_GROUPS:
+            last = F.broadcast(last)
+        rows = merged.join(last, "key").withColumn("is_last", F.col("phrase_ix") == F.col("_last")).drop("_last")
+    else:
+        rows = merged.withColumn("is_last", F.lead("phrase_ix").over(Window.partitionBy("key").orderBy("phrase_ix")).isNull())
+    rows = running(rows.withColumn("k_len", piece_length(context, edits)), {"k_start": F.col("k_len")}, hot=hot)
+    return rows.withColumn("k_end", F.col("k_start") + F.col("k_len")).drop("k_len")
 
 
 def kernel_pieces(limited: DataFrame, texts: DataFrame, context: int, edits: int = 0, separator: str = "$") -> DataFrame:
@@ -67,6 +100,28 @@ def kernel_pieces(limited: DataFrame, texts: DataFrame, context: int, edits: int
     return limited.join(texts, "key").withColumn("piece", F.when(short, whole).when(F.col("is_last"), last).otherwise(inner)).drop("text")
 
 
+def kernels_of(limited: DataFrame, texts: DataFrame, context: int, edits: int = 0, separator: str = "$") -> DataFrame:
+    """(key, kernel): kernel_texts() of kernel_pieces(), each text joined once to its key's limits and cut in one row."""
+    fields = ("phrase_ix", "len", "text_start", "text_end", "is_literal", "is_last")
+    gathered = limited.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("p"))
+    gap = separator * (edits + 1)
+
+    def kernel(text: str, phrases: pa.Array) -> str:
+        out = []
+        n, start, end, literal, last = (phrases.field(k).to_numpy(zero_copy_only=False) for k in fields[1:])
+        short = literal | np.where(last, n <= context, n < 2 * context + 2)
+        for a, b, whole, final in zip(start.tolist(), end.tolist(), short.tolist(), last.tolist()):
+            out.append(text[a:b] if whole else text[a : a + context + 1] + gap if final else text[a : a + context] + gap + text[b - context : b])
+        return "".join(out)
+
+    def run(batches):
+        for batch in batches:
+            made = [kernel(text.as_py(), p.values) for text, p in zip(batch.column("text"), batch.column("p"))]
+            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.string())], names=["key", "kernel"])
+
+    return texts.select("key", "text").join(gathered, "key").mapInArrow(run, f"key {dict(limited.dtypes)['key']}, kernel string")
+
+
 def kernel_texts(pieces: DataFrame) -> DataFrame:
     """The kernel text of each key."""
     ordered = F.array_sort(F.collect_list(F.struct("phrase_ix", "piece")))

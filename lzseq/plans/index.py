@@ -81,8 +81,8 @@ def kernelize(texts: DataFrame, parsed: DataFrame, parameters: Parameters) -> tu
     """(limited, kernels) of texts (key, text) and their parses, without a search structure."""
     c, k = parameters.context, parameters.max_edit_distance
     limited = phrases.kernel_limits(phrases.merge_short(parsed, c), c, k)
-    pieces = phrases.kernel_pieces(limited, texts, c, k, parameters.separator)
-    return limited, phrases.kernel_texts(pieces)
+    limited = limited.checkpoint()
+    return limited, phrases.kernels_of(limited, texts, c, k, parameters.separator)
 
 
 def build(texts: DataFrame, catalogue: DataFrame, parameters: Parameters = Parameters(), method: str = "lz77", prefix_chars: int | None = None, checkpoint: bool = True) -> Index:
@@ -93,7 +93,7 @@ def build(texts: DataFrame, catalogue: DataFrame, parameters: Parameters = Param
         parsed = parsed.checkpoint()
     limited, kernels = kernelize(texts, parsed, parameters)
     if checkpoint:
-        limited, kernels = limited.checkpoint(), kernels.checkpoint()
+        kernels = kernels.checkpoint()
     return Index(parameters, limited, kernels, catalogue)
 
 

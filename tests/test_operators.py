@@ -186,3 +186,46 @@ def test_seed_align_of_short_reads(spark):
     with pytest.raises(Exception, match="more than 3"):
         search.seed_align(spark.createDataFrame([(1, "ACG")], "query_id long, pattern string"), texts, 24, 3).collect()
 
+
+
+def test_hot_keys_are_spread(spark, monkeypatch):
+    rng = random.Random(14)
+    rows = [(k, i, rng.randint(0, 50), rng.choice([0, 1, 3, 9, 21, 40])) for k, n in (("hot", 3000), ("a", 1), ("b", 40)) for i in range(n)]
+    p = spark.createDataFrame(rows, "key string, phrase_ix long, pos long, len long").repartition(5)
+    order = lambda d: sorted(map(tuple, d.collect()))
+    plain = phrases.merge_short(p, 5)
+    assert order(phrases.limits(p, hot=True)) == order(phrases.limits(p, hot=False))
+    assert order(phrases.merge_short(p, 5, hot=True)) == order(plain)
+    assert order(phrases.kernel_limits(plain, 5, hot=True)) == order(phrases.kernel_limits(plain, 5, hot=False))
+    monkeypatch.setattr(phrases, "HOT_PHRASES", 100)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        tasks = phrases.limits(p).withColumn("task", F.spark_partition_id()).where("key = 'hot'").select("task").distinct().count()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert tasks > 1
+
+
+def test_kernels_cut_at_once_equal_their_pieces(spark):
+    rng = random.Random(15)
+    texts = {f"k{i}": "".join(rng.choices("ACGT", k=rng.randint(1, 200))) for i in range(12)}
+    rows = []
+    for k, t in texts.items():
+        at, i = 0, 0
+        while at < len(t):
+            n = min(len(t) - at, rng.choice([1, 5, 12, 13, 14, 30]))
+            rows.append((k, i, 0, n, rng.random() < 0.4, at, at + n))
+            at, i = at + n, i + 1
+    merged = spark.createDataFrame(rows, "key string, phrase_ix long, pos long, len long, is_literal boolean, text_start long, text_end long")
+    t = spark.createDataFrame(list(texts.items()), "key string, text string")
+    for edits in (0, 2):
+        limited = phrases.kernel_limits(merged, 6, edits)
+        a = phrases.kernel_texts(phrases.kernel_pieces(limited, t, 6, edits)).collect()
+        b = phrases.kernels_of(limited, t, 6, edits).collect()
+        assert {r.key: r.kernel for r in a} == {r.key: r.kernel for r in b}
+
+
+def test_symbols_are_not_lost(spark):
+    t = spark.createDataFrame([("k", "AC€GT")], "key string, text string")
+    with pytest.raises(Exception, match="U\\+00FF"):
+        parses.lz77_phrases(t).collect()
