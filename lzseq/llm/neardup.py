@@ -120,8 +120,8 @@ BLOCK, BLOCK_BYTES = 512, 64 << 20
 STAND = 2
 #: Up to so many ids are broadcast to a scan of the documents (16 MB); beyond it, that join shuffles.
 BROADCAST_IDS = 2_000_000
-#: Rows of a key from which on its label is broadcast.
-HOT_ROWS = 100_000
+#: Labels of up to so many keys are broadcast to any rows (some 3 MB); of more keys, those of keys with so many rows are.
+BROADCAST_LABELS, HOT_ROWS = 50_000, 100_000
 
 
 def forest(size: int, near) -> list[tuple[int, int]]:
@@ -279,47 +279,54 @@ def stand_ins(size: int, edges: list[tuple[int, int]]) -> list[int]:
     return [k for k in range(size) if root[k] == most][:STAND]
 
 
-def with_labels(rows: DataFrame, labels: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+def with_labels(rows: DataFrame, labels: DataFrame, on: list[str], how: str = "inner", hot: DataFrame | None = None) -> DataFrame:
     """rows joined to labels, which have a row for each key, however many rows a key has.
 
-    Few labels are broadcast. Of many, those of keys with more than HOT_ROWS rows are, and the rest shuffles.
+    Few labels are broadcast. Of many, those of keys with more than HOT_ROWS rows are, and the rest shuffles. hot: these
+    keys, where they are known; else they are counted.
     """
-    if labels.count() <= BROADCAST_IDS:
+    if labels.count() <= BROADCAST_LABELS:
         return rows.join(F.broadcast(labels), on, how)
-    hot = F.broadcast(rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*on).checkpoint())
+    if hot is None:
+        hot = rows.groupBy(*on).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > HOT_ROWS).select(*on)
+    hot = hot.checkpoint()
+    if hot.isEmpty():
+        return rows.join(labels, on, how)
+    hot = F.broadcast(hot)
     return rows.join(hot, on, "left_anti").join(labels, on, how).unionByName(rows.join(hot, on, "left_semi").join(F.broadcast(labels.join(hot, on, "left_semi")), on, how))
 
 
 def by_blocks(members: DataFrame, large: DataFrame | None, fetch, data: list[str], kind) -> DataFrame:
     """Edges (a, b) that connect what is near within each group of members (group, id, blocks).
 
-    large has the members of groups of several blocks; fetch adds the data columns to rows with ids. A group of one block is one task. A larger one takes three steps: each
-    block by itself; members that stand for the blocks with each other, which connects the blocks of one cluster; and
-    what then isn't in the group's largest connected part with all blocks. So each row of a cluster is sent a few times,
-    and only rows beside it go to all blocks; no link is left out.
+    large has the members of groups of several blocks; fetch adds the data columns to rows with ids. A group of one block
+    is one task. A larger one takes three steps: each block by itself; members that stand for the blocks with each other,
+    which connects the blocks of one cluster; and what then isn't in the group's largest connected part with all blocks.
+    So each row of a cluster is sent a few times, and only rows beside it go to all blocks; no link is left out.
     """
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     none = F.lit(-1)
-    first = compared(fetch(members.select("group", "id", own.alias("lo"), own.alias("hi"), none.alias("side"), F.col("id").alias("part"))), data, kind).checkpoint()
+    first = compared(fetch(members.select("group", "id", own.alias("lo"), own.alias("hi"), none.alias("side"), F.col("id").alias("part"))), data, kind)
     links = lambda found: found.where("a < b").select("a", "b")
-    edges = links(first).distinct().checkpoint()
     if large is None:
-        return edges
+        return links(first).distinct().checkpoint()
+    first = first.checkpoint()
+    held = fetch(large.select("group", "id", "blocks")).checkpoint()
     stands = first.where("grp is not null").select(F.col("grp").alias("group"), F.col("a").alias("id")).join(F.broadcast(large.select("group").distinct()), "group", "left_semi").distinct().checkpoint()
     stands = with_labels(stands, stands.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).checkpoint(), ["group"])
-    dealt = fetch(stands.select("group", "id", "blocks", own.alias("own"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    second = links(compared(dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": none, "part": F.col("id")}), data, kind)).distinct().checkpoint()
-    edges = edges.unionByName(second).distinct().checkpoint()
+    dealt = held.drop("blocks").join(F.broadcast(stands) if stands.count() <= BROADCAST_IDS else stands, ["group", "id"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    second = links(compared(dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": none, "part": F.col("id")}), data, kind))
+    edges = links(first).unionByName(second).distinct().checkpoint()
 
-    ids = large.select("id").distinct().checkpoint()
+    ids = held.select("id").distinct().checkpoint()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     among = edges.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    large = with_labels(large, components(among), ["id"], "left").withColumn("part", F.coalesce("component", "id")).drop("component").checkpoint()
-    counts = large.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
+    parts = held.select("group", "id").join(components(among), "id", "left").select("group", "id", F.coalesce("component", "id").alias("part")).checkpoint()
+    counts = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
     main = counts.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("beside")).where("beside > 0").withColumn("seats", F.ceil(F.col("beside") / F.lit(BLOCK))).checkpoint()
     if main.isEmpty():
         return edges
-    rows = fetch(with_labels(large, main, ["group"]).select("group", "id", "blocks", "part", "main", "seats"))
+    rows = held.join(with_labels(parts, main, ["group"]), ["group", "id"])
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     residents = rows.withColumn("lo", own).withColumn("hi", to("seats")).withColumn("side", F.lit(0))
     visitors = rows.where("part <> main").withColumn("hi", F.pmod(F.xxhash64("id", F.lit(1)), F.col("seats"))).withColumn("lo", to("blocks")).withColumn("side", F.lit(1))
@@ -333,7 +340,7 @@ def candidate_links(classes: DataFrame) -> DataFrame:
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", 1 + i * width, F.lit(width))))
     banded = classes.select("id", F.explode(keys).alias("group"))
     shared = banded.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("group", F.ceil(F.col("size") / BLOCK).alias("blocks")).checkpoint()
-    members = with_labels(banded, shared, ["group"])
+    members = with_labels(banded, shared, ["group"], hot=shared.where(F.col("blocks") > HOT_ROWS // BLOCK).select("group"))
     hot = shared.where("blocks > 1")
     large = with_labels(banded, hot, ["group"]).checkpoint() if not hot.isEmpty() else None
     return by_blocks(members, large, lambda rows: rows.join(classes.select("id", "n", "registers"), "id"), ["n", "registers"], Sketches)
@@ -411,10 +418,10 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     shared_folder(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     rows = sketched(docs, words).checkpoint()
-    classes = rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers")).checkpoint()
+    classes = rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies")).checkpoint()
     labels = components(confirmed_links(components(candidate_links(classes)), classes, docs, words))
     by_class = classes.join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component")).checkpoint()
-    return with_labels(rows.select("doc_id", "n_shingles", "d1", "d2"), by_class, ["d1", "d2"], "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    return with_labels(rows.select("doc_id", "n_shingles", "d1", "d2"), by_class, ["d1", "d2"], "left", classes.where(F.col("copies") > HOT_ROWS).select("d1", "d2")).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
 def unique(docs: DataFrame, words: int = 5) -> DataFrame:

@@ -57,6 +57,9 @@ def copies(rng):
 @pytest.mark.parametrize("words, block", [(2, 512), (2, 7), (5, 512)])
 def test_components_equal_brute_force(spark, monkeypatch, words, block):
     monkeypatch.setattr(neardup, "BLOCK", block)
+    if block == 7:
+        monkeypatch.setattr(neardup, "BROADCAST_LABELS", 0)
+        monkeypatch.setattr(neardup, "HOT_ROWS", 8)
     texts = copies(random.Random(words)) + ODD
     n, component = brute(texts, words)
     got = {r.doc_id: r for r in neardup.near_duplicates(table(spark, texts), words).collect()}
@@ -72,6 +75,19 @@ def test_hot_group_of_copies(spark):
     assert Counter(r.component_id for r in got)[0] == 600 and sum(r.kept for r in got) == 51
 
 
+def test_rows_of_a_hot_group_are_sent_a_few_times(spark, monkeypatch):
+    rng = random.Random(4)
+    base = prose(rng, 60)
+    texts = [base + " " + prose(rng, 2) for _ in range(700)] + [prose(rng, 60) for _ in range(20)]
+    sent = []
+    compared = neardup.compared
+    monkeypatch.setattr(neardup, "BLOCK", 20)
+    monkeypatch.setattr(neardup, "compared", lambda dealt, data, kind: sent.append((kind.__name__, dealt.count())) or compared(dealt, data, kind))
+    got = neardup.near_duplicates(table(spark, texts)).collect()
+    assert Counter(r.component_id for r in got)[0] == 700 and sum(r.kept for r in got) == 21
+    assert sum(n for kind, n in sent if kind == "FullSets") < 3 * 700 < 700 * 700 / 20  # pairs of blocks would be 35 times as many
+
+
 def test_edges_of_tables(spark):
     assert neardup.near_duplicates(table(spark, ["a"]).limit(0)).count() == 0
     docs = table(spark, ["a b c", "a b c", None, "q r s", "a b c"], ids=[5, 3, 9, None, 3])
