@@ -21,8 +21,8 @@ def parser() -> argparse.ArgumentParser:
     number = lambda default: dict(type=int, default=default)
     command("compress-lines", "relative parses of aligned lines by stripes", path=word(), out=word(), chunks=number(100), reference_size=number(10), format=dict(choices=("table", "u64", "u32", "vbyte"), default="table"))
     command("compress-taxa", "relative parses of FASTA by taxon", path=word(), out=word(), quotient=dict(type=float, default=0.33), most=number(1000), format=dict(choices=("table", "u64", "u32", "vbyte"), default="table"))
-    command("index", "an index of FASTA files", path=word(), out=word(), max_query_len=number(100), max_edit_distance=number(0), method=dict(choices=("lz77", "lz77_leftmost", "rlz"), default="lz77"), prefix_chars=number(None), block_chars=number(262_144))
-    command("merge", "indexes of different keys as one", out=word(), parts=word(nargs="+"))
+    command("index", "an index of FASTA files", path=word(), out=word(), max_query_len=number(100), max_edit_distance=number(0), method=dict(choices=("lz77", "lz77_leftmost", "rlz", "relative"), default="lz77"), prefix_chars=number(None), block_chars=number(262_144))
+    command("merge", "indexes as one", out=word(), parts=word(nargs="+"))
     command("find", "all places of patterns in an index", index=word(), patterns=word(), out=word())
     command("align", "reads in FASTA sequences as SAM", path=word(), reads=word(), out=word(), mates=dict(default=None), seed=number(20), mismatches=number(3), report=dict(choices=("ALL", "BEST"), default="BEST"), mapped_only=dict(action="store_true"))
     command("space", "what an index takes", index=word())

@@ -221,6 +221,18 @@ def entries() -> dict:
     # Search
     add("find_all", lambda s, d: search.find_all(sequence_index(s, d), tiles(s, d)).where("fits").select("query_id", "seq_id", "seq_pos"), f"WITH {_NAIVE} SELECT query_id, seq_id, seq_pos FROM hit")
     add("find_counts", lambda s, d: search.find_all(sequence_index(s, d), tiles(s, d)).where("fits").groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("seq_id").alias("n_seqs")), f"WITH {_NAIVE} SELECT query_id, count(*) AS n, count(DISTINCT seq_id) AS n_seqs FROM hit GROUP BY query_id")
+    def merge_index(s, d):
+        parts = []
+        for k in (0, 1):  # ids begin at 0 in both, and both have the same groups
+            half = grouped(s, d).where(F.col("seq_id") % 2 == k).withColumn("seq_id", F.floor(F.col("seq_id") / 2).cast("bigint"))
+            part = index.over_sequences(half, index.Parameters(max_query_len=_TILE))
+            part.names = half.select("seq_id", F.concat(F.lit("d"), (F.col("seq_id") * 2 + k).cast("string")).alias("name"), F.length("seq").cast("bigint").alias("length"))
+            parts.append(part)
+        whole = index.merge(parts)
+        return search.find_all(whole, tiles(s, d)).where("fits").join(whole.names, "seq_id").select("query_id", "name", "seq_pos")
+
+    add("merge_index", merge_index, f"WITH {_NAIVE} SELECT query_id, 'd' || CAST(seq_id AS VARCHAR) AS name, seq_pos FROM hit")
+    add("find_relative", lambda s, d: search.find_all(index.over_groups(seqs(s, d), index.Parameters(max_query_len=_TILE)), tiles(s, d)).where("fits").select("query_id", "seq_id", "seq_pos"), f"WITH {_NAIVE} SELECT query_id, seq_id, seq_pos FROM hit")
     add("locate_text", lambda s, d: search.located(texts_of(s, d).select(F.col("key").cast("string").alias("key"), F.col("text").alias("kernel")), tiles(s, d), _TILE).select("key", "query_id", "pos"), f"WITH {_NAIVE} SELECT CAST(seq_id AS VARCHAR) AS key, query_id, seq_pos AS pos FROM hit")
     reads_sql = f"reads AS (SELECT item_id AS query_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{C.LETTERS}', '{C.BASES}') AS r FROM benchmark), seed AS (SELECT query_id, r, i * {_TILE} AS off, substr(r, i * {_TILE} + 1, {_TILE}) AS seed FROM (SELECT *, unnest(range(0, length(r) // {_TILE})) AS i FROM reads)), place AS (SELECT seq_id, seq, unnest(range(0, length(seq) - {_TILE - 1})) AS p FROM seqs), start AS (SELECT DISTINCT query_id, r, seq_id, seq, p - off AS pos FROM place JOIN seed ON substr(seq, p + 1, {_TILE}) = seed WHERE p >= off)"
     add("reads_seed_align", lambda s, d: search.seed_align(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), C.as_bases(F.col("text")).alias("pattern")), texts_of(s, d).withColumn("key", F.col("key").cast("string")), _TILE, 3), f"WITH {_SEQS}, {reads_sql} SELECT query_id, CAST(seq_id AS VARCHAR) AS key, pos, CAST(hamming(substr(seq, pos + 1, length(r)), r) AS INTEGER) AS mismatches FROM start WHERE length(substr(seq, pos + 1, length(r))) = length(r) AND hamming(substr(seq, pos + 1, length(r)), r) <= 3")

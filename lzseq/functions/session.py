@@ -19,6 +19,12 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether there is such a file or folder in any file system that Spark reads."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark reads; nothing where there is none."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -17,21 +17,47 @@ BROADCAST_GROUPS = 1_000_000
 BLOCK_CHARS = 262_144
 
 
+def cut_long(seqs: DataFrame, size: int, overlap: int, group: str = "groupname") -> DataFrame:
+    """(seq_id, group, seq, from): sequences of up to size characters whole, longer ones in parts of that size that begin
+    `overlap` characters before the last one's end; from is the part's place. Whatever fits into overlap + 1 characters is in a part whole."""
+    if size <= overlap:
+        raise ValueError("parts must be longer than their overlap")
+    step = size - overlap
+    types = dict(seqs.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                text = batch.column("seq")[r].as_py()
+                starts = list(range(0, max(1, len(text) - overlap), step))
+                for at in range(0, len(starts), 64):
+                    some = starts[at : at + 64]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("seq_id")[r], len(some)), pa.repeat(batch.column(group)[r], len(some)), pa.array([text[x : x + size] for x in some], pa.string()), pa.array(some, pa.int64())], names=["seq_id", group, "seq", "from"])
+
+    rows = seqs.select("seq_id", group, "seq")
+    short = rows.where(F.length("seq") <= size).withColumn("from", F.lit(0).cast("bigint"))
+    return short.unionByName(rows.where(F.length("seq") > size).mapInArrow(run, f"seq_id {types['seq_id']}, `{group}` {types[group]}, seq string, `from` bigint"))
+
+
 def block_texts(seqs: DataFrame, group: str = "groupname", size: int = BLOCK_CHARS) -> tuple[DataFrame, DataFrame]:
-    """(texts, catalogue) of sequences packed into blocks: (key, text), and (key, seq_ix, seq_id, length, start, end).
+    """(texts, catalogue) of sequences packed into blocks: (key, text), and (key, seq_ix, seq_id, length, start, end, from).
 
-    A text is its block's sequences in the order of seq_id. A sequence longer than size is a block's text alone or with few.
+    A text is its block's sequences in the order of seq_id; from (0 where seqs doesn't have it) is a part's place in its
+    sequence. A sequence longer than size is a block's text alone or with few; cut_long() before keeps blocks to the size.
     """
     from pyspark.sql import Window
 
     from .chunks import with_blocks
 
-    rows = with_blocks(seqs, group, size).withColumn("key", F.concat_ws("/", group, F.col("block").cast("string")))
+    if "from" not in seqs.columns:
+        seqs = seqs.withColumn("from", F.lit(0).cast("bigint"))
+    dealt = with_blocks(seqs.withColumn("_id", F.col("seq_id")).withColumn("seq_id", F.when(F.col("from") == 0, F.col("seq_id")).otherwise(F.xxhash64("seq_id", "from"))), group, size).withColumn("seq_id", F.col("_id"))
+    rows = dealt.withColumn("key", F.concat_ws("/", group, F.col("block").cast("string")))
     rows = rows.withColumn("length", F.length("seq").cast("bigint"))
-    w = Window.partitionBy("key").orderBy("seq_id")
+    w = Window.partitionBy("key").orderBy("seq_id", "from")
     end = F.sum("length").over(w.rowsBetween(Window.unboundedPreceding, 0))
-    catalogue = rows.select("key", (F.row_number().over(w) - 1).cast("bigint").alias("seq_ix"), "seq_id", "length", (end - F.col("length")).alias("start"), end.alias("end"))
-    ordered = F.array_sort(F.collect_list(F.struct("seq_id", "seq")))
+    catalogue = rows.select("key", (F.row_number().over(w) - 1).cast("bigint").alias("seq_ix"), "seq_id", "length", (end - F.col("length")).alias("start"), end.alias("end"), "from")
+    ordered = F.array_sort(F.collect_list(F.struct("seq_id", "from", "seq")))
     texts = rows.groupBy("key").agg(F.array_join(F.transform(ordered, lambda x: x["seq"]), "").alias("text"))
     return texts, catalogue
 

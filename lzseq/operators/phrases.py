@@ -63,8 +63,9 @@ def merge_short(phrases: DataFrame, context: int, hot: bool | None = None) -> Da
 
 
 def grid(merged: DataFrame) -> DataFrame:
-    """Copies as source intervals [x, x_end) with where they are copied to."""
-    return merged.where(~F.col("is_literal")).select("key", F.col("pos").alias("x"), (F.col("pos") + F.col("len")).alias("x_end"), "phrase_ix", "text_start")
+    """Copies as source intervals [x, x_end) of key with where they are copied to; in to_key, where phrases have a source."""
+    apart = "source" in merged.columns
+    return merged.where(~F.col("is_literal")).select(*([F.coalesce("source", "key").alias("key"), F.col("key").alias("to_key")] if apart else ["key"]), F.col("pos").alias("x"), (F.col("pos") + F.col("len")).alias("x_end"), "phrase_ix", "text_start")
 
 
 def piece_length(context: int, edits: int = 0) -> Column:

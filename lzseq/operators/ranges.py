@@ -24,8 +24,9 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end
 
 def copies_of(occurrences: DataFrame, grid: DataFrame, bin_size: int = 4096) -> DataFrame:
     """Occurrences (key, query_id, pos, m) inside a copy's source, moved to the copy: as many rows as such copies."""
-    hit = range_join(occurrences, grid.select("key", "x", "x_end", "text_start"), "pos", "x", "x_end", ["key"], bin_size)
-    return hit.where(F.col("pos") + F.col("m") <= F.col("x_end")).select("key", "query_id", (F.col("text_start") + F.col("pos") - F.col("x")).alias("pos"), "m")
+    to = "to_key" if "to_key" in grid.columns else "key"
+    hit = range_join(occurrences, grid.select("key", F.col(to).alias("_to"), "x", "x_end", "text_start"), "pos", "x", "x_end", ["key"], bin_size)
+    return hit.where(F.col("pos") + F.col("m") <= F.col("x_end")).select(F.col("_to").alias("key"), "query_id", (F.col("text_start") + F.col("pos") - F.col("x")).alias("pos"), "m")
 
 
 def closure(occurrences: DataFrame, grid: DataFrame, bin_size: int = 4096, most_rounds: int = 10_000) -> DataFrame:

@@ -53,9 +53,14 @@ def primary(hits: DataFrame, limited: DataFrame, aligned: bool = False, bin_size
 
 
 def placed(occurrences: DataFrame, catalogue: DataFrame, bin_size: int = 4096) -> DataFrame:
-    """Text positions as positions within sequences: adds seq_id, seq_pos and fits; what overlaps two sequences doesn't fit."""
-    rows = ranges.range_join(occurrences, catalogue.select("key", "seq_id", "start", "end"), "pos", "start", "end", ["key"], bin_size)
-    return rows.withColumn("seq_pos", F.col("pos") - F.col("start")).withColumn("fits", F.col("pos") + F.col("m") <= F.col("end")).drop("start", "end")
+    """Text positions as positions within sequences: adds seq_id, seq_pos and fits; what overlaps two sequences doesn't fit.
+
+    Where the catalogue has parts of sequences (from), a place in two parts that overlap comes twice, with one seq_pos.
+    """
+    extra = ["from"] if "from" in catalogue.columns else []
+    rows = ranges.range_join(occurrences, catalogue.select("key", "seq_id", "start", "end", *extra), "pos", "start", "end", ["key"], bin_size)
+    at = F.col("pos") - F.col("start")
+    return rows.withColumn("seq_pos", at + F.col("from") if extra else at).withColumn("fits", F.col("pos") + F.col("m") <= F.col("end")).drop("start", "end", *extra)
 
 
 def seeds(reads: DataFrame, k: int, mismatches: int | None = None) -> DataFrame:
@@ -97,8 +102,15 @@ def seed_align(reads: DataFrame, texts: DataFrame, k: int, mismatches: int) -> D
 
 
 def find_all(index, patterns: DataFrame) -> DataFrame:
-    """(query_id, key, pos, seq_id, seq_pos, fits, m) of all places of the patterns in an index (plans.index.Index)."""
+    """(query_id, key, pos, seq_id, seq_pos, fits, m) of all places of the patterns in an index (plans.index.Index), each once; seq_ids are unique.
+
+    Places that fit are in one sequence; of others seq_id and seq_pos are those of their first character. No patterns,
+    or an empty index, give no rows; a null or empty pattern, or one longer than the index allows, raises.
+    """
     p = index.parameters
     hits = located(index.kernels, patterns, p.max_query_len)
     first = primary(hits, index.limited)
-    return placed(ranges.closure(first, phrases.grid(index.merged)), index.catalogue)
+    rows = placed(ranges.closure(first, phrases.grid(index.merged)), index.catalogue)
+    # A place across the end of a part is in the next part whole.
+    best = rows.groupBy("query_id", "seq_id", "seq_pos", "m").agg(F.max(F.struct("fits", "key", "pos")).alias("x"))
+    return best.select("query_id", "x.key", "x.pos", "seq_id", "seq_pos", "x.fits", "m")

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.session import shared_folder
-from ..operators import parses, phrases
+from ..functions.columns import group_key
+from ..functions.session import exists, shared_folder
+from ..operators import dictionaries, parses, phrases
 
 
 @dataclass(frozen=True)
@@ -20,8 +22,8 @@ class Parameters:
     kernel: str = "exact"
 
     def __post_init__(self):
-        if self.max_query_len < 1 or self.max_edit_distance < 0 or len(self.separator) != 1:
-            raise ValueError("max_query_len must be at least 1, max_edit_distance at least 0, the separator one character")
+        if self.max_query_len < 1 or self.max_edit_distance < 0 or len(self.separator) > 1:
+            raise ValueError("max_query_len must be at least 1, max_edit_distance at least 0, the separator one character, or none for one that no text has")
 
     @property
     def context(self) -> int:
@@ -30,17 +32,22 @@ class Parameters:
 
 @dataclass
 class Index:
-    """limited: merged phrases with text and kernel limits; kernels: (key, kernel); catalogue: where sequences lie."""
+    """limited: merged phrases with text and kernel limits and, where copies are from another key, source; kernels: (key, kernel);
+    catalogue: where sequences lie, from being the place of a part within its sequence; names: (seq_id, name, length), or None."""
 
     parameters: Parameters
     limited: DataFrame
     kernels: DataFrame
     catalogue: DataFrame
+    names: DataFrame | None = None
 
     @property
     def merged(self) -> DataFrame:
         return self.limited
 
+    def tables(self) -> dict[str, DataFrame]:
+        return {k: getattr(self, k) for k in ("limited", "kernels", "catalogue", "names") if getattr(self, k) is not None}
+
     def space(self) -> DataFrame:
         """Characters of texts and kernels, phrases and copies of each key, and the kernel's share of the text."""
         rows = self.limited.groupBy("key").agg(F.max("text_end").alias("text_chars"), F.max("k_end").alias("kernel_chars"), F.count(F.lit(1)).alias("n_phrases"), F.sum((~F.col("is_literal")).cast("bigint")).alias("n_copies"))
@@ -51,14 +58,15 @@ class Index:
 
     def save(self, path: str) -> None:
         spark = self.limited.sparkSession
-        for name in ("limited", "kernels", "catalogue"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
+        for name, table in self.tables().items():
+            table.write.mode("overwrite").parquet(f"{path}/{name}")
         spark.createDataFrame([tuple(asdict(self.parameters).values())], ", ".join(f"`{k}` {'string' if isinstance(v, str) else 'int'}" for k, v in asdict(self.parameters).items())).write.mode("overwrite").parquet(f"{path}/parameters")
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         p = Parameters(**spark.read.parquet(f"{path}/parameters").first().asDict())
-        return Index(p, *(spark.read.parquet(f"{path}/{name}") for name in ("limited", "kernels", "catalogue")))
+        names = spark.read.parquet(f"{path}/names") if exists(spark, f"{path}/names") else None
+        return Index(p, *(spark.read.parquet(f"{path}/{name}") for name in ("limited", "kernels", "catalogue")), names)
 
 
 def parse(texts: DataFrame, method: str = "lz77", prefix_chars: int | None = None) -> DataFrame:
@@ -79,36 +87,91 @@ def parse(texts: DataFrame, method: str = "lz77", prefix_chars: int | None = Non
 
 def kernelize(texts: DataFrame, parsed: DataFrame, parameters: Parameters) -> tuple[DataFrame, DataFrame]:
     """(limited, kernels) of texts (key, text) and their parses, without a search structure."""
+    shared_folder(texts.sparkSession)
     c, k = parameters.context, parameters.max_edit_distance
-    limited = phrases.kernel_limits(phrases.merge_short(parsed, c), c, k)
-    limited = limited.checkpoint()
+    limited = phrases.kernel_limits(phrases.merge_short(parsed, c), c, k).checkpoint()
     return limited, phrases.kernels_of(limited, texts, c, k, parameters.separator)
 
 
-def build(texts: DataFrame, catalogue: DataFrame, parameters: Parameters = Parameters(), method: str = "lz77", prefix_chars: int | None = None, checkpoint: bool = True) -> Index:
-    """An index over texts. checkpoint keeps the parse, so that it isn't computed for the limits and the kernels each."""
+def with_separator(texts: DataFrame, parameters: Parameters) -> Parameters:
+    """The parameters with a separator that no text has, where they leave it open; raises on a given one that a text has."""
+    if not parameters.separator:
+        return replace(parameters, separator=phrases.separator(texts).first()[0])
+    if not texts.where(F.contains("text", F.lit(parameters.separator))).isEmpty():
+        raise ValueError(f"a text has the separator {parameters.separator!r}")
+    return parameters
+
+
+def build(texts: DataFrame, catalogue: DataFrame, parameters: Parameters = Parameters(), method: str = "lz77", prefix_chars: int | None = None, checkpoint: bool = True, parsed: DataFrame | None = None) -> Index:
+    """An index over texts, parsed by method or as given in parsed (key, phrase_ix, pos, len).
+
+    checkpoint keeps the parse, so that it isn't computed for the limits and the kernels each. Null and empty texts have
+    no rows in it.
+    """
     shared_folder(texts.sparkSession)
-    parsed = parse(texts, method, prefix_chars)
+    parameters = with_separator(texts, parameters)
+    parsed = parse(texts, method, prefix_chars) if parsed is None else parsed
     if checkpoint:
         parsed = parsed.checkpoint()
     limited, kernels = kernelize(texts, parsed, parameters)
-    if checkpoint:
-        kernels = kernels.checkpoint()
-    return Index(parameters, limited, kernels, catalogue)
+    return Index(parameters, limited, kernels.checkpoint() if checkpoint else kernels, catalogue)
 
 
 def over_sequences(seqs: DataFrame, parameters: Parameters = Parameters(), group: str = "groupname", block_chars: int = parses.BLOCK_CHARS, **options) -> Index:
-    """An index over sequences (seq_id, seq, group), packed into blocks."""
+    """An index over sequences (seq_id, seq, group), packed into blocks. Sequences longer than a block are cut into parts that overlap by what a query may take, so no task parses more than a block."""
     shared_folder(seqs.sparkSession)
-    texts, catalogue = parses.block_texts(seqs, group, block_chars)
+    texts, catalogue = parses.block_texts(parses.cut_long(seqs, block_chars, parameters.context, group), group, block_chars)
     return build(texts.checkpoint(), catalogue.checkpoint(), parameters, **options)
 
 
+def over_groups(seqs: DataFrame, parameters: Parameters = Parameters(), quotient: float = dictionaries.QUOTIENT, most: int = dictionaries.MOST, block_chars: int = parses.BLOCK_CHARS) -> Index:
+    """An index over sequences (seq_id, header, seq) by relative parses: of each group the dictionary is kept whole, the
+    other sequences as copies from it.
+
+    The dictionary of a group is a key of its own, one literal phrase; the others are packed into blocks, whose copies
+    have the dictionary as source. So the index grows with what is new in a sequence, a hot group is many blocks, and all
+    copies are found in one round. Sequences without bases have no place in it.
+    """
+    shared_folder(seqs.sparkSession)
+    selection = dictionaries.taxon_selection(seqs, quotient, most).checkpoint()
+    head_key = F.concat("groupname", F.lit("/dictionary"))
+    heads = dictionaries.texts(selection, seqs).where(F.length("text") > 0).checkpoint()
+    chosen = selection.select("seq_id")
+    rest = seqs.select("seq_id", group_key(F.col("header")).alias("groupname"), "seq").where(F.length("seq") > 0).join(chosen, "seq_id", "left_anti")
+    texts, catalogue = parses.block_texts(parses.cut_long(rest, block_chars, parameters.context), "groupname", block_chars)
+    texts = texts.checkpoint()
+    parameters = with_separator(texts.select("text").unionByName(heads.select("text")), parameters)
+    group = F.regexp_replace("key", "/[^/]*$", "")
+    parsed = parses.rlz_by_group(texts.select(group.alias("groupname"), "key", F.xxhash64("key").alias("seq_id"), F.col("text").alias("seq")), heads.withColumnRenamed("text", "dictionary"), "groupname", ["key", "seq_id"], leftmost=False)
+    parsed = parsed.select("key", "phrase_ix", "pos", "len", head_key.alias("source")).checkpoint()
+    limited, kernels = kernelize(texts, parsed, parameters)
+    n, zero = F.length("text").cast("bigint"), F.lit(0).cast("bigint")
+    whole = heads.select(head_key.alias("key"), zero.alias("phrase_ix"), zero.alias("pos"), n.alias("len"), F.lit(True).alias("is_literal"), zero.alias("text_start"), n.alias("text_end"), head_key.alias("source"), F.lit(True).alias("is_last"), zero.alias("k_start"), n.alias("k_end"))
+    at = dictionaries.offsets(selection).where("length > 0").select(head_key.alias("key"), (F.col("dict_ord") - 1).cast("bigint").alias("seq_ix"), "seq_id", F.col("length").cast("bigint").alias("length"), F.col("dict_start").alias("start"), F.col("dict_end").alias("end"), zero.alias("from"))
+    return Index(parameters, limited.unionByName(whole), kernels.unionByName(heads.select(head_key.alias("key"), F.col("text").alias("kernel"))).checkpoint(), catalogue.unionByName(at).checkpoint())
+
+
 def merge(parts: list[Index]) -> Index:
-    """Parts with different keys as one index; they must share their parameters."""
-    if len({p.parameters for p in parts}) != 1:
+    """Indexes as one, as if their sequences had been numbered one after the other; they must share their parameters but for the separator.
+
+    Keys get the part's number, and ids move by the ids before (a row a part) or, if they are text, get that number too;
+    so parts may have the same keys and ids.
+    """
+    if len({replace(p.parameters, separator="$") for p in parts}) != 1:
         raise ValueError("parts of an index must have the same parameters")
-    tables = {name: getattr(parts[0], name) for name in ("limited", "kernels", "catalogue")}
-    for p in parts[1:]:
-        tables = {name: t.unionByName(getattr(p, name)) for name, t in tables.items()}
-    return Index(parts[0].parameters, **tables)
+    if len({p.names is None for p in parts}) != 1:
+        raise ValueError("either all parts of an index have names or none")
+    moved, by = [], 0
+    for n, p in enumerate(parts):
+        key = F.concat(F.lit(f"{n}/"), "key")
+        tables = {k: t.withColumn("key", key) if "key" in t.columns else t for k, t in p.tables().items()}
+        source = F.concat(F.lit(f"{n}/"), "source") if "source" in p.limited.columns else F.col("key")
+        tables["limited"] = tables["limited"].withColumn("source", source)
+        for k in ("catalogue", "names"):
+            if k in tables:
+                tables[k] = tables[k].withColumn("seq_id", F.concat(F.lit(f"{n}/"), "seq_id") if dict(tables[k].dtypes)["seq_id"] == "string" else F.col("seq_id") + by)
+        moved.append(tables)
+        top = p.catalogue.agg(F.max("seq_id")).first()[0]
+        last = p.names.agg(F.max("seq_id")).first()[0] if p.names is not None else None
+        by += max([x + 1 for x in (top, last) if isinstance(x, int)], default=0)
+    return Index(parts[0].parameters, **{k: reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), (t[k] for t in moved)) for k in moved[0]})

@@ -46,15 +46,24 @@ def compress_taxa(seqs: DataFrame, quotient: float = dictionaries.QUOTIENT, most
 def index_fasta(spark: SparkSession, path: str, out: str, parameters: index.Parameters, **options) -> None:
     """Builds an index of FASTA files, grouped by taxon and chromosome, and saves it."""
     seqs = fasta_sequences(spark, path).withColumn("groupname", C.group_key(F.col("header"))).checkpoint()
-    built = index.over_sequences(seqs.select("seq_id", "groupname", "seq"), parameters, **options)
+    if options.get("method") == "relative":
+        built = index.over_groups(seqs, parameters, block_chars=options["block_chars"])
+    else:
+        built = index.over_sequences(seqs.select("seq_id", "groupname", "seq"), parameters, **options)
+    built.names = names_of(seqs)
     built.save(out)
-    seqs.select("seq_id", C.first_token(F.col("header")).alias("name"), F.length("seq").cast("bigint").alias("length")).write.mode("overwrite").parquet(f"{out}/names")
+
+
+def names_of(seqs: DataFrame) -> DataFrame:
+    """(seq_id, name, length) of sequences (seq_id, header, seq)."""
+    return seqs.select("seq_id", C.first_token(F.col("header")).alias("name"), F.length("seq").cast("bigint").alias("length"))
 
 
 def find_patterns(spark: SparkSession, folder: str, patterns: str) -> DataFrame:
     """(query_id, name, pos, m) of all places of the patterns of a file in a saved index."""
-    found = search.find_all(index.Index.load(spark, folder), readers.patterns(spark, patterns))
-    names = spark.read.parquet(f"{folder}/names").select("seq_id", "name")
+    loaded = index.Index.load(spark, folder)
+    found = search.find_all(loaded, readers.patterns(spark, patterns))
+    names = loaded.names.select("seq_id", "name")
     return found.where("fits").join(names, "seq_id").select("query_id", "name", F.col("seq_pos").alias("pos"), "m")
 
 

@@ -57,3 +57,59 @@ def test_commands(spark, tmp_path):
     assert spark.read.parquet(p("c/files")).count() >= 6
     main(["compress-taxa", fa, p("t")])
     assert spark.read.parquet(p("t/phrases")).count() > 0
+
+
+def test_merged_index_by_commands(spark, tmp_path):
+    rng = random.Random(4)
+    p = lambda x: str(tmp_path / x)
+    base = dna(rng, 200)
+    both = []
+    for k in (0, 1):
+        records = [(f"S{k}{i} Genus one chromosome 1, scaffold", base[10 * i :] + dna(rng, 20)) for i in range(3)]
+        (tmp_path / f"{k}.fa").write_text("".join(f">{h}\n{s}\n" for h, s in records))
+        both += records
+        main(["index", p(f"{k}.fa"), p(f"i{k}"), "--max-query-len", "20", "--method", ("lz77", "relative")[k]])
+    main(["merge", p("i"), p("i0"), p("i1")])
+    main(["merge", p("ii"), p("i"), p("i0")])
+    patterns = [base[50:65], both[4][1][-12:], "ACG"]
+    (tmp_path / "q.txt").write_text("\n".join(patterns) + "\n")
+    for folder, records in (("i", both), ("ii", both + both[:3])):
+        main(["find", p(folder), p("q.txt"), p(folder + "found")])
+        got = sorted((r.query_id, r.name, r.pos) for r in spark.read.parquet(p(folder + "found")).collect())
+        assert got == sorted((q, h.split()[0], i) for q, x in enumerate(patterns) for h, s in records for i in range(len(s)) if s.startswith(x, i))
+
+
+def test_relative_index_is_small(spark):
+    from lzseq.operators import search
+    from lzseq.plans import index
+
+    rng = random.Random(5)
+    base = dna(rng, 6000)
+    seqs = []
+    for i in range(60):
+        s = list(base)
+        for _ in range(4):
+            s[rng.randrange(len(s))] = rng.choice("ACGT")
+        seqs.append((i, f"S{i} Genus one chromosome 1, {'complete genome' if i < 2 else 'scaffold'}", "".join(s)))
+    rows = spark.createDataFrame(seqs, "seq_id long, header string, seq string")
+    built = index.over_groups(rows, index.Parameters(max_query_len=24), quotient=0.0, block_chars=40_000)
+    total = built.space().selectExpr("sum(kernel_chars) / sum(text_chars)").first()[0]
+    assert total < 0.12
+    places = [rng.randrange(5900) for _ in range(20)]
+    patterns = [(q, seqs[rng.randrange(60)][2][at : at + 24]) for q, at in enumerate(places)]
+    got = sorted((r.query_id, r.seq_id, r.seq_pos) for r in search.find_all(built, spark.createDataFrame(patterns, "query_id long, pattern string")).where("fits").collect())
+    assert got == sorted((q, i, k) for q, x in patterns for i, _, s in seqs for k in range(len(s)) if s.startswith(x, k))
+
+
+def test_long_sequences_are_cut(spark):
+    from lzseq.operators import search
+    from lzseq.plans import index
+
+    rng = random.Random(6)
+    seqs = [(i, "g", dna(rng, n)) for i, n in enumerate((0, 1, 99, 100, 101, 1000, 5321))]
+    rows = spark.createDataFrame(seqs, "seq_id long, groupname string, seq string")
+    built = index.over_sequences(rows, index.Parameters(max_query_len=12), block_chars=100)
+    assert built.space().selectExpr("max(text_chars)").first()[0] < 1000
+    patterns = list(enumerate([seqs[6][2][at : at + 12] for at in range(80, 120)] + ["ACG", seqs[5][2][-12:], seqs[3][2][88:]]))
+    got = sorted((r.query_id, r.seq_id, r.seq_pos) for r in search.find_all(built, spark.createDataFrame(patterns, "query_id long, pattern string")).where("fits").collect())
+    assert got == sorted((q, i, k) for q, x in patterns for i, _, s in seqs for k in range(len(s)) if s.startswith(x, k))

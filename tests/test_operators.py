@@ -56,8 +56,8 @@ def test_index_saves_loads_and_merges(spark, tmp_path):
     loaded = index.Index.load(spark, str(tmp_path / "i"))
     pats = [(0, "GCAA"), (1, "AC")]
     got = sorted((r.query_id, r.key, r.pos) for r in search.find_all(loaded, spark.createDataFrame(pats, "query_id long, pattern string")).collect())
-    assert got == naive(texts, pats)
-    assert loaded.space().where("key = 'a'").first().text_chars == len(TEXT)
+    assert got == naive({"0/a": texts["a"], "1/b": texts["b"]}, pats)
+    assert loaded.space().where("key = '0/a'").first().text_chars == len(TEXT)
     with pytest.raises(ValueError):
         search.find_all(loaded, spark.createDataFrame([(0, "ACGTA")], "query_id long, pattern string"))
 
