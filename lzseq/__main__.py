@@ -24,7 +24,7 @@ def parser() -> argparse.ArgumentParser:
     command("index", "an index of FASTA files", path=word(), out=word(), max_query_len=number(100), max_edit_distance=number(0), method=dict(choices=("lz77", "lz77_leftmost", "rlz", "relative"), default="lz77"), prefix_chars=number(None), block_chars=number(262_144))
     command("merge", "indexes as one", out=word(), parts=word(nargs="+"))
     command("find", "all places of patterns in an index", index=word(), patterns=word(), out=word())
-    command("align", "reads in FASTA sequences as SAM", path=word(), reads=word(), out=word(), mates=dict(default=None), seed=number(20), mismatches=number(3), report=dict(choices=("ALL", "BEST"), default="BEST"), mapped_only=dict(action="store_true"))
+    command("align", "reads in an index or in FASTA sequences as SAM", path=word(), reads=word(), out=word(), mates=dict(default=None), interleaved=dict(action="store_true"), seed=number(20), edits=number(3), gaps=dict(action="store_true"), copies=dict(choices=("ALL", "LZ", "NONE"), default="ALL"), report=dict(choices=("ALL", "BEST"), default="BEST"), mapped_only=dict(action="store_true"))
     command("space", "what an index takes", index=word())
     command("decode", "texts of binary parses", path=word(), out=word(), format=dict(choices=("u64", "u32", "vbyte"), default="u64"))
     return top
@@ -32,7 +32,7 @@ def parser() -> argparse.ArgumentParser:
 
 def main(argv: list[str] | None = None) -> None:
     from lzseq.functions import columns as C
-    from lzseq.functions.session import shared_folder
+    from lzseq.functions.session import exists, shared_folder
     from lzseq.operators import parses
     from lzseq.plans import index, jobs
     from lzseq.sinks import writers
@@ -60,9 +60,14 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "find":
         jobs.find_patterns(spark, a.index, a.patterns).write.mode("overwrite").parquet(a.out)
     elif a.command == "align":
-        seqs = jobs.fasta_sequences(spark, a.path).withColumn("name", C.first_token(F.col("header")))
-        lines = jobs.align_reads(readers.fastq(spark, a.reads, a.mates), seqs, a.seed, a.mismatches, a.report)
-        jobs.sam_file(jobs.mapped_lines(lines) if a.mapped_only else lines, seqs, a.out)
+        if exists(spark, f"{a.path}/parameters"):
+            target = index.Index.load(spark, a.path)
+            names = target.names
+        else:
+            seqs = jobs.fasta_sequences(spark, a.path).checkpoint()
+            target, names = seqs.withColumn("name", C.first_token(F.col("header"))), jobs.names_of(seqs)
+        lines = jobs.align_reads(readers.fastq(spark, a.reads, a.mates, a.interleaved), target, a.seed, a.edits, a.gaps, a.copies, a.report)
+        jobs.sam_file(jobs.mapped_lines(lines) if a.mapped_only else lines, names, a.out)
     elif a.command == "space":
         index.Index.load(spark, a.index).space().show(100, False)
     elif a.command == "decode":

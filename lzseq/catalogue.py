@@ -40,7 +40,7 @@ line2 AS (SELECT *, (sum(CAST(h AS BIGINT)) OVER (PARTITION BY file ORDER BY lin
 meta AS (SELECT file, seq_ix, max(CASE WHEN h THEN regexp_extract(value, '^>(\\S+)', 1) END) AS name, coalesce(sum(CASE WHEN NOT h THEN length(value) END), 0)::BIGINT AS length, max(CASE WHEN h THEN pl END) AS header_sp, max(CASE WHEN h THEN pl + length(value) END) AS header_ep, CASE WHEN sum(CAST(NOT h AS INTEGER)) > 1 THEN min_by(length(value), line_no) FILTER (NOT h) END AS line_len FROM line2 GROUP BY file, seq_ix)"""
 _SAM = "rec AS (SELECT event_id, 'r' || CAST(event_id AS VARCHAR) AS qname, CAST(CASE event_type WHEN 'error' THEN 4 WHEN 'click' THEN 256 ELSE 0 END AS INTEGER) AS flag, 'u' || CAST(user_id AS VARCHAR) AS key, event_id * 7 % 5000 AS pos, CASE WHEN event_type = 'error' THEN '*' ELSE CAST(event_id % 9 AS VARCHAR) || 'S' || CAST(10 + event_id % 31 AS VARCHAR) || 'M' || CAST(event_id % 4 AS VARCHAR) || 'D' || CAST(event_id % 3 AS VARCHAR) || 'I' || '5=' END AS cigar FROM events)"
 _ALIGNED = "list_sum(list_transform(regexp_extract_all(cigar, '(\\d+)[MIX=]', 1), lambda x: CAST(x AS BIGINT)))"
-_TILE = 24
+_TILE, _READ = 24, 64
 _PATTERNS = f"pattern AS (SELECT item_id * 1000 + i AS query_id, substr(b, CAST(i * {_TILE} + 1 AS BIGINT), {_TILE}) AS pattern FROM (SELECT item_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{C.LETTERS}', '{C.BASES}') AS b, unnest(range(0, length(b) // {_TILE})) AS i FROM benchmark))"
 _NAIVE = f"{_SEQS}, {_PATTERNS}, place AS (SELECT seq_id, seq, unnest(range(0, length(seq) - {_TILE - 1})) AS p FROM seqs), hit AS (SELECT query_id, seq_id, p AS seq_pos FROM place JOIN pattern ON substr(seq, p + 1, {_TILE}) = pattern)"
 
@@ -236,6 +236,17 @@ def entries() -> dict:
     add("locate_text", lambda s, d: search.located(texts_of(s, d).select(F.col("key").cast("string").alias("key"), F.col("text").alias("kernel")), tiles(s, d), _TILE).select("key", "query_id", "pos"), f"WITH {_NAIVE} SELECT CAST(seq_id AS VARCHAR) AS key, query_id, seq_pos AS pos FROM hit")
     reads_sql = f"reads AS (SELECT item_id AS query_id, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{C.LETTERS}', '{C.BASES}') AS r FROM benchmark), seed AS (SELECT query_id, r, i * {_TILE} AS off, substr(r, i * {_TILE} + 1, {_TILE}) AS seed FROM (SELECT *, unnest(range(0, length(r) // {_TILE})) AS i FROM reads)), place AS (SELECT seq_id, seq, unnest(range(0, length(seq) - {_TILE - 1})) AS p FROM seqs), start AS (SELECT DISTINCT query_id, r, seq_id, seq, p - off AS pos FROM place JOIN seed ON substr(seq, p + 1, {_TILE}) = seed WHERE p >= off)"
     add("reads_seed_align", lambda s, d: search.seed_align(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), C.as_bases(F.col("text")).alias("pattern")), texts_of(s, d).withColumn("key", F.col("key").cast("string")), _TILE, 3), f"WITH {_SEQS}, {reads_sql} SELECT query_id, CAST(seq_id AS VARCHAR) AS key, pos, CAST(hamming(substr(seq, pos + 1, length(r)), r) AS INTEGER) AS mismatches FROM start WHERE length(substr(seq, pos + 1, length(r))) = length(r) AND hamming(substr(seq, pos + 1, length(r)), r) <= 3")
+    strands_sql = reads_sql.replace("reads AS (SELECT", "reads0 AS (SELECT", 1).replace("FROM benchmark),", f"FROM benchmark), tile AS (SELECT query_id * 1000 + i AS query_id, substr(r, CAST(i * {_READ} + 1 AS BIGINT), {_READ}) AS r FROM (SELECT *, unnest(range(0, length(r) // {_READ})) AS i FROM reads0)), reads AS (SELECT query_id, false AS reverse, r FROM tile UNION ALL SELECT query_id, true, reverse(translate(r, 'ACGT', 'TGCA')) FROM tile),", 1).replace("SELECT query_id, r, i *", f"SELECT query_id, reverse, r, i *").replace("DISTINCT query_id, r,", "DISTINCT query_id, reverse, r,").replace(f"{_TILE}", f"{_READ // 4}")
+
+    def reads_of(s, d):
+        b = table(s, d, "benchmark").select("item_id", C.as_bases(F.col("text")).alias("b"))
+        return search.seeds(b.select(F.col("item_id").alias("query_id"), F.col("b").alias("pattern")), _READ).select((F.col("query_id") * 1000 + F.col("offset") / _READ).cast("bigint").alias("query_id"), F.col("seed").alias("pattern"))
+
+    def align_index(s, d):
+        built = index.over_groups(seqs(s, d), index.Parameters(max_query_len=_READ))
+        return search.align_index(reads_of(s, d), built, _READ // 4, 3).select("query_id", "reverse", "seq_id", "seq_pos", F.col("edits").alias("mismatches"))
+
+    add("align_index", align_index, f"WITH {_SEQS}, {strands_sql} SELECT query_id, reverse, seq_id, pos AS seq_pos, CAST(hamming(substr(seq, pos + 1, length(r)), r) AS INTEGER) AS mismatches FROM start WHERE length(substr(seq, pos + 1, length(r))) = length(r) AND hamming(substr(seq, pos + 1, length(r)), r) <= 3")
     add("space_usage", lambda s, d: sequence_index(s, d).space().agg(F.sum("text_chars").alias("text_chars")), f"WITH {_SEQS} SELECT sum(length(seq))::BIGINT AS text_chars FROM seqs")
 
     # Records

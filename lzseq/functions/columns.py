@@ -95,3 +95,33 @@ def mapped(flag: Column) -> Column:
 def hamming(a: Column, b: Column) -> Column:
     """Places where two texts of one length differ."""
     return F.size(F.filter(F.zip_with(F.split(a, ""), F.split(b, ""), lambda x, y: x != y), lambda d: d))
+
+
+def reverse_complement(seq: Column) -> Column:
+    """The other strand; what isn't a base stays."""
+    return F.reverse(F.translate(seq, "ACGTUacgtu", "TGCAAtgcaa"))
+
+
+def without_zeros(text: Column) -> Column:
+    """The text; raises where it has a zero character, which parses and kernels can't tell from an end."""
+    return F.when(F.contains(text, F.lit("\0")), F.raise_error(F.lit("a text has a zero character"))).otherwise(text)
+
+
+def is_newline(symbol: Column) -> Column:
+    return symbol.isin("\n", "\r")
+
+
+def is_aligner_kernel(kind: Column) -> Column:
+    """Whether reads are aligned in a kernel of this kind, so that it is written as FASTA; exact kernels are plain texts."""
+    return F.upper(kind).isin("BLAST", "BOWTIE2", "BWA")
+
+
+def first_places(text: Column, symbols: str) -> Column:
+    """map of each of the symbols that the text has to its first place."""
+    pairs = F.array(*(F.struct(F.lit(c).alias("key"), (F.locate(c, text) - 1).alias("value")) for c in symbols))
+    return F.map_from_entries(F.filter(pairs, lambda x: x["value"] >= 0))
+
+
+def base_name(path: Column) -> Column:
+    """A file's name without folders and its ending, by which files of one collection are paired."""
+    return F.regexp_replace(F.substring_index(path, "/", -1), r"\.[^.]*$", "")

@@ -222,3 +222,59 @@ def occurrences(text: bytes, pattern: bytes) -> list[int]:
         out.append(at)
         at = text.find(pattern, at + 1)
     return out
+
+
+def window_hashes(text: str, k: int) -> np.ndarray:
+    """64-bit hashes of all parts of k characters of a text, in order: a polynomial over code points, mixed."""
+    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    if len(c) < k or k < 1:
+        return np.empty(0, np.uint64)
+    with np.errstate(over="ignore"):
+        h, power, width = c + np.uint64(1), np.uint64(0x9E3779B97F4A7C15), 1
+        out, done = np.zeros(len(c) - k + 1, np.uint64), 0
+        while True:  # h has the hashes of parts of width characters; those that make up k are put together
+            if k & width:
+                out = out * power + h[done : done + len(out)]
+                done += width
+            if 2 * width > k:
+                break
+            h, power, width = h[:-width] * power + h[width:], power * power, 2 * width
+        out = (out ^ (out >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        out = (out ^ (out >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return out ^ (out >> np.uint64(31))
+
+
+def best_alignment(read: str, window: str, most: int, separator: str | None = None) -> tuple[int, int, int, str] | None:
+    """(start in the window, its characters, edits, CIGAR) of the whole read's closest place, None beyond `most` edits.
+
+    The place begins in the window's first 2 * most + 1 characters. Of places equally close the one that ends first, of alignments there one with M before I before D from the end. A
+    separator is in no place.
+    """
+    m, n, far = len(read), len(window), most + 1
+    rows = [[0] * (n + 1)]  # rows[i][j]: edits of read[:i] with a part of the window that ends at j; far where no place can be
+    for i in range(1, m + 1):
+        above, row, c = rows[-1], [far] * (n + 1), read[i - 1]
+        row[0] = min(far, i)
+        for j in range(max(1, i - 2 * most), min(n, i + 3 * most) + 1):
+            w = window[j - 1]
+            if w != separator:
+                row[j] = min(far, above[j - 1] + (c != w), above[j] + 1, row[j - 1] + 1)
+        rows.append(row)
+    edits = min(rows[m])
+    if edits > most:
+        return None
+    j = end = rows[m].index(edits)
+    i, cigar = m, []
+    while i:
+        here = rows[i][j]
+        if j and window[j - 1] != separator and here == rows[i - 1][j - 1] + (read[i - 1] != window[j - 1]):
+            i, j, op = i - 1, j - 1, "M"
+        elif here == rows[i - 1][j] + 1:
+            i, op = i - 1, "I"
+        else:
+            j, op = j - 1, "D"
+        if cigar and cigar[-1][1] == op:
+            cigar[-1][0] += 1
+        else:
+            cigar.append([1, op])
+    return j, end - j, edits, "".join(f"{x}{op}" for x, op in reversed(cigar))

@@ -4,11 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions import columns as C
 from ..functions.columns import hamming
-from . import parses, phrases, ranges
+from ..functions.session import spread
+from . import kernels, parses, phrases, ranges
 
 
 def rejected(patterns: DataFrame, most: int) -> DataFrame:
@@ -80,25 +84,145 @@ def seeds(reads: DataFrame, k: int, mismatches: int | None = None) -> DataFrame:
     return rows.select("query_id", "read", (F.col("i") * F.col("size")).alias("offset"), F.substring("read", F.col("i") * F.col("size") + 1, F.col("size")).alias("seed"))
 
 
+#: Bits of the filter that a text's parts pass before they are joined to seeds, and characters of the pieces that windows are cut from.
+FILTER_BITS, PIECE = 1 << 26, 4096
+
+
+def seed_places(texts: DataFrame, seeds: DataFrame) -> DataFrame:
+    """seeds (query_id, read, offset, seed, ...) with key and pos of the places in texts (key, text) that have the seed's hash.
+
+    A join on hashes of all parts of the texts with a seed's length, a pass for each length. Only hashes come to it that
+    pass a filter of bounded size made of the seeds; neither seeds nor places go through the driver. Equal hashes of
+    different parts are as good as none; whoever compares the reads sees that.
+    """
+    spark = texts.sparkSession
+    hashed = seeds.withColumn("size", F.length("seed"))
+
+    @F.arrow_udf("bigint")
+    def of_seed(batch: pa.Array) -> pa.Array:
+        return pa.array(np.array([kernels.window_hashes(x, len(x))[0] for x in batch.to_pylist()], np.uint64).view(np.int64))
+
+    hashed = hashed.withColumn("h", of_seed("seed")).checkpoint()
+    out = None
+    for (size,) in sorted(hashed.select("size").distinct().collect()):
+        some = hashed.where(F.col("size") == size)
+        bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
+        words = some.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()
+        passes = np.zeros(FILTER_BITS >> 6, np.int64)
+        passes[[w[0] for w in words]] = [w[1] for w in words]
+        shared = spark.sparkContext.broadcast(passes)
+
+        def run(batches, size=size, shared=shared):
+            bits = shared.value.view(np.uint64)
+            for batch in batches:
+                for part in parses._slices(batch, ["text"]):
+                    found = []
+                    for t in part.column("text").to_pylist():
+                        h = kernels.window_hashes(t or "", size)
+                        at = (h & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)
+                        pos = np.flatnonzero((bits[at.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1))
+                        found.append((h[pos].view(np.int64), pos))
+                    yield parses._batch({"key": part.column("key")}, [len(x[1]) for x in found], {"h": [x[0] for x in found], "pos": [x[1] for x in found]})
+
+        places = spread(texts.select("key", "text")).mapInArrow(run, f"key {dict(texts.dtypes)['key']}, h bigint, pos bigint")
+        rows = some.join(places, "h").drop("h", "size")
+        out = rows if out is None else out.unionByName(rows)
+    if out is None:
+        empty = ", ".join(f"`{k}` {t}" for k, t in [*seeds.dtypes, ("key", dict(texts.dtypes)["key"]), ("pos", "bigint")])
+        return spark.createDataFrame([], empty)
+    return out
+
+
+def windows(candidates: DataFrame, texts: DataFrame, most: int) -> DataFrame:
+    """candidates (key, at, n: up to `most` characters) with part, the text there, cut off at the text's ends.
+
+    Texts are cut into overlapping pieces first, so that no row of the join carries a whole text.
+    """
+
+    def cut(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                text = batch.column("text")[r].as_py() or ""
+                starts = list(range(0, len(text), PIECE))
+                for at in range(0, len(starts), 256):
+                    some = starts[at : at + 256]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("key")[r], len(some)), pa.array([x // PIECE for x in some], pa.int64()), pa.array([text[x : x + PIECE + most] for x in some], pa.string())], names=["key", "_piece", "_text"])
+
+    pieces = texts.select("key", "text").mapInArrow(cut, f"key {dict(texts.dtypes)['key']}, _piece bigint, _text string")
+    first = F.greatest(F.col("at"), F.lit(0).cast("bigint"))
+    rows = candidates.withColumn("n", F.col("n") + F.least(F.col("at"), F.lit(0).cast("bigint"))).withColumn("at", first).withColumn("_piece", F.floor(first / PIECE).cast("bigint"))
+    return rows.join(pieces, ["key", "_piece"]).withColumn("part", F.substring("_text", (F.col("at") - F.col("_piece") * PIECE + 1).cast("int"), F.col("n").cast("int"))).drop("_piece", "_text")
+
+
+def aligned(reads: DataFrame, texts: DataFrame, k: int, edits: int, gaps: bool = False, strands: bool = True, separator: str | None = None) -> DataFrame:
+    """(query_id, reverse, key, pos, n, edits, cigar) of the reads (query_id, pattern) in texts (key, text), n being the characters taken there.
+
+    Without gaps every place with at most so many mismatches; with gaps, of the places around each exact seed the closest
+    with at most so many edits. Each read has more seeds than edits, so one is exact at every such place. With strands
+    the reverse complement, too, is aligned. Null and empty reads have no place; reads too short for the edits raise.
+    """
+    both = reads.where(F.length("pattern") > 0).select("query_id", "pattern", F.lit(False).alias("reverse"))
+    if strands:
+        both = both.unionByName(both.select("query_id", C.reverse_complement(F.col("pattern")).alias("pattern"), F.lit(True).alias("reverse")))
+    both = both.select(F.struct("query_id", "reverse").alias("query_id"), "pattern")
+    most = (both.agg(F.max(F.length("pattern"))).first()[0] or 1) + 2 * edits
+    pairs = seed_places(texts, seeds(both.withColumn("query_id", F.to_json("query_id")), k, edits))
+    wide = edits if gaps else 0
+    length = F.length("read")
+    starts = pairs.select("query_id", "read", "key", (F.col("pos") - F.col("offset") - wide).alias("at"), (length + 2 * wide).cast("bigint").alias("n")).where("at >= 0" if not gaps else "true").distinct()
+    parts = windows(starts.where(F.col("at") + F.col("n") > 0), texts, most)
+    kind = dict(reads.dtypes)["query_id"]
+    back = F.from_json("query_id", f"query_id {kind}, reverse boolean")
+    if gaps:
+
+        @F.arrow_udf("start int, n int, edits int, cigar string")
+        def close(r: pa.Array, w: pa.Array) -> pa.Array:
+            got = [kernels.best_alignment(a, b, edits, separator) for a, b in zip(r.to_pylist(), w.to_pylist())]
+            cells = list(zip(*((*g, False) if g else (None, None, None, None, True) for g in got))) or [()] * 5
+            return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["start", "n", "edits", "cigar"])
+
+        got = parts.withColumn("x", close("read", "part")).where("x.edits is not null and x.n > 0")
+        return got.select(back.alias("b"), "key", (F.col("at") + F.col("x.start")).alias("pos"), F.col("x.n").cast("bigint").alias("n"), "x.edits", "x.cigar").select("b.query_id", "b.reverse", "key", "pos", "n", "edits", "cigar").distinct()
+    whole = parts.where(F.length("part") == length)
+    if separator:
+        whole = whole.where(~F.contains("part", F.lit(separator)))
+    got = whole.withColumn("edits", hamming(F.col("part"), F.col("read"))).where(F.col("edits") <= edits)
+    return got.select(back.alias("b"), "key", F.col("at").alias("pos"), "n", "edits", F.concat(F.col("n").cast("string"), F.lit("M")).alias("cigar")).select("b.query_id", "b.reverse", "key", "pos", "n", "edits", "cigar")
+
+
 def seed_align(reads: DataFrame, texts: DataFrame, k: int, mismatches: int) -> DataFrame:
-    """Reads at every place of every text (key, text) with at most so many mismatches.
+    """Reads at every place of every text (key, text) with at most so many mismatches, as they are: (query_id, key, pos, mismatches).
 
-    (query_id, key, pos, mismatches). Seeds have k characters, of short reads fewer, so that each read has more seeds than
-    mismatches, one of them is exact at every such place and none is missed. The reads' seeds are a stated set
-    that goes to the texts in blocks; only places with a seed are compared.
+    Seeds have k characters, of short reads fewer, so that each read has more seeds than mismatches, one of them is exact
+    at every such place and none is missed.
     """
-    s = seeds(reads, k, mismatches)
-    numbered = s.select("query_id", "read", "offset", "seed")
-    hits = None
-    for block in pattern_blocks(numbered.select(F.xxhash64("seed").alias("query_id"), F.col("seed").alias("pattern")).distinct(), k):
-        found = parses.located(texts, block)
-        hits = found if hits is None else hits.unionByName(found)
-    if hits is None:
-        return texts.sparkSession.createDataFrame([], "query_id bigint, key string, pos bigint, mismatches int")
-    placed_seeds = hits.withColumnRenamed("query_id", "seed_id").join(numbered.withColumn("seed_id", F.xxhash64("seed")), "seed_id")
-    starts = placed_seeds.select("query_id", "read", "key", (F.col("pos") - F.col("offset")).alias("pos")).where("pos >= 0").distinct()
-    rows = starts.join(texts.select("key", "text"), "key").withColumn("part", F.substring("text", (F.col("pos") + 1).cast("int"), F.length("read"))).where(F.length("part") == F.length("read"))
-    return rows.select("query_id", "key", "pos", hamming(F.col("part"), F.col("read")).alias("mismatches")).where(F.col("mismatches") <= mismatches)
+    return aligned(reads, texts, k, mismatches, strands=False).select("query_id", "key", "pos", F.col("edits").alias("mismatches"))
+
+
+def align_index(reads: DataFrame, index, k: int = 20, edits: int = 3, gaps: bool = False, report: str = "ALL") -> DataFrame:
+    """(query_id, reverse, seq_id, seq_pos, n, edits, cigar) of reads (query_id, pattern) in an index, on both strands.
+
+    Reads are aligned in the kernels, mapped to the texts, spread to the copies there (report ALL: copies of copies too;
+    LZ: direct ones; NONE: no copies) and placed in sequences; what overlaps two sequences is left out. Reads must not be
+    longer than the index's queries, and with gaps edits not more than its edit distance, as kernels hold no more.
+    """
+    p = index.parameters
+    if report not in ("ALL", "LZ", "NONE"):
+        raise ValueError("report is ALL, LZ or NONE")
+    if gaps and edits > p.max_edit_distance:
+        raise ValueError(f"the index holds {p.max_edit_distance} edits")
+    longest = reads.agg(F.max(F.length("pattern"))).first()[0] or 0
+    if longest > p.max_query_len:
+        raise ValueError(f"a read has {longest} characters, the index holds {p.max_query_len}")
+    hits = aligned(reads, index.kernels.select("key", F.col("kernel").alias("text")), k, edits, gaps, True, p.separator)
+    payload = ("query_id", "reverse", "n", "edits", "cigar")
+    hits = hits.withColumn("hit", F.xxhash64(*payload)).checkpoint()
+    said = hits.select("hit", *payload).distinct()
+    first = primary(hits.select("key", F.col("hit").alias("query_id"), "pos", F.col("n").alias("m")), index.limited).distinct()
+    grid = phrases.grid(index.merged)
+    found = ranges.closure(first, grid) if report == "ALL" else first.unionByName(ranges.copies_of(first, grid)).distinct() if report == "LZ" else first
+    rows = placed(found, index.catalogue).where("fits").select(F.col("query_id").alias("hit"), "seq_id", "seq_pos").distinct()
+    return rows.join(said, "hit").select("query_id", "reverse", "seq_id", "seq_pos", "n", "edits", "cigar")
 
 
 def find_all(index, patterns: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
+from ..functions.session import shared_folder
 from ..operators import chunks, dictionaries, parses, search
 from ..sources import readers
 from . import index
@@ -67,30 +68,62 @@ def find_patterns(spark: SparkSession, folder: str, patterns: str) -> DataFrame:
     return found.where("fits").join(names, "seq_id").select("query_id", "name", F.col("seq_pos").alias("pos"), "m")
 
 
-def align_reads(reads: DataFrame, seqs: DataFrame, seed: int, mismatches: int, report: str = "ALL") -> DataFrame:
-    """SAM lines of reads (name, seq, qual) in sequences (seq_id, name, seq): header, then a line for each place, or one that is unmapped.
+def align_reads(reads: DataFrame, target: index.Index | DataFrame, seed: int = 20, edits: int = 3, gaps: bool = False, copies: str = "ALL", report: str = "BEST", insert: int = 1000) -> DataFrame:
+    """SAM lines (value) of reads (name, seq, qual, mate) in an index with names or in sequences (seq_id, name, seq), on both strands.
 
-    report ALL gives every place, the best one first and others flagged 256; BEST the best only; ties go to the first place.
+    copies (ALL, LZ, NONE) says which copies an index follows. report ALL gives every place, the best one first and
+    others flagged 256; BEST the best only; ties go to the first place. A read that is nowhere has one unmapped line. The
+    mapping quality is 42 for a single best place, else 1. Reads with mates 1 and 2 of one name are paired: each says
+    where the other's best place is, and both are flagged 2 if they face each other within `insert` characters.
     """
     from pyspark.sql import Window
 
     if report not in ("ALL", "BEST"):
         raise ValueError("report is ALL or BEST")
-    patterns = reads.select(F.xxhash64("name", "seq").alias("query_id"), F.col("seq").alias("pattern"))
-    hits = search.seed_align(patterns.distinct(), seqs.select(F.col("name").alias("key"), F.col("seq").alias("text")), seed, mismatches)
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("mismatches", "key", "pos"))
-    ranked = hits.withColumn("rank", rank).where("rank = 1" if report == "BEST" else "true")
-    rows = reads.withColumn("query_id", F.xxhash64("name", "seq")).join(ranked, "query_id", "left")
-    line = F.concat_ws("\t", F.col("name"), F.when(F.col("rank") > 1, "256").otherwise("0"), "key", (F.col("pos") + 1).cast("string"), F.lit("42"), F.concat(F.length("seq").cast("string"), F.lit("M")), F.lit("*"), F.lit("0"), F.lit("0"), "seq", F.coalesce("qual", F.lit("*")))
-    return rows.select(F.when(F.col("pos").isNull(), C.unmapped_record(F.col("name"))).otherwise(line).alias("value"))
-
-
-def sam_file(lines: DataFrame, seqs: DataFrame, path: str) -> None:
-    """Writes SAM lines under a header of the sequences (seq_id, name, seq)."""
+    shared_folder(reads.sparkSession)
+    reads = reads if "mate" in reads.columns else reads.withColumn("mate", F.lit(1))
+    reads = reads.withColumn("query_id", F.xxhash64("seq"))
+    patterns = reads.select("query_id", F.upper("seq").alias("pattern")).distinct()
+    if isinstance(target, index.Index):
+        hits = search.align_index(patterns, target, seed, edits, gaps, copies)
+        names = target.names.select("seq_id", F.col("name").alias("rname"))
+    else:
+        hits = search.aligned(patterns, target.select(F.col("seq_id").alias("key"), F.col("seq").alias("text")), seed, edits, gaps).withColumnsRenamed({"key": "seq_id", "pos": "seq_pos"})
+        names = target.select("seq_id", F.col("name").alias("rname"))
+    w = Window.partitionBy("query_id")
+    order = ("edits", "seq_id", "seq_pos", "reverse", "n")
+    ranked = hits.withColumn("rank", F.row_number().over(w.orderBy(*order))).withColumn("ties", F.sum((F.col("edits") == F.min("edits").over(w)).cast("int")).over(w))
+    ranked = ranked.where("rank = 1" if report == "BEST" else "true").join(names, "seq_id").withColumn("mapq", F.when(F.col("ties") == 1, 42).otherwise(1))
+    rows = reads.join(ranked.drop("ties"), "query_id", "left").checkpoint()
+    best = rows.where("rank = 1 or rank is null").groupBy("name", F.when(F.col("mate") == 1, 2).otherwise(1).alias("mate")).agg(F.first(F.struct("rname", "seq_pos", "n", "reverse", "seq_id")).alias("o"))
+    return rows.join(best, ["name", "mate"], "left").select(_sam_line(insert).alias("value"))
+
+
+def _sam_line(insert: int):
+    """The line of a read's place beside its mate's best one, o."""
+    c, o = F.col, (lambda k: F.col("o").getField(k))
+    here, there, paired = c("seq_pos").isNotNull(), o("seq_pos").isNotNull(), c("o").isNotNull()
+    same = here & there & (c("seq_id") == o("seq_id"))
+    low, high = F.least("seq_pos", o("seq_pos")), F.greatest(c("seq_pos") + c("n"), o("seq_pos") + o("n"))
+    facing = same & (c("reverse") != o("reverse")) & (F.when(c("reverse"), o("seq_pos") <= c("seq_pos")).otherwise(c("seq_pos") <= o("seq_pos"))) & (high - low <= insert)
+    bit = lambda when, value: F.when(F.coalesce(when, F.lit(False)), value).otherwise(0)
+    flag = bit(paired, 1) + bit(facing, 2) + bit(~here, 4) + bit(paired & ~there, 8) + bit(c("reverse"), 16) + bit(paired & o("reverse"), 32) + bit(paired & (c("mate") == 1), 64) + bit(paired & (c("mate") == 2), 128) + bit(c("rank") > 1, 256)
+    size = F.when(same, F.when((c("seq_pos") < o("seq_pos")) | ((c("seq_pos") == o("seq_pos")) & (c("mate") == 1)), high - low).otherwise(low - high)).otherwise(0)
+    turned = F.coalesce(c("reverse"), F.lit(False))
+    text = lambda x: x.cast("string")
+    next_name = F.when(~F.coalesce(there, F.lit(False)), "*").when(F.coalesce(same, F.lit(False)), "=").otherwise(o("rname"))
+    cells = [
+        c("name"), text(flag), F.coalesce("rname", F.lit("*")), text(F.coalesce(c("seq_pos") + 1, F.lit(0))), text(F.coalesce("mapq", F.lit(0))), F.coalesce("cigar", F.lit("*")),
+        next_name, text(F.coalesce(o("seq_pos") + 1, F.lit(0))), text(size), F.when(turned, C.reverse_complement(c("seq"))).otherwise(c("seq")), F.coalesce(F.when(turned, F.reverse("qual")).otherwise(c("qual")), F.lit("*")),
+    ]
+    return F.when(~here & ~paired, C.unmapped_record(c("name"))).otherwise(F.concat_ws("\t", *cells))
+
+
+def sam_file(lines: DataFrame, names: DataFrame, path: str) -> None:
+    """Writes SAM lines under a header of the sequences (seq_id, name, length)."""
     from ..sinks import writers
 
-    catalogue = seqs.select(F.col("seq_id").alias("seq_ix"), "name", F.length("seq").alias("length"))
-    writers.sam(lines, catalogue, path)
+    writers.sam(lines, names.withColumnRenamed("seq_id", "seq_ix"), path)
 
 
 def mapped_lines(lines: DataFrame) -> DataFrame:

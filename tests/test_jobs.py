@@ -113,3 +113,116 @@ def test_long_sequences_are_cut(spark):
     patterns = list(enumerate([seqs[6][2][at : at + 12] for at in range(80, 120)] + ["ACG", seqs[5][2][-12:], seqs[3][2][88:]]))
     got = sorted((r.query_id, r.seq_id, r.seq_pos) for r in search.find_all(built, spark.createDataFrame(patterns, "query_id long, pattern string")).where("fits").collect())
     assert got == sorted((q, i, k) for q, x in patterns for i, _, s in seqs for k in range(len(s)) if s.startswith(x, k))
+
+
+def complement(s):
+    return s[::-1].translate(str.maketrans("ACGT", "TGCA"))
+
+
+def similar(rng, groups=2, n=9, length=900):
+    """Sequences of groups that differ in a few bases."""
+    out = []
+    for g in range(groups):
+        base = list(dna(rng, length))
+        for i in range(n):
+            s = base[:]
+            for _ in range(5):
+                s[rng.randrange(length)] = rng.choice("ACGT")
+            out.append((len(out), f"S{len(out)} Genus sp{g} chromosome 1, {'complete genome' if not i else 'scaffold'}", "".join(s)))
+    return out
+
+
+def test_reads_in_an_index_on_both_strands(spark):
+    from lzseq.operators import search
+    from lzseq.plans import index
+
+    rng = random.Random(7)
+    seqs = similar(rng, 2, 4, 2500)
+    rows = spark.createDataFrame(seqs, "seq_id long, header string, seq string")
+    reads = []
+    for q in range(24):
+        s, at = rng.choice(seqs)[2], rng.randrange(2400)
+        r = list(s[at : at + rng.choice([40, 60])])
+        for _ in range(rng.randrange(4)):
+            r[rng.randrange(len(r))] = rng.choice("ACGT")
+        reads.append((q, complement("".join(r)) if q % 2 else "".join(r)))
+    reads += [(100, dna(rng, 50)), (101, ""), (102, None)]
+    want = set()
+    for q, r in reads:
+        for reverse, x in ((False, r or ""), (True, complement(r or ""))):
+            for i, _, s in seqs if x else ():
+                for at in range(len(s) - len(x) + 1):
+                    d = sum(a != b for a, b in zip(x, s[at : at + len(x)]))
+                    if d <= 2:
+                        want.add((q, reverse, i, at, d))
+    pdf = spark.createDataFrame(reads, "query_id long, pattern string")
+    left = []
+    for built in (index.over_groups(rows, index.Parameters(max_query_len=60), quotient=0.2, block_chars=6000), index.over_sequences(rows.selectExpr("seq_id", "split(header, ' ')[2] groupname", "seq"), index.Parameters(max_query_len=60), block_chars=8000)):
+        got = [(r.query_id, r.reverse, r.seq_id, r.seq_pos, r.edits) for r in search.align_index(pdf, built, 15, 2).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        some = {(r.query_id, r.reverse, r.seq_id, r.seq_pos, r.edits) for r in search.align_index(pdf, built, 15, 2, report="NONE").collect()}
+        left.append(len(want - some))
+        assert some <= {(r.query_id, r.reverse, r.seq_id, r.seq_pos, r.edits) for r in search.align_index(pdf, built, 15, 2, report="LZ").collect()} <= want
+    assert left[1] > 0 and search.align_index(pdf.limit(0), built).count() == 0  # copies are found through their sources
+
+
+def edit_distance(a, b):
+    """Of a with any part of b."""
+    row = [0] * (len(b) + 1)
+    for i, c in enumerate(a, 1):
+        new = [i]
+        for j, w in enumerate(b, 1):
+            new.append(min(row[j - 1] + (c != w), row[j] + 1, new[-1] + 1))
+        row = new
+    return min(row)
+
+
+def test_gapped_alignment():
+    from lzseq.operators.kernels import best_alignment
+
+    rng = random.Random(8)
+    for _ in range(400):
+        window, most = dna(rng, 30), 3
+        at = rng.randrange(2 * most)
+        read = list(window[at : at + 20])
+        for _ in range(rng.randrange(4)):
+            k = rng.randrange(len(read))
+            rng.choice([lambda: read.pop(k), lambda: read.insert(k, rng.choice("ACGT")), lambda: read.__setitem__(k, rng.choice("ACGT"))])()  # noqa: B023
+        read = "".join(read)
+        got = best_alignment(read, window[: len(read) + 2 * most], most)
+        want = edit_distance(read, window[: len(read) + 2 * most])
+        assert (got[2] if got else most + 1) == min(want, most + 1)
+        if got:
+            start, n, edits, cigar = got
+            i, j, cost = 0, start, 0
+            for x, op in __import__("re").findall(r"(\d+)([MID])", cigar):
+                for _ in range(int(x)):
+                    cost += op != "M" or read[i] != window[j]
+                    i, j = i + (op != "D"), j + (op != "I")
+            assert (i, j, cost) == (len(read), start + n, edits)
+    assert best_alignment("ACGT", "AC$GT", 1, "$") is None and best_alignment("ACGT", "A$ACGT", 1, "$") == (2, 4, 0, "4M")
+
+
+def test_paired_reads_in_a_saved_index(spark, tmp_path):
+    rng = random.Random(9)
+    seqs = similar(rng, 1, 4)
+    p = lambda x: str(tmp_path / x)
+    (tmp_path / "a.fa").write_text("".join(f">{h}\n{s}\n" for _, h, s in seqs))
+    main(["index", p("a.fa"), p("i"), "--max-query-len", "60", "--max-edit-distance", "3", "--method", "relative"])
+    s = seqs[2][2]
+    gapped = s[100:125] + s[127:155]
+    (tmp_path / "1.fq").write_text(f"@a/1\n{s[200:250]}\n+\n{'I' * 49}J\n@b/1\n{gapped}\n+\n{'I' * len(gapped)}\n@c/1\n{dna(rng, 50)}\n+\n{'I' * 50}\n")
+    (tmp_path / "2.fq").write_text(f"@a/2\n{complement(s[400:450])}\n+\n{'I' * 49}J\n@b/2\n{dna(rng, 50)}\n+\n{'I' * 50}\n@c/2\n{dna(rng, 50)}\n+\n{'I' * 50}\n")
+    main(["align", p("i"), p("1.fq"), p("sam"), "--mates", p("2.fq"), "--gaps", "--seed", "12"])
+    lines = [r.value.split("\t") for r in spark.read.text(p("sam")).collect()]
+    assert [x[0] for x in lines[:4]] == ["@SQ"] * 4
+    got = {(x[0], int(x[1]) & 192): x for x in lines if not x[0].startswith("@")}
+    a1, a2, b1, b2 = got["a", 64], got["a", 128], got["b", 64], got["b", 128]
+    assert int(a1[1]) == 1 + 2 + 32 + 64 and int(a2[1]) == 1 + 2 + 16 + 128 and a1[3] == "201" and a2[3] == "401" and a1[7] == "401" and a1[8] == "250" and a2[8] == "-250" and a1[6] == "="
+    assert a2[9] == s[400:450] and a2[10] == "J" + "I" * 49 and a1[5] == "50M"
+    assert int(b1[1]) & 12 == 8 and b1[3] == "101" and b1[5].count("D") == 1 and "2D" in b1[5] and int(b2[1]) & 12 == 4 and b2[7] == "101"
+    assert int(got["c", 64][1]) & 12 == 12
+    (tmp_path / "both.fq").write_text("".join(f"@{n}/{m}\n{x}\n+\n{'I' * len(x)}\n" for n, m, x in (("a", 1, s[200:250]), ("a", 2, complement(s[400:450])))))
+    main(["align", p("a.fa"), p("both.fq"), p("sam2"), "--interleaved", "--report", "ALL"])
+    flags = [int(x[1]) for x in (r.value.split("\t") for r in spark.read.text(p("sam2")).collect()) if x[0] == "a"]
+    assert sum(f & 256 == 0 for f in flags) == 2 and len(flags) >= 4
