@@ -6,13 +6,16 @@ come from the events of a user, in order: an error is a literal, another event a
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.session import spread
+from .functions.session import remove, shared_folder, spread
 from .operators import chunks, dictionaries, parses, phrases, ranges, records, search
 from .plans import index, jobs
+from .sinks import writers
 from .sources import readers
 
 _HEADER = "'ACC' || CAST(doc_id AS VARCHAR) || ' ' || lang || ' ' || source || ' chromosome ' || CAST(doc_id % 3 AS VARCHAR) || CASE WHEN doc_id % 5 = 0 THEN ', complete genome' ELSE ', scaffold' END"
@@ -127,7 +130,7 @@ def entries() -> dict:
     add("complete_sequences", lambda s, d: seqs(s, d).where(C.is_complete(F.col("header"))).select("seq_id", "header"), f"WITH {_SEQS} SELECT seq_id, header FROM seqs WHERE contains(lower(header), 'complete genome')")
     add("pattern_rejects", lambda s, d: search.rejected(table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("pattern")), 200).select("query_id", F.length("pattern").alias("n")), "SELECT item_id AS query_id, CAST(length(text) AS INTEGER) AS n FROM benchmark WHERE text IS NULL OR length(text) = 0 OR length(text) > 200")
     add("separator_choice", lambda s, d: phrases.separator(table(s, d, "documents")), "WITH c AS (SELECT unnest(list_concat([36, 35], list_concat(range(32, 127), list_concat(range(128, 255), range(31, 0, -1))))) AS code), r AS (SELECT chr(CAST(code AS INTEGER)) AS c, row_number() OVER () AS rank FROM c), used AS (SELECT DISTINCT unnest(string_split(text, '')) AS c FROM documents) SELECT min_by(c, rank) AS separator FROM r WHERE c NOT IN (SELECT c FROM used)")
-    add("first_symbols", lambda s, d: seqs(s, d).select("seq_id", F.explode(F.array(*(F.struct(F.lit(b).alias("symbol"), F.locate(b, F.col("seq")).alias("first")) for b in "ACGT"))).alias("x")).where("x.first > 0").select("seq_id", "x.symbol", (F.col("x.first") - 1).alias("first")), f"WITH {_SEQS} SELECT seq_id, symbol, CAST(instr(seq, symbol) - 1 AS INTEGER) AS first FROM seqs, (VALUES ('A'), ('C'), ('G'), ('T')) t(symbol) WHERE instr(seq, symbol) > 0")
+    add("first_symbols", lambda s, d: seqs(s, d).select("seq_id", F.explode(C.first_places(F.col("seq"), "ACGT")).alias("symbol", "first")), f"WITH {_SEQS} SELECT seq_id, symbol, CAST(instr(seq, symbol) - 1 AS INTEGER) AS first FROM seqs, (VALUES ('A'), ('C'), ('G'), ('T')) t(symbol) WHERE instr(seq, symbol) > 0")
 
     # Groups and dictionaries
     add("stripe_groups", lambda s, d: chunks.stripe_groups(chunks.fixed_chunks(seqs(s, d), _CHUNKS, "raw")), f"WITH {_SEQS}, {_CHUNK} SELECT chunk_ix, count(*) AS n, sum(length(chunk))::BIGINT AS total FROM cut GROUP BY chunk_ix")
@@ -161,6 +164,26 @@ def entries() -> dict:
     add("rlz_decode", rlz_decode, full)
     add("parse_statistics", lambda s, d: phrases.statistics(parses.lz77_phrases(texts_of(s, d))).select("key", "n_chars"), f"WITH {_SEQS} SELECT seq_id AS key, length(seq)::BIGINT AS n_chars FROM seqs WHERE length(seq) > 0")
 
+    # The same kernels on short texts, where SQL can follow them step by step
+    short = lambda s, d: spread(table(s, d, "part").select(F.col("p_partkey").cast("string").alias("key"), F.col("p_name").alias("text"), F.col("p_type").alias("dictionary")))
+    _SHORT = "short AS (SELECT CAST(p_partkey AS VARCHAR) AS key, p_name AS text, p_type AS dictionary FROM part)"
+    suffix = f"WITH {_SHORT}, suffix AS (SELECT key, unnest(range(0, length(text))) AS i, text FROM short), ranked AS (SELECT key, row_number() OVER (PARTITION BY key ORDER BY substr(text, i + 1)) - 1 AS rank, i AS suffix, substr(text, i + 1) AS rest FROM suffix)"
+    add("suffix_array_short", lambda s, d: parses.suffix_arrays(short(s, d)), f"{suffix} SELECT key, rank, suffix FROM ranked")
+    add("lcp_short", lambda s, d: parses.lcp_arrays(short(s, d)), f"{suffix}, pair AS (SELECT key, rank, rest, lag(rest) OVER (PARTITION BY key ORDER BY rank) AS before FROM ranked) SELECT key, rank, CASE WHEN before IS NULL THEN 0 ELSE CAST(len(list_filter(range(1, least(length(rest), length(before)) + 1), lambda n: left(rest, n) = left(before, n))) AS BIGINT) END AS lcp FROM pair")
+
+    def greedy(within: str) -> str:
+        """SQL of a greedy parse: of every place the longest part found in `within`, then the phrases from the start on."""
+        return f"""WITH RECURSIVE {_SHORT}, longest AS (SELECT key, i, text, coalesce(max(n) FILTER (found > 0), 0) AS n, coalesce(max_by(found, n) FILTER (found > 0), 0) AS found FROM (SELECT key, i, text, n, instr({within}, substr(text, i + 1, n)) AS found FROM (SELECT *, unnest(range(1, length(text) - i + 1)) AS n FROM (SELECT *, unnest(range(0, length(text))) AS i FROM short))) GROUP BY key, i, text),
+step AS (SELECT key, i, n, CASE WHEN n = 0 THEN CAST(ascii(substr(text, i + 1, 1)) AS BIGINT) ELSE found - 1 END AS pos FROM longest),
+chain AS (SELECT key, CAST(0 AS BIGINT) AS phrase_ix, i, pos, n FROM step WHERE i = 0 UNION ALL SELECT c.key, c.phrase_ix + 1, s.i, s.pos, s.n FROM chain c JOIN step s ON s.key = c.key AND s.i = c.i + greatest(c.n, 1)),
+phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS len FROM chain)"""
+
+    earlier, other = greedy("left(text, i + n - 1)"), greedy("dictionary")
+    stats = "SELECT key, count(*) AS n_phrases, sum(CAST(len = 0 AS BIGINT))::BIGINT AS n_literals, sum(CAST(len > 0 AS BIGINT))::BIGINT AS n_copies, sum(greatest(len, 1))::BIGINT AS n_chars, max(len) AS longest FROM phrase GROUP BY key"
+    add("lz77_short", lambda s, d: parses.lz77_phrases(short(s, d), leftmost=True), f"{earlier} SELECT * FROM phrase")
+    add("rlz_short", lambda s, d: parses.rlz_phrases(short(s, d).withColumnRenamed("text", "seq"), ["key"]), f"{other} SELECT * FROM phrase")
+    add("parse_statistics_short", lambda s, d: phrases.statistics(parses.lz77_phrases(short(s, d))), f"{earlier} {stats}")
+
     # Phrase tables
     add("phrase_limits", lambda s, d: phrases.limits(phrase(s, d)), f"WITH {_PHRASE}, {_LIMITS} SELECT * FROM limited")
     add("phrase_stats", lambda s, d: phrases.statistics(phrase(s, d)), f"WITH {_PHRASE} SELECT key, count(*) AS n_phrases, sum(CAST(len = 0 AS BIGINT))::BIGINT AS n_literals, sum(CAST(len > 0 AS BIGINT))::BIGINT AS n_copies, sum(greatest(len, 1))::BIGINT AS n_chars, max(len) AS longest FROM phrase GROUP BY key")
@@ -188,15 +211,13 @@ def entries() -> dict:
     add("merge_parses", lambda s, d: phrases.merge_parts(phrase(s, d).withColumnRenamed("key", "part")), f"WITH {_PHRASE}, t AS (SELECT key, sum(greatest(len, 1)) AS chars, count(*) AS n FROM phrase GROUP BY key), m AS (SELECT key, coalesce(sum(chars) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, coalesce(sum(n) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved_ix FROM t) SELECT key AS part, (phrase_ix + moved_ix)::BIGINT AS phrase_ix, (CASE WHEN len = 0 THEN pos ELSE pos + moved END)::BIGINT AS pos, len FROM phrase JOIN m USING (key)")
     limit_rows = "lim AS (SELECT key AS part, row_number() OVER (PARTITION BY key ORDER BY phrase_ix) AS ix, text_end AS lim FROM limited UNION ALL SELECT DISTINCT key, 0, 0 FROM limited)"
 
-    def merge_limits(s, d):
-        from pyspark.sql import Window
-
+    def limit_table(s, d):
         rows = phrases.limits(phrase(s, d))
         ends = rows.select(F.col("key").alias("part"), F.row_number().over(Window.partitionBy("key").orderBy("phrase_ix")).cast("bigint").alias("ix"), F.col("text_end").alias("limit"))
         zeros = rows.select(F.col("key").alias("part"), F.lit(0).cast("bigint").alias("ix"), F.lit(0).cast("bigint").alias("limit")).distinct()
-        return phrases.merge_limits(ends.unionByName(zeros))
+        return ends.unionByName(zeros)
 
-    add("merge_limits", merge_limits, f"WITH {_PHRASE}, {_LIMITS}, {limit_rows}, t AS (SELECT part, max(lim) AS last FROM lim GROUP BY part), m AS (SELECT part, coalesce(sum(last) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, row_number() OVER (ORDER BY part) AS nth FROM t) SELECT part, ix, (lim + moved)::BIGINT AS \"limit\" FROM lim JOIN m USING (part) WHERE nth = 1 OR ix > 0")
+    add("merge_limits", lambda s, d: phrases.merge_limits(limit_table(s, d)), f"WITH {_PHRASE}, {_LIMITS}, {limit_rows}, t AS (SELECT part, max(lim) AS last FROM lim GROUP BY part), m AS (SELECT part, coalesce(sum(last) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, row_number() OVER (ORDER BY part) AS nth FROM t) SELECT part, ix, (lim + moved)::BIGINT AS \"limit\" FROM lim JOIN m USING (part) WHERE nth = 1 OR ix > 0")
 
     def metadata(s, d):
         return records.fasta_metadata(fasta_lines(s, d))
@@ -270,14 +291,51 @@ def entries() -> dict:
     add("blast_parse", lambda s, d: records.blast_parsed(blast_rows(s, d)), blast.format(name="'Dummy'", start="event_id * 3 + 1", end="event_id * 3 + 50 + event_id % 50"))
     add("blast_rewrite", lambda s, d: records.blast_moved(records.blast_parsed(blast_rows(s, d)), F.concat(F.lit("s"), F.col("qseqid")), F.col("sstart") % 100), blast.format(name="'sq' || CAST(event_id AS VARCHAR)", start="(event_id * 3 + 1) % 100", end="(event_id * 3 + 1) % 100 + 49 + event_id % 50"))
 
-    def lz_roundtrip(s, d):
-        from .sinks import writers
+    def lz_binary(s, d):
+        return writers.parses(phrase(s, d)).select("key", F.length("content").alias("n_bytes"), F.md5(F.lower(F.hex("content"))).alias("hex_md5"))
+
+    little = lambda c: "concat(" + ", ".join(f"substr(format('{{:016x}}', {c}), {15 - 2 * i}, 2)" for i in range(8)) + ")"
+    add("lz_binary", lz_binary, f"WITH {_PHRASE} SELECT key, CAST(16 * count(*) AS INTEGER) AS n_bytes, md5(string_agg({little('pos')} || {little('len')}, '' ORDER BY phrase_ix)) AS hex_md5 FROM phrase GROUP BY key")
+
+    def in_files(s, write, read):
+        """What read() finds in the files that write() makes in the shared folder; read once, then they go."""
+        folder = f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
+        write(folder)
+        out = read(folder).checkpoint()
+        remove(s, folder)
+        return out
+
+    add("fasta_files", lambda s, d: in_files(s, lambda f: writers.fasta(seqs(s, d), f), lambda f: readers.fasta(s, f).select("header", _digest("seq").alias("seq_md5"))), f"WITH {_SEQS} SELECT header, md5(seq) AS seq_md5 FROM seqs")
+
+    def fastq_files(s, d):
+        rows = seqs(s, d).select(F.concat(F.lit("@r"), F.col("seq_id").cast("string"), F.when(F.col("seq_id") % 2 == 0, "/1").otherwise("/2"), F.lit(" x\n"), "seq", F.lit("\n+\n"), F.translate("seq", "ACGT", "@+I#")).alias("value"))
+        return in_files(s, lambda f: rows.write.text(f), lambda f: readers.fastq(s, f, interleaved=True).select("name", "mate", _digest("seq").alias("seq_md5"), _digest("qual").alias("qual_md5")))
+
+    add("fastq_files", fastq_files, f"WITH {_SEQS} SELECT 'r' || CAST(seq_id AS VARCHAR) AS name, CAST(1 + seq_id % 2 AS INTEGER) AS mate, md5(seq) AS seq_md5, md5(translate(seq, 'ACGT', '@+I#')) AS qual_md5 FROM seqs")
+    add("sam_files", lambda s, d: in_files(s, lambda f: writers.sam(records.sam_lines(sam_records(s, d)), cat(s, d), f), lambda f: readers.sam(s, f).select("qname", "flag", "rname", "pos", "cigar", "aligned")), f"WITH {_SAM} SELECT qname, flag, key AS rname, pos, cigar, {aligned} AS aligned FROM rec WHERE qname IS NOT NULL")
+    add("blast_files", lambda s, d: in_files(s, lambda f: blast_rows(s, d).write.text(f), lambda f: readers.blast6(s, f)), blast.format(name="'Dummy'", start="event_id * 3 + 1", end="event_id * 3 + 50 + event_id % 50"))
+
+    def fixed_index(s, d):
+        """An index whose phrases SQL knows: those of the events."""
+        limited = phrases.kernel_limits(merged(s, d), _CONTEXT)
+        return index.Index(index.Parameters(max_query_len=_CONTEXT), limited, limited.select("key", F.lit("").alias("kernel")).distinct(), limited.limit(0))
+
+    add("space_report", lambda s, d: fixed_index(s, d).space().drop("share"), f"WITH {_PHRASE}, {_MERGED}, {_KERNEL} SELECT key, max(text_end) AS text_chars, max(k_end) AS kernel_chars, count(*) AS n_phrases, sum(CAST(NOT is_literal AS BIGINT))::BIGINT AS n_copies FROM kernel GROUP BY key")
+
+    def merge_kernels(s, d):
+        parts = table(s, d, "documents").select((F.col("doc_id") % 5).alias("part"), F.col("doc_id").alias("line_no"), F.when(F.col("doc_id") < 5, F.concat(F.lit(">part"), F.col("doc_id").cast("string"))).otherwise(C.as_bases(F.col("text"))).alias("value"))
+        return writers.merged_kernel_texts(parts, "whole").select("part", "line_no", _digest("value").alias("md5"))
+
+    add("merge_kernels", merge_kernels, f"WITH {_SEQS} SELECT '' AS part, -1 AS line_no, md5('>whole') AS md5 UNION ALL SELECT CAST(seq_id % 5 AS VARCHAR), seq_id, md5(seq) FROM seqs WHERE seq_id >= 5")
+    add("merge_limits_sampled", lambda s, d: phrases.merge_limits(limit_table(s, d), 64), f"WITH {_PHRASE}, {_LIMITS}, {limit_rows}, t AS (SELECT part, max(lim) AS last, count(*) - 1 AS n FROM lim GROUP BY part), m AS (SELECT part, coalesce(sum(last) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t), whole AS (SELECT part, ix, (lim + moved)::BIGINT AS \"limit\", (ix + before)::BIGINT AS nth FROM lim JOIN m USING (part)) SELECT * FROM whole WHERE nth % 64 = 0 AND (ix > 0 OR nth = 0)")
 
-        p = phrase(s, d)
-        content = writers.parses(p).select("key", F.length("content").alias("n_bytes"), F.md5("content").alias("md5"))
-        return content.select("key", "n_bytes", (F.col("n_bytes") / 16).cast("bigint").alias("n"))
+    def read_pieces(s, d):
+        texts = texts_of(s, d)
+        places = texts.select("key", F.length("text").alias("size")).where("size > 0").select("key", (F.col("key") * 37 % F.col("size")).cast("bigint").alias("at"), (F.lit(1) + F.col("key") % 150).cast("bigint").alias("n"))
+        return chunks.read_at(places, chunks.pieces(texts, 64), 64).select("key", "at", "n", _digest("text").alias("md5"))
 
-    add("lz_binary", lz_roundtrip, f"WITH {_PHRASE} SELECT key, CAST(16 * count(*) AS INTEGER) AS n_bytes, count(*) AS n FROM phrase GROUP BY key")
+    add("read_at", read_pieces, f"WITH {_SEQS}, p AS (SELECT seq_id AS key, seq, seq_id * 37 % length(seq) AS \"at\", 1 + seq_id % 150 AS n FROM seqs WHERE length(seq) > 0) SELECT key, \"at\", n, md5(substr(seq, \"at\" + 1, n)) AS md5 FROM p")
+    add("paired_names", lambda s, d: table(s, d, "documents").select("doc_id", C.base_name(F.concat(F.lit("/a/b."), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".x.fa"))).alias("name")).join(table(s, d, "documents").select(F.col("source").alias("name0")).distinct().select(C.base_name(F.concat("name0", F.lit(".x.lz"))).alias("name")), "name").select("doc_id", "name"), "SELECT doc_id, source || '.x' AS name FROM documents")
     add("work_list", lambda s, d: readers.work_list(s, "1-22,30,41"), "SELECT CAST(unnest(list_concat(range(1, 23), [30, 41])) AS INTEGER) AS item")
     return q
 

@@ -77,3 +77,33 @@ def taxon_groups(seqs: DataFrame) -> DataFrame:
     from ..functions.columns import group_key, is_complete
 
     return seqs.groupBy(group_key(F.col("header")).alias("groupname")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("seq")).cast("bigint").alias("total"), F.sum(is_complete(F.col("header")).cast("bigint")).alias("n_complete"))
+
+
+def pieces(texts: DataFrame, width: int = 4096) -> DataFrame:
+    """(key, piece_ix, piece) of texts (key, text): a text of any length as pieces for read_at()."""
+    import pyarrow as pa
+
+    def cut(batches):
+        for batch in batches:
+            for key, text in zip(batch.column("key"), batch.column("text")):
+                t = text.as_py() or ""
+                for at in range(0, len(t), 256 * width):
+                    some = [t[x : x + width] for x in range(at, min(len(t), at + 256 * width), width)]
+                    yield pa.RecordBatch.from_arrays([pa.repeat(key, len(some)), pa.array(range(at // width, at // width + len(some)), pa.int64()), pa.array(some, pa.string())], names=["key", "piece_ix", "piece"])
+
+    return texts.select("key", "text").mapInArrow(cut, f"key {dict(texts.dtypes)['key']}, piece_ix bigint, piece string")
+
+
+def read_at(places: DataFrame, cut: DataFrame, width: int = 4096) -> DataFrame:
+    """places (key, at, n and others) with text: the n characters from `at` on of the texts that pieces() cut; less at a text's end, null outside.
+
+    Random access: only the pieces asked for are joined, and a place gathers as many pieces as it spans.
+    """
+    first, last = F.floor(F.col("at") / width), F.floor((F.col("at") + F.greatest("n", F.lit(1)) - 1) / width)
+    asked = places.withColumn("_place", F.monotonically_increasing_id()).withColumn("piece_ix", F.explode(F.sequence(first, last)))
+    rows = asked.join(cut, ["key", "piece_ix"], "left")
+    start, end = F.greatest(F.col("at") - F.col("piece_ix") * width, F.lit(0)), F.least(F.col("at") + F.col("n") - F.col("piece_ix") * width, F.lit(width))
+    own = F.substring("piece", (start + 1).cast("int"), (end - start).cast("int"))
+    ordered = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("piece_ix", own.alias("s")))))
+    joined = rows.groupBy("_place", *places.columns).agg(ordered.alias("p"))
+    return joined.select(*places.columns, F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: x["s"]), "")).alias("text"))

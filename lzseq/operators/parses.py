@@ -216,6 +216,18 @@ def suffix_arrays(texts: DataFrame) -> DataFrame:
     return spread(texts.select("key", "text")).mapInArrow(run, "key string, rank bigint, suffix bigint")
 
 
+def lcp_arrays(texts: DataFrame) -> DataFrame:
+    """(key, rank, lcp): of each text's suffixes in order, what each has in common with the one before; 0 for the first."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, ["text"]):
+                found = [kernels.lcp_array(t, kernels.suffix_array(t)) for t in map(symbols, part.column("text").to_pylist())]
+                yield _batch({"key": part.column("key")}, [len(x) for x in found], {"rank": [np.arange(len(x)) for x in found], "lcp": found})
+
+    return spread(texts.select("key", "text")).mapInArrow(run, "key string, rank bigint, lcp bigint")
+
+
 def located(texts: DataFrame, patterns: list[tuple[int, str]], column: str = "text") -> DataFrame:
     """(key, query_id, pos, m) of every place of every pattern in each row's text. The patterns are a stated, checked set; search.located() sends larger ones in blocks."""
     import ahocorasick

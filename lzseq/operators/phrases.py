@@ -160,9 +160,16 @@ def merge_parts(phrases: DataFrame, parts: list[str] | str = "part") -> DataFram
     return rows.select("part", (F.col("phrase_ix") + F.col("by_ix")).alias("phrase_ix"), F.when(F.col("len") == 0, F.col("pos")).otherwise(F.col("pos") + F.col("by")).alias("pos"), "len")
 
 
-def merge_limits(limited: DataFrame) -> DataFrame:
-    """Limits of parts (part, ix, limit) as limits of the whole; where parts meet, the limit is given once."""
-    totals = limited.groupBy("part").agg(F.max("limit").alias("last"))
+def merge_limits(limited: DataFrame, every: int | None = None) -> DataFrame:
+    """Limits of parts (part, ix, limit) as limits of the whole; where parts meet, the limit is given once.
+
+    With every, only each so-manyth limit of the whole, as samples of the merged limits, with nth, its number there.
+    """
+    totals = limited.groupBy("part").agg(F.max("limit").alias("last"), F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    if every:
+        moved = totals.select("part", F.coalesce(F.sum("last").over(w), F.lit(0)).alias("by"), F.coalesce(F.sum(F.col("n") - 1).over(w), F.lit(0)).alias("before"))
+        whole = limited.join(moved, "part").select("part", "ix", (F.col("limit") + F.col("by")).alias("limit"), (F.col("ix") + F.col("before")).alias("nth"))
+        return whole.where((F.col("nth") % every == 0) & ((F.col("ix") > 0) | (F.col("nth") == 0)))
     moved = totals.select("part", F.coalesce(F.sum("last").over(w), F.lit(0)).alias("by"), F.row_number().over(Window.orderBy("part")).alias("nth"))
     return limited.join(moved, "part").where((F.col("nth") == 1) | (F.col("ix") > 0)).select("part", "ix", (F.col("limit") + F.col("by")).alias("limit"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cigar_aligned, first_token, mapped, unmapped_record
+from ..functions.session import exists
 from .ranges import range_join
 
 SAM_FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
@@ -105,3 +106,11 @@ def merged_metadata(metadata: DataFrame) -> DataFrame:
     moved = totals.select("file", F.coalesce(F.sum("bytes").over(w), F.lit(0)).alias("by"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("by_ix"))
     rows = metadata.join(moved, "file")
     return rows.select("file", (F.col("seq_ix") + F.col("by_ix")).alias("seq_ix"), "name", "length", (F.col("header_sp") + F.col("by")).alias("header_sp"), (F.col("header_ep") + F.col("by")).alias("header_ep"))
+
+
+def cached_metadata(lines: DataFrame, path: str) -> DataFrame:
+    """fasta_metadata() kept as a table: read where there is one at path, else made and written; never overwritten."""
+    spark = lines.sparkSession
+    if not exists(spark, f"{path}/_SUCCESS"):
+        fasta_metadata(lines).write.mode("ignore").parquet(path)
+    return spark.read.parquet(path)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import columns as C
-from ..functions.session import shared_folder
+from ..functions.session import remove, shared_folder
 from ..operators import chunks, dictionaries, parses, search
 from ..sources import readers
 from . import index
@@ -25,6 +25,12 @@ def fasta_sequences(spark: SparkSession, path: str, **options) -> DataFrame:
     return chunks.dense_ids(rows, ["file", "nth"], "seq_id").select("seq_id", "header", F.col("seq").alias("raw"), C.ungapped(F.col("seq")).alias("seq"))
 
 
+def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, line_no, value) of FASTA files' lines, numbered over the files in the order of their names."""
+    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    return chunks.dense_ids(rows, ["file", "block", "nth"], "line_no").select("file", "line_no", "value")
+
+
 def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat_first: bool = False, leftmost: bool = True) -> tuple[DataFrame, DataFrame]:
     """(phrases, dictionaries) of chunks relative to their stripe's first chunks: (chunk_ix, seq_id, phrase_ix, pos, len) and (chunk_ix, dictionary).
 
@@ -60,6 +66,62 @@ def names_of(seqs: DataFrame) -> DataFrame:
     return seqs.select("seq_id", C.first_token(F.col("header")).alias("name"), F.length("seq").cast("bigint").alias("length"))
 
 
+def paired_texts(spark: SparkSession, fasta: str, parse: str, kind: str = "u64") -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(texts, catalogue, phrases, names) of FASTA files and their binary parses, paired by base name: a file is one text, its sequences one after the other.
+
+    A file without a parse, or a parse without a file, raises; so does a parse that isn't as long as its text.
+    """
+    from pyspark.sql import Window
+
+    rows = readers.fasta(spark, fasta).withColumn("nth", F.monotonically_increasing_id()).withColumn("key", C.base_name(F.col("file")))
+    seqs = chunks.dense_ids(rows.select("key", "nth", "header", "seq"), ["key", "nth"], "seq_id").select("seq_id", "key", "header", C.without_zeros(F.col("seq")).alias("seq")).checkpoint()
+    phrases = readers.parse_files(spark, parse, kind).select(C.base_name(F.col("file")).alias("key"), "phrase_ix", "pos", "len").checkpoint()
+    sizes = seqs.groupBy("key").agg(F.sum(F.length("seq")).alias("chars")).join(phrases.groupBy("key").agg(F.sum(F.greatest("len", F.lit(1).cast("bigint"))).alias("said")), "key", "full").where("chars is null or said is null or chars <> said").take(1)
+    if sizes:
+        raise ValueError(f"{sizes[0]['key']}: the text has {sizes[0]['chars']} characters, its parse {sizes[0]['said']}")
+    length = F.length("seq").cast("bigint")
+    w = Window.partitionBy("key").orderBy("seq_id")
+    end = F.sum(length).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    catalogue = seqs.select("key", (F.row_number().over(w) - 1).cast("bigint").alias("seq_ix"), "seq_id", length.alias("length"), (end - length).alias("start"), end.alias("end"), F.lit(0).cast("bigint").alias("from"))
+    ordered = F.array_sort(F.collect_list(F.struct("seq_id", "seq")))
+    texts = seqs.groupBy("key").agg(F.array_join(F.transform(ordered, lambda x: x["seq"]), "").alias("text"))
+    return texts, catalogue, phrases, names_of(seqs)
+
+
+def index_parsed(spark: SparkSession, fasta: str, parse: str, out: str, parameters: index.Parameters, kind: str = "u64") -> None:
+    """Builds and saves an index of FASTA files from parses that were made elsewhere."""
+    texts, catalogue, phrases, names = paired_texts(spark, fasta, parse, kind)
+    built = index.build(texts.checkpoint(), catalogue.checkpoint(), parameters, parsed=phrases)
+    built.names = names
+    built.save(out)
+
+
+def kernelize_fasta(spark: SparkSession, path: str, out: str, parameters: index.Parameters, **options) -> None:
+    """The first half of index_fasta: all tables but the kernels, and the kernels as FASTA text, to be indexed elsewhere or by index_kernels()."""
+    from ..sinks import writers
+
+    index_fasta(spark, path, out, parameters, **options)
+    writers.fasta(index.Index.load(spark, out).kernels, f"{out}/text", "key", "kernel")
+    remove(spark, f"{out}/kernels")
+
+
+def index_kernels(spark: SparkSession, folder: str) -> None:
+    """The second half: the kernels' table from their text in a folder of kernelize_fasta()."""
+    kernels = readers.fasta(spark, f"{folder}/text").select(F.col("header").alias("key"), F.col("seq").alias("kernel"))
+    kernels.write.mode("overwrite").parquet(f"{folder}/kernels")
+
+
+def find_validated(spark: SparkSession, folder: str, patterns: str, fasta: str) -> DataFrame:
+    """(query_id, name, pos, m, in_index, in_text) of places that an index and a scan of the sequences themselves don't both find; no rows if the index is right."""
+    found = find_patterns(spark, folder, patterns).select("query_id", "name", F.col("pos").cast("bigint").alias("pos"), F.col("m").cast("bigint").alias("m")).withColumn("in_index", F.lit(True))
+    seqs = fasta_sequences(spark, fasta)
+    most = index.Index.load(spark, folder).parameters.max_query_len
+    plain = search.located(seqs.select(C.first_token(F.col("header")).alias("key"), F.col("seq").alias("kernel")), readers.patterns(spark, patterns), most)
+    plain = plain.select("query_id", F.col("key").alias("name"), "pos", "m").withColumn("in_text", F.lit(True))
+    both = found.join(plain, ["query_id", "name", "pos", "m"], "full")
+    return both.select("query_id", "name", "pos", "m", F.coalesce("in_index", F.lit(False)).alias("in_index"), F.coalesce("in_text", F.lit(False)).alias("in_text")).where("not (in_index and in_text)")
+
+
 def find_patterns(spark: SparkSession, folder: str, patterns: str) -> DataFrame:
     """(query_id, name, pos, m) of all places of the patterns of a file in a saved index."""
     loaded = index.Index.load(spark, folder)
@@ -132,4 +194,4 @@ def mapped_lines(lines: DataFrame) -> DataFrame:
     return lines.where(~F.startswith("value", F.lit("@")) & C.mapped(flag))
 
 
-__all__ = ["align_reads", "aligned_sequences", "compress_stripes", "compress_taxa", "fasta_sequences", "find_patterns", "index_fasta", "mapped_lines", "sam_file"]
+__all__ = ["align_reads", "aligned_sequences", "compress_stripes", "compress_taxa", "fasta_sequences", "find_patterns", "find_validated", "index_fasta", "index_kernels", "index_parsed", "kernelize_fasta", "mapped_lines", "names_of", "paired_texts", "sam_file"]

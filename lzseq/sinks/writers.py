@@ -7,6 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -59,22 +60,33 @@ def parses(phrases: DataFrame, key: str = "key", kind: str = "u64") -> DataFrame
 
 
 def parse_files(phrases: DataFrame, folder: str, key: str = "key", kind: str = "u64", suffix: str = ".lz") -> DataFrame:
-    """Writes each key's binary parse into a folder that all executors share, and returns (key, file, n_bytes).
+    """Writes each key's binary parse into a folder that all executors reach, and returns (key, file, n_bytes).
 
-    A file appears under its name when it is whole, so a task that runs twice does no harm. Names are the keys without spaces and colons, / as _.
+    folder is a path, or a URI of a file system that Arrow knows (file, hdfs, s3, gs); others raise. A file appears under
+    its name when it is whole, so a task that runs twice does no harm. Names are the keys without spaces and colons, / as _.
     """
-    os.makedirs(folder, exist_ok=True)
 
     def write(keys: pa.Array, contents: pa.Array) -> pa.Array:
+        system, root = pa_fs.FileSystem.from_uri(folder if ":/" in folder else os.path.abspath(folder))
+        system.create_dir(root, recursive=True)
         out = []
         for k, data in zip(keys.to_pylist(), contents.to_pylist()):
-            name = os.path.join(folder, str(k).replace(" ", "").replace(":", "").replace("/", "_") + suffix)
+            name = "/".join([root.rstrip("/"), str(k).replace(" ", "").replace(":", "").replace("/", "_") + suffix])
             part = f"{name}.{uuid.uuid4().hex}.part"
-            with open(part, "wb") as f:
+            with system.open_output_stream(part) as f:
                 f.write(data)
-            os.replace(part, name)
+            system.move(part, name)
             out.append(name)
         return pa.array(out)
 
     rows = parses(phrases, key, kind)
     return rows.select(key, F.arrow_udf(write, "string")(F.col(key).cast("string"), "content").alias("file"), F.length("content").alias("n_bytes"))
+
+
+def regrouped_fasta(seqs: DataFrame, path: str, group: str = "groupname") -> None:
+    """A FASTA folder for each group (group, seq_id, header, seq), its records in the order of seq_id over files by name, as the group's parse has them.
+
+    A hot group is several files: records are sorted over all tasks, not gathered by group.
+    """
+    record = F.concat(F.lit(">"), "header", F.lit("\n"), "seq").alias("value")
+    seqs.repartitionByRange(group, "seq_id").sortWithinPartitions(group, "seq_id").select(group, record).write.mode("overwrite").partitionBy(group).text(path)
