@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lzseq.functions.session import remove
 from lzseq.llm import bpe, decontaminate, neardup, pii, textkit, toxicity
 
 
@@ -41,10 +42,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages over documents; each one's result is written to the shared folder and read again."""
+    """The stages over documents; each one's result is written to the shared folder and read again, and goes when the next one is written. The last one stays, as the rows are read from it."""
     folder = f"{textkit.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            remove(spark, f"{folder}/{k - 1}")
     return docs
