@@ -106,4 +106,5 @@ def read_at(places: DataFrame, cut: DataFrame, width: int = 4096) -> DataFrame:
     own = F.substring("piece", (start + 1).cast("int"), (end - start).cast("int"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("piece_ix", own.alias("s")))))
     joined = rows.groupBy("_place", *places.columns).agg(ordered.alias("p"))
-    return joined.select(*places.columns, F.when(F.size("p") > 0, F.array_join(F.transform("p", lambda x: x["s"]), "")).alias("text"))
+    text = F.array_join(F.transform("p", lambda x: x["s"]), "")
+    return joined.select(*places.columns, F.when((F.size("p") > 0) & ((F.col("n") == 0) | (text != "")), text).alias("text"))

@@ -18,13 +18,13 @@ def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
 
 
 def whole_files(spark: SparkSession, path: str) -> DataFrame:
-    """(file, name, text): each file as one sequence named by the file."""
+    """(file, name, text): each file as one sequence named by the file; none for an empty file."""
     rows = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return rows.select("file", F.substring_index("file", "/", -1).alias("name"), "text")
 
 
 def file_paths(spark: SparkSession, path: str) -> DataFrame:
-    """Paths only; the files' contents aren't read."""
+    """Paths only; the files' contents aren't read. Spark's scans pass over empty files, so they have no row."""
     return spark.read.format("binaryFile").load(path).select("path")
 
 

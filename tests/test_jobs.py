@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from lzseq.__main__ import main
@@ -226,3 +227,117 @@ def test_paired_reads_in_a_saved_index(spark, tmp_path):
     main(["align", p("a.fa"), p("both.fq"), p("sam2"), "--interleaved", "--report", "ALL"])
     flags = [int(x[1]) for x in (r.value.split("\t") for r in spark.read.text(p("sam2")).collect()) if x[0] == "a"]
     assert sum(f & 256 == 0 for f in flags) == 2 and len(flags) >= 4
+
+
+def test_kernels_first_and_index_later(spark, tmp_path):
+    rng = random.Random(10)
+    records = write_fasta(tmp_path / "a.fa", rng)
+    p = lambda x: str(tmp_path / x)
+    (tmp_path / "q.txt").write_text("\n".join([records[0][1][5:25], "ACGT", records[7][1][-20:]]) + "\n")
+    main(["index", p("a.fa"), p("i"), "--max-query-len", "20"])
+    main(["kernelize", p("a.fa"), p("k"), "--max-query-len", "20"])
+    assert not (tmp_path / "k" / "kernels").exists()
+    main(["index-kernels", p("k")])
+    main(["variables", p("k")])
+    for folder in ("i", "k"):
+        main(["find", p(folder), p("q.txt"), p(folder + "q")])
+        main(["find", p(folder), p("q.txt"), p(folder + "v"), "--validate", p("a.fa")])
+        assert spark.read.parquet(p(folder + "v")).count() == 0
+    read = lambda x: sorted(map(tuple, spark.read.parquet(p(x)).collect()))
+    assert read("iq") == read("kq") and len(read("iq")) > 8
+    # An index that lost a kernel is found out.
+    spark.read.parquet(p("i/kernels")).orderBy("key").limit(1).write.parquet(p("i/few"))
+    spark.read.parquet(p("i/few")).write.mode("overwrite").parquet(p("i/kernels"))
+    main(["find", p("i"), p("q.txt"), p("bad"), "--validate", p("a.fa")])
+    lost = spark.read.parquet(p("bad"))
+    assert lost.count() and lost.where("in_index or not in_text").count() == 0
+
+
+def test_index_of_foreign_parses(spark, tmp_path):
+    from lzseq.operators.kernels import lz77
+    from lzseq.sinks.writers import parse_bytes
+
+    rng = random.Random(11)
+    p = lambda x: str(tmp_path / x)
+    (tmp_path / "fa").mkdir()
+    seqs = {}
+    for kind in ("u64", "vbyte"):
+        (tmp_path / kind).mkdir()
+    for f in ("x", "y"):
+        records = write_fasta(tmp_path / "fa" / f"{f}.01.fa", rng, 4)
+        for h, s in records:
+            seqs.setdefault(f, []).append((h.split()[0], s))
+        for kind in ("u64", "vbyte"):
+            (tmp_path / kind / f"{f}.01.lz").write_bytes(parse_bytes(*lz77("".join(s for _, s in records).encode()), kind))
+    pattern = seqs["y"][2][1][30:50]
+    (tmp_path / "q.txt").write_text(pattern + "\nGATT\n")
+    want = sorted((q, n, i) for q, x in enumerate((pattern, "GATT")) for f in seqs for n, s in seqs[f] for i in range(len(s)) if s.startswith(x, i))
+    for kind in ("u64", "vbyte"):
+        main(["index-parsed", p("fa"), p(kind), p("i" + kind), "--max-query-len", "20", "--format", kind])
+        main(["find", p("i" + kind), p("q.txt"), p("f" + kind)])
+        assert sorted((r.query_id, r.name, r.pos) for r in spark.read.parquet(p("f" + kind)).collect()) == want
+    # Parse tools
+    main(["merge-parses", p("u64"), p("m")])
+    main(["decode", p("m"), p("d")])
+    assert spark.read.parquet(p("d")).first().text == "".join(s for f in ("x", "y") for _, s in seqs[f])
+    main(["shrink", p("u64"), p("s")])
+    main(["decode", p("s"), p("sd"), "--format", "u32"])
+    assert sorted(r.text for r in spark.read.parquet(p("sd")).collect()) == sorted("".join(s for _, s in seqs[f]) for f in seqs)
+    main(["merge-metadata", p("fa"), p("meta")])
+    meta = sorted((r.seq_ix, r.name, r.length) for r in spark.read.parquet(p("meta")).collect())
+    assert meta == [(i, n, len(s)) for i, (n, s) in enumerate(seqs["x"] + seqs["y"])]
+    (tmp_path / "u64" / "z.01.lz").write_bytes(b"")
+    (tmp_path / "u64" / "x.01.lz").write_bytes(parse_bytes(*lz77(b"ACGT"), "u64"))
+    with pytest.raises(ValueError, match="characters"):
+        main(["index-parsed", p("fa"), p("u64"), p("bad")])
+
+
+def test_compressed_groups_have_their_sequences_beside(spark, tmp_path):
+    rng = random.Random(12)
+    records = write_fasta(tmp_path / "a.fa", rng)
+    p = lambda x: str(tmp_path / x)
+    main(["compress-taxa", p("a.fa"), p("t"), "--format", "vbyte"])
+    from lzseq.sources import readers
+
+    got = {r.header: r.seq for r in readers.fasta(spark, p("t/fasta") + "/*").collect()}
+    assert got == dict(records)
+    main(["compress-fasta", p("a.fa"), p("c"), "--chunks", "5", "--reference-size", "2"])
+    phrases, texts = spark.read.parquet(p("c/phrases")), spark.read.parquet(p("c/dictionaries"))
+    back = parses.decoded_by_group(phrases, texts, "chunk_ix", ["seq_id"]).groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "text"))), lambda x: x["text"]), "").alias("text"))
+    assert {r.seq_id: r.text for r in back.collect()} == {i: s for i, (_, s) in enumerate(records)}
+
+
+def test_readers_and_writers_of_files(spark, tmp_path):
+    from lzseq.operators import chunks, records
+    from lzseq.sinks import writers
+    from lzseq.sources import readers
+
+    p = lambda x: str(tmp_path / x)
+    (tmp_path / "w").mkdir()
+    (tmp_path / "w" / "a.txt").write_text("ACG\nT")
+    (tmp_path / "w" / "b.01").write_text("")
+    assert {(r.name, r.text) for r in readers.whole_files(spark, p("w")).collect()} >= {("a.txt", "ACG\nT")}
+    assert sorted(r.path.rsplit("/", 1)[1] for r in readers.file_paths(spark, p("w")).collect()) == ["a.txt"]  # empty files have no row
+    assert [r.value for r in readers.lines(spark, p("w"), "*.txt").collect()] == ["ACG", "T"]
+    (tmp_path / "x.sam").write_text("@SQ\tSN:s\tLN:9\nr1\t16\ts\t6\t42\t2S3M1I\t*\t0\t0\tACGTAC\t*\nbroken line\n\n")
+    rows = [tuple(r)[:4] + (r.aligned,) for r in readers.sam(spark, p("x.sam")).collect()]
+    assert rows[0] == ("r1", 16, "s", 5, 4) and rows[1][1] is None
+    (tmp_path / "x.tsv").write_text("q\ts\t97.5\t50\t1\t0\t1\t50\t3\t52\t1e-5\t88.5\n")
+    assert readers.blast6(spark, p("x.tsv")).first().send == 52
+    kernels = spark.createDataFrame([("a", "AC$GT"), ("b", "T$")], "key string, kernel string")
+    writers.kernel_text(kernels.where("key = 'a'"), p("k"), "Dummy")
+    assert sorted(r.value for r in spark.read.text(p("k")).collect()) == [">Dummy", "AC$GT"]
+    parts = spark.createDataFrame([("p1", 0, ">old"), ("p1", 1, "AC"), ("p0", 0, "GG"), ("p0", 1, None)], "part string, line_no int, value string")
+    merged = writers.merged_kernel_texts(parts, "Dummy").orderBy("part", "line_no").collect()
+    assert [r.value for r in merged][:2] == [">Dummy", "GG"] and merged[-1].value == "AC"
+    lines = spark.createDataFrame([("f", 0, ">s1 x"), ("f", 1, "ACGT"), ("f", 2, "AC")], "file string, line_no long, value string")
+    first = records.cached_metadata(lines, p("meta")).collect()
+    assert first == records.cached_metadata(lines.limit(0), p("meta")).collect() and first[0].length == 6
+    phrases = spark.createDataFrame([("a b:c/d", 0, 65, 0)], "key string, phrase_ix int, pos long, len long")
+    made = writers.parse_files(phrases, f"file://{p('lz')}").first()
+    assert made.file.endswith("abc_d.lz") and open(made.file, "rb").read() == bytes([65, *[0] * 15])
+    with pytest.raises(Exception):  # noqa: B017
+        writers.parse_files(phrases, "nosuch://host/folder").collect()
+    texts = spark.createDataFrame([(1, "abcdefghij"), (2, ""), (3, None)], "key long, text string")
+    places = spark.createDataFrame([(1, 2, 5), (1, 8, 9), (1, 10, 1), (1, 0, 0), (2, 0, 1), (3, 0, 1), (9, 0, 1)], "key long, at long, n long")
+    assert [r.text for r in chunks.read_at(places, chunks.pieces(texts, 3), 3).orderBy("key", "at", "n").collect()] == ["", "cdefg", "ij", None, None, None, None]
