@@ -115,7 +115,7 @@ def sketched(docs: DataFrame, words: int = 2) -> DataFrame:
 
 
 #: Members of a block, and bytes of full sets. A group of more has more blocks, and a task holds two blocks at most.
-BLOCK, BLOCK_BYTES = 512, 64 << 20
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Members of a block's largest connected part that stand for it where blocks are connected.
 STAND = 2
 #: Up to so many ids are broadcast to a scan of the documents (16 MB); beyond it, that join shuffles.
@@ -180,7 +180,7 @@ class FullSets:
         return 100 * both >= PERCENT * (len(x) + len(y) - both)
 
 
-def linked(sets: list[np.ndarray], columns: int = 1 << 14) -> np.ndarray:
+def linked(sets: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
     """Which pairs of a group of sorted sets are links, by the sizes of all intersections (a matrix product over elements that two sets have)."""
     n = np.array([len(x) for x in sets], np.int64)
     both = np.zeros((len(sets), len(sets)))

@@ -48,7 +48,7 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 #: Bytes hashed at a time; long texts go in pieces cut at white space where there is any.
-PIECE = 1 << 22
+PIECE = 1 << 18
 
 
 def word_hashes(text: bytes) -> np.ndarray:
