@@ -42,7 +42,6 @@ def main(argv: list[str] | None = None) -> None:
     from lzseq.functions import columns as C
     from lzseq.functions.session import exists, shared_folder
     from lzseq.operators import parses, records
-    from lzseq.operators import phrases as phrase_tables
     from lzseq.plans import index, jobs
     from lzseq.sinks import writers
     from lzseq.sources import readers
@@ -90,8 +89,7 @@ def main(argv: list[str] | None = None) -> None:
     elif a.command == "variables":
         spark.read.parquet(f"{a.index}/parameters").show(100, False)
     elif a.command == "merge-parses":
-        parts = readers.parse_files(spark, a.path, a.format).withColumnRenamed("file", "part")
-        whole = phrase_tables.merge_parts(parts).withColumn("key", F.lit("merged"))
+        whole = readers.merged_parses(spark, a.path, a.format).withColumn("key", F.lit("merged"))
         writers.parse_files(whole, a.out, kind=a.format).write.format("noop").mode("overwrite").save()
     elif a.command == "merge-metadata":
         lines = jobs.fasta_lines(spark, a.path).checkpoint()

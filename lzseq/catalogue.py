@@ -171,17 +171,24 @@ def entries() -> dict:
     add("suffix_array_short", lambda s, d: parses.suffix_arrays(short(s, d)), f"{suffix} SELECT key, rank, suffix FROM ranked")
     add("lcp_short", lambda s, d: parses.lcp_arrays(short(s, d)), f"{suffix}, pair AS (SELECT key, rank, rest, lag(rest) OVER (PARTITION BY key ORDER BY rank) AS before FROM ranked) SELECT key, rank, CASE WHEN before IS NULL THEN 0 ELSE CAST(len(list_filter(range(1, least(length(rest), length(before)) + 1), lambda n: left(rest, n) = left(before, n))) AS BIGINT) END AS lcp FROM pair")
 
+    def longest(within: str, name: str) -> str:
+        """A CTE of every place i of the short texts with the longest part from there that `within` has: n characters, found at `found` from 1."""
+        return f"{name} AS (SELECT key, i, text, coalesce(max(n) FILTER (found > 0), 0) AS n, coalesce(max_by(found, n) FILTER (found > 0), 0) AS found FROM (SELECT key, i, text, n, instr({within}, substr(text, i + 1, n)) AS found FROM (SELECT *, unnest(range(1, length(text) - i + 1)) AS n FROM (SELECT *, unnest(range(0, length(text))) AS i FROM short))) GROUP BY key, i, text)"
+
     def greedy(within: str) -> str:
-        """SQL of a greedy parse: of every place the longest part found in `within`, then the phrases from the start on."""
-        return f"""WITH RECURSIVE {_SHORT}, longest AS (SELECT key, i, text, coalesce(max(n) FILTER (found > 0), 0) AS n, coalesce(max_by(found, n) FILTER (found > 0), 0) AS found FROM (SELECT key, i, text, n, instr({within}, substr(text, i + 1, n)) AS found FROM (SELECT *, unnest(range(1, length(text) - i + 1)) AS n FROM (SELECT *, unnest(range(0, length(text))) AS i FROM short))) GROUP BY key, i, text),
+        """SQL of a greedy parse: the phrases from the start on."""
+        return f"""WITH RECURSIVE {_SHORT}, {longest(within, "longest")},
 step AS (SELECT key, i, n, CASE WHEN n = 0 THEN CAST(ascii(substr(text, i + 1, 1)) AS BIGINT) ELSE found - 1 END AS pos FROM longest),
 chain AS (SELECT key, CAST(0 AS BIGINT) AS phrase_ix, i, pos, n FROM step WHERE i = 0 UNION ALL SELECT c.key, c.phrase_ix + 1, s.i, s.pos, s.n FROM chain c JOIN step s ON s.key = c.key AND s.i = c.i + greatest(c.n, 1)),
 phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT) AS len FROM chain)"""
 
-    earlier, other = greedy("left(text, i + n - 1)"), greedy("dictionary")
+    before = "left(text, i + n - 1)"  # where a part of n characters at i begins earlier; it may run into itself
+    earlier, other = greedy(before), greedy("dictionary")
     stats = "SELECT key, count(*) AS n_phrases, sum(CAST(len = 0 AS BIGINT))::BIGINT AS n_literals, sum(CAST(len > 0 AS BIGINT))::BIGINT AS n_copies, sum(greatest(len, 1))::BIGINT AS n_chars, max(len) AS longest FROM phrase GROUP BY key"
     add("lz77_short", lambda s, d: parses.lz77_phrases(short(s, d), leftmost=True), f"{earlier} SELECT * FROM phrase")
     add("rlz_short", lambda s, d: parses.rlz_phrases(short(s, d).withColumnRenamed("text", "seq"), ["key"]), f"{other} SELECT * FROM phrase")
+    add("longest_parts_short", lambda s, d: parses.longest_parts(short(s, d)), f"WITH {_SHORT}, {longest(before, 'previous')}, {longest('dictionary', 'matching')} SELECT key, i AS \"at\", CAST(p.n AS BIGINT) AS previous, CAST(m.n AS BIGINT) AS matching FROM previous p JOIN matching m USING (key, i)")
+    add("bwt_short", lambda s, d: parses.transforms(short(s, d)).select("key", _digest("bwt").alias("md5")), f"{suffix} SELECT key, md5(right(text, 1) || coalesce(string_agg(CASE WHEN suffix = 0 THEN chr(0) ELSE substr(text, suffix, 1) END, '' ORDER BY rank), '')) AS md5 FROM (SELECT r.key, rank, suffix, text FROM ranked r JOIN short s ON r.key = s.key) GROUP BY key, text")
     add("parse_statistics_short", lambda s, d: phrases.statistics(parses.lz77_phrases(short(s, d))), f"{earlier} {stats}")
 
     # Phrase tables
@@ -252,6 +259,10 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
         whole = index.merge(parts)
         return search.find_all(whole, tiles(s, d)).where("fits").join(whole.names, "seq_id").select("query_id", "name", "seq_pos")
 
+    def find_stats(s, d):
+        return search.summary(search.find_all(index.over_groups(seqs(s, d), index.Parameters(max_query_len=_TILE)), tiles(s, d)).where("fits"), tiles(s, d))
+
+    add("find_stats", find_stats, f"WITH {_NAIVE}, counts AS (SELECT p.query_id, count(h.seq_id) AS n FROM pattern p LEFT JOIN hit h ON p.query_id = h.query_id GROUP BY p.query_id) SELECT count(*) AS n_patterns, sum(CAST(n > 0 AS BIGINT))::BIGINT AS n_found, sum(n)::BIGINT AS n_places, avg(n) AS places_a_pattern, max(n) AS most, sum({_TILE} * n)::BIGINT AS chars FROM counts")
     add("merge_index", merge_index, f"WITH {_NAIVE} SELECT query_id, 'd' || CAST(seq_id AS VARCHAR) AS name, seq_pos FROM hit")
     add("find_relative", lambda s, d: search.find_all(index.over_groups(seqs(s, d), index.Parameters(max_query_len=_TILE)), tiles(s, d)).where("fits").select("query_id", "seq_id", "seq_pos"), f"WITH {_NAIVE} SELECT query_id, seq_id, seq_pos FROM hit")
     add("locate_text", lambda s, d: search.located(texts_of(s, d).select(F.col("key").cast("string").alias("key"), F.col("text").alias("kernel")), tiles(s, d), _TILE).select("key", "query_id", "pos"), f"WITH {_NAIVE} SELECT CAST(seq_id AS VARCHAR) AS key, query_id, seq_pos AS pos FROM hit")

@@ -199,6 +199,23 @@ class Reference:
         return np.array(pos, np.int64), np.array(length, np.int64)
 
 
+def longest_previous(text: bytes) -> np.ndarray:
+    """For each place the length of the longest part from there that also begins earlier."""
+    before, after = smaller_neighbours(suffix_array(text))
+    return np.array([max(common_prefix(text, p, text, i) if p >= 0 else 0, common_prefix(text, q, text, i) if q >= 0 else 0) for i, (p, q) in enumerate(zip(before, after))], np.int64)
+
+
+def matching_statistics(text: bytes, reference: Reference) -> np.ndarray:
+    """For each place the length of the longest part from there that the reference has."""
+    return np.array([reference.longest(text, i)[1] for i in range(len(text))], np.int64)
+
+
+def transform(text: bytes, sa: np.ndarray) -> bytes:
+    """The Burrows-Wheeler transform: the byte before each suffix in order, for the first suffix that of the end, 0."""
+    b = np.frombuffer(b"\0" + text, np.uint8)
+    return bytes([text[-1]]) + b[sa].tobytes() if text else b""
+
+
 def decode(pos, length, reference: bytes | None = None) -> bytes:
     """The text of a parse, from itself or from a reference text."""
     out = bytearray()

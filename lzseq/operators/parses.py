@@ -228,6 +228,29 @@ def lcp_arrays(texts: DataFrame) -> DataFrame:
     return spread(texts.select("key", "text")).mapInArrow(run, "key string, rank bigint, lcp bigint")
 
 
+def longest_parts(texts: DataFrame) -> DataFrame:
+    """(key, at, previous, matching) of every place of texts (key, text, dictionary): the longest part from there that begins earlier in the text, and that the dictionary has."""
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch, ["text", "dictionary"]):
+                pairs = [(symbols(t), symbols(d)) for t, d in zip(part.column("text").to_pylist(), part.column("dictionary").to_pylist())]
+                found = {"at": [np.arange(len(t)) for t, _ in pairs], "previous": [kernels.longest_previous(t) for t, _ in pairs], "matching": [kernels.matching_statistics(t, kernels.Reference(d)) for t, d in pairs]}
+                yield _batch({"key": part.column("key")}, [len(t) for t, _ in pairs], found)
+
+    return spread(texts.select("key", "text", "dictionary")).mapInArrow(run, "key string, at bigint, previous bigint, matching bigint")
+
+
+def transforms(texts: DataFrame) -> DataFrame:
+    """(key, bwt) of texts (key, text): the Burrows-Wheeler transform with 0 as the end; texts must have no zero character. A null text has an empty one."""
+
+    @F.arrow_udf("string")
+    def bwt(batch: pa.Array) -> pa.Array:
+        return pa.array([kernels.transform(t, kernels.suffix_array(t)).decode("latin-1") for t in map(symbols, batch.to_pylist())], pa.string())
+
+    return spread(texts.select("key", "text")).select("key", bwt("text").alias("bwt"))
+
+
 def located(texts: DataFrame, patterns: list[tuple[int, str]], column: str = "text") -> DataFrame:
     """(key, query_id, pos, m) of every place of every pattern in each row's text. The patterns are a stated, checked set; search.located() sends larger ones in blocks."""
     import ahocorasick

@@ -238,3 +238,10 @@ def find_all(index, patterns: DataFrame) -> DataFrame:
     # A place across the end of a part is in the next part whole.
     best = rows.groupBy("query_id", "seq_id", "seq_pos", "m").agg(F.max(F.struct("fits", "key", "pos")).alias("x"))
     return best.select("query_id", "x.key", "x.pos", "seq_id", "seq_pos", "x.fits", "m")
+
+
+def summary(found: DataFrame, patterns: DataFrame) -> DataFrame:
+    """One row on a run of queries: patterns, those found, places, places a pattern, the most of one pattern, characters found."""
+    counts = patterns.select("query_id").distinct().join(found.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.sum("m").alias("chars")), "query_id", "left")
+    n = F.coalesce("n", F.lit(0).cast("bigint"))
+    return counts.agg(F.count(F.lit(1)).alias("n_patterns"), F.sum((n > 0).cast("bigint")).alias("n_found"), F.sum(n).alias("n_places"), F.avg(n.cast("double")).alias("places_a_pattern"), F.max(n).alias("most"), F.coalesce(F.sum("chars"), F.lit(0).cast("bigint")).alias("chars"))

@@ -27,8 +27,7 @@ def fasta_sequences(spark: SparkSession, path: str, **options) -> DataFrame:
 
 def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     """(file, line_no, value) of FASTA files' lines, numbered over the files in the order of their names."""
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
-    return chunks.dense_ids(rows, ["file", "block", "nth"], "line_no").select("file", "line_no", "value")
+    return readers.numbered_lines(spark, path).select("file", F.col("line").alias("line_no"), "value")
 
 
 def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat_first: bool = False, leftmost: bool = True) -> tuple[DataFrame, DataFrame]:

@@ -84,12 +84,20 @@ def patterns(spark: SparkSession, path: str) -> DataFrame:
     return numbered_lines(spark, path).select(F.col("line").alias("query_id"), F.col("value").alias("pattern"))
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line, value) with dense numbers over the files in the order of their names."""
+def numbered_lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
+    """(line, value, file) with dense numbers over the files in the order of their names: the lines of a folder's files (those that match glob) as if copied into one."""
     from ..operators.chunks import dense_ids
 
-    rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
-    return dense_ids(rows, ["file", "block", "nth"], "line").select("line", "value")
+    reader = spark.read.option("pathGlobFilter", glob) if glob else spark.read
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("nth"), "value")
+    return dense_ids(rows, ["file", "block", "nth"], "line").select("line", "value", "file")
+
+
+def merged_parses(spark: SparkSession, path: str, kind: str = "u64", glob: str | None = None) -> DataFrame:
+    """(part, phrase_ix, pos, len): the binary parses of a folder in the order of their names as one parse, sources moved."""
+    from ..operators.phrases import merge_parts
+
+    return merge_parts(parse_files(spark, path, kind, glob).withColumnRenamed("file", "part"))
 
 
 def parse_files(spark: SparkSession, path: str, kind: str = "u64", glob: str | None = None) -> DataFrame:
