@@ -67,6 +67,16 @@ def test_components_equal_brute_force(spark, monkeypatch, words, block):
     assert [(got[i].n_shingles, got[i].component_id, got[i].kept) for i in range(len(texts))] == [(n[i], component[i], component[i] == i) for i in range(len(texts))]
 
 
+def test_very_long_texts(spark, monkeypatch):
+    rng = random.Random(3)
+    base = prose(rng, 90_000)
+    texts = [base + f" tail {i}" for i in range(12)] + [base.upper(), "x" * 3_000_000, prose(rng, 90_000)]
+    plain = [(r.doc_id, r.component_id) for r in neardup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()]
+    assert plain == [(i, 0 if i < 13 else i) for i in range(15)]
+    monkeypatch.setattr(neardup, "BLOCK_BYTES", 1 << 20)  # a block for each text
+    assert [(r.doc_id, r.component_id) for r in neardup.near_duplicates(table(spark, texts)).orderBy("doc_id").collect()] == plain
+
+
 def test_hot_group_of_copies(spark):
     rng = random.Random(1)
     base = prose(rng, 80)
@@ -279,6 +289,36 @@ def test_pipeline_stages(spark, tmp_path):
     assert not decontaminate.Items([(1, item)]).find(clean[5]) and bpe.load(bpe.default_path()).encode(clean[0])[0]
 
 
+def test_pipeline_of_an_empty_table(spark, tmp_path):
+    import corpus_pipeline
+
+    docs = table(spark, ["x"]).limit(0)
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.count() == 0 and got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"]
+
+
+def test_near_copies_that_go_are_those_by_definition(spark):
+    """Of copies with more and more edits, the pipeline's stage drops exactly those in a group at 0.8 of five-word shingles."""
+    import corpus_pipeline
+
+    rng = random.Random(20)
+    texts = []
+    for _ in range(25):
+        base = prose(rng, 120).split()
+        texts.append(" ".join(base))
+        for edits in (0, 1, 2, 3, 4, 6, 9):
+            w = base[:]
+            for k in rng.sample(range(len(w)), edits):
+                w[k] = prose(rng, 1)
+            texts.append(" ".join(w))
+    _, component = brute(texts, 5)
+    left = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, table(spark, texts), "").collect()}
+    assert left == {i for i, c in enumerate(component) if c == i} and 25 <= len(left) < len(texts)
+
+
 def test_registered_queries():
     import __spark_entry__
 

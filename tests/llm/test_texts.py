@@ -202,6 +202,26 @@ def test_names_by_gender_and_alone():
     assert len(given) == 10
 
 
+def test_all_planted_values_go_and_nothing_else(spark):
+    rng = random.Random(40)
+    s = pii.Surrogates(pii.DEFAULT_KEY)
+    made = {
+        "email": lambda: f"{prose(rng, 1)}.{prose(rng, 1)}@{prose(rng, 1)}.example.org", "phone": lambda: f"+1 ({rng.randint(200, 999)}) 555-{rng.randint(0, 9999):04d}",
+        "ip": lambda: f"{rng.randint(11, 126)}.{rng.randint(0, 255)}.{rng.randint(0, 255)}.{rng.randint(1, 254)}", "ssn": lambda: f"{rng.randint(101, 599)}-{rng.randint(10, 99)}-{rng.randint(1000, 9999)}",
+        "ipv6": lambda: f"2001:db8:{rng.randint(1, 65535):x}::{rng.randint(1, 65535):x}", "card": lambda: (lambda b: b + str(pii.luhn(b)))(f"4{rng.randrange(10**14):014d}"),
+    }
+    values = [(k, f()) for k, f in made.items() for _ in range(8)]
+    texts, parts = [], []
+    for _ in range(60):
+        row = [(None, prose(rng, rng.randint(1, 6))) if rng.random() < 0.5 else rng.choice(values) for _ in range(rng.randint(1, 12))]
+        parts.append(row)
+        texts.append(" ; ".join(v for _, v in row))
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, texts)).collect()}
+    for i, row in enumerate(parts):
+        assert got[i].collisions == 0 and got[i].text == " ; ".join(s.of(k, v) if k else v for k, v in row)
+        assert got[i].n_entities == sum(k is not None for k, _ in row)
+
+
 def test_collisions_are_resolved():
     s = pii.Surrogates(b"k")
     at, chain = "9.8.7.6", []
@@ -274,8 +294,12 @@ def test_leaks_within_the_budget_are_found(spark):
     got = {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(table(spark, docs), bench).collect()}
     assert {g for g in got if len(docs[g[0]]) < 5000} == want
     assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(table(spark, docs), bench, block_chars=100).collect()} == got
-    left = decontaminate.clean(table(spark, docs), bench)
-    assert {r.doc_id for r in left.collect()} == set(range(len(docs))) - {d for d, _, _ in got}
+    clash = table(spark, docs).withColumns({k: F.lit("x") for k in ("end", "budget", "distance", "item_id", "digest")})
+    other = bench.withColumns({k: F.lit("x") for k in ("doc_id", "end", "digest")})
+    assert {(r.doc_id, r.item_id, r.distance) for r in decontaminate.matches(clash, other).collect()} == got
+    for size in (decontaminate.BLOCK_CHARS, 100):
+        left = decontaminate.clean(clash, other, block_chars=size)
+        assert left.columns == clash.columns and {r.doc_id for r in left.collect()} == set(range(len(docs))) - {d for d, _, _ in got}
     assert decontaminate.matches(table(spark, docs), bench.limit(0)).count() == 0
     twice = spark.createDataFrame([(None, items[3]), (3, items[3])], "item_id long, text string")
     assert sorted(str(r.item_id) for r in decontaminate.matches(table(spark, [items[3]]), twice).collect()) == ["3", "None"]
