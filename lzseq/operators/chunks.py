@@ -12,7 +12,7 @@ def fixed_chunks(seqs: DataFrame, chunks: int, width_from: str = "seq", compat:
     """Rows (seq_id, chunk_ix, length, chunk) of chunks of len / chunks characters; a shorter one may follow.
 
     width_from is the column whose length decides, as gaps may have been removed since. Sequences shorter than `chunks`
-    have chunks of one character; with compat they fail instead.
+    have chunks of one character; with compat they fail instead. Null and empty sequences have none; repeated rows repeat theirs.
     """
     width = F.floor(F.length(width_from) / chunks).cast("int")
     if compat:
@@ -26,6 +26,7 @@ def dense_ids(rows: DataFrame, order: list[str], id_column: str = "id", parts: i
     """Dense numbers from 0 in the order given, without one task that sorts everything.
 
     Rows are sorted over partitions by range; each partition's count is summed for those before it (a row a partition).
+    Nulls come first; of equal rows any comes first.
     """
     shared_folder(rows.sparkSession)
     ranged = (rows.repartitionByRange(parts, *order) if parts else rows.repartitionByRange(*order)).sortWithinPartitions(*order).withColumn("_part", F.spark_partition_id()).withColumn("_row", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))

@@ -157,7 +157,7 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
 
 
 def decoded(phrases: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, text) of parses whose sources are in their own text."""
+    """(keys, text) of parses whose sources are in their own text. phrase_ix is unique within a key; a key without phrases has no row."""
     rows = _gathered(phrases, keys)
 
     def text(pos: pa.Array, length: pa.Array) -> pa.Array:
@@ -205,7 +205,7 @@ def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, id
 
 
 def suffix_arrays(texts: DataFrame) -> DataFrame:
-    """(key, rank, suffix) of each text."""
+    """(key, rank, suffix) of each text. Null and empty texts have no rows; repeated rows repeat theirs."""
 
     def run(batches):
         for batch in batches:

@@ -33,7 +33,7 @@ def effective(length: Column) -> Column:
 
 
 def limits(phrases: DataFrame, hot: bool | None = None) -> DataFrame:
-    """phrases with text_start and text_end, the running sums of their lengths."""
+    """phrases with text_start and text_end, the running sums of their lengths. phrase_ix is unique within a key; a null length counts as a literal's."""
     rows = running(phrases, {"text_start": effective(F.col("len"))}, hot=hot)
     return rows.withColumn("text_end", F.col("text_start") + effective(F.col("len")))
 
@@ -142,7 +142,7 @@ def separator(texts: DataFrame, column: str = "text", candidates: tuple[int, ...
 
 
 def statistics(phrases: DataFrame) -> DataFrame:
-    """Phrases, literals, copies, characters and longest copy of each key."""
+    """Phrases, literals, copies, characters and longest copy of each key; a null key is one, repeated rows count each time."""
     return phrases.groupBy("key").agg(
         F.count(F.lit(1)).alias("n_phrases"), F.sum((F.col("len") == 0).cast("bigint")).alias("n_literals"), F.sum((F.col("len") > 0).cast("bigint")).alias("n_copies"), F.sum(effective(F.col("len"))).alias("n_chars"), F.max("len").alias("longest")
     )
@@ -151,7 +151,7 @@ def statistics(phrases: DataFrame) -> DataFrame:
 def merge_parts(phrases: DataFrame, parts: list[str] | str = "part") -> DataFrame:
     """Parses of parts as one parse of the parts' concatenation in their order: sources move by the characters before.
 
-    Rows (part, phrase_ix, pos, len) give (part, phrase_ix, pos, len) with the numbers of the whole. Totals are a row a part.
+    Parts without phrases have no place. Rows (part, phrase_ix, pos, len) give (part, phrase_ix, pos, len) with the numbers of the whole. Totals are a row a part.
     """
     totals = phrases.groupBy("part").agg(F.sum(effective(F.col("len"))).alias("chars"), F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

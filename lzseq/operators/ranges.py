@@ -14,7 +14,9 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end
     """Points inside [start, end), equal keys: an equi-join on bins with the bounds checked after.
 
     An interval goes to each bin that it touches and a point to one, so no pair comes twice. Columns besides the keys
-    must differ in name. bin_size near the usual interval length keeps both sides small.
+    must differ in name. bin_size near the usual interval length keeps both sides small. A bin in which very many points
+    or intervals meet is split by adaptive execution, as either side of an inner join can be. Points and intervals with a
+    null key or bound, and empty intervals, meet nothing; repeated rows meet each time.
     """
     b = lambda c: F.floor(c / bin_size).cast("bigint")
     left = points.withColumn("_bin", b(F.col(at)))
@@ -23,7 +25,7 @@ def range_join(points: DataFrame, intervals: DataFrame, at: str, start: str, end
 
 
 def copies_of(occurrences: DataFrame, grid: DataFrame, bin_size: int = 4096) -> DataFrame:
-    """Occurrences (key, query_id, pos, m) inside a copy's source, moved to the copy: as many rows as such copies."""
+    """Occurrences (key, query_id, pos, m) inside a copy's source, moved to the copy: as many rows as such copies. Repeated rows give repeated results."""
     to = "to_key" if "to_key" in grid.columns else "key"
     hit = range_join(occurrences, grid.select("key", F.col(to).alias("_to"), "x", "x_end", "text_start"), "pos", "x", "x_end", ["key"], bin_size)
     return hit.where(F.col("pos") + F.col("m") <= F.col("x_end")).select(F.col("_to").alias("key"), "query_id", (F.col("text_start") + F.col("pos") - F.col("x")).alias("pos"), "m")
@@ -33,6 +35,7 @@ def closure(occurrences: DataFrame, grid: DataFrame, bin_size: int = 4096, most_
     """Occurrences and all their copies, copies of copies included, once each.
 
     A round follows the last round's new places only and is checkpointed. Places grow with each copy, so it ends.
+    Repeated occurrences count once; those with a null key or place have no copies.
     """
     shared_folder(occurrences.sparkSession)
     names = ["key", "query_id", "pos", "m"]

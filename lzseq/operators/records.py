@@ -16,7 +16,7 @@ _BLAST_TYPES = {"pident": "double", "length": "bigint", "mismatch": "int", "gapo
 
 
 def sam_parsed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """SAM lines as the eleven fields, typed, pos from 0, with the aligned length. Header lines go; what isn't a number is null."""
+    """SAM lines as the eleven fields, typed, pos from 0, with the aligned length. Header lines and null lines go; what isn't a number, or isn't there, is null; repeated lines repeat."""
     cells = F.split(column, "\t")
     rows = lines.where(~F.startswith(F.col(column), F.lit("@")))
     out = rows.select(*(F.get(cells, F.lit(i)).try_cast(_SAM_TYPES.get(k, "string")).alias(k) for i, k in enumerate(SAM_FIELDS)))
@@ -42,7 +42,8 @@ def mapped_only(records: DataFrame) -> DataFrame:
 def normalised(records: DataFrame, catalogue: DataFrame, bin_size: int = 65_536) -> DataFrame:
     """SAM records at text positions as lines at sequence positions: what overlaps two sequences becomes unmapped.
 
-    records: key, qname, flag, pos, aligned and the other fields; catalogue: key, name, start, end.
+    records: key, qname, flag, pos, aligned and the other fields; catalogue: key, name, start, end. Records with a null or
+    unknown key or place have no line; repeated ones repeat.
     """
     rows = range_join(records, catalogue.select("key", F.col("name").alias("_name"), "start", "end"), "pos", "start", "end", ["key"], bin_size)
     fits = F.col("pos") + F.col("aligned") <= F.col("end")
@@ -52,7 +53,7 @@ def normalised(records: DataFrame, catalogue: DataFrame, bin_size: int = 65_536)
 
 
 def blast_parsed(lines: DataFrame, column: str = "value") -> DataFrame:
-    """BLAST's twelve columns, typed; positions stay as they are, from 1."""
+    """BLAST's twelve columns, typed; positions stay as they are, from 1. What isn't there, or no number, is null, so a null or empty line has a row of nulls."""
     cells = F.split(column, "\t")
     return lines.select(*(F.get(cells, F.lit(i)).try_cast(_BLAST_TYPES.get(k, "string")).alias(k) for i, k in enumerate(BLAST_FIELDS)))
 

@@ -36,7 +36,7 @@ def pattern_blocks(patterns: DataFrame, most: int, block_chars: int = 1_000_000)
 
 
 def located(kernels: DataFrame, patterns: DataFrame, most: int) -> DataFrame:
-    """(key, query_id, pos, m) of all places of the patterns in the kernel texts, a pass for each block of patterns."""
+    """(key, query_id, pos, m) of all places of the patterns in the kernel texts, a pass for each block of patterns. Null and empty kernels have no places; a repeated pattern is found under each of its ids; a null, empty or too long one raises."""
     out = None
     for block in pattern_blocks(patterns, most):
         found = parses.located(kernels, block, "kernel")
@@ -47,7 +47,8 @@ def located(kernels: DataFrame, patterns: DataFrame, most: int) -> DataFrame:
 def primary(hits: DataFrame, limited: DataFrame, aligned: bool = False, bin_size: int = 4096) -> DataFrame:
     """Kernel hits (key, query_id, pos, m) mapped to the text: those that cross their phrase's end or lie in a literal.
 
-    Others are copies of something, and secondary() finds them. aligned keeps hits in copies too, marked not crossing.
+    Others are copies of something, and ranges.closure() finds them. aligned keeps hits in copies too, marked not crossing.
+    Hits outside the kernel, or with nulls, go; repeated ones repeat.
     """
     rows = ranges.range_join(hits, limited.select("key", "k_start", "k_end", "text_end", "is_literal"), "pos", "k_start", "k_end", ["key"], bin_size)
     crossing = (F.col("k_end") <= F.col("pos") + F.col("m") - 1) | F.col("is_literal")

@@ -51,7 +51,7 @@ def compress_taxa(seqs: DataFrame, quotient: float = dictionaries.QUOTIENT, most
 
 def index_fasta(spark: SparkSession, path: str, out: str, parameters: index.Parameters, **options) -> None:
     """Builds an index of FASTA files, grouped by taxon and chromosome, and saves it."""
-    seqs = fasta_sequences(spark, path).withColumn("groupname", C.group_key(F.col("header"))).checkpoint()
+    seqs = fasta_sequences(spark, path).withColumn("seq", C.without_zeros(F.col("seq"))).withColumn("groupname", C.group_key(F.col("header"))).checkpoint()
     if options.get("method") == "relative":
         built = index.over_groups(seqs, parameters, block_chars=options["block_chars"])
     else:

@@ -229,3 +229,26 @@ def test_symbols_are_not_lost(spark):
     t = spark.createDataFrame([("k", "AC€GT")], "key string, text string")
     with pytest.raises(Exception, match="U\\+00FF"):
         parses.lz77_phrases(t).collect()
+
+
+def test_nulls_repeats_and_empty_tables(spark):
+    hits = spark.createDataFrame([("a", 1, 3, 2), ("a", 1, 3, 2), (None, 2, 3, 2), ("a", 3, None, 2), ("z", 4, 3, 2)], "key string, query_id long, pos long, m long")
+    ends = spark.createDataFrame([("a", 0, 10, 7), (None, 0, 10, 8), ("a", 5, 5, 9), ("a", None, 10, 9)], "key string, start long, end long, seq_id long")
+    assert [r.seq_id for r in search.placed(hits, ends).collect()] == [7, 7]
+    copies = spark.createDataFrame([("a", 0, 10, 20)], "key string, x long, x_end long, text_start long")
+    assert ranges.copies_of(hits, copies).count() == 2
+    got = sorted((r.key, r.pos) for r in ranges.closure(hits.where("key = 'a' and pos is not null"), copies).collect())
+    assert got == [("a", 3), ("a", 23)]
+    assert ranges.closure(hits.limit(0), copies).count() == 0 and search.placed(hits.limit(0), ends).count() == 0
+    texts = spark.createDataFrame([("a", None), ("b", ""), ("c", "ACAC"), ("c", "ACAC")], "key string, text string")
+    assert parses.lz77_phrases(texts).where("key = 'c'").count() == 6 == parses.lz77_phrases(texts).count()
+    assert parses.suffix_arrays(texts).count() == 8 and parses.lcp_arrays(texts).count() == 8
+    assert search.located(texts.withColumnRenamed("text", "kernel"), spark.createDataFrame([(1, "AC"), (2, "AC")], "query_id long, pattern string"), 5).count() == 8
+    for empty in (parses.lz77_phrases(texts.limit(0)), parses.decoded(parses.lz77_phrases(texts.limit(0)), ["key"]), phrases.merge_short(parses.lz77_phrases(texts.limit(0)), 3), chunks.dense_ids(texts.limit(0), ["key"])):
+        assert empty.count() == 0
+    lines = spark.createDataFrame([(None,), ("",), ("@HD",), ("r\t4",)], "value string")
+    assert [(r.qname, r.flag) for r in records.sam_parsed(lines).collect()] == [("", None), ("r", 4)]
+    assert records.blast_parsed(lines).count() == 4
+    built = index.over_sequences(spark.createDataFrame([], "seq_id long, groupname string, seq string"), index.Parameters(max_query_len=5))
+    assert search.find_all(built, spark.createDataFrame([(1, "AC")], "query_id long, pattern string")).count() == 0
+    assert search.align_index(spark.createDataFrame([(1, "ACGTA")], "query_id long, pattern string"), built, 4, 1).count() == 0
