@@ -17,6 +17,7 @@ from .operators import chunks, dictionaries, parses, phrases, ranges, records, s
 from .plans import index, jobs
 from .sinks import writers
 from .sources import readers
+from .streaming import align
 
 _HEADER = "'ACC' || CAST(doc_id AS VARCHAR) || ' ' || lang || ' ' || source || ' chromosome ' || CAST(doc_id % 3 AS VARCHAR) || CASE WHEN doc_id % 5 = 0 THEN ', complete genome' ELSE ', scaffold' END"
 _SEQS = f"seqs AS (SELECT doc_id AS seq_id, {_HEADER} AS header, text AS raw, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), '{C.LETTERS}', '{C.BASES}') AS seq FROM documents)"
@@ -318,6 +319,25 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
 
     add("fasta_files", lambda s, d: in_files(s, lambda f: writers.fasta(seqs(s, d), f), lambda f: readers.fasta(s, f).select("header", _digest("seq").alias("seq_md5"))), f"WITH {_SEQS} SELECT header, md5(seq) AS seq_md5 FROM seqs")
 
+    add("lz_files", lambda s, d: in_files(s, lambda f: writers.parse_files(phrase(s, d), f, kind="vbyte").write.format("noop").mode("overwrite").save(), lambda f: readers.parse_files(s, f, "vbyte").select(C.base_name(F.col("file")).alias("key"), "phrase_ix", "pos", "len")), f"WITH {_PHRASE} SELECT key, row_number() OVER (PARTITION BY key ORDER BY phrase_ix) - 1 AS phrase_ix, pos, len FROM phrase")
+
+    def stream_find(s, d):
+        """The patterns as files that come in as a stream, found micro-batch by micro-batch."""
+        built = index.over_groups(seqs(s, d), index.Parameters(max_query_len=_TILE))
+
+        def read(f):
+            cells = F.split("value", "\t")
+            arriving = align.read_patterns(s, f).select(cells[0].cast("bigint").alias("query_id"), cells[1].alias("pattern"))
+            align.find_stream(arriving, built, f"{f}-out", f"{f}-log").awaitTermination()
+            out = s.read.parquet(f"{f}-out").where("fits").select("query_id", "seq_id", "seq_pos").checkpoint()
+            for x in ("out", "log"):
+                remove(s, f"{f}-{x}")
+            return out
+
+        return in_files(s, lambda f: tiles(s, d).select(F.concat_ws("\t", F.col("query_id").cast("string"), "pattern").alias("value")).repartition(3).write.text(f), read)
+
+    add("stream_find", stream_find, f"WITH {_NAIVE} SELECT query_id, seq_id, seq_pos FROM hit")
+
     def fastq_files(s, d):
         rows = seqs(s, d).select(F.concat(F.lit("@r"), F.col("seq_id").cast("string"), F.when(F.col("seq_id") % 2 == 0, "/1").otherwise("/2"), F.lit(" x\n"), "seq", F.lit("\n+\n"), F.translate("seq", "ACGT", "@+I#")).alias("value"))
         return in_files(s, lambda f: rows.write.text(f), lambda f: readers.fastq(s, f, interleaved=True).select("name", "mate", _digest("seq").alias("seq_md5"), _digest("qual").alias("qual_md5")))

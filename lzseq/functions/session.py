@@ -25,6 +25,13 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p))
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system, which is the session's where the path names none."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    full = p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
+    return "file:///" + full.removeprefix("file:").lstrip("/") if full.startswith("file:") else full
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Deletes a folder of any file system that Spark reads; nothing where there is none."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path)

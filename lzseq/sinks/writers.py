@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import uuid
 
 import numpy as np
@@ -11,6 +10,7 @@ from pyarrow import fs as pa_fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import qualified
 from ..operators import records
 from ..sources.readers import to_vbyte
 
@@ -62,12 +62,14 @@ def parses(phrases: DataFrame, key: str = "key", kind: str = "u64") -> DataFrame
 def parse_files(phrases: DataFrame, folder: str, key: str = "key", kind: str = "u64", suffix: str = ".lz") -> DataFrame:
     """Writes each key's binary parse into a folder that all executors reach, and returns (key, file, n_bytes).
 
-    folder is a path, or a URI of a file system that Arrow knows (file, hdfs, s3, gs); others raise. A file appears under
+    folder is in a file system that Arrow knows (file, hdfs, s3, gs), the session's if it names none; others raise. A file appears under
     its name when it is whole, so a task that runs twice does no harm. Names are the keys without spaces and colons, / as _.
     """
 
+    folder = qualified(phrases.sparkSession, folder)
+
     def write(keys: pa.Array, contents: pa.Array) -> pa.Array:
-        system, root = pa_fs.FileSystem.from_uri(folder if ":/" in folder else os.path.abspath(folder))
+        system, root = pa_fs.FileSystem.from_uri(folder)
         system.create_dir(root, recursive=True)
         out = []
         for k, data in zip(keys.to_pylist(), contents.to_pylist()):
