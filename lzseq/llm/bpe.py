@@ -28,7 +28,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _spaces = regex.compile(f"[{SPACE}]+")
 NEVER = 1 << 60
 #: Entries in each of a cache's two generations, in the table of token pairs, and the longest text that is kept.
-CACHED, CACHED_PAIRS, CACHED_CHARS = 250_000, 300_000, 48
+CACHED, CACHED_PAIRS, CACHED_CHARS = 150_000, 200_000, 48
 
 
 def byte_letters() -> list[str]:

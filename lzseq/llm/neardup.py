@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.session import remove
-from .textkit import LOWER, bounded_batches, mix64, shared_folder, spread, texts_of, word_hashes
+from .textkit import LOWER, bounded_batches, mix64, release, shared_folder, spread, texts_of, word_hashes
 
 U64, U32 = np.uint64, np.uint32
 #: Sketch: registers, base, rate and limit. At a similarity of 0.8 a pair meets in no band once in 2e7.
@@ -110,6 +110,7 @@ def sketched(docs: DataFrame, words: int = 2) -> DataFrame:
                     d2.append(None)
                     regs.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), pa.array(regs, pa.binary())], names=["doc_id", "n_shingles", "d1", "d2", "registers"])
+        release()
 
     return spread(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")).mapInArrow(run, "doc_id bigint, n_shingles bigint, d1 bigint, d2 bigint, registers binary")
 
@@ -266,6 +267,7 @@ def compared(dealt: DataFrame, data: list[str], kind) -> DataFrame:
         for rows, i, j, near, stands in edges():
             pairs = [(*sorted((rows[x][0], rows[y][0])), None) for x, y, ok in zip(i, j, near) if ok] + [(rows[k][0], None, g) for g, k in stands]
             yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in range(3)], names=["a", "b", "grp"])
+        release()
 
     return dealt.mapInArrow(run, "a bigint, b bigint, grp bigint")
 
@@ -362,6 +364,7 @@ def confirmed_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, word
             for batch in batches:
                 sets = pa.array([shingles(t, words).tobytes() for t in texts_of(batch)], pa.binary())
                 yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in names), sets], names=[*names, "elements"])
+            release()
 
         schema = ", ".join(f"`{k}` {t}" for k, t in rows.dtypes)
         return texts.join(placed, texts["_id"] == placed["id"]).select(*names, "text").mapInArrow(run, f"{schema}, elements binary")
@@ -381,28 +384,27 @@ def components(links: DataFrame) -> DataFrame:
     folder, n = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", 0
 
     def kept(rows: DataFrame) -> DataFrame:
-        # Tables, not checkpoints: a checkpoint hands on the size that the optimizer guessed, and joins multiply guesses, round by round.
+        # A table, not a checkpoint, once a round: a checkpoint hands on the size that the optimizer guessed, and joins multiply guesses, round by round.
         nonlocal n
         n += 1
-        rows.write.parquet(f"{folder}/{n}")
+        rows.write.option("compression", "uncompressed").parquet(f"{folder}/{n}")
         return spark.read.schema(rows.schema).parquet(f"{folder}/{n}")
 
     edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = None
     while True:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = kept(both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("hook")))
+        hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("hook")).checkpoint()
         for _ in range(2):
-            hooks = kept(with_labels(hooks, hooks.select(F.col("id").alias("hook"), F.col("hook").alias("next")), ["hook"]).select("id", F.col("next").alias("hook")))
+            hooks = with_labels(hooks, hooks.select(F.col("id").alias("hook"), F.col("hook").alias("next")), ["hook"]).select("id", F.col("next").alias("hook")).checkpoint()
         if labels is None:
             labels = hooks.select("id", F.col("hook").alias("component"))
         else:
-            labels = kept(with_labels(labels, hooks.select(F.col("id").alias("component"), "hook"), ["component"], "left").select("id", F.coalesce("hook", "component").alias("component")))
+            labels = with_labels(labels, hooks.select(F.col("id").alias("component"), "hook"), ["component"], "left").select("id", F.coalesce("hook", "component").alias("component")).checkpoint()
         edges = with_labels(edges, hooks.select(F.col("id").alias("a"), F.col("hook").alias("x")), ["a"])
         edges = with_labels(edges, hooks.select(F.col("id").alias("b"), F.col("hook").alias("y")), ["b"])
         edges = kept(edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
         if edges.isEmpty():
-            labels = labels.checkpoint()
             remove(spark, folder)
             return labels
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 
 import numpy as np
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.session import shared_folder, spread
 
-__all__ = ["LOWER", "bounded_batches", "by_text", "mix64", "remainder", "sample_texts", "shared_folder", "spread", "texts_of", "word_hashes"]
+__all__ = ["LOWER", "bounded_batches", "by_text", "mix64", "release", "remainder", "sample_texts", "shared_folder", "spread", "texts_of", "word_hashes"]
 
 U64 = np.uint64
 WHITE = b" \t\n\x0b\x0c\r"
@@ -103,6 +104,15 @@ def bounded_batches(spark: SparkSession) -> None:
             spark.conf.set(key, str(most))
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back to the system; workers live on and would keep the most that any task had."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library than glibc
+        pass
+
+
 def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """mapInArrow over (id, text) alone, so other columns, whatever their names, are not read.
 
@@ -110,10 +120,10 @@ def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_co
     """
 
     def run(batches):
-
         for batch in batches:
             out = fn(texts_of(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column(0), *(x if isinstance(x, pa.Array) else pa.array(x) for x in out)], names=names)
+        release()
 
     bounded_batches(docs.sparkSession)
     names = [x.split()[0] for x in f"{id_column} bigint, {schema}".split(",")]
