@@ -28,7 +28,9 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _spaces = regex.compile(f"[{SPACE}]+")
 NEVER = 1 << 60
 #: Entries in each of a cache's two generations, in the table of token pairs, and the longest text that is kept.
-CACHED, CACHED_PAIRS, CACHED_CHARS = 150_000, 200_000, 48
+CACHED, CACHED_PAIRS, CACHED_CHARS = 100_000, 200_000, 48
+#: Bytes of texts that are put together at once, a text at least.
+TOGETHER = 4 << 20
 
 
 def byte_letters() -> list[str]:
@@ -241,6 +243,12 @@ def default_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def joined_lists(rows: list[pa.Array]) -> pa.Array:
+    """Arrays of numbers as the rows of one list array."""
+    values = pa.concat_arrays(rows) if rows else pa.array([], pa.int32())
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
+
+
 def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if with_ids, ids array<int> of every text.
 
@@ -252,13 +260,20 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
     def run(texts):
         bpe = load(path)
         n, ids, digests, decoded = [], [], [], []
-        for a, b in bpe.encode_all([t.decode("utf-8", "replace") for t in texts]):
-            n.append(len(a) // 4)
-            digests.append(hashlib.sha256(a).hexdigest())
-            decoded.append(hashlib.sha256(b).hexdigest())
-            if with_ids:
-                ids.append(np.frombuffer(a, "<i4"))
-        return [pa.array(n, pa.int64()), pa.array(digests), pa.array(decoded), *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])]
+        start = 0
+        while start < len(texts):
+            end, size = start, 0
+            while end < len(texts) and (end == start or size + len(texts[end]) <= TOGETHER):
+                size += len(texts[end])
+                end += 1
+            for a, b in bpe.encode_all([t.decode("utf-8", "replace") for t in texts[start:end]]):
+                n.append(len(a) // 4)
+                digests.append(hashlib.sha256(a).hexdigest())
+                decoded.append(hashlib.sha256(b).hexdigest())
+                if with_ids:
+                    ids.append(pa.array(np.frombuffer(a, "<i4")))
+            start = end
+        return [pa.array(n, pa.int64()), pa.array(digests), pa.array(decoded), *([joined_lists(ids)] if with_ids else [])]
 
     return by_text(docs, run, "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids)
 
