@@ -7,12 +7,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.session import shared_folder, spread
 
-__all__ = ["LOWER", "bounded_batches", "by_text", "mix64", "release", "remainder", "sample_texts", "shared_folder", "spread", "texts_of", "word_hashes"]
+__all__ = ["LOWER", "bounded_batches", "by_text", "in_parts", "joined", "mix64", "release", "remainder", "sample_texts", "shared_folder", "spread", "texts_of", "word_hashes", "words_of"]
 
 U64 = np.uint64
 WHITE = b" \t\n\x0b\x0c\r"
@@ -113,15 +114,16 @@ def release() -> None:
         pass
 
 
-def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_column: str = "text", with_id: bool = False) -> DataFrame:
     """mapInArrow over (id, text) alone, so other columns, whatever their names, are not read.
 
-    fn takes a list of UTF-8 byte strings (null is empty) and returns the columns after the id.
+    fn takes a list of UTF-8 byte strings (null is empty), and with_id the list of ids after it, and returns the columns after the id.
     """
 
     def run(batches):
         for batch in batches:
-            out = fn(texts_of(batch, "text"))
+            texts = texts_of(batch, "text")
+            out = fn(texts, batch.column(0).to_pylist()) if with_id else fn(texts)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(x if isinstance(x, pa.Array) else pa.array(x) for x in out)], names=names)
         release()
 
@@ -130,6 +132,40 @@ def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_co
     return spread(docs.select(F.col(id_column).cast("bigint").alias(id_column), F.col(text_column).alias("text"))).mapInArrow(run, f"{id_column} bigint, {schema}")
 
 
+def in_parts(texts: list[bytes], most: int) -> list[tuple[int, int]]:
+    """Ranges of texts with together at most that many bytes, one text at least."""
+    out, start = [], 0
+    while start < len(texts):
+        end, size = start, 0
+        while end < len(texts) and (end == start or size + len(texts[end]) <= most):
+            size += len(texts[end])
+            end += 1
+        out.append((start, end))
+        start = end
+    return out
+
+
+def words_of(texts: list[bytes]) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """(different words, index of each word in them, offsets of the texts' words) for the words [^\\x20\\x09-\\x0D]+ of all texts, in order."""
+    cut = pc.ascii_split_whitespace(pa.array([t.decode("utf-8", "replace") for t in texts], pa.large_string()))
+    words = cut.flatten().dictionary_encode()
+    known, index, ends = words.dictionary, words.indices.to_numpy().astype(np.int64), cut.offsets.to_numpy().astype(np.int64)
+    empty = pc.index(known, "").as_py() if len(known) else -1
+    if empty >= 0:  # what stands before a leading and after a trailing white space
+        real = index != empty
+        ends = np.concatenate([[0], np.cumsum(real)])[ends]
+        index = index[real]
+    return known, index, ends
+
+
+def joined(parts: pa.Array, index: np.ndarray, ends: np.ndarray) -> list[memoryview]:
+    """For each range of index between neighbouring ends, the parts that it names one after the other. parts: binary."""
+    rows = parts.cast(pa.large_binary()).take(pa.array(index))
+    at = np.frombuffer(rows.buffers()[1], np.int64)[rows.offset : rows.offset + len(rows) + 1][ends].tolist() if len(rows) else [0] * len(ends)
+    data = memoryview(rows.buffers()[2] or b"").cast("B") if len(rows) else memoryview(b"")
+    return [data[a:b] for a, b in zip(at, at[1:])]
+
+
 def remainder(modulus: int, id_column: str = "doc_id") -> Column:
     """crc32 of the id as text, modulo."""
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % modulus
