@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, bpe, decontaminate, langid, matroska, neardup, pages, pii, quality, runs, secrets, toxicity
+from . import alignment, bpe, decontaminate, langid, lm, matroska, neardup, pages, pii, quality, runs, secrets, toxicity
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -59,12 +59,16 @@ def op11_alignment(spark, sf_dir):
     return alignment.cross_tokenizer_alignment(_table(spark, sf_dir, "documents"))
 
 
+def op12_language_model(spark, sf_dir):
+    return lm.scored_documents(_table(spark, sf_dir, "documents"))
+
+
 def op13_runs(spark, sf_dir):
     return runs.documents_runs(_table(spark, sf_dir, "documents"), plant=True)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontamination, op4_neardup, op5_pages, op6_toxicity, op7_quality, op8_matroska, op9_language, op10_bpe, op11_alignment, op13_runs)}
+    return {f.__name__: f for f in (op1_secrets, op2_pii, op3_decontamination, op4_neardup, op5_pages, op6_toxicity, op7_quality, op8_matroska, op9_language, op10_bpe, op11_alignment, op12_language_model, op13_runs)}
 
 
 def oracle_sql() -> dict:

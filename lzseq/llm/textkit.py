@@ -8,7 +8,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.session import shared_folder, spread
@@ -128,7 +128,7 @@ def by_text(docs: DataFrame, fn, schema: str, id_column: str = "doc_id", text_co
         release()
 
     bounded_batches(docs.sparkSession)
-    names = [x.split()[0] for x in f"{id_column} bigint, {schema}".split(",")]
+    names = [x.split()[0] for x in re.split(r",(?![^<]*>)", f"{id_column} bigint, {schema}")]
     return spread(docs.select(F.col(id_column).cast("bigint").alias(id_column), F.col(text_column).alias("text"))).mapInArrow(run, f"{id_column} bigint, {schema}")
 
 
@@ -187,7 +187,13 @@ def sample_texts(docs: DataFrame, labelled: DataFrame, label: str, limit: int, o
         return []
     spark = docs.sparkSession
     keys = spark.createDataFrame([(r[0], r[1], i) for i, r in enumerate(chosen)], f"doc_id bigint, y {dict(labelled.dtypes)[label]}, k int")
-    got = docs.select("doc_id", "text").join(F.broadcast(keys), "doc_id").groupBy("k").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.min("y").alias("y"))
-    before = F.sum(F.octet_length("text")).over(Window.orderBy("k").rowsBetween(Window.unboundedPreceding, 0))
-    got = got.withColumn("total", before).where((F.col("total") <= most_bytes) | (F.col("total") == F.octet_length("text"))).select("k", "text", "y").collect()
+    text = F.coalesce(F.col("text"), F.lit(""))
+    sizes = docs.select("doc_id", text.alias("text")).join(F.broadcast(keys), "doc_id").groupBy("k").agg(F.octet_length(F.min("text")).alias("size")).collect()
+    total, within = 0, []
+    for k, size in sorted(map(tuple, sizes)):  # the texts themselves are fetched for these alone
+        total += size
+        if within and total > most_bytes:
+            break
+        within.append(k)
+    got = docs.select("doc_id", text.alias("text")).join(F.broadcast(keys.where(F.col("k").isin(within))), "doc_id").groupBy("k").agg(F.min("text"), F.min("y")).collect()
     return [(r[1].encode("utf-8", "replace"), r[2]) for r in sorted(got, key=lambda r: r[0])]
