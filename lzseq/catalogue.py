@@ -360,6 +360,12 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
     add("merge_kernels", merge_kernels, f"WITH {_SEQS} SELECT '' AS part, -1 AS line_no, md5('>whole') AS md5 UNION ALL SELECT CAST(seq_id % 5 AS VARCHAR), seq_id, md5(seq) FROM seqs WHERE seq_id >= 5")
     add("merge_limits_sampled", lambda s, d: phrases.merge_limits(limit_table(s, d), 64), f"WITH {_PHRASE}, {_LIMITS}, {limit_rows}, t AS (SELECT part, max(lim) AS last, count(*) - 1 AS n FROM lim GROUP BY part), m AS (SELECT part, coalesce(sum(last) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t), whole AS (SELECT part, ix, (lim + moved)::BIGINT AS \"limit\", (ix + before)::BIGINT AS nth FROM lim JOIN m USING (part)) SELECT * FROM whole WHERE nth % 64 = 0 AND (ix > 0 OR nth = 0)")
 
+    def find_indexed(s, d):
+        """The patterns in an index that is saved and loaded, by its search structure."""
+        return in_files(s, lambda f: sequence_index(s, d).save(f), lambda f: search.find_all(index.Index.load(s, f), tiles(s, d)).where("fits").select("query_id", "seq_id", "seq_pos"))
+
+    add("find_indexed", find_indexed, f"WITH {_NAIVE} SELECT query_id, seq_id, seq_pos FROM hit")
+
     def read_pieces(s, d):
         texts = texts_of(s, d)
         places = texts.select("key", F.length("text").alias("size")).where("size > 0").select("key", (F.col("key") * 37 % F.col("size")).cast("bigint").alias("at"), (F.lit(1) + F.col("key") % 150).cast("bigint").alias("n"))

@@ -249,26 +249,3 @@ def transforms(texts: DataFrame) -> DataFrame:
         return pa.array([kernels.transform(t, kernels.suffix_array(t)).decode("latin-1") for t in map(symbols, batch.to_pylist())], pa.string())
 
     return spread(texts.select("key", "text")).select("key", bwt("text").alias("bwt"))
-
-
-def located(texts: DataFrame, patterns: list[tuple[int, str]], column: str = "text") -> DataFrame:
-    """(key, query_id, pos, m) of every place of every pattern in each row's text. The patterns are a stated, checked set; search.located() sends larger ones in blocks."""
-    import ahocorasick
-
-    def run(batches):
-        automaton = ahocorasick.Automaton()
-        ids: dict[str, list[int]] = {}
-        for query_id, p in patterns:
-            if p:
-                ids.setdefault(p, []).append(query_id)
-        for p, q in ids.items():
-            automaton.add_word(p, (len(p), q))
-        if ids:
-            automaton.make_automaton()
-        for batch in batches:
-            for part in _slices(batch, [column]):
-                found = [[(q, end + 1 - m, m) for end, (m, qs) in (automaton.iter(t or "") if ids else ()) for q in qs] for t in part.column(column).to_pylist()]
-                flat = np.array([x for one in found for x in one], np.int64).reshape(-1, 3)
-                yield _batch({"key": part.column("key")}, [len(x) for x in found], {"query_id": [flat[:, 0]], "pos": [flat[:, 1]], "m": [flat[:, 2]]})
-
-    return spread(texts.select("key", column)).mapInArrow(run, "key string, query_id bigint, pos bigint, m bigint")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -11,8 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import hamming
-from ..functions.session import spread
-from . import kernels, parses, phrases, ranges
+from ..functions.session import shared_folder, spread
+from . import fm, kernels, parses, phrases, ranges
 
 
 def rejected(patterns: DataFrame, most: int) -> DataFrame:
@@ -20,28 +18,36 @@ def rejected(patterns: DataFrame, most: int) -> DataFrame:
     return patterns.where(F.col("pattern").isNull() | (F.length("pattern") == 0) | (F.length("pattern") > most))
 
 
-def pattern_blocks(patterns: DataFrame, most: int, block_chars: int = 1_000_000) -> Iterator[list[tuple[int, str]]]:
-    """The patterns in blocks of bounded size; raises where one can't be searched."""
-    block, size = [], 0
-    for query_id, p in patterns.select("query_id", "pattern").toLocalIterator():
-        if not p or len(p) > most:
-            raise ValueError(f"pattern {query_id} must have 1 to {most} characters")
-        if block and size + len(p) > block_chars:
-            yield block
-            block, size = [], 0
-        block.append((query_id, p))
-        size += len(p)
-    if block:
-        yield block
+def checked(patterns: DataFrame, most: int) -> DataFrame:
+    """(query_id, pattern); raises where one can't be searched."""
+    bad = rejected(patterns, most).select("query_id").take(1)
+    if bad:
+        raise ValueError(f"pattern {bad[0][0]} must have 1 to {most} characters")
+    return patterns.select("query_id", "pattern")
 
 
 def located(kernels: DataFrame, patterns: DataFrame, most: int) -> DataFrame:
-    """(key, query_id, pos, m) of all places of the patterns in the kernel texts, a pass for each block of patterns. Null and empty kernels have no places; a repeated pattern is found under each of its ids; a null, empty or too long one raises."""
-    out = None
-    for block in pattern_blocks(patterns, most):
-        found = parses.located(kernels, block, "kernel")
-        out = found if out is None else out.unionByName(found)
-    return out if out is not None else kernels.sparkSession.createDataFrame([], "key string, query_id bigint, pos bigint, m bigint")
+    """(key, query_id, pos, m) of all places of the patterns in the kernel texts. Null and empty kernels have no places; a repeated pattern is found under each of its ids; a null, empty or too long one raises.
+
+    A join: patterns meet the parts of the texts that have the hash of their beginning, whose length is the largest power
+    of two within the pattern, 64 at most, and are compared with the characters there. There is a pass for each such
+    length, seven at most, however many patterns there are.
+    """
+    rows = checked(patterns, most)
+    begun = rows.withColumn("seed", F.expr("substring(pattern, 1, least(64, cast(pow(2, floor(log2(length(pattern)))) as int)))"))
+    found = seed_places(kernels.select("key", F.col("kernel").alias("text")), begun, "pattern")
+    return found.where(F.startswith("window", F.col("pattern"))).select("key", "query_id", "pos", F.length("pattern").cast("bigint").alias("m"))
+
+
+def in_index(index, patterns: DataFrame) -> DataFrame:
+    """located() in an index's kernels: by its search structure where it has one, patterns that are too short for that by a join with the kernels."""
+    most = index.parameters.max_query_len
+    if index.blocks is None:
+        return located(index.kernels, patterns, most)
+    rows, least = checked(patterns, most), fm.GRAM + fm.WINDOW - 1
+    found = fm.located(index.blocks, index.directory, rows)
+    short = rows.where(F.length("pattern") < least)
+    return found if short.isEmpty() else found.unionByName(located(index.kernels, short, most))
 
 
 def primary(hits: DataFrame, limited: DataFrame, aligned: bool = False, bin_size: int = 4096) -> DataFrame:
@@ -85,18 +91,23 @@ def seeds(reads: DataFrame, k: int, mismatches: int | None = None) -> DataFrame:
     return rows.select("query_id", "read", (F.col("i") * F.col("size")).alias("offset"), F.substring("read", F.col("i") * F.col("size") + 1, F.col("size")).alias("seed"))
 
 
-#: Bits of the filter that a text's parts pass before they are joined to seeds, and characters of the pieces that windows are cut from.
-FILTER_BITS, PIECE = 1 << 26, 4096
+#: Bits of the filter that a text's parts pass before they are joined to seeds: at least, at most, and for each seed; seeds beyond what the most is for go without.
+LEAST_BITS, MOST_BITS, BITS_A_SEED = 1 << 16, 1 << 28, 16
+#: Characters of the pieces that windows are cut from.
+PIECE = 4096
 
 
-def seed_places(texts: DataFrame, seeds: DataFrame) -> DataFrame:
-    """seeds (query_id, read, offset, seed, ...) with key and pos of the places in texts (key, text) that have the seed's hash.
+def seed_places(texts: DataFrame, seeds: DataFrame, whole: str | None = None) -> DataFrame:
+    """seeds (query_id, seed, ...) with key and pos of the places in texts (key, text) that have the seed's hash.
 
     A join on hashes of all parts of the texts with a seed's length, a pass for each length. Only hashes come to it that
-    pass a filter of bounded size made of the seeds; neither seeds nor places go through the driver. Equal hashes of
-    different parts are as good as none; whoever compares the reads sees that.
+    pass a filter made of the seeds; its size follows their number, and with more than it has room for all hashes are
+    joined. Neither seeds nor places go through the driver. Equal hashes of different parts are as good as none; whoever
+    compares the texts sees that: for that, with whole (a column that begins with the seed), window has the text
+    from pos on, as long as the longest of these with such a seed.
     """
     spark = texts.sparkSession
+    shared_folder(spark)
     hashed = seeds.withColumn("size", F.length("seed"))
 
     @F.arrow_udf("bigint")
@@ -105,31 +116,41 @@ def seed_places(texts: DataFrame, seeds: DataFrame) -> DataFrame:
 
     hashed = hashed.withColumn("h", of_seed("seed")).checkpoint()
     out = None
-    for (size,) in sorted(hashed.select("size").distinct().collect()):
+    longest = F.max(F.length(whole or "seed"))
+    for size, count, reach in sorted(map(tuple, hashed.groupBy("size").agg(F.approx_count_distinct("h"), longest).collect())):
         some = hashed.where(F.col("size") == size)
-        bit = F.col("h").bitwiseAND(F.lit(FILTER_BITS - 1))
-        words = some.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).collect()
-        passes = np.zeros(FILTER_BITS >> 6, np.int64)
-        passes[[w[0] for w in words]] = [w[1] for w in words]
+        bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(BITS_A_SEED * count).bit_length()))
+        passes = None
+        if BITS_A_SEED * count <= 4 * MOST_BITS:
+            words = some.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
+            passes = np.zeros(bits >> 6, np.int64)
+            passes[words.column("word").to_numpy()] = words.column("bits").to_numpy()
         shared = spark.sparkContext.broadcast(passes)
 
-        def run(batches, size=size, shared=shared):
-            bits = shared.value.view(np.uint64)
+        def run(batches, size=size, shared=shared, bits=bits, reach=reach):
+            known = None if shared.value is None else shared.value.view(np.uint64)
             for batch in batches:
                 for part in parses._slices(batch, ["text"]):
-                    found = []
+                    found, said = [], []
                     for t in part.column("text").to_pylist():
-                        h = kernels.window_hashes(t or "", size)
-                        at = (h & np.uint64(FILTER_BITS - 1)) >> np.uint64(6)
-                        pos = np.flatnonzero((bits[at.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1))
+                        t = t or ""
+                        h = kernels.window_hashes(t, size)
+                        if known is None:
+                            pos = np.arange(len(h))
+                        else:
+                            at = (h & np.uint64(bits - 1)) >> np.uint64(6)
+                            pos = np.flatnonzero((known[at.astype(np.int64)] >> (h & np.uint64(63))) & np.uint64(1))
                         found.append((h[pos].view(np.int64), pos))
-                    yield parses._batch({"key": part.column("key")}, [len(x[1]) for x in found], {"h": [x[0] for x in found], "pos": [x[1] for x in found]})
+                        if whole:
+                            said += [t[p : p + reach] for p in pos.tolist()]
+                    rows = parses._batch({"key": part.column("key")}, [len(x[1]) for x in found], {"h": [x[0] for x in found], "pos": [x[1] for x in found]})
+                    yield rows.append_column("window", pa.array(said, pa.string())) if whole else rows
 
-        places = spread(texts.select("key", "text")).mapInArrow(run, f"key {dict(texts.dtypes)['key']}, h bigint, pos bigint")
+        places = spread(texts.select("key", "text")).mapInArrow(run, f"key {dict(texts.dtypes)['key']}, h bigint, pos bigint" + ", window string" * bool(whole))
         rows = some.join(places, "h").drop("h", "size")
         out = rows if out is None else out.unionByName(rows)
     if out is None:
-        empty = ", ".join(f"`{k}` {t}" for k, t in [*seeds.dtypes, ("key", dict(texts.dtypes)["key"]), ("pos", "bigint")])
+        empty = ", ".join(f"`{k}` {t}" for k, t in [*seeds.dtypes, ("key", dict(texts.dtypes)["key"]), ("pos", "bigint"), *([("window", "string")] if whole else [])])
         return spark.createDataFrame([], empty)
     return out
 
@@ -232,9 +253,7 @@ def find_all(index, patterns: DataFrame) -> DataFrame:
     Places that fit are in one sequence; of others seq_id and seq_pos are those of their first character. No patterns,
     or an empty index, give no rows; a null or empty pattern, or one longer than the index allows, raises.
     """
-    p = index.parameters
-    hits = located(index.kernels, patterns, p.max_query_len)
-    first = primary(hits, index.limited)
+    first = primary(in_index(index, patterns), index.limited)
     rows = placed(ranges.closure(first, phrases.grid(index.merged)), index.catalogue)
     # A place across the end of a part is in the next part whole.
     best = rows.groupBy("query_id", "seq_id", "seq_pos", "m").agg(F.max(F.struct("fits", "key", "pos")).alias("x"))

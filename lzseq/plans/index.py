@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import group_key
 from ..functions.session import exists, shared_folder
-from ..operators import dictionaries, parses, phrases
+from ..operators import dictionaries, fm, parses, phrases
 
 
 @dataclass(frozen=True)
@@ -30,23 +30,30 @@ class Parameters:
         return self.max_query_len + self.max_edit_distance
 
 
+#: Tables that are saved in folders by a hash of a column.
+SPLIT_BY = {"blocks": "key", "directory": "gram"}
+
+
 @dataclass
 class Index:
     """limited: merged phrases with text and kernel limits and, where copies are from another key, source; kernels: (key, kernel);
-    catalogue: where sequences lie, from being the place of a part within its sequence; names: (seq_id, name, length), or None."""
+    catalogue: where sequences lie, from being the place of a part within its sequence; names: (seq_id, name, length), or None;
+    blocks, directory: the kernels' search structure (operators.fm), or None: then a search goes over the kernels."""
 
     parameters: Parameters
     limited: DataFrame
     kernels: DataFrame
     catalogue: DataFrame
     names: DataFrame | None = None
+    blocks: DataFrame | None = None
+    directory: DataFrame | None = None
 
     @property
     def merged(self) -> DataFrame:
         return self.limited
 
     def tables(self) -> dict[str, DataFrame]:
-        return {k: getattr(self, k) for k in ("limited", "kernels", "catalogue", "names") if getattr(self, k) is not None}
+        return {k: getattr(self, k) for k in ("limited", "kernels", "catalogue", "names", "blocks", "directory") if getattr(self, k) is not None}
 
     def space(self) -> DataFrame:
         """Characters of texts and kernels, phrases and copies of each key, and the kernel's share of the text."""
@@ -56,17 +63,31 @@ class Index:
     def samples(self) -> DataFrame:
         return phrases.sampled(self.limited, self.parameters.sample_every)
 
+    def searchable(self) -> Index:
+        """The index with its kernels' search structure."""
+        return self if self.blocks is not None else replace(self, blocks=fm.blocks(self.kernels, "kernel"), directory=fm.directory(self.kernels, "kernel"))
+
     def save(self, path: str) -> None:
+        """Writes the tables to a folder each, with the search structure, which is split so that a search reads only what it needs."""
         spark = self.limited.sparkSession
         for name, table in self.tables().items():
-            table.write.mode("overwrite").parquet(f"{path}/{name}")
+            if name not in SPLIT_BY:
+                table.write.mode("overwrite").parquet(f"{path}/{name}")
+        self.save_search(path)
         spark.createDataFrame([tuple(asdict(self.parameters).values())], ", ".join(f"`{k}` {'string' if isinstance(v, str) else 'int'}" for k, v in asdict(self.parameters).items())).write.mode("overwrite").parquet(f"{path}/parameters")
 
+    def save_search(self, path: str) -> None:
+        """Writes the search structure alone, of which there must be no older one that is read from there."""
+        made = self.searchable()
+        for name, column in SPLIT_BY.items():
+            rows = getattr(made, name).drop("bucket").withColumn("bucket", fm.bucket_of(column)).repartition("bucket").sortWithinPartitions("bucket", column)
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{name}")
+
     @staticmethod
     def load(spark: SparkSession, path: str) -> Index:
         p = Parameters(**spark.read.parquet(f"{path}/parameters").first().asDict())
-        names = spark.read.parquet(f"{path}/names") if exists(spark, f"{path}/names") else None
-        return Index(p, *(spark.read.parquet(f"{path}/{name}") for name in ("limited", "kernels", "catalogue")), names)
+        there = lambda name: spark.read.parquet(f"{path}/{name}") if exists(spark, f"{path}/{name}") else None
+        return Index(p, *(spark.read.parquet(f"{path}/{name}") for name in ("limited", "kernels", "catalogue")), there("names"), there("blocks"), there("directory"))
 
 
 def parse(texts: DataFrame, method: str = "lz77", prefix_chars: int | None = None) -> DataFrame:
@@ -161,10 +182,12 @@ def merge(parts: list[Index]) -> Index:
         raise ValueError("parts of an index must have the same parameters")
     if len({p.names is None for p in parts}) != 1:
         raise ValueError("either all parts of an index have names or none")
+    if len({p.blocks is None for p in parts}) != 1:
+        parts = [p.searchable() for p in parts]
     moved, by = [], 0
     for n, p in enumerate(parts):
         key = F.concat(F.lit(f"{n}/"), "key")
-        tables = {k: t.withColumn("key", key) if "key" in t.columns else t for k, t in p.tables().items()}
+        tables = {k: t.drop("bucket").withColumn("key", key) if "key" in t.columns else t for k, t in p.tables().items()}
         source = F.concat(F.lit(f"{n}/"), "source") if "source" in p.limited.columns else F.col("key")
         tables["limited"] = tables["limited"].withColumn("source", source)
         for k in ("catalogue", "names"):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -101,13 +103,15 @@ def kernelize_fasta(spark: SparkSession, path: str, out: str, parameters: index.
 
     index_fasta(spark, path, out, parameters, **options)
     writers.fasta(index.Index.load(spark, out).kernels, f"{out}/text", "key", "kernel")
-    remove(spark, f"{out}/kernels")
+    for name in ("kernels", *index.SPLIT_BY):
+        remove(spark, f"{out}/{name}")
 
 
 def index_kernels(spark: SparkSession, folder: str) -> None:
-    """The second half: the kernels' table from their text in a folder of kernelize_fasta()."""
+    """The second half: the kernels' table and search structure from their text in a folder of kernelize_fasta()."""
     kernels = readers.fasta(spark, f"{folder}/text").select(F.col("header").alias("key"), F.col("seq").alias("kernel"))
     kernels.write.mode("overwrite").parquet(f"{folder}/kernels")
+    replace(index.Index.load(spark, folder), blocks=None, directory=None).save_search(folder)
 
 
 def find_validated(spark: SparkSession, folder: str, patterns: str, fasta: str) -> DataFrame:
