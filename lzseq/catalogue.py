@@ -16,7 +16,7 @@ from .functions.session import remove, shared_folder, spread
 from .operators import chunks, dictionaries, parses, phrases, ranges, records, search
 from .plans import index, jobs
 from .sinks import writers
-from .sources import readers
+from .sources import readers, vcf
 from .streaming import align
 
 _HEADER = "'ACC' || CAST(doc_id AS VARCHAR) || ' ' || lang || ' ' || source || ' chromosome ' || CAST(doc_id % 3 AS VARCHAR) || CASE WHEN doc_id % 5 = 0 THEN ', complete genome' ELSE ', scaffold' END"
@@ -360,6 +360,28 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
     add("merge_kernels", merge_kernels, f"WITH {_SEQS} SELECT '' AS part, -1 AS line_no, md5('>whole') AS md5 UNION ALL SELECT CAST(seq_id % 5 AS VARCHAR), seq_id, md5(seq) FROM seqs WHERE seq_id >= 5")
     add("merge_limits_sampled", lambda s, d: phrases.merge_limits(limit_table(s, d), 64), f"WITH {_PHRASE}, {_LIMITS}, {limit_rows}, t AS (SELECT part, max(lim) AS last, count(*) - 1 AS n FROM lim GROUP BY part), m AS (SELECT part, coalesce(sum(last) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, coalesce(sum(n) OVER (ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM t), whole AS (SELECT part, ix, (lim + moved)::BIGINT AS \"limit\", (ix + before)::BIGINT AS nth FROM lim JOIN m USING (part)) SELECT * FROM whole WHERE nth % 64 = 0 AND (ix > 0 OR nth = 0)")
 
+    def vcf_haplotypes(s, d):
+        """Every part's name as a reference: in each ten letters the fourth is another letter, and from the seventh two letters more, on some haplotypes."""
+        reference = table(s, d, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("chrom"), F.regexp_replace("p_name", "[^A-Za-z]", "").alias("seq"), "p_partkey")
+        at = reference.where(F.length("seq") >= 10).select("chrom", "seq", "p_partkey", F.explode(F.sequence(F.lit(0), F.floor(F.length("seq") / 10).cast("int") - 1)).alias("i"))
+        letter = lambda k: F.substring("seq", F.col("i") * 10 + k, F.lit(1))
+        call = lambda k: F.concat((F.col("p_partkey") + F.col("i") + k).cast("long").bitwiseAND(F.lit(1)).cast("string"), F.lit("|"), (F.col("i") + k).cast("long").bitwiseAND(F.lit(1)).cast("string"))
+        line = lambda k, alt: F.concat_ws("\t", "chrom", (F.col("i") * 10 + k).cast("string"), F.lit("."), letter(k), alt, F.lit("."), F.lit("."), F.lit("."), F.lit("GT:X"), F.concat(call(k), F.lit(":9")))
+        lines = at.select(F.explode(F.array(line(4, F.when(letter(4) == "x", "y").otherwise("x")), line(7, F.concat(letter(7), F.lit("zz"))))).alias("value"))
+        head = s.createDataFrame([("#" + "\t".join([*(x.upper() for x in vcf.FIXED), "S"]),)], "value string")
+
+        def read(f):
+            got = vcf.haplotypes(reference.select("chrom", "seq"), vcf.variants(s, f), vcf.samples(s, f), chunk=16)
+            return got.groupBy("chrom", "name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+
+        return in_files(s, lambda f: head.unionByName(lines).write.text(f), read)
+
+    bit = "CASE h WHEN 'reference' THEN 0 WHEN 'S.1' THEN (p_partkey + i + {k}) % 2 ELSE (i + {k}) % 2 END = 1"
+    add("vcf_haplotypes", vcf_haplotypes, f"""WITH r AS (SELECT p_partkey, 'p' || CAST(p_partkey AS VARCHAR) AS chrom, regexp_replace(p_name, '[^A-Za-z]', '', 'g') AS seq, length(regexp_replace(p_name, '[^A-Za-z]', '', 'g')) // 10 AS n FROM part),
+tens AS (SELECT *, unnest(range(0, n)) AS i FROM r), named AS (SELECT *, substr(seq, CAST(i * 10 + 1 AS BIGINT), 10) AS t FROM tens, (VALUES ('reference'), ('S.1'), ('S.2')) v(h)),
+cut AS (SELECT chrom, h, i, substr(t, 1, 3) || CASE WHEN {bit.format(k=4)} THEN CASE WHEN substr(t, 4, 1) = 'x' THEN 'y' ELSE 'x' END ELSE substr(t, 4, 1) END || substr(t, 5, 3) || CASE WHEN {bit.format(k=7)} THEN 'zz' ELSE '--' END || substr(t, 8) AS said FROM named)
+SELECT r.chrom, v.h AS name, coalesce((SELECT string_agg(said, '' ORDER BY i) FROM cut c WHERE c.chrom = r.chrom AND c.h = v.h), '') || substr(seq, CAST(n * 10 + 1 AS BIGINT)) AS seq FROM r, (VALUES ('reference'), ('S.1'), ('S.2')) v(h)""")
+
     def find_indexed(s, d):
         """The patterns in an index that is saved and loaded, by its search structure."""
         return in_files(s, lambda f: sequence_index(s, d).save(f), lambda f: search.find_all(index.Index.load(s, f), tiles(s, d)).where("fits").select("query_id", "seq_id", "seq_pos"))

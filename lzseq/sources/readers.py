@@ -56,7 +56,8 @@ def fasta_records(rows: DataFrame, single_line: bool = False, strict: bool = Fal
 def fastq(spark: SparkSession, path: str, mates: str | None = None, interleaved: bool = False) -> DataFrame:
     """(name, seq, qual, mate) of one or two files (or folders) of four-line records; each file has whole records.
 
-    Lines are numbered over partitions, as no separator tells records apart: a quality line may begin with @.
+    Lines are numbered over partitions, as no separator tells records apart: a quality line may begin with @. A record
+    whose lines don't begin with @ and +, or whose quality isn't as long as its sequence, raises; empty lines at the end don't count.
     """
     if mates and interleaved:
         raise ValueError("reads are in two files or interleaved, not both")
@@ -66,7 +67,11 @@ def fastq(spark: SparkSession, path: str, mates: str | None = None, interleaved:
         rows = numbered_lines(spark, p).groupBy(F.floor(F.col("line") / 4).alias("record")).agg(*(F.max(F.when(nth == k, F.regexp_replace("value", "\r$", ""))).alias(c) for k, c in enumerate(("head", "seq", "plus", "qual"))))
         name = F.substring_index(F.regexp_replace("head", "^@", ""), " ", 1)
         number = F.when(F.endswith(name, F.lit("/2")), 2).otherwise(1) if interleaved else F.lit(mate)
-        return rows.where(F.startswith("head", F.lit("@"))).select(F.regexp_replace(name, "/[12]$", "").alias("name"), "seq", "qual", number.cast("int").alias("mate"))
+        whole = F.startswith("head", F.lit("@")) & F.startswith("plus", F.lit("+")) & (F.length("seq") == F.length("qual"))
+        empty = (F.coalesce(F.length("head"), F.lit(0)) == 0) & (F.coalesce(F.length("seq"), F.lit(0)) == 0) & (F.coalesce(F.length("plus"), F.lit(0)) == 0)  # line ends at the end of a file
+        broken = F.raise_error(F.concat(F.lit("no read begins at line "), (F.col("record") * 4 + 1).cast("string"), F.lit(" of "), F.lit(p)))
+        rows = rows.where(~empty).withColumn("seq", F.when(F.coalesce(whole, F.lit(False)), F.col("seq")).otherwise(broken))
+        return rows.select(F.regexp_replace(name, "/[12]$", "").alias("name"), "seq", "qual", number.cast("int").alias("mate"))
 
     return one(path, 1).unionByName(one(mates, 2)) if mates else one(path, 1)
 

@@ -27,14 +27,30 @@ def variants(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(cell("chrom").alias("chrom"), (cell("pos").cast("bigint") - 1).alias("pos"), cell("ref").alias("ref"), F.split(cell("alt"), ",").alias("alts"), gt.alias("genotypes"))
 
 
-def haplotypes(reference: DataFrame, calls: DataFrame, names: list[str], chunk: int = 65_536, each: bool = False) -> DataFrame:
+def left_out(reference: DataFrame, calls: DataFrame, names: list[str]) -> DataFrame:
+    """(chrom, pos, ref, reason, name) of what haplotypes() can't apply: `no such sequence`, `past the end` and `reference differs` for a record (name is null), `unphased` and `symbolic` for a sample's call."""
+    known = reference.select("chrom", "seq")
+    rows = calls.join(known, "chrom", "left")
+    there = F.substring("seq", (F.col("pos") + 1).cast("int"), F.length("ref"))
+    reason = F.when(F.col("seq").isNull(), "no such sequence").when((F.col("pos") < 0) | (F.col("pos") + F.length("ref") > F.length("seq")), "past the end").when(F.upper(there) != F.upper("ref"), "reference differs")
+    records = rows.select("chrom", "pos", "ref", reason.alias("reason"), F.lit(None).cast("string").alias("name")).where("reason is not null")
+    one = calls.select("chrom", "pos", "ref", "alts", F.explode(F.arrays_zip(F.array(*map(F.lit, names)).alias("name"), F.col("genotypes").alias("gt"))).alias("x")).select("chrom", "pos", "ref", "alts", "x.name", "x.gt")
+    numbers = F.transform(F.split("gt", r"[|/]"), lambda x: x.try_cast("int"))
+    called = F.filter(F.transform(numbers, lambda k: F.get("alts", k - 1)), lambda a: a.isNotNull())
+    unphased = F.contains("gt", F.lit("/")) & (F.size(F.array_distinct(F.split("gt", "/"))) > 1) & (F.size(called) > 0)
+    why = F.when(unphased, "unphased").when(F.exists(called, lambda a: ~a.rlike("^[A-Za-z]+$")), "symbolic")
+    return records.unionByName(one.select("chrom", "pos", "ref", why.alias("reason"), "name").where("reason is not null"))
+
+
+def haplotypes(reference: DataFrame, calls: DataFrame, names: list[str], chunk: int = 65_536, each: bool = True, strict: bool = True) -> DataFrame:
     """(chrom, chunk_ix, name, seq): the reference (chrom, seq) and every phased haplotype, aligned with - over equal columns.
 
     Work is dealt by chunks of the reference; a variant belongs to the chunk of its first base. Where one reaches past its
     chunk, the chunk's seq reaches as far, the next one starts behind it, and these chunks are one piece of work; so the
-    whole sequences don't depend on chunk. An allele that is missing, symbolic or unphased is the reference's.
-    A variant that overlaps one before it is left out, for all haplotypes; with each, every haplotype takes its own
-    variants, and two that overlap on one haplotype raise.
+    whole sequences don't depend on chunk. Every haplotype takes its own variants, and two that overlap on one haplotype
+    raise; without each, a variant that overlaps one before it is left out, for all haplotypes. A variant whose ref isn't
+    what the reference has there, or that reaches past its end, raises; without strict it is left out. An
+    allele that is missing or symbolic, or of an unphased call with two alleles, is the reference's. left_out() lists all that.
     """
     if not names:
         raise ValueError("no samples")
@@ -50,9 +66,15 @@ def haplotypes(reference: DataFrame, calls: DataFrame, names: list[str], chunk:
     placed = calls.withColumn("i", ix(F.col("pos"))).join(F.broadcast(later), ["chrom", "i"], "left").withColumn("chunk_ix", F.coalesce("head", "i"))
     by_chunk = placed.groupBy("chrom", "chunk_ix").agg(F.array_sort(F.collect_list(F.struct((F.col("pos") - F.col("chunk_ix") * chunk).alias("at"), "ref", "alts", "genotypes"))).alias("calls"))
     rows = parts.join(by_chunk, ["chrom", "chunk_ix"], "left")
+    if strict:  # records of no chunk
+        lost = by_chunk.join(split.select("chrom", "chunk_ix"), ["chrom", "chunk_ix"], "left_anti").select("chrom", "chunk_ix").take(1)
+        if lost:
+            raise ValueError(f"{lost[0][0]}: a variant lies outside the reference, near {lost[0][1] * chunk}")
 
     def allele(genotype: str, k: int, ref: str, alts: list[str]) -> str:
         called = genotype.split("|")
+        if "/" in genotype and len(set(genotype.split("/"))) == 1:
+            called = genotype.split("/")
         if k >= len(called) or not called[k].isdigit() or not 0 < int(called[k]) <= len(alts):
             return ref
         alt = alts[int(called[k]) - 1]
@@ -82,7 +104,11 @@ def haplotypes(reference: DataFrame, calls: DataFrame, names: list[str], chunk:
                 for v in found:
                     a, ref = v["at"], v["ref"]
                     overlaps = bool(groups) and a < groups[-1][1]
-                    if overlaps and not each or a + len(ref) > len(text) or text[a : a + len(ref)].upper() != ref.upper():
+                    if a + len(ref) > len(text) or text[a : a + len(ref)].upper() != ref.upper():
+                        if strict:
+                            raise ValueError(f"{chrom}:{first * chunk + a + 1}: the reference doesn't have {ref} there")
+                        continue
+                    if overlaps and not each:
                         continue
                     one = (a, ref, {f"{n}.{k + 1}": allele(g, k, ref, v["alts"]) for n, g in zip(names, v["genotypes"]) for k in (0, 1)})
                     if overlaps:
