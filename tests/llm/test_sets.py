@@ -161,12 +161,54 @@ def test_marked_article():
 
 
 def test_units_of_a_page():
-    lines = pages.lines_of("<nav><ul><li>a<li>b</ul></nav><div class='ad'>x</div><p>y<div class='ad'>z</div><article><p>w")
-    keys, kinds, sizes = pages.units_of(lines)
-    assert kinds == b"ttpta" and sizes == [2, 1, 1, 1, 1] and keys[1] == keys[3] != keys[0]
-    other = pages.units_of(pages.lines_of("<nav><ul><li>c</ul></nav><div class='ad'>new</div>"))[0]
-    assert other == keys[:2] and pages.unshared(keys, kinds, other) == [2, 3] and pages.unshared(keys, kinds) == [0, 1, 2, 3]
-    assert pages.covers([*keys, 5], keys, kinds) and not pages.covers(other, keys, kinds) and not pages.covers(other, other, b"tt")
+    page = pages.lines_of("<nav><ul><li>a<li>b</ul></nav><div class='ad'>x</div><p>y<div class='ad'>z</div><article><p>w")
+    texts, paths, kinds = units = pages.units_of(page)
+    assert page.said == list("abxyzw") and kinds == b"tttcta" and paths[0] == paths[1] != paths[2] == paths[4]
+    other = pages.units_of(pages.lines_of("<nav><ul><li>c</ul></nav><div class='ad'>new</div>"))
+    assert pages.unshared(units, other) == [3, 4] and pages.unshared(units) == [0, 1, 2, 3, 4] and pages.unshared(units, other, by_path=False) == [0, 1, 2, 3, 4]
+    own = pages.own_texts(units)
+    assert own == (texts[3], texts[5]) and pages.covers([*texts, 5], own) and not pages.covers(other[0], own) and not pages.covers(other[0], ())
+
+
+def test_rotating_template_without_names(spark):
+    """Neither element names nor classes say what is template, and no two pages share a line."""
+    rng = random.Random(12)
+    story = {i: [prose(rng, 3), *(prose(rng, rng.randint(4, 40)) for _ in range(rng.randint(3, 6)))] for i in range(60)}
+    block = lambda words: f"<div>{words}</div>"
+
+    def page(i):
+        menu = "<div><ul>" + "".join(f"<li><a href='/x'>{prose(rng, 1)} {i}</a></li>" for _ in range(rng.randint(4, 7))) + "</ul></div>"
+        said = "<div>" + f"<h1>{story[i][0]}</h1>" + "".join(f"<p>{x}</p>" for x in story[i][1:]) + "</div>"
+        return f"<html><body>{menu}{block(prose(rng, 8))}{said}<div><ul><li>{prose(rng, 2)}</li></ul></div>{block(prose(rng, 5))}</body></html>"
+
+    data = [(i, f"http://h{i % 3}.org/a/{i}", page(i)) for i in range(60)]
+    got = {r.page_id: r for r in pages.extract(rows_of(spark, data)).collect()}
+    assert all(got[i].text == " ".join(story[i]) and got[i].n_marked == 0 for i in range(60))
+    alone = {r.page_id: r.text for r in pages.extract(rows_of(spark, data), by_path=False).collect()}
+    assert all(len(alone[i]) > len(got[i].text) for i in range(60))
+
+
+@pytest.mark.parametrize("partitions", [1, 7])
+def test_growing_threads_wait_within_bounds(spark, partitions, monkeypatch):
+    """Each page has all of the page before it."""
+    lines = [f"<p>Reply number {i} says {prose(random.Random(i), 4)}</p>" for i in range(80)]
+    data = [(i, f"http://h.org/t/{i}", f"<body><div>Best site in town</div>{''.join(lines[: i + 1])}</body>") for i in range(80)]
+    calls = [0]
+    plain = pages.covers
+    monkeypatch.setattr(pages, "covers", lambda *a: calls.__setitem__(0, calls[0] + 1) or plain(*a))
+    rows = [{"host": "h", "part": 0, "mark": i, **dict(zip(("texts", "paths", "kinds"), pages.units_of(pages.lines_of(h))))} for i, _, h in data]
+    import pyarrow as pa
+
+    out = [r for b in pages.walk(False, True)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    assert calls[0] <= pages.WAITING * len(data) and {r["mark"] for r in out if r["mark"] is not None} == set(range(80))
+    monkeypatch.undo()
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {r.page_id: r.text for r in pages.extract(rows_of(spark, data)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert len(got) == 80 and all(f"Reply number {i} " in got[i] for i in range(80))
 
 
 def rows_of(spark, data):
