@@ -1,10 +1,11 @@
 """Personal data replaced by surrogates: keyed, of the same type, script, gender and format, the same one everywhere.
 
 A surrogate is a keyed permutation of the values of the entity's format (a Feistel network over mixed digits with cycle
-walking, conjugated with a shift so that nothing stays as it is). Different values of a format so get different
-surrogates on any number of machines without a shared table, and one value gets one surrogate in all documents, however
-it is written (a phone number with or without its country code, an address short or long). A family or given name that
-stands alone after the full name gets the same surrogate there.
+walking, conjugated with a shift so that nothing stays as it is). It hangs on the value alone, so different values of a
+format get different surrogates on any number of machines without a shared table, and one value gets one surrogate in all
+documents, however it is written (a phone number with or without its country code, an address short or long, a name with any
+title or none). A family or given name that stands alone after the full name gets the same surrogate there. A surrogate that is
+also an original stands in for another value there, which is replaced too; such cases are counted as collisions.
 """
 
 from __future__ import annotations
@@ -33,9 +34,10 @@ GIVEN = {
 }
 # Forms of address.
 TITLES = ("Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Herr", "Frau", "Monsieur", "Madame", "Mme", "Mlle", "Señor", "Señora", "Sr", "Sra", "Господин", "Госпожа", "Κύριος", "Κυρία")
-GENDERS = dict.fromkeys(("Mrs", "Ms", "Miss", "Frau", "Madame", "Mme", "Mlle", "Señora", "Sra", "Госпожа", "Κυρία"), "f") | dict.fromkeys(("Mr", "Herr", "Monsieur", "Señor", "Sr", "Господин", "Κύριος"), "m")
-# Endings of given names by script and gender, after a vowel and after a consonant.
-ENDINGS = {("latin", "f"): ("na", "a"), ("latin", "m"): ("n", "us"), ("cyrillic", "f"): ("на", "а"), ("cyrillic", "m"): ("н", "ий"), ("greek", "f"): ("να", "α"), ("greek", "m"): ("ς", "ος")}
+# Country codes of two digits; 1 and 7 have one, all others three.
+TWO_DIGITS = frozenset("20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+#: Letters at the end of a given name that carry its gender, which its surrogate keeps, at most; and what is permuted at least.
+ENDING, STEM = 2, 3
 # Small words within family names.
 PARTICLES = ("van", "von", "der", "den", "de", "del", "della", "di", "da", "dos", "la", "le", "du", "al", "bin", "ibn", "ter", "zu")
 # Letters that are permuted among each other, by script: vowels, consonants.
@@ -191,10 +193,11 @@ class Surrogates:
             private = parts[0] == 10 or parts[:2] == [192, 168]
             kept = 1 if parts[0] == 10 else 2 if private else 0
             x, n = int.from_bytes(bytes(parts[kept:]), "big"), 256 ** (4 - kept)
+            public = lambda p: 0 < p[0] < 224 and p[0] not in (10, 127) and list(p[:2]) != [192, 168]
             while True:
                 x = self.permute(x, n, b"ip%d" % kept)
                 new = [*parts[:kept], *x.to_bytes(4 - kept, "big")]
-                if kept or (0 < new[0] < 224 and new[0] not in (10, 127) and new[:2] != [192, 168]) or not 0 < parts[0] < 224:
+                if kept or public(new) == public(parts):
                     return ".".join(map(str, new))
         if kind == "ipv6":
             # Of the address's short form; a group keeps its number of digits, so the surrogate is a short form too.
@@ -212,23 +215,21 @@ class Surrogates:
             return ":".join(groups)
         if kind == "ssn":
             return poured(self.digits(digits, b"ssn", lambda s: valid("ssn", s)), text)
-        country = re.match(r"\+(1(?=\D|\d{10}$)|\d{1,3})", text)
-        kept = country[1] if country else ""
+        kept = digits[: 1 if digits[0] in "17" else 2 if digits[:2] in TWO_DIGITS else 3] if text.startswith("+") else ""
         rest = digits[len(kept) :]
         plain = len(rest) == 10 and kept in ("", "1")  # one number, with or without the country's code
         return poured(kept + self.digits(rest, b"phone" + (b"1" if plain else kept.encode()), lambda s: plain and s[0] >= "2" and s[3] >= "2" or not plain and s[0] != "0"), text)
 
-    def given(self, word: str, gender: str | None) -> str:
-        """A known given name becomes another of its script and gender; another name one with an ending of the gender, if that is known."""
+    def given(self, word: str) -> str:
+        """A known given name becomes another of its script and gender; another name keeps its ending, which tells its gender, and changes letter by letter before."""
         if word in _known:
             names = GIVEN[_known[word]]
             return names[self.permute(names.index(word), len(names), "|".join(_known[word]).encode())]
-        new = self.letters(word, b"given")
-        script = next((s for s, i in (("latin", (0, 1, 6, 7)), ("cyrillic", (2, 3)), ("greek", (4, 5))) if any(_alphabet.get(c) in i for c in word.lower())), None)
-        if gender and script:
-            vowel = _alphabet.get(word[-1].lower()) in (0, 2, 4, 6, 7)
-            new += ENDINGS[script, gender][0 if vowel else 1]
-        return self.given(new, None) if new in _known else new
+        kept = max(0, min(ENDING, len(word) - STEM))
+        while True:
+            word = self.letters(word[: len(word) - kept], f"given{word[len(word) - kept :]}".encode()) + word[len(word) - kept :]
+            if word not in _known:
+                return word
 
     def family(self, word: str) -> str:
         """A family name letter by letter; what stands before it, such as O' or Mc, stays."""
@@ -239,12 +240,11 @@ class Surrogates:
     def parts(self, text: str) -> list[tuple[str, str]]:
         """(word, its surrogate) of a name. Titles and small words stay; the first of several names is a given one."""
         words = text.split(" ")
-        title = words[0].rstrip(".") if words[0].rstrip(".") in TITLES and len(words) > 1 else None
-        out = [(words[0], words[0])] if title else []
+        out = [(words[0], words[0])] if words[0].rstrip(".") in TITLES and len(words) > 1 else []
         rest = words[len(out) :]
         first = len(rest) > 1 and rest[0] not in PARTICLES
         for i, w in enumerate(rest):
-            out.append((w, w if w in PARTICLES else self.given(w, GENDERS.get(title)) if first and i == 0 else self.family(w)))
+            out.append((w, w if w in PARTICLES else self.given(w) if first and i == 0 else self.family(w)))
         return out
 
     def _name(self, text: str) -> str:
@@ -253,32 +253,15 @@ class Surrogates:
     def replace(self, text: str) -> tuple[str, dict[str, int], int]:
         """(text with surrogates, count of each kind, collisions).
 
-        A surrogate that is also an original in the text, or another value's surrogate there, is a collision: such a
-        value takes the surrogate's own surrogate, and so on. Words of names that stand alone are names too.
+        collisions are the values whose surrogate is also an original in the text. Words of names that stand alone are
+        names too.
         """
         if not _any.search(text):
             return text, {}, 0
         found = [(kind, m.start(), m[0]) for kind, m in entities(text)]
-        values = dict.fromkeys(canonical(kind, old) for kind, _, old in found)
-        taken: set[str] = set()
-        collisions = 0
-
-        def surrogate(kind: str, old: str) -> str:
-            nonlocal collisions
-            value = canonical(kind, old)
-            new = self.of(kind, old)
-            if values[value] is None:
-                steps = 0
-                while (c := canonical(kind, new)) in values or c in taken:
-                    new, steps = self.of(kind, new), steps + 1
-                taken.add(c)
-                values[value], collisions = steps, collisions + steps
-                return new
-            for _ in range(values[value]):
-                new = self.of(kind, new)
-            return new
-
-        made = [surrogate(kind, old) for kind, _, old in found]
+        made = [self.of(kind, old) for kind, _, old in found]
+        values = {canonical(kind, old): canonical(kind, new) for (kind, _, old), new in zip(found, made)}
+        collisions = sum(new in values for new in values.values())
         spans = [(start, old, new) for (_, start, old), new in zip(found, made)]
         words: dict[str, str] = {}
         for (kind, _, old), new in zip(found, made):
@@ -314,6 +297,9 @@ def canonical(kind: str, text: str) -> str:
         return f"iban:{text.replace(' ', '')}"
     if kind == "ipv6":
         return f"ip:{ipaddress.IPv6Address(text)}"
+    if kind == "name":
+        title, _, rest = text.partition(" ")
+        return f"name:{rest if rest and title.rstrip('.') in TITLES else text}"
     return f"{kind}:{text.lower() if kind == 'email' else text}"
 
 

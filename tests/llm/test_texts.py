@@ -190,8 +190,8 @@ def test_one_value_in_many_spellings():
 def test_names_by_gender_and_alone():
     s = pii.Surrogates(b"k")
     f, m = s.of("name", "Mrs Astrid Larsen").split(), s.of("name", "Mr Astrid Larsen").split()
-    assert f[0] == "Mrs" and f[1].endswith("a") and m[1].endswith("us") and f[2] == m[2] != "Larsen"
-    assert s.of("name", "Frau Dana Weiß").split()[1].endswith("na") and s.of("name", "Госпожа Алла Петрова").split()[1].endswith("а")
+    assert f[0] == "Mrs" and m[0] == "Mr" and f[1:] == m[1:] and f[1].endswith("id") and f[1] != "Astrid" and f[2] != "Larsen"  # the ending tells the gender
+    assert s.of("name", "Frau Tovena Weiß").split()[1].endswith("na") and s.of("name", "Госпожа Аллана Петрова").split()[1].endswith("на")
     name = s.of("name", "Dr. Robert O'Neil")
     assert name.startswith("Dr. ") and name.split()[1] in pii.GIVEN["latin", "m"] and name.split()[2].startswith("O'") and "Neil" not in name
     text, count, _ = s.replace("Mary Johnson met John Q. Smith and Mr. van der Berg. Johnson said Mary's note for Smith; Johnsonville stays.")
@@ -222,16 +222,42 @@ def test_all_planted_values_go_and_nothing_else(spark):
         assert got[i].n_entities == sum(k is not None for k, _ in row)
 
 
-def test_collisions_are_resolved():
-    s = pii.Surrogates(b"k")
-    at, chain = "9.8.7.6", []
+def test_one_value_has_one_surrogate_in_all_documents(spark):
+    s = pii.Surrogates(pii.DEFAULT_KEY)
+    chain = ["9.8.7.6"]
     for _ in range(4):
-        chain.append(at)
-        at = s.of("ip", at)
-    text, count, collisions = s.replace(" ; ".join(chain + chain[:1]))
-    new = text.split(" ; ")
-    assert collisions and count == {"ip": 5} and new[0] == new[4] and len(set(new)) == 4 and not set(new) & set(chain)
-    assert s.replace("8.8.4.4 and 8.8.4.4")[2] == 0
+        chain.append(s.of("ip", chain[-1]))
+    texts = [*chain, " ; ".join(chain), " ; ".join(chain[::-1]), *(f"{t} Tovena Larsen left" for t in ("Mrs", "Dr.", "Prof", "Mr")), "+49 30 1234567 is +49301234567 and +493 0123 4567"]
+    got = {r.doc_id: r for r in pii.pseudonymise(table(spark, texts)).collect()}
+    new = [s.of("ip", x) for x in chain]
+    assert [got[i].text for i in range(5)] == new and got[5].text == " ; ".join(new) and got[6].text == " ; ".join(new[::-1])
+    assert got[5].collisions == 4 and got[0].collisions == 0 and len(set(new)) == 5  # those that stand in for each other
+    assert len({got[i].text.split(" ", 1)[1] for i in range(7, 11)}) == 1 and "Tovena" not in got[7].text
+    phone = re.findall(r"\+[\d ]*\d", got[11].text)
+    assert len({x.replace(" ", "") for x in phone}) == 1 and phone[0].startswith("+49")
+
+
+def test_surrogates_against_brute_force_over_many_documents(spark):
+    """Each value has one surrogate in all documents and spellings, and no two values share one."""
+    rng = random.Random(41)
+    name = lambda: f"{prose(rng, 1)[:9].capitalize()}en {prose(rng, 1)[:9].capitalize()}sen"
+    spell = {
+        "name": (lambda: name(), lambda v: f"{rng.choice(['Mr', 'Mrs', 'Dr.', 'Frau'])} {v}", lambda x: x.split(" ", 1)[1]),
+        "phone": (lambda: f"2{rng.randrange(10**2):02d}5{rng.randrange(10**6):06d}", lambda v: rng.choice([f"+1 {v[:3]} {v[3:6]} {v[6:]}", f"({v[:3]}) {v[3:6]}-{v[6:]}", f"{v[:3]}-{v[3:6]}-{v[6:]}"]), lambda x: re.sub(r"\D", "", x)[-10:]),
+        "ip": (lambda: f"{rng.choice([10, 12, 127, 192, 230, 250])}.{rng.randint(0, 3)}.{rng.randint(0, 3)}.{rng.randint(1, 254)}", str, str),
+        "iban": (lambda: (lambda a: "DE" + pii.iban_check("DE", a) + a)(f"{rng.randrange(10**18):018d}"), lambda v: v if rng.random() < 0.5 else " ".join(v[i : i + 4] for i in range(0, 22, 4)), lambda x: x.replace(" ", "")),
+    }
+    values = {k: sorted({make() for _ in range(25)}) for k, (make, _, _) in spell.items()}
+    rows = [[(k, v, spell[k][1](v)) for k, v in ((k, rng.choice(values[k])) for k in rng.choices(list(spell), k=rng.randint(1, 6)))] for _ in range(150)]
+    texts = [" | ".join(said for _, _, said in row) for row in rows]
+    of: dict = {}
+    for r in pii.pseudonymise(table(spark, texts)).collect():
+        parts = r.text.split(" | ")
+        assert len(parts) == len(rows[r.doc_id]) == r.n_entities
+        for (k, v, said), new in zip(rows[r.doc_id], parts):
+            assert new != said
+            of.setdefault((k, v), set()).add((k, spell[k][2](new)))
+    assert len(of) > 80 and all(len(x) == 1 for x in of.values()) and len(set.union(*of.values())) == len(of)
 
 
 def test_pii_odd_texts(spark):
