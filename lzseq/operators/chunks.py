@@ -36,21 +36,23 @@ def dense_ids(rows: DataFrame, order: list[str], id_column: str = "id", parts: i
     return ranged.join(F.broadcast(before), "_part").select((F.col("_before") + F.col("_row")).alias(id_column), *rows.columns)
 
 
-def prefix_sums(rows: DataFrame, group: str, order: list[str], values: dict) -> DataFrame:
-    """rows with, for each name: column of values, the sum over the rows before in the group's order; 0 for the first.
+def prefix_sums(rows: DataFrame, group: str, order: list[str], values: dict, start: int = 0, largest: bool = False) -> DataFrame:
+    """rows with, for each name: column of values, the sum (or the largest) over the rows before in the group's order; `start` for the first.
 
     A group of any size is spread over tasks: rows are sorted by range, each partition's sums are added to those of the
     group's partitions before it (a row for each group and partition) and to the sums within the partition.
     """
     shared_folder(rows.sparkSession)
     ranged = rows.withColumns({f"_v_{k}": v for k, v in values.items()}).repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
-    totals = ranged.groupBy(group, "_part").agg(*(F.sum(f"_v_{k}").alias(f"_t_{k}") for k in values))
+    over = F.max if largest else F.sum
+    put = (lambda a, b: F.greatest(a, b)) if largest else (lambda a, b: a + b)
+    totals = ranged.groupBy(group, "_part").agg(*(over(f"_v_{k}").alias(f"_t_{k}") for k in values))
     before = Window.partitionBy(group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    moved = totals.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), *(F.coalesce(F.sum(f"_t_{k}").over(before), F.lit(0)).alias(f"_b_{k}") for k in values))
+    moved = totals.select(F.col(group).alias("_group"), F.col("_part").alias("_p"), *(F.coalesce(over(f"_t_{k}").over(before), F.lit(start)).alias(f"_b_{k}") for k in values))
     within = Window.partitionBy("_part", group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    local = ranged.withColumns({f"_s_{k}": F.coalesce(F.sum(f"_v_{k}").over(within), F.lit(0)) for k in values})
+    local = ranged.withColumns({f"_s_{k}": F.coalesce(over(f"_v_{k}").over(within), F.lit(start)) for k in values})
     joined = local.join(moved, (F.col("_part") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_group")))
-    return joined.select(*rows.columns, *((F.col(f"_s_{k}") + F.col(f"_b_{k}")).cast("bigint").alias(k) for k in values))
+    return joined.select(*rows.columns, *(put(F.col(f"_s_{k}"), F.col(f"_b_{k}")).cast("bigint").alias(k) for k in values))
 
 
 #: Groups whose sizes are broadcast (some 50 MB); with more groups than that, that join shuffles.
