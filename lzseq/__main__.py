@@ -33,6 +33,7 @@ def parser() -> argparse.ArgumentParser:
     command("variables", "the parameters of an index", index=word())
     command("merge-parses", "binary parses of parts as one, sources moved", path=word(), out=word(), format=dict(choices=("u64", "u32", "vbyte"), default="u64"))
     command("merge-metadata", "metadata of FASTA files as that of their concatenation", path=word(), out=word())
+    command("merge-limits", "limits of parts, a table of (part, ix, limit), as those of the whole, or every so-manyth of them", path=word(), out=word(), every=number(None))
     command("shrink", "parses with numbers of 64 bits as parses with 32", path=word(), out=word())
     command("decode", "texts of binary parses", path=word(), out=word(), format=dict(choices=("u64", "u32", "vbyte"), default="u64"))
     return top
@@ -41,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     from lzseq.functions import columns as C
     from lzseq.functions.session import exists, shared_folder
-    from lzseq.operators import parses, records
+    from lzseq.operators import parses, phrases, records
     from lzseq.plans import index, jobs
     from lzseq.sinks import writers
     from lzseq.sources import readers
@@ -86,6 +87,7 @@ def main(argv: list[str] | None = None) -> None:
         jobs.sam_file(jobs.mapped_lines(lines) if a.mapped_only else lines, names, a.out)
     elif a.command == "space":
         index.Index.load(spark, a.index).space().show(100, False)
+        index.Index.load(spark, a.index).components().show(100, False)
     elif a.command == "variables":
         spark.read.parquet(f"{a.index}/parameters").show(100, False)
     elif a.command == "merge-parses":
@@ -95,6 +97,8 @@ def main(argv: list[str] | None = None) -> None:
         lines = jobs.fasta_lines(spark, a.path).checkpoint()
         sizes = lines.groupBy("file").agg(F.sum(F.length("value") + 1).alias("file_len"))
         records.merged_metadata(records.fasta_metadata(lines).join(sizes, "file")).write.mode("overwrite").parquet(a.out)
+    elif a.command == "merge-limits":
+        phrases.merge_limits(spark.read.parquet(a.path), a.every).write.mode("overwrite").parquet(a.out)
     elif a.command == "shrink":
         rows = readers.parse_files(spark, a.path, "u64").select(C.base_name(F.col("file")).alias("key"), "phrase_ix", C.low_32_bits(F.col("pos")).alias("pos"), C.low_32_bits(F.col("len")).alias("len"))
         writers.parse_files(rows, a.out, kind="u32").write.format("noop").mode("overwrite").save()

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .functions.session import remove, shared_folder, spread
-from .operators import chunks, dictionaries, parses, phrases, ranges, records, search
+from .operators import chunks, dictionaries, parses, phrases, ranges, records, search, suffixes
 from .plans import index, jobs
 from .sinks import writers
 from .sources import readers, vcf
@@ -108,6 +108,8 @@ def _digest(column: str):
 
 def entries() -> dict:
     """name: (function of (spark, sf_dir), SQL or None)."""
+    from . import catalogue_files
+
     q: dict = {}
 
     def add(name, run, sql=None):
@@ -190,6 +192,12 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
     add("rlz_short", lambda s, d: parses.rlz_phrases(short(s, d).withColumnRenamed("text", "seq"), ["key"]), f"{other} SELECT * FROM phrase")
     add("longest_parts_short", lambda s, d: parses.longest_parts(short(s, d)), f"WITH {_SHORT}, {longest(before, 'previous')}, {longest('dictionary', 'matching')} SELECT key, i AS \"at\", CAST(p.n AS BIGINT) AS previous, CAST(m.n AS BIGINT) AS matching FROM previous p JOIN matching m USING (key, i)")
     add("bwt_short", lambda s, d: parses.transforms(short(s, d)).select("key", _digest("bwt").alias("md5")), f"{suffix} SELECT key, md5(right(text, 1) || coalesce(string_agg(CASE WHEN suffix = 0 THEN chr(0) ELSE substr(text, suffix, 1) END, '' ORDER BY rank), '')) AS md5 FROM (SELECT r.key, rank, suffix, text FROM ranked r JOIN short s ON r.key = s.key) GROUP BY key, text")
+    # The same by rounds over many tasks
+    head = 4
+    add("suffix_order", lambda s, d: suffixes.ordered(short(s, d), head).ranks, f"{suffix} SELECT key, rank, suffix FROM ranked")
+    add("lcp_order", lambda s, d: suffixes.common_prefixes(suffixes.ordered(short(s, d), head)), q["lcp_short"][1])
+    add("bwt_order", lambda s, d: suffixes.transformed(suffixes.ordered(short(s, d), head)), f"{suffix} SELECT key, rank + 1 AS row, CASE WHEN suffix = 0 THEN chr(0) ELSE substr(text, suffix, 1) END AS symbol FROM (SELECT r.key, rank, suffix, text FROM ranked r JOIN short s ON r.key = s.key) UNION ALL SELECT key, 0, right(text, 1) FROM short WHERE length(text) > 0")
+    add("matches_order", lambda s, d: suffixes.matches(short(s, d), head).select("key", "at", "len"), f"WITH {_SHORT}, {longest('dictionary', 'matching')} SELECT key, i AS \"at\", CAST(n AS BIGINT) AS len FROM matching")
     add("parse_statistics_short", lambda s, d: phrases.statistics(parses.lz77_phrases(short(s, d))), f"{earlier} {stats}")
 
     # Phrase tables
@@ -200,7 +208,7 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
     add("kernel_limits", lambda s, d: phrases.kernel_limits(merged(s, d), _CONTEXT), f"WITH {_PHRASE}, {_MERGED}, {_KERNEL} SELECT key, phrase_ix, pos, len, is_literal, text_start, text_end, is_last, k_start, k_end FROM kernel")
     add("kernel_length", lambda s, d: phrases.kernel_limits(merged(s, d), _CONTEXT).groupBy("key").agg(F.max("k_end").alias("kernel_chars")), f"WITH {_PHRASE}, {_MERGED}, {_KERNEL} SELECT key, max(k_end) AS kernel_chars FROM kernel GROUP BY key")
     add("limits_sample", lambda s, d: phrases.sampled(phrases.limits(phrase(s, d)), 512), f"WITH {_PHRASE}, {_LIMITS} SELECT * FROM limited WHERE phrase_ix % 512 = 0")
-    add("limit_differences", lambda s, d: phrases.limits(phrase(s, d)).select("key", "phrase_ix", (F.col("text_end") - F.col("text_start")).alias("n")), f"WITH {_PHRASE}, {_LIMITS} SELECT key, phrase_ix, greatest(len, 1) AS n FROM limited")
+    add("limit_differences", lambda s, d: phrases.differences(phrases.limits(phrase(s, d)), "text_end", "phrase_ix").select("key", "phrase_ix", F.col("difference").alias("n")), f"WITH {_PHRASE}, {_LIMITS} SELECT key, phrase_ix, greatest(len, 1) AS n FROM limited")
     add("shrink_ints", lambda s, d: phrase(s, d).select("key", "phrase_ix", C.low_32_bits(F.col("pos") * 1234567890123).alias("pos")), f"WITH {_PHRASE} SELECT key, phrase_ix, (pos * 1234567890123) & 4294967295 AS pos FROM phrase")
 
     def kernel_text(s, d):
@@ -395,7 +403,9 @@ SELECT r.chrom, v.h AS name, coalesce((SELECT string_agg(said, '' ORDER BY i) FR
 
     add("read_at", read_pieces, f"WITH {_SEQS}, p AS (SELECT seq_id AS key, seq, seq_id * 37 % length(seq) AS \"at\", 1 + seq_id % 150 AS n FROM seqs WHERE length(seq) > 0) SELECT key, \"at\", n, md5(substr(seq, \"at\" + 1, n)) AS md5 FROM p")
     add("paired_names", lambda s, d: table(s, d, "documents").select("doc_id", C.base_name(F.concat(F.lit("/a/b."), F.col("lang"), F.lit("/"), F.col("source"), F.lit(".x.fa"))).alias("name")).join(table(s, d, "documents").select(F.col("source").alias("name0")).distinct().select(C.base_name(F.concat("name0", F.lit(".x.lz"))).alias("name")), "name").select("doc_id", "name"), "SELECT doc_id, source || '.x' AS name FROM documents")
-    add("work_list", lambda s, d: readers.work_list(s, "1-22,30,41"), "SELECT CAST(unnest(list_concat(range(1, 23), [30, 41])) AS INTEGER) AS item")
+    # A customer's list: from the nation to some numbers on, and the last digit of the key
+    add("work_list", lambda s, d: table(s, d, "customer").select("c_custkey", F.explode(readers.work_items(F.concat(F.col("c_nationkey").cast("string"), F.lit("-"), (F.col("c_nationkey") + F.col("c_custkey") % 5).cast("string"), F.lit(","), (F.col("c_custkey") % 10).cast("string")))).alias("item")), "SELECT c_custkey, CAST(unnest(list_concat(range(c_nationkey, c_nationkey + c_custkey % 5 + 1), [c_custkey % 10])) AS INTEGER) AS item FROM customer")
+    catalogue_files.add_all(add, in_files)
     return q
 
 

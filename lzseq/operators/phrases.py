@@ -160,6 +160,15 @@ def merge_parts(phrases: DataFrame, parts: list[str] | str = "part") -> DataFram
     return rows.select("part", (F.col("phrase_ix") + F.col("by_ix")).alias("phrase_ix"), F.when(F.col("len") == 0, F.col("pos")).otherwise(F.col("pos") + F.col("by")).alias("pos"), "len")
 
 
+def differences(limited: DataFrame, limit: str = "limit", order: str = "ix", key: str = "key", hot: bool | None = None) -> DataFrame:
+    """limited with difference: each limit less the one before in its key, itself for the first. Limits rise; a hot key's rows stay spread over tasks."""
+    if _hot(limited, key) if hot is None else hot:
+        before = prefix_sums(limited, key, [order], {"_before": F.col(limit)}, largest=True)
+    else:
+        before = limited.withColumn("_before", F.coalesce(F.lag(limit).over(Window.partitionBy(key).orderBy(order)), F.lit(0)))
+    return before.withColumn("difference", (F.col(limit) - F.col("_before")).cast("bigint")).drop("_before")
+
+
 def merge_limits(limited: DataFrame, every: int | None = None) -> DataFrame:
     """Limits of parts (part, ix, limit) as limits of the whole; where parts meet, the limit is given once.
 

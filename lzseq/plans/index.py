@@ -60,6 +60,14 @@ class Index:
         rows = self.limited.groupBy("key").agg(F.max("text_end").alias("text_chars"), F.max("k_end").alias("kernel_chars"), F.count(F.lit(1)).alias("n_phrases"), F.sum((~F.col("is_literal")).cast("bigint")).alias("n_copies"))
         return rows.withColumn("share", F.col("kernel_chars") / F.col("text_chars"))
 
+    def components(self) -> DataFrame:
+        """(component, n_rows, n_bytes) of each table: numbers as wide as their type, texts and binaries by their bytes."""
+        parts = []
+        for name, table in self.tables().items():
+            sizes = [F.coalesce(F.octet_length(c), F.lit(0)) if t in ("string", "binary") else F.lit({"bigint": 8, "int": 4, "boolean": 1}[t]) for c, t in table.drop("bucket").dtypes]
+            parts.append(table.agg(F.lit(name).alias("component"), F.count(F.lit(1)).alias("n_rows"), F.coalesce(F.sum(reduce(lambda a, b: a + b, sizes)), F.lit(0)).cast("bigint").alias("n_bytes")))
+        return reduce(DataFrame.unionByName, parts)
+
     def samples(self) -> DataFrame:
         return phrases.sampled(self.limited, self.parameters.sample_every)
 

@@ -35,10 +35,13 @@ def merged_kernel_texts(parts: DataFrame, header: str) -> DataFrame:
 
 
 def sam(lines: DataFrame, catalogue: DataFrame, path: str) -> None:
-    """One SAM file's parts: the header lines first, then the records. A part is sorted by place; parts sort by name."""
-    head = records.sam_header(catalogue).select(F.lit(0).alias("section"), "ord", "value")
-    body = lines.select(F.lit(1).alias("section"), F.lit(0).cast("bigint").alias("ord"), "value")
-    head.unionByName(body).repartitionByRange("section", "ord", "value").sortWithinPartitions("section", "ord").select("value").write.mode("overwrite").text(path)
+    """One SAM file's parts, which sort by name: the header lines first, then the records by read name, of a read the primary ones before the secondary (256) and supplementary (2048)."""
+    head = records.sam_header(catalogue).select(F.lit(0).alias("section"), "ord", F.lit("").alias("read"), "value")
+    cells = F.split("value", "\t", 3)
+    later = (F.coalesce(F.get(cells, F.lit(1)).try_cast("int"), F.lit(0)).bitwiseAND(F.lit(256 + 2048)) != 0).cast("bigint")
+    body = lines.select(F.lit(1).alias("section"), later.alias("ord"), cells[0].alias("read"), "value")
+    order = ("section", "read", "ord", "value")
+    head.unionByName(body).repartitionByRange(*order).sortWithinPartitions(*order).select("value").write.mode("overwrite").text(path)
 
 
 def parse_bytes(pos, length, kind: str = "u64") -> bytes:

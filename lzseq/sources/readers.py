@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import letters_only
@@ -28,10 +28,15 @@ def file_paths(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path")
 
 
+def work_items(text) -> Column:
+    """Numbers of a column of lists such as 1-22 or 1,2,5, as an array."""
+    parts = F.transform(F.split(text, ","), lambda p: F.split(p, "-"))
+    return F.flatten(F.transform(parts, lambda p: F.sequence(p[0].cast("int"), F.coalesce(F.get(p, F.lit(1)), p[0]).cast("int"))))
+
+
 def work_list(spark: SparkSession, text: str) -> DataFrame:
     """Numbers of a list such as 1-22 or 1,2,5."""
-    parts = F.transform(F.split(F.lit(text), ","), lambda p: F.split(p, "-"))
-    return spark.range(1).select(F.explode(F.flatten(F.transform(parts, lambda p: F.sequence(p[0].cast("int"), F.coalesce(F.get(p, F.lit(1)), p[0]).cast("int"))))).alias("item"))
+    return spark.range(1).select(F.explode(work_items(F.lit(text))).alias("item"))
 
 
 def fasta(spark: SparkSession, path: str, single_line: bool = False, strict: bool = False, drop_first: bool = False) -> DataFrame:
