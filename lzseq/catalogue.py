@@ -198,6 +198,7 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
     add("lcp_order", lambda s, d: suffixes.common_prefixes(suffixes.ordered(short(s, d), head)), q["lcp_short"][1])
     add("bwt_order", lambda s, d: suffixes.transformed(suffixes.ordered(short(s, d), head)), f"{suffix} SELECT key, rank + 1 AS row, CASE WHEN suffix = 0 THEN chr(0) ELSE substr(text, suffix, 1) END AS symbol FROM (SELECT r.key, rank, suffix, text FROM ranked r JOIN short s ON r.key = s.key) UNION ALL SELECT key, 0, right(text, 1) FROM short WHERE length(text) > 0")
     add("matches_order", lambda s, d: suffixes.matches(short(s, d), head).select("key", "at", "len"), f"WITH {_SHORT}, {longest('dictionary', 'matching')} SELECT key, i AS \"at\", CAST(n AS BIGINT) AS len FROM matching")
+    add("lz77_decode_rounds", lambda s, d: parses.decoded_by_rounds(parses.lz77_phrases(short(s, d))).select("key", "part", "text"), f"WITH {_SHORT} SELECT key, 0 AS part, text FROM short WHERE length(text) > 0")
     add("parse_statistics_short", lambda s, d: phrases.statistics(parses.lz77_phrases(short(s, d))), f"{earlier} {stats}")
 
     # Phrase tables

@@ -97,17 +97,30 @@ def pieces(texts: DataFrame, width: int = 4096) -> DataFrame:
     return texts.select("key", "text").mapInArrow(cut, f"key {dict(texts.dtypes)['key']}, piece_ix bigint, piece string")
 
 
+#: Pieces asked for whose numbers are broadcast, so that others aren't shuffled; with more, all pieces are.
+BROADCAST_PIECES = 1_000_000
+
+
+def only_asked(cut: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows of cut (key, piece_ix, ...) that asked names, where asked is small enough to be sent to where they are; else all."""
+    wanted = asked.select("key", "piece_ix").distinct()
+    return cut.join(F.broadcast(wanted), ["key", "piece_ix"], "left_semi") if wanted.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES else cut
+
+
 def read_at(places: DataFrame, cut: DataFrame, width: int = 4096) -> DataFrame:
     """places (key, at, n and others) with text: the n characters from `at` on of the texts that pieces() cut; less at a text's end, null outside.
 
-    Random access: only the pieces asked for are joined, and a place gathers as many pieces as it spans.
+    Random access: only the pieces asked for are shuffled, and a place gathers as many pieces as it spans. Equal places are
+    read once and repeated.
     """
+    names = places.columns
+    different = places.groupBy(*names).agg(F.count(F.lit(1)).alias("_times"))
     first, last = F.floor(F.col("at") / width), F.floor((F.col("at") + F.greatest("n", F.lit(1)) - 1) / width)
-    asked = places.withColumn("_place", F.monotonically_increasing_id()).withColumn("piece_ix", F.explode(F.sequence(first, last)))
-    rows = asked.join(cut, ["key", "piece_ix"], "left")
+    asked = different.withColumn("piece_ix", F.explode(F.sequence(first, last)))
+    rows = asked.join(only_asked(cut, asked), ["key", "piece_ix"], "left")
     start, end = F.greatest(F.col("at") - F.col("piece_ix") * width, F.lit(0)), F.least(F.col("at") + F.col("n") - F.col("piece_ix") * width, F.lit(width))
     own = F.substring("piece", (start + 1).cast("int"), (end - start).cast("int"))
     ordered = F.array_sort(F.collect_list(F.when(F.col("piece").isNotNull(), F.struct("piece_ix", own.alias("s")))))
-    joined = rows.groupBy("_place", *places.columns).agg(ordered.alias("p"))
+    joined = rows.groupBy(*names, "_times").agg(ordered.alias("p"))
     text = F.array_join(F.transform("p", lambda x: x["s"]), "")
-    return joined.select(*places.columns, F.when((F.size("p") > 0) & ((F.col("n") == 0) | (text != "")), text).alias("text"))
+    return joined.select(*names, F.when((F.size("p") > 0) & ((F.col("n") == 0) | (text != "")), text).alias("text"), F.explode(F.sequence(F.lit(1).cast("bigint"), "_times")).alias("_time")).drop("_time")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -11,8 +13,6 @@ from pyspark.sql import functions as F
 from ..functions.session import shared_folder, spread
 from . import kernels
 
-#: Groups whose sizes are broadcast (some 50 MB); with more groups than that, that join shuffles.
-BROADCAST_GROUPS = 1_000_000
 #: Characters of a text that one task parses at once; packing into blocks (chunks.with_blocks) keeps to it.
 BLOCK_CHARS = 262_144
 
@@ -172,36 +172,73 @@ def _gathered(phrases: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.transform("p", lambda x: x["pos"]).alias("pos"), F.transform("p", lambda x: x["len"]).alias("len"))
 
 
-def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], block_chars: int = 64 << 20) -> DataFrame:
-    """(group, ids, text) of parses relative to their group's dictionary.
+#: Characters of the pieces that dictionaries are cut into, and of the parts that texts are put together in.
+DICTIONARY_PIECE, TEXT_PART = 16_384, 262_144
 
-    A group's parses are dealt into blocks of about block_chars characters; the dictionary goes to each block once, ahead of its parses.
-    """
-    shared_folder(phrases.sparkSession)
-    types = dict(phrases.dtypes)
-    chars = F.aggregate("len", F.lit(0).cast("bigint"), lambda s, x: s + F.greatest(x, F.lit(1).cast("bigint")))
-    gathered = _gathered(phrases, [group, *ids]).withColumn("chars", chars).checkpoint()
-    sizes = gathered.groupBy(group).agg(F.ceil(F.sum("chars") / block_chars).cast("bigint").alias("blocks")).checkpoint()
-    some = F.broadcast(sizes) if sizes.count() <= BROADCAST_GROUPS else sizes
-    rows = gathered.join(some, group).withColumn("block", F.pmod(F.xxhash64(*ids), F.col("blocks"))).select(group, "block", F.lit(1).alias("kind"), *ids, "pos", "len", F.lit(None).cast("string").alias("dictionary"))
-    heads = dictionaries.select(group, "dictionary").join(some, group).withColumn("block", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).withColumn("kind", F.lit(0)).drop("blocks")
-    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition(group, "block").sortWithinPartitions(group, "block", "kind")
-    schema = ", ".join(f"`{k}` {types[k]}" for k in (group, *ids)) + ", text string"
 
-    def run(batches):
-        dictionary = b""
-        for batch in batches:
-            kind = np.array(batch.column("kind").to_pylist())
-            out = []
-            for r in range(batch.num_rows):
-                if not kind[r]:
-                    dictionary = symbols(batch.column("dictionary")[r].as_py())
-                else:
-                    out.append(kernels.decode(batch.column("pos")[r].as_py(), batch.column("len")[r].as_py(), dictionary).decode("latin-1"))
-            keep = pa.array(kind == 1)
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).filter(keep) for k in (group, *ids)), pa.array(out, pa.string())], names=[group, *ids, "text"])
-
-    return dealt.mapInArrow(run, schema)
+def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:
+    """(group, ids, text) of parses relative to their group's dictionary (group, dictionary). phrase_ix is unique within a parse; a parse without phrases has no row; what lies outside the dictionary is left out."""
+    parts = decoded_parts(phrases, dictionaries, group, ids)
+    ordered = F.array_sort(F.collect_list(F.struct("part", "text")))
+    return parts.groupBy(group, *ids).agg(F.array_join(F.transform(ordered, lambda x: x["text"]), "").alias("text"))
+
+
+def decoded_parts(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:
+    """(group, ids, part, text): the texts of decoded_by_group() in parts of about TEXT_PART characters, in the order of part.
+
+    A dictionary is cut into pieces and a phrase at their borders, so that one meets the other in a join; a dictionary of
+    any size is many rows, and so is a parse. Symbols of literals are characters up to U+00FF.
+    """
+    from .chunks import pieces
+    from .phrases import effective, running
+
+    spark, folder = phrases.sparkSession, f"{shared_folder(phrases.sparkSession)}/decoded-{uuid.uuid4().hex}"
+    phrases.withColumn("_key", F.struct(group, *ids)).write.parquet(folder)  # parsed once
+    rows = running(spark.read.parquet(folder), {"_at": effective(F.col("len"))}, key="_key")
+    part = F.floor(F.col("_at") / TEXT_PART).alias("part")
+    literals = rows.where("len = 0").select(group, *ids, part, "phrase_ix", F.lit(0).cast("bigint").alias("piece_ix"), F.chr("pos").alias("said"))
+    first, last = F.floor(F.col("pos") / DICTIONARY_PIECE), F.floor((F.col("pos") + F.col("len") - 1) / DICTIONARY_PIECE)
+    copies = rows.where("len > 0").select(group, *ids, part, "phrase_ix", "pos", "len", F.explode(F.sequence(first, last)).alias("piece_ix"))
+    cut = pieces(dictionaries.select(F.col(group).alias("key"), F.col("dictionary").alias("text")), DICTIONARY_PIECE).withColumnRenamed("key", group)
+    start = F.greatest(F.col("pos") - F.col("piece_ix") * DICTIONARY_PIECE, F.lit(0))
+    end = F.least(F.col("pos") + F.col("len") - F.col("piece_ix") * DICTIONARY_PIECE, F.lit(DICTIONARY_PIECE))
+    said = copies.join(cut, [group, "piece_ix"]).select(group, *ids, "part", "phrase_ix", "piece_ix", F.substring("piece", (start + 1).cast("int"), (end - start).cast("int")).alias("said"))
+    ordered = F.array_sort(F.collect_list(F.struct("phrase_ix", "piece_ix", "said")))
+    return literals.unionByName(said).groupBy(group, *ids, "part").agg(F.array_join(F.transform(ordered, lambda x: x["said"]), "").alias("text"))
+
+
+def decoded_by_rounds(phrases: DataFrame, most_rounds: int = 64) -> DataFrame:
+    """(key, part, text) of parses (key, phrase_ix, pos, len) whose sources are in their own text, which may be of any length: texts in parts of TEXT_PART characters.
+
+    Every character is a row that knows where it is copied from; in each round one that isn't settled takes over
+    what its source knows, its character or its own source. So chains of copies halve: a round for each doubling of the
+    longest. What isn't settled is written and read again each round.
+    """
+    from .phrases import limits
+
+    spark = phrases.sparkSession
+    folder = f"{shared_folder(spark)}/decoded-{uuid.uuid4().hex}"
+
+    def table(rows: DataFrame, name: str) -> DataFrame:
+        rows.write.parquet(f"{folder}/{name}")
+        return spark.read.parquet(f"{folder}/{name}")
+
+    rows = limits(phrases)
+    n = F.col("text_end") - F.col("text_start")
+    every = rows.select("key", "pos", "len", "text_start", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("k"))
+    copied = F.col("len") > 0
+    state = table(every.select("key", (F.col("text_start") + F.col("k")).alias("at"), F.when(copied, F.col("pos") + F.col("k")).alias("source"), F.when(~copied, F.chr("pos")).alias("said")), "0")
+    for k in range(1, most_rounds):
+        open_rows = state.where("source is not null")
+        if open_rows.isEmpty():
+            ordered = F.array_sort(F.collect_list(F.struct("at", "said")))
+            return state.groupBy("key", F.floor(F.col("at") / TEXT_PART).alias("part")).agg(F.array_join(F.transform(ordered, lambda x: x["said"]), "").alias("text"))
+        known = state.select("key", F.col("at").alias("source"), F.col("source").alias("further"), F.col("said").alias("heard"))
+        fresh = open_rows.join(known, ["key", "source"], "left")
+        lost = F.raise_error(F.concat(F.lit("nothing to copy at "), F.col("at").cast("string"), F.lit(" of "), F.col("key").cast("string")))
+        said = F.when(F.col("further").isNull() & F.col("heard").isNull(), lost).otherwise(F.col("heard"))
+        state = table(state.where("source is null").unionByName(fresh.select("key", "at", F.col("further").alias("source"), said.alias("said"))), str(k))
+    raise ValueError("copies form a cycle")
 
 
 def suffix_arrays(texts: DataFrame) -> DataFrame:

@@ -155,25 +155,34 @@ def seed_places(texts: DataFrame, seeds: DataFrame, whole: str | None = None) ->
     return out
 
 
+#: Texts with candidates whose pieces' numbers are sent to them, so that only these are cut; with more numbers, all are.
+BROADCAST_PIECES = 1_000_000
+
+
 def windows(candidates: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     """candidates (key, at, n: up to `most` characters) with part, the text there, cut off at the text's ends.
 
-    Texts are cut into overlapping pieces first, so that no row of the join carries a whole text.
+    Texts are cut into overlapping pieces, so that no row of the join carries a whole text, and only into those that
+    candidates ask for.
     """
+    first = F.greatest(F.col("at"), F.lit(0).cast("bigint"))
+    asked = candidates.withColumn("n", F.col("n") + F.least(F.col("at"), F.lit(0).cast("bigint"))).withColumn("at", first).withColumn("_piece", F.floor(first / PIECE).cast("bigint"))
+    wanted = asked.select("key", "_piece").distinct()
+    rows = texts.select("key", "text").withColumn("_wanted", F.lit(None).cast("array<bigint>"))
+    if wanted.limit(BROADCAST_PIECES + 1).count() <= BROADCAST_PIECES:
+        rows = texts.select("key", "text").join(F.broadcast(wanted.groupBy("key").agg(F.collect_list("_piece").alias("_wanted"))), "key")
 
     def cut(batches):
         for batch in batches:
             for r in range(batch.num_rows):
-                text = batch.column("text")[r].as_py() or ""
-                starts = list(range(0, len(text), PIECE))
+                text, chosen = batch.column("text")[r].as_py() or "", batch.column("_wanted")[r].as_py()
+                starts = list(range(0, len(text), PIECE)) if chosen is None else [x * PIECE for x in chosen if x * PIECE < len(text)]
                 for at in range(0, len(starts), 256):
                     some = starts[at : at + 256]
                     yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("key")[r], len(some)), pa.array([x // PIECE for x in some], pa.int64()), pa.array([text[x : x + PIECE + most] for x in some], pa.string())], names=["key", "_piece", "_text"])
 
-    pieces = texts.select("key", "text").mapInArrow(cut, f"key {dict(texts.dtypes)['key']}, _piece bigint, _text string")
-    first = F.greatest(F.col("at"), F.lit(0).cast("bigint"))
-    rows = candidates.withColumn("n", F.col("n") + F.least(F.col("at"), F.lit(0).cast("bigint"))).withColumn("at", first).withColumn("_piece", F.floor(first / PIECE).cast("bigint"))
-    return rows.join(pieces, ["key", "_piece"]).withColumn("part", F.substring("_text", (F.col("at") - F.col("_piece") * PIECE + 1).cast("int"), F.col("n").cast("int"))).drop("_piece", "_text")
+    pieces = rows.mapInArrow(cut, f"key {dict(texts.dtypes)['key']}, _piece bigint, _text string")
+    return asked.join(pieces, ["key", "_piece"]).withColumn("part", F.substring("_text", (F.col("at") - F.col("_piece") * PIECE + 1).cast("int"), F.col("n").cast("int"))).drop("_piece", "_text")
 
 
 def aligned(reads: DataFrame, texts: DataFrame, k: int, edits: int, gaps: bool = False, strands: bool = True, separator: str | None = None) -> DataFrame:
@@ -192,7 +201,7 @@ def aligned(reads: DataFrame, texts: DataFrame, k: int, edits: int, gaps: bool =
     wide = edits if gaps else 0
     length = F.length("read")
     starts = pairs.select("query_id", "read", "key", (F.col("pos") - F.col("offset") - wide).alias("at"), (length + 2 * wide).cast("bigint").alias("n")).where("at >= 0" if not gaps else "true").distinct()
-    parts = windows(starts.where(F.col("at") + F.col("n") > 0), texts, most)
+    parts = windows(starts.where(F.col("at") + F.col("n") > 0).checkpoint(), texts, most)
     kind = dict(reads.dtypes)["query_id"]
     back = F.from_json("query_id", f"query_id {kind}, reverse boolean")
     if gaps:

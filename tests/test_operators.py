@@ -252,3 +252,41 @@ def test_nulls_repeats_and_empty_tables(spark):
     built = index.over_sequences(spark.createDataFrame([], "seq_id long, groupname string, seq string"), index.Parameters(max_query_len=5))
     assert search.find_all(built, spark.createDataFrame([(1, "AC")], "query_id long, pattern string")).count() == 0
     assert search.align_index(spark.createDataFrame([(1, "ACGTA")], "query_id long, pattern string"), built, 4, 1).count() == 0
+
+
+def test_decoding_in_rounds_and_in_parts(spark, monkeypatch):
+    rng = random.Random(21)
+    monkeypatch.setattr(parses, "TEXT_PART", 50)
+    monkeypatch.setattr(parses, "DICTIONARY_PIECE", 16)
+    base = "".join(rng.choices("ACGT", k=90))
+    texts = {"a": base + base[20:70] + base, "b": "a" * 300, "c": "é", "d": "ab" * 70 + base[:30]}
+    rows = spark.createDataFrame(list(texts.items()), "key string, text string")
+    got = {}
+    for r in parses.decoded_by_rounds(parses.lz77_phrases(rows)).orderBy("key", "part").collect():
+        got[r.key] = got.get(r.key, "") + r.text
+        assert len(r.text) <= 50
+    assert got == texts
+    with pytest.raises(Exception, match="nothing to copy"):
+        parses.decoded_by_rounds(spark.createDataFrame([("x", 0, 5, 3)], "key string, phrase_ix long, pos long, len long")).collect()
+    seqs = spark.createDataFrame([("g", i, base[i : i + 60] + "TÿT") for i in range(6)] + [("h", 7, "ACGT"), ("h", 8, "")], "g string, seq_id long, seq string")
+    dictionaries = spark.createDataFrame([("g", base)], "g string, dictionary string")
+    found = parses.rlz_by_group(seqs, dictionaries, "g", ["seq_id"])
+    back = {r.seq_id: r.text for r in parses.decoded_by_group(found, dictionaries, "g", ["seq_id"]).collect()}
+    assert back == {r.seq_id: r.seq for r in seqs.collect() if r.seq}
+    assert parses.decoded_parts(found, dictionaries, "g", ["seq_id"]).where("seq_id = 0").count() == 2
+
+
+@pytest.mark.parametrize("most", [10**6, 0])
+def test_reading_joins_only_pieces_asked_for(spark, most, monkeypatch):
+    monkeypatch.setattr(chunks, "BROADCAST_PIECES", most)
+    monkeypatch.setattr(search, "BROADCAST_PIECES", most)
+    texts = spark.createDataFrame([(k, "".join(random.Random(k).choices("ACGT", k=9_000))) for k in range(30)], "key long, text string")
+    said = {r.key: r.text for r in texts.collect()}
+    asked = [(k, at, n) for k, at, n in ((1, 0, 5), (1, 4090, 20), (7, 8990, 50), (7, 8990, 50), (8, 9_500, 3), (99, 0, 1))]
+    places = spark.createDataFrame(asked, "key long, at long, n long")
+    got = sorted((r.key, r["at"], r.n, r.text) for r in chunks.read_at(places, chunks.pieces(texts)).where("text is not null").collect())
+    assert got == sorted((k, a, n, said[k][a : a + n]) for k, a, n in asked if k in said and a < 9_000)
+    found = search.windows(places, texts, 50)
+    assert sorted((r.key, r["at"], r.part) for r in found.where("part <> ''").collect()) == sorted((k, a, said[k][a : a + n]) for k, a, n in asked if k in said and a < 9_000)
+    if most:  # what is shuffled follows what is asked for
+        assert sum(1 for r in chunks.only_asked(chunks.pieces(texts), places.withColumn("piece_ix", F.floor(F.col("at") / 4096))).collect()) == 3
