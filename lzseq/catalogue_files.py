@@ -9,7 +9,7 @@ from .functions import columns as C
 from .operators import parses, phrases, records
 from .plans import index, jobs
 from .sinks import writers
-from .sources import readers
+from .sources import byte_ranges, readers
 
 
 def _md5(column: str):
@@ -60,6 +60,22 @@ SELECT key, row_number() OVER w - 1 AS seq_ix, seq_id, length, (sum(length) OVER
     moved = f"WITH {T._PHRASE}, t AS (SELECT key, sum(greatest(len, 1)) AS chars, count(*) AS n FROM phrase GROUP BY key), m AS (SELECT key, coalesce(sum(chars) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved, coalesce(sum(n) OVER (ORDER BY key ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS moved_ix FROM t), nth AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY phrase_ix) - 1 AS ix FROM phrase)"
     add("merged_folder", lambda s, d: in_files(s, lambda f: writers.parse_files(T.phrase(s, d), f).write.format("noop").mode("overwrite").save(), lambda f: readers.merged_parses(s, f, glob="*.lz").select(C.base_name(F.col("part")).alias("part"), "phrase_ix", "pos", "len")), f"{moved} SELECT key AS part, (ix + moved_ix)::BIGINT AS phrase_ix, (CASE WHEN len = 0 THEN pos ELSE pos + moved END)::BIGINT AS pos, len FROM nth JOIN m USING (key)")
 
+    for kind in ("u64", "vbyte"):
+        add(f"lz_source_{kind}", lambda s, d, kind=kind: in_files(s, lambda f: writers.parse_files(T.phrase(s, d), f, kind=kind).write.format("noop").mode("overwrite").save(), lambda f: byte_ranges.parse_ranges(s, f, kind, split=1 << 10).select(C.base_name(F.col("file")).alias("key"), "phrase_ix", "pos", "len")), numbered)
+
+    def sequence_bytes(s, d):
+        """Letters of sequences out of FASTA files, by the bytes where the files' metadata says that they are."""
+
+        def read(f):
+            meta = records.fasta_metadata(jobs.fasta_lines(s, f)).checkpoint()
+            doc = F.substring("name", 4, 20).cast("bigint")
+            places = meta.where("length > 0").select("file", "seq_ix", "name", (doc * 37 % F.col("length")).alias("at"), (F.lit(1) + doc % 150).alias("n"))
+            return byte_ranges.sequence_bytes(places, meta).select("name", "at", "n", _md5("text").alias("md5"))
+
+        return in_files(s, lambda f: writers.fasta(T.seqs(s, d), f), read)
+
+    add("sequence_bytes", sequence_bytes, f"{seqs} SELECT 'ACC' || CAST(seq_id AS VARCHAR) AS name, seq_id * 37 % length(seq) AS \"at\", 1 + seq_id % 150 AS n, md5(substr(seq, CAST(seq_id * 37 % length(seq) + 1 AS BIGINT), CAST(1 + seq_id % 150 AS BIGINT))) AS md5 FROM seqs WHERE length(seq) > 0")
+
     # Writers
     add("regrouped_fasta", lambda s, d: in_files(s, lambda f: writers.regrouped_fasta(T.grouped(s, d), f), lambda f: readers.fasta(s, f"{f}/*").select(F.regexp_extract("file", "groupname=([^/]*)/", 1).alias("groupname"), "header", _md5("seq").alias("md5"))), f"WITH {T._GROUPED} SELECT groupname, header, md5(seq) AS md5 FROM grouped")
     add("kernel_files", lambda s, d: in_files(s, lambda f: writers.kernel_text(T.seqs(s, d).select(F.col("seq").alias("kernel")), f, "kernel"), lambda f: readers.fasta(s, f).select("header", _md5("seq").alias("md5"))), f"{seqs} SELECT 'kernel' AS header, md5(seq) AS md5 FROM seqs")
