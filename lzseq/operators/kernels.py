@@ -262,10 +262,15 @@ def window_hashes(text: str, k: int) -> np.ndarray:
 
 
 def best_alignment(read: str, window: str, most: int, separator: str | None = None) -> tuple[int, int, int, str] | None:
-    """(start in the window, its characters, edits, CIGAR) of the whole read's closest place, None beyond `most` edits.
+    """(start in the window, its characters, edits, CIGAR) of the whole read's closest place, None beyond `most` edits. Of places equally close the one that ends first."""
+    return min(alignments(read, window, most, separator), key=lambda x: x[2], default=None)
 
-    The place begins in the window's first 2 * most + 1 characters. Of places equally close the one that ends first, of alignments there one with M before I before D from the end. A
-    separator is in no place.
+
+def alignments(read: str, window: str, most: int, separator: str | None = None) -> list[tuple[int, int, int, str]]:
+    """(start in the window, its characters, edits, CIGAR) of the whole read's closest place for each end within `most` edits, in the order of the ends.
+
+    Places begin in the window's first 2 * most + 1 characters. Of alignments equally close there it is one with M before I
+    before D from the end. A separator is in no place.
     """
     m, n, far = len(read), len(window), most + 1
     rows = [[0] * (n + 1)]  # rows[i][j]: edits of read[:i] with a part of the window that ends at j; far where no place can be
@@ -277,21 +282,22 @@ def best_alignment(read: str, window: str, most: int, separator: str | None = No
             if w != separator:
                 row[j] = min(far, above[j - 1] + (c != w), above[j] + 1, row[j - 1] + 1)
         rows.append(row)
-    edits = min(rows[m])
-    if edits > most:
-        return None
-    j = end = rows[m].index(edits)
-    i, cigar = m, []
-    while i:
-        here = rows[i][j]
-        if j and window[j - 1] != separator and here == rows[i - 1][j - 1] + (read[i - 1] != window[j - 1]):
-            i, j, op = i - 1, j - 1, "M"
-        elif here == rows[i - 1][j] + 1:
-            i, op = i - 1, "I"
-        else:
-            j, op = j - 1, "D"
-        if cigar and cigar[-1][1] == op:
-            cigar[-1][0] += 1
-        else:
-            cigar.append([1, op])
-    return j, end - j, edits, "".join(f"{x}{op}" for x, op in reversed(cigar))
+    found = []
+    for end, edits in enumerate(rows[m]):
+        if edits > most:
+            continue
+        i, j, cigar = m, end, []
+        while i:
+            here = rows[i][j]
+            if j and window[j - 1] != separator and here == rows[i - 1][j - 1] + (read[i - 1] != window[j - 1]):
+                i, j, op = i - 1, j - 1, "M"
+            elif here == rows[i - 1][j] + 1:
+                i, op = i - 1, "I"
+            else:
+                j, op = j - 1, "D"
+            if cigar and cigar[-1][1] == op:
+                cigar[-1][0] += 1
+            else:
+                cigar.append([1, op])
+        found.append((j, end - j, edits, "".join(f"{x}{op}" for x, op in reversed(cigar))))
+    return found

@@ -185,11 +185,12 @@ def windows(candidates: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     return asked.join(pieces, ["key", "_piece"]).withColumn("part", F.substring("_text", (F.col("at") - F.col("_piece") * PIECE + 1).cast("int"), F.col("n").cast("int"))).drop("_piece", "_text")
 
 
-def aligned(reads: DataFrame, texts: DataFrame, k: int, edits: int, gaps: bool = False, strands: bool = True, separator: str | None = None) -> DataFrame:
+def aligned(reads: DataFrame, texts: DataFrame, k: int, edits: int, gaps: bool = False, strands: bool = True, separator: str | None = None, every_end: bool = False) -> DataFrame:
     """(query_id, reverse, key, pos, n, edits, cigar) of the reads (query_id, pattern) in texts (key, text), n being the characters taken there.
 
     Without gaps every place with at most so many mismatches; with gaps, of the places around each exact seed the closest
-    with at most so many edits. Each read has more seeds than edits, so one is exact at every such place. With strands
+    with at most so many edits, or, with every_end, for each end of such a place its closest alignment, none left out.
+    Each read has more seeds than edits, so one is exact at every such place. With strands
     the reverse complement, too, is aligned. Null and empty reads have no place; reads too short for the edits raise.
     """
     both = reads.where(F.length("pattern") > 0).select("query_id", "pattern", F.lit(False).alias("reverse"))
@@ -206,14 +207,21 @@ def aligned(reads: DataFrame, texts: DataFrame, k: int, edits: int, gaps: bool =
     back = F.from_json("query_id", f"query_id {kind}, reverse boolean")
     if gaps:
 
-        @F.arrow_udf("start int, n int, edits int, cigar string")
+        @F.arrow_udf("array<struct<start: int, n: int, edits: int, cigar: string>>")
         def close(r: pa.Array, w: pa.Array) -> pa.Array:
-            got = [kernels.best_alignment(a, b, edits, separator) for a, b in zip(r.to_pylist(), w.to_pylist())]
-            cells = list(zip(*((*g, False) if g else (None, None, None, None, True) for g in got))) or [()] * 5
-            return pa.StructArray.from_arrays([pa.array(c, t) for c, t in zip(cells, (pa.int32(), pa.int32(), pa.int32(), pa.string()))], names=["start", "n", "edits", "cigar"])
-
-        got = parts.withColumn("x", close("read", "part")).where("x.edits is not null and x.n > 0")
-        return got.select(back.alias("b"), "key", (F.col("at") + F.col("x.start")).alias("pos"), F.col("x.n").cast("bigint").alias("n"), "x.edits", "x.cigar").select("b.query_id", "b.reverse", "key", "pos", "n", "edits", "cigar").distinct()
+            best = (lambda *a: kernels.alignments(*a)) if every_end else (lambda *a: [x for x in (kernels.best_alignment(*a),) if x])
+            got = [best(a, b, edits, separator) for a, b in zip(r.to_pylist(), w.to_pylist())]
+            cells = list(zip(*(x for g in got for x in g))) or [()] * 4
+            kinds = (("start", pa.int32()), ("n", pa.int32()), ("edits", pa.int32()), ("cigar", pa.string()))
+            return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, got)]), pa.int32()), pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(cells, kinds)], names=[k for k, _ in kinds]))
+
+        got = parts.withColumn("x", F.explode(close("read", "part"))).where("x.n > 0")
+        got = got.select(back.alias("b"), "key", (F.col("at") + F.col("x.start")).alias("pos"), F.col("x.n").cast("bigint").alias("n"), "x.edits", "x.cigar").select("b.query_id", "b.reverse", "key", "pos", "n", "edits", "cigar")
+        if not every_end:
+            return got.distinct()
+        # A window may begin within a place that another seed's window holds whole.
+        best = got.groupBy("query_id", "reverse", "key", (F.col("pos") + F.col("n")).alias("end")).agg(F.min(F.struct("edits", "n", "cigar")).alias("x"))
+        return best.select("query_id", "reverse", "key", (F.col("end") - F.col("x.n")).alias("pos"), "x.n", "x.edits", "x.cigar")
     whole = parts.where(F.length("part") == length)
     if separator:
         whole = whole.where(~F.contains("part", F.lit(separator)))
@@ -230,7 +238,7 @@ def seed_align(reads: DataFrame, texts: DataFrame, k: int, mismatches: int) -> D
     return aligned(reads, texts, k, mismatches, strands=False).select("query_id", "key", "pos", F.col("edits").alias("mismatches"))
 
 
-def align_index(reads: DataFrame, index, k: int = 20, edits: int = 3, gaps: bool = False, report: str = "ALL") -> DataFrame:
+def align_index(reads: DataFrame, index, k: int = 20, edits: int = 3, gaps: bool = False, report: str = "ALL", every_end: bool = False) -> DataFrame:
     """(query_id, reverse, seq_id, seq_pos, n, edits, cigar) of reads (query_id, pattern) in an index, on both strands.
 
     Reads are aligned in the kernels, mapped to the texts, spread to the copies there (report ALL: copies of copies too;
@@ -245,7 +253,7 @@ def align_index(reads: DataFrame, index, k: int = 20, edits: int = 3, gaps: bool
     longest = reads.agg(F.max(F.length("pattern"))).first()[0] or 0
     if longest > p.max_query_len:
         raise ValueError(f"a read has {longest} characters, the index holds {p.max_query_len}")
-    hits = aligned(reads, index.kernels.select("key", F.col("kernel").alias("text")), k, edits, gaps, True, p.separator)
+    hits = aligned(reads, index.kernels.select("key", F.col("kernel").alias("text")), k, edits, gaps, True, p.separator, every_end)
     payload = ("query_id", "reverse", "n", "edits", "cigar")
     hits = hits.withColumn("hit", F.xxhash64(*payload)).checkpoint()
     said = hits.select("hit", *payload).distinct()

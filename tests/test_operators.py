@@ -290,3 +290,26 @@ def test_reading_joins_only_pieces_asked_for(spark, most, monkeypatch):
     assert sorted((r.key, r["at"], r.part) for r in found.where("part <> ''").collect()) == sorted((k, a, said[k][a : a + n]) for k, a, n in asked if k in said and a < 9_000)
     if most:  # what is shuffled follows what is asked for
         assert sum(1 for r in chunks.only_asked(chunks.pieces(texts), places.withColumn("piece_ix", F.floor(F.col("at") / 4096))).collect()) == 3
+
+
+def test_every_end_of_a_read_with_gaps(spark):
+    rng = random.Random(22)
+    base = "".join(rng.choices("ACGT", k=160))
+    texts = {f"t{k}": base[: 40 + k] + "".join(rng.choices("ACGT", k=3 * k)) + base[40 + k + k % 3 :] + base[10:60] for k in range(4)}
+    reads = [(q, (lambda r: r[:9] + r[10:20] + "T" + r[20:])(base[a : a + 30])) for q, a in enumerate((5, 12, 33, 60, 100))] + [(9, "ACAC" * 7)]
+    edits = 3
+    rows = search.aligned(spark.createDataFrame(reads, "query_id long, pattern string"), spark.createDataFrame(list(texts.items()), "key string, text string"), 12, edits, gaps=True, strands=False, every_end=True).collect()
+    got = {(r.query_id, r.key, r.pos + r.n): r.edits for r in rows}
+    assert len(got) == len(rows)
+    want = {}
+    for q, read in reads:
+        for key, t in texts.items():
+            row = list(range(len(read) + 1))  # edits of each beginning of the read with the closest part that ends here
+            for end, c in enumerate(t, 1):
+                new = [0]
+                for i, x in enumerate(read, 1):
+                    new.append(min(row[i - 1] + (x != c), row[i] + 1, new[i - 1] + 1))
+                row = new
+                if row[-1] <= edits:
+                    want[q, key, end] = row[-1]
+    assert got == want and len(want) > 40
