@@ -248,6 +248,8 @@ def test_kernels_first_and_index_later(spark, tmp_path):
     # An index that lost a kernel is found out.
     spark.read.parquet(p("i/kernels")).orderBy("key").limit(1).write.parquet(p("i/few"))
     spark.read.parquet(p("i/few")).write.mode("overwrite").parquet(p("i/kernels"))
+    spark.read.parquet(p("i/blocks")).join(spark.read.parquet(p("i/kernels")).select("key"), "key").write.partitionBy("bucket").parquet(p("i/some"))
+    spark.read.parquet(p("i/some")).write.mode("overwrite").partitionBy("bucket").parquet(p("i/blocks"))
     main(["find", p("i"), p("q.txt"), p("bad"), "--validate", p("a.fa")])
     lost = spark.read.parquet(p("bad"))
     assert lost.count() and lost.where("in_index or not in_text").count() == 0
