@@ -313,3 +313,17 @@ def test_every_end_of_a_read_with_gaps(spark):
                 if row[-1] <= edits:
                     want[q, key, end] = row[-1]
     assert got == want and len(want) > 40
+
+
+def test_long_intervals_are_in_few_bins(spark):
+    rng = random.Random(23)
+    spans = [(k % 3, a, a + n) for k, (a, n) in enumerate((rng.randrange(10**6), rng.choice((0, 1, 3, 4, 5, 63, 64, 65, 1024, 1025, 300_000, 10**6))) for _ in range(150))]
+    points = [(rng.randrange(4), rng.randrange(2 * 10**6)) for _ in range(300)] + [(k, x) for k, a, b in spans[:60] for x in (a - 1, a, b - 1, b)]
+    left, right = spark.createDataFrame(points, "key int, at long"), spark.createDataFrame(spans, "key int, start long, end long")
+    classes = ranges.length_classes(right, "start", "end", 4)
+    assert classes[0] == 0 and 3 < len(classes) < 8
+    got = ranges.range_join(left, right, "at", "start", "end", ["key"], 4, classes)
+    want = sorted((k, p, a, b) for k, p in points for q, a, b in spans if k == q and a <= p < b)
+    assert sorted((r.key, r["at"], r.start, r.end) for r in got.collect()) == want
+    generated = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Generate" in x]
+    assert len(generated) == 2  # points by class, intervals by bin
