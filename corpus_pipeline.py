@@ -1,4 +1,9 @@
-"""From documents to token ids: toxic documents go, near copies go, benchmark leaks go, personal data is replaced, texts are encoded."""
+"""From documents to token ids: toxic documents go, near copies go, benchmark leaks go, personal data is replaced, texts are encoded.
+
+Null and empty texts go through all stages: they score as texts without a voter's word, are copies of nothing, leak nothing, hold no
+personal data and have no tokens. Rows of one text are copies, of which that with the smallest id stays (rows of one id stay together); a table without rows gives
+one without rows. Columns besides doc_id and text pass through up to the last stage.
+"""
 
 from __future__ import annotations
 

@@ -191,7 +191,7 @@ def fit(docs: DataFrame, limit: int = 3000) -> ByteCnn:
 
 
 def predict(docs: DataFrame, model: ByteCnn) -> DataFrame:
-    """doc_id, lang_pred, score of every text; und and 0.0 for a null text or one without a letter, and for all where no language could be learned. Repeated rows repeat. Only doc_id and text are read."""
+    """doc_id, lang_pred, score of every text; und and 0.0 for a null text or one without a letter, and for all where no language could be learned. Of languages that score the same the first in the order of their names is taken. Repeated rows repeat. Only doc_id and text are read."""
 
     def run(texts):
         got = model.predict(texts)
