@@ -20,18 +20,22 @@ from .readers import from_vbyte
 
 #: Bytes of a partition; bytes that a number of seven bits a byte takes at most.
 SPLIT, LONGEST = 64 << 20, 10
+#: Partitions from which on ranges share one, while they have SPLIT bytes together at most; phrases of a batch.
+PARTITIONS, ROWS = 256, 100_000
 WIDTH = {"u64": 8, "u32": 4}
 #: Bytes of places that one read takes together, with what lies between them.
 READ_AHEAD = 1 << 20
 
 
-class Range(InputPartition):
-    def __init__(self, file: str, start: int, end: int, before: int):
-        self.file, self.start, self.end, self.before = file, start, end, before
+class Ranges(InputPartition):
+    """Byte ranges (file, start, end, numbers before, whether the file ends there), of a file one at most."""
+
+    def __init__(self, ranges: list[tuple[str, int, int, int, bool]]):
+        self.ranges = ranges
 
 
 class ParseReader(DataSourceReader):
-    """Options: path (a file or folder, qualified), kind (u64, u32 or vbyte), suffix, split (bytes); counts: JSON of [file, start, numbers] by which a range of vbyte knows how many numbers are before it; without them it only counts."""
+    """Options: path (a file or folder, qualified), kind (u64, u32 or vbyte), suffix, split (bytes); counts: JSON of [file, start, numbers] by which a range of vbyte that doesn't begin its file knows how many numbers are before it; without them those of files in more than one range are only counted."""
 
     def __init__(self, options: dict[str, str]):
         self.path, self.kind, self.suffix = options["path"], options.get("kind", "u64"), options.get("suffix", ".lz")
@@ -42,60 +46,92 @@ class ParseReader(DataSourceReader):
         if self.kind != "vbyte":  # whole phrases
             self.split = max(1, self.split // (2 * WIDTH[self.kind])) * 2 * WIDTH[self.kind]
 
-    def partitions(self) -> list[Range]:
+    def partitions(self) -> list[Ranges]:
         system, root = pa_fs.FileSystem.from_uri(self.path)
         found = system.get_file_info(root)
         files = [found] if found.is_file else [x for x in system.get_file_info(pa_fs.FileSelector(root, recursive=True)) if x.is_file and x.path.endswith(self.suffix)]
-        out = []
-        for x in sorted(files, key=lambda x: x.path):
+        files = sorted((x for x in files if x.size), key=lambda x: x.path)
+        known: dict[str, dict[int, int]] = {}
+        for file, start, n in self.counts or []:
+            known.setdefault(file, {})[start] = n
+        most = max(self.split, min(SPLIT, sum(x.size for x in files) // PARTITIONS))
+        out, here, room = [], [], most
+        for x in files:
             if self.kind != "vbyte" and x.size % (2 * WIDTH[self.kind]):
                 raise ValueError(f"{x.path}: a phrase is cut")
-            before = 0
-            known = {start: n for file, start, n in self.counts or [] if file == x.path}
-            for start in range(0, x.size, self.split):
-                out.append(Range(x.path, start, min(x.size, start + self.split), before))
-                before += known.get(start, 0)
-            if self.counts is not None and before % 2:
-                raise ValueError(f"{x.path}: a phrase is cut")
-        return out
-
-    def read(self, part: Range) -> Iterator[pa.RecordBatch]:
+            start, before = 0, 0
+            if here and x.size > room and room < most:  # as many files as fit whole
+                out.append(Ranges(here))
+                here, room = [], most
+            while start < x.size:
+                end = min(x.size, start + max(1, room // self.split) * self.split)
+                here.append((x.path, start, end, before, end == x.size))
+                before += known.get(x.path, {}).get(start, 0)
+                room -= end - start
+                start = end
+                if start < x.size or room < self.split:
+                    out.append(Ranges(here))
+                    here, room = [], most
+        return [*out, Ranges(here)] if here else out
+
+    def read(self, part: Ranges) -> Iterator[pa.RecordBatch]:
         if part is None:  # no files
             return
         system, _ = pa_fs.FileSystem.from_uri(self.path)
-        with system.open_input_file(part.file) as f:
-            size = f.size()
-            if self.kind != "vbyte":
-                f.seek(part.start)
-                numbers = np.frombuffer(f.read(part.end - part.start), "<u8" if self.kind == "u64" else "<u4").astype(np.int64)
-                yield from self._batches(part, part.start // (2 * WIDTH[self.kind]), numbers)
-                return
-            # A number belongs to the range that its first byte is in; a phrase to that of its first number.
-            low = max(0, part.start - 1)
-            f.seek(low)
-            data = f.read(min(size, part.end + 2 * LONGEST) - low)
+        files, first, pairs, rows = [], [], [], 0
+        for file, start, end, before, is_last in part.ranges:
+            if self.kind == "vbyte" and self.counts is None and start == 0 and is_last:
+                continue  # a file in one range needs no count
+            with system.open_input_file(file) as f:
+                at, found = self._range(f, file, start, end, before, is_last)
+            if found is None:
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([start], pa.int64()), pa.array([at], pa.int64()), pa.array([0], pa.int64())], names=self._NAMES)
+                continue
+            for a in range(0, len(found), ROWS):
+                files.append(file)
+                first.append(at + a)
+                pairs.append(found[a : a + ROWS])
+                rows += len(pairs[-1])
+                if rows >= ROWS:
+                    yield self._batch(files, first, pairs)
+                    files, first, pairs, rows = [], [], [], 0
+        if rows:
+            yield self._batch(files, first, pairs)
+
+    def _range(self, f, file: str, start: int, end: int, before: int, is_last: bool) -> tuple[int, np.ndarray | None]:
+        """The first phrase's number and the phrases of a range; without counts the numbers that begin in a range of vbyte, and None."""
+        if self.kind != "vbyte":
+            f.seek(start)
+            numbers = np.frombuffer(f.read(end - start), "<u8" if self.kind == "u64" else "<u4").astype(np.int64)
+            return start // (2 * WIDTH[self.kind]), numbers.reshape(-1, 2)
+        # A number belongs to the range that its first byte is in; a phrase to that of its first number.
+        size, low = f.size(), max(0, start - 1)
+        f.seek(low)
+        data = f.read(min(size, end + 2 * LONGEST) - low)
         b = np.frombuffer(data, np.uint8)
         ends = np.flatnonzero(b & 0x80)
         if low + len(b) == size and (not len(ends) or ends[-1] != len(b) - 1):
-            raise ValueError(f"{part.file}: a number is cut")
-        starts = np.concatenate([[0], ends[:-1] + 1]) if part.start == 0 else ends[:-1] + 1
-        ends = ends if part.start == 0 else ends[1:]
-        own = int(((starts + low >= part.start) & (starts + low < part.end)).sum())
+            raise ValueError(f"{file}: a number is cut")
+        starts = np.concatenate([[0], ends[:-1] + 1]) if start == 0 else ends[:-1] + 1
+        ends = ends if start == 0 else ends[1:]
+        own = int(((starts + low >= start) & (starts + low < end)).sum())
         if self.counts is None:
-            yield pa.RecordBatch.from_arrays([pa.array([part.file]), pa.array([part.start], pa.int64()), pa.array([own], pa.int64()), pa.array([0], pa.int64())], names=["file", "phrase_ix", "pos", "len"])
-            return
-        odd = part.before % 2  # the range's first number ends a phrase of the range before
-        last = own + (part.before + own) % 2
+            return own, None
+        if is_last and (before + own) % 2:
+            raise ValueError(f"{file}: a phrase is cut")
+        odd = before % 2  # the range's first number ends a phrase of the range before
+        last = own + (before + own) % 2
         if last <= odd:
-            return
-        numbers = from_vbyte(data[int(starts[odd]) : int(ends[last - 1]) + 1])
-        yield from self._batches(part, (part.before + odd) // 2, numbers)
+            return 0, np.empty((0, 2), np.int64)
+        return (before + odd) // 2, from_vbyte(data[int(starts[odd]) : int(ends[last - 1]) + 1]).reshape(-1, 2)
+
+    _NAMES = ["file", "phrase_ix", "pos", "len"]
 
-    def _batches(self, part: Range, first: int, numbers: np.ndarray) -> Iterator[pa.RecordBatch]:
-        pairs = numbers.reshape(-1, 2)
-        for a in range(0, len(pairs), 100_000):
-            some = pairs[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array([part.file] * len(some), pa.string()), pa.array(first + a + np.arange(len(some))), pa.array(some[:, 0].copy()), pa.array(some[:, 1].copy())], names=["file", "phrase_ix", "pos", "len"])
+    def _batch(self, files: list[str], first: list[int], pairs: list[np.ndarray]) -> pa.RecordBatch:
+        n = [len(x) for x in pairs]
+        joined = np.concatenate(pairs)
+        named = pa.array(files, pa.string()).take(pa.array(np.repeat(np.arange(len(n)), n)))
+        return pa.RecordBatch.from_arrays([named, pa.array(np.concatenate([a + np.arange(k) for a, k in zip(first, n)])), pa.array(joined[:, 0].copy()), pa.array(joined[:, 1].copy())], names=self._NAMES)
 
 
 class ParseSource(DataSource):
@@ -115,7 +151,8 @@ class ParseSource(DataSource):
 def parse_ranges(spark: SparkSession, path: str, kind: str = "u64", suffix: str = ".lz", split: int = SPLIT) -> DataFrame:
     """(file, phrase_ix, pos, len) of binary parses, as readers.parse_files(), with a partition for each `split` bytes of a file.
 
-    Numbers of variable length are counted first, range by range (a row each on the driver), as a range can't tell
+    Where these were more than PARTITIONS, a partition has more of them, of many files where files are small, up to SPLIT bytes: tasks follow the bytes
+    and not the files. Numbers of variable length are counted first in files that are more than one partition's (a row for each such range on the driver), as a range can't tell
     otherwise which of its numbers are places. A phrase that is cut raises.
     """
     spark.dataSource.register(ParseSource)

@@ -23,6 +23,17 @@ def test_a_file_is_many_partitions(spark, tmp_path, kind):
     assert byte_ranges.parse_ranges(spark, folder, kind, split=100).rdd.getNumPartitions() > 3
 
 
+@pytest.mark.parametrize("kind", ["u64", "vbyte"])
+def test_many_small_files_are_few_partitions(spark, tmp_path, kind):
+    rows = [(f"k{k}", i, k * 7 + i, i % 3) for k in range(1500) for i in range(1 + k % 3)] + [("long", i, i * 3, i % 500) for i in range(3000)]
+    phrases = spark.createDataFrame(rows, "key string, phrase_ix long, pos long, len long")
+    folder = str(tmp_path / "p")
+    writers.parse_files(phrases, folder, kind=kind).collect()
+    got = byte_ranges.parse_ranges(spark, folder, kind, split=16)
+    assert got.rdd.getNumPartitions() <= 2 * byte_ranges.PARTITIONS
+    assert sorted((r.file.split("/")[-1][:-3], r.phrase_ix, r.pos, r.len) for r in got.collect()) == sorted(rows)
+
+
 def test_cut_phrases_raise(spark, tmp_path):
     for name, kind, data in (("a.lz", "u64", b"x" * 24), ("b.lz", "vbyte", b"\x81\x82\x83"), ("c.lz", "vbyte", b"\x81\x82\x03")):
         (tmp_path / name).write_bytes(data)
