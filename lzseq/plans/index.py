@@ -149,6 +149,7 @@ def build(texts: DataFrame, catalogue: DataFrame, parameters: Parameters = Param
 def over_sequences(seqs: DataFrame, parameters: Parameters = Parameters(), group: str = "groupname", block_chars: int = parses.BLOCK_CHARS, **options) -> Index:
     """An index over sequences (seq_id, seq, group), packed into blocks. Sequences longer than a block are cut into parts that overlap by what a query may take, so no task parses more than a block."""
     shared_folder(seqs.sparkSession)
+    seqs = seqs.select("seq_id", group, "seq").checkpoint()  # texts and catalogue go over them several times each
     texts, catalogue = parses.block_texts(parses.cut_long(seqs, block_chars, parameters.context, group), group, block_chars)
     return build(texts.checkpoint(), catalogue.checkpoint(), parameters, **options)
 
@@ -162,6 +163,7 @@ def over_groups(seqs: DataFrame, parameters: Parameters = Parameters(), quotient
     copies are found in one round. Sequences without bases have no place in it.
     """
     shared_folder(seqs.sparkSession)
+    seqs = seqs.select("seq_id", "header", "seq").checkpoint()  # dictionaries, texts and catalogue go over them several times each
     selection = dictionaries.taxon_selection(seqs, quotient, most).checkpoint()
     head_key = F.concat("groupname", F.lit("/dictionary"))
     heads = dictionaries.texts(selection, seqs).where(F.length("text") > 0).checkpoint()

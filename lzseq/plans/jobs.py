@@ -37,7 +37,8 @@ def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat
 
     A stripe's dictionary is bounded by reference_size chunks; its chunks are dealt over tasks, not gathered in one.
     """
-    cut = chunks.fixed_chunks(seqs, n_chunks, "raw")
+    shared_folder(seqs.sparkSession)
+    cut = chunks.fixed_chunks(seqs, n_chunks, "raw").checkpoint()  # dictionaries and blocks go over them several times each
     selection = dictionaries.stripe_selection(cut, reference_size, repeat_first)
     ordered = F.array_sort(F.collect_list(F.struct("dict_ord", "chunk")))
     texts = selection.groupBy("chunk_ix").agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), "").alias("dictionary"))
@@ -46,6 +47,8 @@ def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat
 
 def compress_taxa(seqs: DataFrame, quotient: float = dictionaries.QUOTIENT, most: int = dictionaries.MOST, leftmost: bool = True) -> tuple[DataFrame, DataFrame]:
     """(phrases, dictionaries) of sequences relative to their group's dictionary: (groupname, seq_id, phrase_ix, pos, len) and (groupname, dictionary)."""
+    shared_folder(seqs.sparkSession)
+    seqs = seqs.select("seq_id", "header", "seq").checkpoint()  # dictionaries and blocks go over them several times each
     named = seqs.withColumn("groupname", C.group_key(F.col("header")))
     texts = dictionaries.texts(dictionaries.taxon_selection(seqs, quotient, most), seqs).withColumnRenamed("text", "dictionary")
     return parses.rlz_by_group(named.select("groupname", "seq_id", "seq"), texts, "groupname", ["seq_id"], leftmost), texts
