@@ -307,7 +307,7 @@ def host_and_path(url) -> tuple:
 #: What differencing leaves, of up to so many bytes, is broadcast to the pages; beyond it, that join shuffles the pages.
 #: Pages at the ends of partitions are sent to the other partitions in blocks of so many bytes.
 BROADCAST_BYTES = 16 << 20
-#: Contents that wait for a page that isn't a copy of them, at most; beyond it the oldest go without a page on that side.
+#: Waiting contents that a page of a growing thread is compared with, at most; those that another one has are known by it, and none is dropped.
 WAITING = 32
 _UNITS = "texts array<bigint>, paths array<bigint>, kinds binary"
 _MET = f"mark bigint, side int, left array<int>, end bigint, part int, host string, {_UNITS}"
@@ -323,14 +323,16 @@ def _batch(cells: list[tuple], types: tuple, schema: str) -> pa.RecordBatch:
 def walk(backward: bool, by_path: bool):
     """For mapInArrow over a sorted partition: each page waits for the next page of its host that isn't a copy of it.
 
-    Pages of one content wait together, and no more than WAITING contents do. Gives mark and left (what the page doesn't
+    Pages of one content wait together, and as many contents as the host's pages here have. A content that is within a later
+    one, as in growing threads, is within every page that has that one, so it isn't compared again. Gives mark and left (what the page doesn't
     share) where that isn't empty. Pages that still wait at the partition's end come with their units and the number of
     their content in end; each such content has a row without mark.
     """
 
     def run(batches):
         out: list[tuple] = []
-        host, part, waiting = None, 0, {}  # contents to (mark, units) of their pages
+        # Contents to [content, (mark, units) of their pages, the entry of a later content that has this one, the last page that has it].
+        host, part, waiting, turn, newest = None, 0, {}, 0, None
 
         def settled(pages, other):
             for m, units in pages:
@@ -342,24 +344,33 @@ def walk(backward: bool, by_path: bool):
             parts, texts, paths = batch.column("part"), batch.column("texts"), batch.column("paths")
             for i, (h, kinds, mark) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("host", "kinds", "mark")))):
                 if h != host:  # the host's last pages have no page behind them
-                    for pages in waiting.values():
-                        settled(pages, None)
-                    host = h
+                    for entry in waiting.values():
+                        settled(entry[1], None)
+                    host, newest = h, None
                     waiting.clear()
                 part, units = parts[i].as_py(), (texts[i].as_py(), paths[i].as_py(), kinds)
                 own = own_texts(units)
-                for content in [c for c in waiting if c != own and not covers(units[0], c)]:
-                    settled(waiting.pop(content), units)
+                same, turn, gone = waiting.get(own), turn + 1, []
+                for entry in reversed(waiting.values()):
+                    if entry is same or entry[2] is not None and entry[2][3] == turn or covers(units[0], entry[0]):
+                        entry[3] = turn
+                    else:
+                        gone.append(entry)
+                for entry in gone:
+                    settled(waiting.pop(entry[0])[1], units)
                 if not own and () in waiting:  # a page without texts has no copies
-                    settled(waiting.pop(()), units)
+                    settled(waiting.pop(())[1], units)
                 if kinds.count(ARTICLE) < len(kinds):
-                    waiting.setdefault(own, []).append((mark, units))
-                    if len(waiting) > WAITING:
-                        settled(waiting.pop(next(iter(waiting))), None)
+                    if own not in waiting:
+                        entry = waiting[own] = [own, [], None, turn]
+                        if newest is not None and newest[3] == turn and covers(own, newest[0]):
+                            newest[2] = entry
+                        newest = entry
+                    waiting[own][1].append((mark, units))
                 if len(out) >= 4096:
                     yield _batch(out, _MET_TYPES, _MET)
                     out.clear()
-        for n, (content, pages) in enumerate(waiting.items()):
+        for n, (content, pages, *_) in enumerate(waiting.values()):
             end = (part << 32 | n) << 1 | backward
             out.append((None, None, None, end, part, host, list(content), None, None))
             for m, units in pages:
@@ -401,7 +412,7 @@ def seek(groups: list[tuple], backward: bool, near: int, far: int):
 def across(ranged: DataFrame, ends: DataFrame, order: dict) -> list[tuple]:
     """(end, texts, paths, kinds): the page that the contents waiting at the partitions' ends meet in the nearest partition with one that isn't a copy. The reach doubles from one pass to the next while contents of a side are open.
 
-    The driver holds the contents, of which a partition has 2 * WAITING at most, in blocks of BROADCAST_BYTES, and the pages found.
+    The driver holds the contents that wait at the partitions' ends in blocks of BROADCAST_BYTES, and the pages found.
     """
     out: list[tuple] = []
     bounds = None

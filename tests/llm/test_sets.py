@@ -211,6 +211,20 @@ def test_growing_threads_wait_within_bounds(spark, partitions, monkeypatch):
     assert len(got) == 80 and all(f"Reply number {i} " in got[i] for i in range(80))
 
 
+def test_every_content_of_a_long_thread_waits_for_its_page():
+    """A page that has none of the thread ends it: all pages before are compared with that one, however many."""
+    import pyarrow as pa
+
+    lines = [f"<p>Reply number {i} says {prose(random.Random(i), 4)}</p>" for i in range(90)]
+    made = [f"<body><div>Best site in town</div>{''.join(lines[: i + 1])}</body>" for i in range(90)] + ["<body><div>Best site in town</div><p>Something else</p></body>"]
+    units = [pages.units_of(pages.lines_of(h)) for h in made]
+    rows = [{"host": "h", "part": 0, "mark": i, **dict(zip(("texts", "paths", "kinds"), u))} for i, u in enumerate(units)]
+    out = [r for b in pages.walk(False, True)([pa.RecordBatch.from_pylist(rows)]) for r in b.to_pylist()]
+    left = {r["mark"]: r["left"] for r in out if r["left"]}
+    assert set(left) == set(range(90)) and all(left[i] == pages.unshared(units[i], units[90], True) for i in range(90))
+    assert left[0] != pages.unshared(units[0], None, True)
+
+
 def rows_of(spark, data):
     return spark.createDataFrame([(i, u, h, *"xyzabcd") for i, u, h in data], "page_id long, url string, html string, text string, host string, mark string, left string, end string, kinds string, part string").repartition(5)
 
