@@ -1,14 +1,15 @@
 """Language-model scores of texts.
 
 A log-bilinear network predicts the class of the next token from the classes of those before it: their vectors, weighted
-place by place, are summed and multiplied with every class's vector. It is trained by telling tokens from noise
-(noise-contrastive estimation), in numpy, and normalised over all classes when it scores. A token's share of its class
-comes from counts over all training texts. The commonest words and the end are classes of their own; other words are
+place by place, are summed and multiplied with every class's vector. It is trained on all training texts by telling tokens
+from noise (noise-contrastive estimation), in numpy, by many tasks whose networks are averaged, and normalised over all classes when
+it scores. A token's share of its class comes from counts over all training texts. The commonest words and the end are classes of their own; other words are
 grouped by spelling, and spellings by the words that they stand near.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -18,15 +19,20 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.session import remove
 from .lookups import common, with_rest, written
-from .textkit import LOWER, bounded_batches, by_text, in_parts, release, remainder, sample_texts, spread, texts_of, words_of
+from .textkit import LOWER, bounded_batches, by_text, in_parts, release, remainder, shared_folder, spread, texts_of, words_of
 
 #: Common words with a class of their own, classes of other words, and spellings that words are told apart by.
 HEADS, GROUPS, SPELLINGS = 128, 40, 1 << 14
 #: Tokens before a token that it is predicted from, and numbers in a vector.
 BEFORE, DIMENSION = 6, 24
-#: Texts and their bytes that the network is trained on. Counts are of all training texts.
-SAMPLE, SAMPLE_BYTES = 4_000, 16 << 20
+#: What stands for a text's end among codes of words; blocks that counts of spellings are summed in.
+END, BLOCKS = (1 << 16) - 1, 16
+#: Tokens of a step, tokens that a task learns from at least, and steps of the round before.
+BATCH, LEARNT, WARM = 2_048, 2_500_000, 300
+#: Tokens whose contexts are in memory together.
+AT_ONCE = 1 << 19
 #: Words whose counts are broadcast, and their longest in bytes; those of others are joined.
 MOST_COMMON, COMMON_BYTES = 300_000, 64
 #: Bytes of texts looked at together, a text at least; tokens scored by one product.
@@ -65,18 +71,71 @@ class Classes:
         return np.where(found >= 0, found, self.end + 1 + self.group[spellings(words)])
 
 
-def grouped(classes: list[np.ndarray], spelt: list[np.ndarray], n_heads: int, rounds: int = 12) -> np.ndarray:
-    """The group of each spelling, by the common words within four places of it: k-means of these counts' directions.
+def coded(docs: DataFrame, heads: pa.Array) -> DataFrame:
+    """codes: the words of all texts as 16-bit numbers, a head's own or len(heads) + the spelling's, each text followed by END; a row for some texts together."""
 
-    classes: for each text the number of each word's own class, or -1; spelt: the words' spellings. Spellings that stand
-    near none, and all where there are no texts, are dealt out by number.
-    """
-    near = np.zeros((SPELLINGS, max(1, n_heads)), np.float32)
-    for c, s in zip(classes, spelt):
-        for d in range(1, min(5, len(c))):
-            for other, own, word in ((c[d:], c[:-d], s[:-d]), (c[:-d], c[d:], s[d:])):
-                use = (other >= 0) & (own < 0)
-                np.add.at(near, (word[use], other[use]), 1)
+    def run(batches: Iterator[pa.RecordBatch]):
+        own = Classes(heads, np.zeros(SPELLINGS, np.int64))
+        for batch in batches:
+            texts, rows = texts_of(batch, "text"), []
+            for start, end in in_parts(texts, TOGETHER):
+                known, index, ends = words_of(lowered(texts[start:end]))
+                of_word = own.of(known)
+                code = np.where(of_word < len(heads), of_word, len(heads) + spellings(known)).astype(np.uint16)
+                out = np.full(len(index) + len(ends) - 1, END, np.uint16)
+                out[np.arange(len(index)) + np.repeat(np.arange(len(ends) - 1), np.diff(ends))] = code[index]
+                rows.append(out.tobytes())
+            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.binary())], names=["codes"])
+        release()
+
+    bounded_batches(docs.sparkSession)
+    return spread(docs.select("text")).mapInArrow(run, "codes binary")
+
+
+def codes_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    return (np.frombuffer(x.as_py(), np.uint16) for x in batch.column("codes"))
+
+
+def near(codes: DataFrame, n_heads: int) -> np.ndarray:
+    """How often each spelling's words stand within four places of each head, in all texts. Tasks add up blocks of spellings, which are summed after a shuffle; a table of fixed size is gathered."""
+    width = max(1, n_heads)
+    block = SPELLINGS // BLOCKS
+
+    def count(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros(SPELLINGS * width, np.int64)
+        for batch in batches:
+            for whole in codes_of(batch):
+                for start in range(0, len(whole), AT_ONCE):
+                    c = whole[start : start + AT_ONCE + 4].astype(np.int64)
+                    text = np.cumsum(c == END)
+                    for d in range(1, min(5, len(c))):
+                        a, b = c[:-d][:AT_ONCE], c[d:][:AT_ONCE]
+                        same = (text[:-d][:AT_ONCE] == text[d:][:AT_ONCE]) & (a != END)
+                        for own, other in ((a, b), (b, a)):
+                            at = np.flatnonzero(same & (own >= n_heads) & (other < n_heads))
+                            np.add.at(total, (own[at] - n_heads) * width + other[at], 1)
+        yield rows_of(total)
+
+    def add(batches: Iterator[pa.RecordBatch]):
+        total = np.zeros(SPELLINGS * width, np.int64)
+        for batch in batches:
+            for k, n in zip(batch.column("block").to_pylist(), batch.column("n")):
+                total[k * block * width : (k + 1) * block * width] += np.frombuffer(n.as_py(), np.int64)
+        yield rows_of(total)
+
+    def rows_of(total: np.ndarray) -> pa.RecordBatch:
+        some = [(k, x) for k, x in enumerate(np.split(total, BLOCKS)) if x.any()]
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in some], pa.int32()), pa.array([x.tobytes() for _, x in some], pa.binary())], names=["block", "n"])
+
+    out = np.zeros((BLOCKS, block * width), np.float32)
+    schema = "block int, n binary"
+    for k, n in codes.mapInArrow(count, schema).repartition(BLOCKS, "block").mapInArrow(add, schema).collect():
+        out[k] = np.frombuffer(n, np.int64)
+    return out.reshape(SPELLINGS, width)
+
+
+def grouped(near: np.ndarray, rounds: int = 12) -> np.ndarray:
+    """The group of each spelling by the heads near its words: k-means of these counts' directions. Spellings that stand near none are dealt out by number."""
     group = np.arange(SPELLINGS) % GROUPS
     weight = near.sum(1)
     seen = np.flatnonzero(weight > 0)
@@ -132,44 +191,131 @@ def contexts(classes: np.ndarray, ends: np.ndarray, start: int) -> np.ndarray:
     return out
 
 
-def train(context: np.ndarray, target: np.ndarray, size: int, noise: np.ndarray, seed: int = 5, steps: int = 2_500, batch: int = 512, drawn: int = 64, rate: float = 0.01) -> LogBilinear:
-    """Noise-contrastive estimation: whether a class is the text's or one of `drawn` from noise (probabilities of all classes), which each batch shares. Small samples are gone through twenty times at most."""
-    steps = min(steps, 100 + 20 * len(target) // batch)
-    rng = np.random.default_rng(seed)
-    p = {"r": rng.normal(0, 0.1, (size + 1, DIMENSION)), "c": np.ones((BEFORE, DIMENSION)), "q": rng.normal(0, 0.1, (size, DIMENSION)), "b": np.log(noise)}
-    m, v = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
-    log_noise = np.log(drawn * noise)
-    rows = np.arange(batch)
-    for step in range(1, steps + 1 if len(target) else 1):
-        at = rng.integers(len(target), size=batch)
-        x, t, other = context[at], target[at], rng.choice(size, drawn, p=noise)
-        parts = p["r"][x]
-        h = (parts * p["c"]).sum(1)
-        real = (h * p["q"][t]).sum(1) + p["b"][t] - log_noise[t]
-        false = h @ p["q"][other].T + p["b"][other] - log_noise[other]
-        g_real = 1 / (1 + np.exp(np.clip(real, -30, 30)))
-        g_false = -1 / (1 + np.exp(np.clip(-false, -30, 30)))
-        g_h = g_real[:, None] * p["q"][t] + g_false @ p["q"][other]
-        g = {k: np.zeros_like(y) for k, y in p.items()}
-        hot = np.zeros((size, batch))
-        hot[t, rows] = g_real
-        g["q"], g["b"] = hot @ h, hot.sum(1)
+class Learner:
+    """Noise-contrastive estimation: whether a class is the text's or one of `drawn` from noise (probabilities of all classes), which each batch shares."""
+
+    def __init__(self, parameters: dict[str, np.ndarray], noise: np.ndarray, drawn: int = 64, rate: float = 0.01):
+        self.p = {k: x.astype(np.float32) for k, x in parameters.items()}
+        self.m, self.v = ({k: np.zeros_like(x) for k, x in self.p.items()} for _ in range(2))
+        self.drawn, self.rate, self.steps = drawn, rate, 0
+        self.log_noise, self.upto = np.log(drawn * noise).astype(np.float32), np.cumsum(noise)[:-1]
+
+    @staticmethod
+    def start(size: int, noise: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
+        rng = np.random.default_rng(seed)
+        return {"r": rng.normal(0, 0.1, (size + 1, DIMENSION)), "c": np.ones((BEFORE, DIMENSION)), "q": rng.normal(0, 0.1, (size, DIMENSION)), "b": np.log(noise)}
+
+    def learn(self, x: np.ndarray, t: np.ndarray, rng: np.random.Generator, slower: float) -> None:
+        """A step by a batch: contexts x (a row for each place before, the nearest first) of targets t."""
+        p, size, n = self.p, len(self.p["b"]), len(t)
+        other = np.searchsorted(self.upto, rng.random(self.drawn), "right")
+        seen = (p["r"][None] * p["c"][:, None]).reshape(-1, DIMENSION)
+        h = np.zeros((n, DIMENSION), np.float32)
+        for i, row in enumerate(x):
+            h += seen[i * (size + 1) : (i + 1) * (size + 1)].take(row, axis=0)
+        q_t, q_o, bias = p["q"].take(t, axis=0), p["q"][other], p["b"] - self.log_noise
+        g_real = 1 / (1 + np.exp(np.clip(np.einsum("ij,ij->i", h, q_t) + bias.take(t), -30, 30)))
+        g_false = h @ q_o.T
+        g_false += bias[other]
+        np.clip(g_false, -30, 30, out=g_false)
+        np.negative(g_false, out=g_false)
+        np.exp(g_false, out=g_false)
+        g_false += 1
+        np.divide(-1, g_false, out=g_false)
+        g_h = g_false @ q_o
+        q_t *= g_real[:, None]
+        g_h += q_t
+        g = {"q": summed(t, g_real[:, None] * h, size), "b": np.bincount(t, g_real, size).astype(np.float32)}
         np.add.at(g["q"], other, g_false.T @ h)
         np.add.at(g["b"], other, g_false.sum(0))
-        g["c"] = (parts * g_h[:, None]).sum(0)
-        for i in range(BEFORE):
-            hot = np.zeros((size + 1, batch))
-            hot[x[:, i], rows] = 1
-            g["r"] += hot @ (g_h * p["c"][i])
-        slower = rate * min(1.0, 2 * (1 - step / (steps + 1)))
+        after = np.stack([summed(row, g_h, size + 1) for row in x])
+        g["r"], g["c"] = np.einsum("ijk,ik->jk", after, p["c"]), np.einsum("ijk,jk->ik", after, p["r"])
+        self.steps += 1
         for k in p:
-            m[k] += 0.1 * (g[k] / batch - m[k])
-            v[k] += 0.01 * ((g[k] / batch) ** 2 - v[k])
-            p[k] += slower * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-8)
+            g[k] /= n
+            self.m[k] += 0.1 * (g[k] - self.m[k])
+            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
+            p[k] += self.rate * slower / (1 - 0.9**self.steps) * self.m[k] / (np.sqrt(self.v[k] / (1 - 0.99**self.steps)) + 1e-8)
+
+
+def summed(at: np.ndarray, rows: np.ndarray, size: int) -> np.ndarray:
+    """The sum of the rows of each number below size."""
+    order = np.argsort(at, kind="stable")
+    n = np.bincount(at, minlength=size)
+    used = np.flatnonzero(n)
+    out = np.zeros((size, rows.shape[1]), np.float32)
+    out[used] = np.add.reduceat(rows.take(order, axis=0), (np.cumsum(n) - n)[used], axis=0)
+    return out
+
+
+def network_of(p: dict[str, np.ndarray]) -> LogBilinear:
     f32 = np.float32
     return LogBilinear((p["r"][None] * p["c"][:, None]).astype(f32), np.ascontiguousarray(p["q"]).astype(f32), p["b"].astype(f32))
 
 
+def train(codes: DataFrame, classes: Classes, noise: np.ndarray, tokens: int) -> LogBilinear:
+    """A network of all texts (coded()). Tasks go through all tokens of theirs, from parameters that are the same for all, and what they come to is averaged, weighted by tokens.
+
+    Each task has LEARNT tokens or more, so that it doesn't hang on few texts; where there are fewer in all, one task goes through them up to twenty
+    times. With several tasks a first round over WARM batches of each finds the parameters that they begin from.
+    """
+    size, spark = classes.size, codes.sparkSession
+    start = Learner.start(size, noise)
+    if not tokens:
+        return network_of(start)
+    tasks = max(1, min(codes.rdd.getNumPartitions(), tokens // LEARNT))
+    times = min(20, -(-LEARNT // tokens))
+    expected = max(1, tokens * times // (tasks * BATCH))
+    of_code = np.full(END + 1, classes.end, np.int16)
+    heads = len(classes.heads)
+    of_code[:heads] = np.arange(heads)
+    of_code[heads : heads + SPELLINGS] = classes.end + 1 + classes.group
+    shapes = {k: v.shape for k, v in start.items()}
+
+    def unpacked(data: bytes) -> dict[str, np.ndarray]:
+        return dict(zip(shapes, (x.reshape(s) for x, s in zip(np.split(np.frombuffer(data, np.float64), np.cumsum([np.prod(s) for s in shapes.values()])[:-1]), shapes.values()))))
+
+    def pieces(sequence: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        for a in range(0, len(sequence), AT_ONCE):
+            before = min(a, BEFORE)
+            part = sequence[a - before : a + AT_ONCE]
+            ends = np.unique([0, *(np.flatnonzero(part == end) + 1), len(part)])
+            yield np.ascontiguousarray(contexts(part, ends, size)[before:].T.astype(np.int16)), part[before:]
+
+    end = classes.end
+    for most in [WARM, None] if tasks > 1 else [None]:
+        shared = spark.sparkContext.broadcast((start, noise, of_code))
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared, most=most):
+            start, noise, of_code = shared.value
+            learner, learnt = Learner(start, noise), 0
+            parts = (of_code[c] for batch in batches for c in codes_of(batch) if len(c))
+            for sequence in parts if times == 1 else [x for x in [np.concatenate([*parts, of_code[:0]])] if len(x) for _ in range(times)]:
+                for x, target in pieces(sequence):
+                    rng = np.random.default_rng([len(target), learner.steps])
+                    order = rng.permutation(len(target))
+                    for k in range(0, len(order) if learner.steps != most else 0, BATCH):
+                        at = order[k : k + BATCH]
+                        learner.learn(x[:, at], target[at], rng, 1.0 if most else max(0.02, min(1.0, 2 * (1 - learner.steps / (expected + 1)))))
+                        learnt += len(at)
+                        if learner.steps == most:
+                            break
+                if learner.steps == most:
+                    break
+            data = np.concatenate([learner.p[k].ravel() for k in shapes]).astype(np.float64).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([learnt], pa.int64()), pa.array([data], pa.binary())], names=["learnt", "data"])
+            release()
+
+        got = sorted((n, bytes(data)) for n, data in codes.coalesce(tasks).mapInArrow(run, "learnt bigint, data binary").collect() if n)
+        whole, total = {k: np.zeros(s) for k, s in shapes.items()}, sum(n for n, _ in got)
+        for n, data in got:
+            for k, x in unpacked(data).items():
+                whole[k] += x * (n / total)
+        start = whole
+        shared.destroy()
+    return network_of(start)
+
+
 @dataclass
 class Model:
     """words, distinct: of all training tokens; class_words, class_distinct: of each class."""
@@ -221,22 +367,18 @@ def class_totals(counts: DataFrame, classes: Classes) -> tuple[np.ndarray, np.nd
     return out[0], out[1]
 
 
-def fit(docs: DataFrame, counts: DataFrame, n_texts: int, sample: int = SAMPLE) -> Model:
-    """A model of the training texts, of which counts has all words. The network and the classes are fitted on at most `sample` texts, within SAMPLE_BYTES; where there are none, every class is as likely."""
+def fit(docs: DataFrame, counts: DataFrame, n_texts: int) -> Model:
+    """A model of all training texts, of which counts has all words. Their words are written as numbers, which classes and network are fitted on; where there are none, every class is as likely."""
     heads = pa.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(HEADS).collect()], pa.large_string())
-    texts = lowered([t for t, _ in sample_texts(training(docs), training(docs).select("doc_id", F.lit(1).alias("y")), "y", sample, most_bytes=SAMPLE_BYTES)])
-    known, index, ends = words_of(texts)
-    own = Classes(heads, np.zeros(SPELLINGS, np.int64)).of(known)
-    own = np.where(own < len(heads), own, -1)[index]
-    spelt = spellings(known)[index]
-    pairs = list(zip(ends, ends[1:]))
-    classes = Classes(heads, grouped([own[a:b] for a, b in pairs], [spelt[a:b] for a, b in pairs], len(heads)))
-    of_word = classes.of(known)[index]
-    sequence = np.concatenate([np.append(of_word[a:b], classes.end) for a, b in pairs]) if pairs else np.empty(0, np.int64)
+    spark, folder = docs.sparkSession, f"{shared_folder(docs.sparkSession)}/codes-{uuid.uuid4().hex}"
+    coded(training(docs), heads).write.parquet(folder)
+    codes = spark.read.parquet(folder)
+    classes = Classes(heads, grouped(near(codes, len(heads))))
     n, v = class_totals(counts, classes)
     n[classes.end], v[classes.end] = n_texts, int(n_texts > 0)
     noise = (n + 1) / (n + 1).sum()
-    network = train(contexts(sequence, ends + np.arange(len(ends)), classes.size), sequence, classes.size, noise)
+    network = train(codes, classes, noise, int(n.sum()))
+    remove(spark, folder)
     return Model(classes, network, int(n.sum()), int(v.sum()), n, v)
 
 
@@ -289,9 +431,9 @@ def score(docs: DataFrame, model: Model, counts: DataFrame, most_common: int = M
     return with_rest(scored, counts, "word", {"n_known": F.lit(1), "base_score": more, "score": more}, whole)
 
 
-def scored_documents(docs: DataFrame, sample: int = SAMPLE, most_common: int = MOST_COMMON) -> DataFrame:
+def scored_documents(docs: DataFrame, most_common: int = MOST_COMMON) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every text, by a model of those whose id's crc32 modulo 7 isn't 2. A null id is neither learned from nor held out (null). Else as score; only doc_id and text are read."""
     counts = written(word_counts(training(docs)), "words")
-    model = fit(docs, counts, training(docs).count(), sample)
+    model = fit(docs, counts, training(docs).count())
     rows = score(docs, model, counts, most_common)
     return rows.select("doc_id", (remainder(7) == 2).alias("held_out"), "n_tokens", "n_known", F.lit(model.words).cast("bigint").alias("train_tokens"), "base_score", "score")

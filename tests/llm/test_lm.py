@@ -93,6 +93,43 @@ def test_scores_of_a_text_follow_the_model(spark, texts):
         assert math.isclose(got[k], total, rel_tol=1e-4)
 
 
+def test_classes_and_network_are_of_all_texts(spark, texts, monkeypatch):
+    def sample(*args, **options):
+        raise AssertionError("a sample of the texts")
+
+    monkeypatch.setattr(lm, "sample_texts", sample, raising=False)
+    monkeypatch.setattr(lm, "TOGETHER", 2_000)
+    monkeypatch.setattr(lm, "AT_ONCE", 50)
+    docs = table(spark, texts).repartition(3)
+    counts = lm.word_counts(docs)
+    heads = pa.array([r.word for r in counts.orderBy(F.desc("n"), "word").limit(20).collect()], pa.large_string())
+    codes = lm.coded(docs, heads).cache()
+    want, rows = Counter(), [c for r in codes.collect() for c in np.frombuffer(r.codes, np.uint16).tolist()]
+    assert sum(c == lm.END for c in rows) == len(texts) and len(rows) == sum(len(words(t)) for t in texts)
+    for i, c in enumerate(rows):
+        for j in range(i + 1, min(i + 5, len(rows))):
+            if lm.END in rows[i : j + 1]:
+                break
+            for own, other in ((c, rows[j]), (rows[j], c)):
+                if own >= len(heads) > other:
+                    want[own - len(heads), other] += 1
+    got = lm.near(codes, len(heads))
+    assert want and {(int(a), int(b)): int(got[a, b]) for a, b in zip(*np.nonzero(got))} == want
+    assert lm.fit(docs, counts, docs.count()).words == int(counts.agg(F.sum("n")).first()[0]) + len(texts)
+
+
+def test_networks_of_tasks_are_averaged(spark, monkeypatch):
+    learnt = []
+    of = lm.network_of
+    monkeypatch.setattr(lm, "LEARNT", 5_000)
+    monkeypatch.setattr(lm, "BATCH", 64)
+    monkeypatch.setattr(lm, "WARM", 40)
+    monkeypatch.setattr(lm, "network_of", lambda p: learnt.append(p) or of(p))
+    got = lm.scored_documents(table(spark, two_tongues(random.Random(9), 1_500)).repartition(4)).collect()
+    score, base = (sum(r[k] for r in got if r.held_out) for k in ("score", "base_score"))
+    assert score > 0.95 * base and len(learnt) == 1 and all(np.isfinite(x).all() for x in learnt[0].values())
+
+
 def test_odd_tables(spark):
     assert lm.scored_documents(table(spark, [])).count() == 0
     got = lm.scored_documents(table(spark, ["a b", "a b", None, ""], ids=[2, 2, None, 8])).collect()
