@@ -179,8 +179,8 @@ def _gathered(phrases: DataFrame, keys: list[str]) -> DataFrame:
     return rows.select(*keys, F.transform("p", lambda x: x["pos"]).alias("pos"), F.transform("p", lambda x: x["len"]).alias("len"))
 
 
-#: Characters of the pieces that dictionaries are cut into, and of the parts that texts are put together in.
-DICTIONARY_PIECE, TEXT_PART = 16_384, 262_144
+#: Characters of the pieces that dictionaries are cut into, each of which a copy is found in by going over the characters before it, and of the parts that texts are put together in.
+DICTIONARY_PIECE, TEXT_PART = 256, 262_144
 
 
 def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:

@@ -276,6 +276,17 @@ def test_decoding_in_rounds_and_in_parts(spark, monkeypatch):
     assert parses.decoded_parts(found, dictionaries, "g", ["seq_id"]).where("seq_id = 0").count() == 2
 
 
+def test_pieces_that_copies_are_found_in_are_short(spark, monkeypatch):
+    cut, of = [], chunks.pieces
+    monkeypatch.setattr(chunks, "pieces", lambda texts, width: cut.append(of(texts, width)) or cut[-1])
+    text = "".join(random.Random(4).choices("ACGT", k=70_000))
+    dictionaries = spark.createDataFrame([("g", text)], "g string, dictionary string")
+    rows = [("g", 1, k, 2 * k, 5) for k in range(2_000)] + [("g", 2, 0, 300, 69_000), ("g", 2, 1, 65, 0), ("g", 2, 2, 69_999, 1)]
+    got = parses.decoded_by_group(spark.createDataFrame(rows, "g string, seq_id long, phrase_ix long, pos long, len long"), dictionaries, "g", ["seq_id"])
+    assert {r.seq_id: r.text for r in got.collect()} == {1: "".join(text[2 * k : 2 * k + 5] for k in range(2_000)), 2: text[300:69_300] + "A" + text[-1]}
+    assert max(len(r.piece) for r in cut[0].collect()) <= 1_024  # a part of one is found by going over what is before it
+
+
 @pytest.mark.parametrize("most", [10**6, 0])
 def test_reading_joins_only_pieces_asked_for(spark, most, monkeypatch):
     monkeypatch.setattr(chunks, "BROADCAST_PIECES", most)
