@@ -8,10 +8,10 @@ import re
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import shared_folder, spread
+from ..functions.session import bounded_batches, shared_folder, spread
 
 __all__ = ["LOWER", "bounded_batches", "by_text", "in_parts", "joined", "mix64", "release", "remainder", "sample_texts", "shared_folder", "spread", "texts_of", "word_hashes", "words_of"]
 
@@ -93,18 +93,6 @@ def texts_of(batch: pa.RecordBatch, name: str = "text") -> list[bytes]:
     return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
 
 
-#: Rows and bytes of the batches that texts go to Python in, so that a worker's memory doesn't hang on their lengths.
-BATCH_ROWS, BATCH_BYTES = 2_000, 16 << 20
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's limits of Arrow batches to these, where they are higher."""
-    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
-        now = int(re.sub(r"\D+$", "", str(spark.conf.get(key))))
-        if now <= 0 or now > most:
-            spark.conf.set(key, str(most))
-
-
 def release() -> None:
     """Gives memory that a task no longer needs back to the system; workers live on and would keep the most that any task had."""
     pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.session import shared_folder
+from ..functions.session import bounded_batches, shared_folder
 
 
 def fixed_chunks(seqs: DataFrame, chunks: int, width_from: str = "seq", compat: bool = False) -> DataFrame:
@@ -86,6 +86,8 @@ def pieces(texts: DataFrame, width: int = 4096) -> DataFrame:
     """(key, piece_ix, piece) of texts (key, text): a text of any length as pieces for read_at()."""
     import pyarrow as pa
 
+    bounded_batches(texts.sparkSession)
+
     def cut(batches):
         for batch in batches:
             for key, text in zip(batch.column("key"), batch.column("text")):

@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.session import shared_folder, spread
+from ..functions.session import bounded_batches, shared_folder, spread
 from . import kernels
 
 #: Characters of a text that one task parses at once; packing into blocks (chunks.with_blocks) keeps to it.
@@ -36,6 +36,7 @@ def cut_long(seqs: DataFrame, size: int, overlap: int, group: str = "groupname")
                     some = starts[at : at + 64]
                     yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("seq_id")[r], len(some)), pa.repeat(batch.column(group)[r], len(some)), pa.array([text[x : x + size] for x in some], pa.string()), pa.array(some, pa.int64())], names=["seq_id", group, "seq", "from"])
 
+    bounded_batches(seqs.sparkSession)
     rows = seqs.select("seq_id", group, "seq")
     short = rows.where(F.length("seq") <= size).withColumn("from", F.lit(0).cast("bigint"))
     return short.unionByName(rows.where(F.length("seq") > size).mapInArrow(run, f"seq_id {types['seq_id']}, `{group}` {types[group]}, seq string, `from` bigint"))
@@ -133,6 +134,7 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
     """
     from .chunks import with_blocks
 
+    bounded_batches(seqs.sparkSession)
     types = dict(seqs.dtypes)
     dealt = with_blocks(seqs, group, block_chars).select(group, "block", F.lit(1).alias("kind"), *ids, "seq")
     blocks = dealt.select(group, "block").distinct()
@@ -165,10 +167,12 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
 
 def decoded(phrases: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, text) of parses whose sources are in their own text. phrase_ix is unique within a key; a key without phrases has no row."""
+    bounded_batches(phrases.sparkSession)
     rows = _gathered(phrases, keys)
 
     def text(pos: pa.Array, length: pa.Array) -> pa.Array:
-        return pa.array([kernels.decode(p, n).decode("latin-1") for p, n in zip(pos.to_pylist(), length.to_pylist())], pa.string())
+        """A row's phrases at a time as numbers of Python's, so that a batch isn't."""
+        return pa.array([kernels.decode(p.values.to_pylist(), n.values.to_pylist()).decode("latin-1") for p, n in zip(pos, length)], pa.string())
 
     return rows.select(*keys, F.arrow_udf(text, "string")("pos", "len").alias("text"))
 

@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.session import bounded_batches
 from .chunks import BROADCAST_GROUPS, prefix_sums
 
 
@@ -103,6 +104,7 @@ def kernel_pieces(limited: DataFrame, texts: DataFrame, context: int, edits: int
 
 def kernels_of(limited: DataFrame, texts: DataFrame, context: int, edits: int = 0, separator: str = "$") -> DataFrame:
     """(key, kernel): kernel_texts() of kernel_pieces(), each text joined once to its key's limits and cut in one row."""
+    bounded_batches(texts.sparkSession)
     fields = ("phrase_ix", "len", "text_start", "text_end", "is_literal", "is_last")
     gathered = limited.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("p"))
     gap = separator * (edits + 1)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..functions.columns import hamming
-from ..functions.session import shared_folder, spread
+from ..functions.session import bounded_batches, shared_folder, spread
 from . import fm, kernels, parses, phrases, ranges
 
 
@@ -165,6 +165,7 @@ def windows(candidates: DataFrame, texts: DataFrame, most: int) -> DataFrame:
     Texts are cut into overlapping pieces, so that no row of the join carries a whole text, and only into those that
     candidates ask for.
     """
+    bounded_batches(texts.sparkSession)
     first = F.greatest(F.col("at"), F.lit(0).cast("bigint"))
     asked = candidates.withColumn("n", F.col("n") + F.least(F.col("at"), F.lit(0).cast("bigint"))).withColumn("at", first).withColumn("_piece", F.floor(first / PIECE).cast("bigint"))
     wanted = asked.select("key", "_piece").distinct()

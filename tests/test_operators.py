@@ -276,6 +276,33 @@ def test_decoding_in_rounds_and_in_parts(spark, monkeypatch):
     assert parses.decoded_parts(found, dictionaries, "g", ["seq_id"]).where("seq_id = 0").count() == 2
 
 
+@pytest.mark.parametrize("step", ["phrases", "relative", "decoded", "located", "windows", "cut", "pieces", "kernels"])
+def test_batches_that_go_to_python_are_bounded(spark, step):
+    """A batch of blocks of texts, or of their phrases, isn't as large as a partition."""
+    keys = ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.execution.arrow.maxBytesPerBatch")
+    was = {k: spark.conf.get(k) for k in keys}
+    texts = spark.createDataFrame([("g", 1, "ACGTACGTAA", "AC")], "key string, seq_id long, seq string, dictionary string").withColumn("text", F.col("seq"))
+    found = spark.createDataFrame([("g", 1, 0, 65, 0)], "key string, seq_id long, phrase_ix long, pos long, len long")
+    steps = {
+        "phrases": lambda: parses.lz77_phrases(texts),
+        "relative": lambda: parses.rlz_by_group(texts, texts, "key", ["seq_id"]),
+        "decoded": lambda: parses.decoded(found, ["key"]),
+        "located": lambda: search.located(texts.withColumnRenamed("text", "kernel"), spark.createDataFrame([(1, "AC")], "query_id long, pattern string"), 5),
+        "windows": lambda: search.windows(spark.createDataFrame([("g", 0, 2)], "key string, at long, n long"), texts, 2),
+        "cut": lambda: parses.cut_long(texts, 5, 2, "key"),
+        "pieces": lambda: chunks.pieces(texts),
+        "kernels": lambda: phrases.kernels_of(phrases.kernel_limits(phrases.merge_short(found.drop("seq_id"), 2), 2), texts, 2),
+    }
+    try:
+        for k in keys:
+            spark.conf.set(k, str(1 << 30))
+        assert steps[step]().count() >= 0
+        assert int(spark.conf.get(keys[0])) <= 2_000 and int(spark.conf.get(keys[1]).rstrip("b")) <= 16 << 20
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)
+
+
 def test_pieces_that_copies_are_found_in_are_short(spark, monkeypatch):
     cut, of = [], chunks.pieces
     monkeypatch.setattr(chunks, "pieces", lambda texts, width: cut.append(of(texts, width)) or cut[-1])
