@@ -37,7 +37,7 @@ def replace_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of all documents."""
-    return bpe.encode_documents(docs, with_ids=True)
+    return bpe.encode_documents(docs, with_ids=True, cached=100_000)  # stages before leave workers less memory than they have for this one alone
 
 
 STAGES = [("toxicity", drop_toxic), ("near-dedup", drop_near_copies), ("decontamination", drop_leaks), ("pii", replace_personal_data), ("bpe", encode)]

@@ -28,7 +28,7 @@ SPACE = "\t\n\x0b\x0c\r \x85\xa0  -     　"
 _spaces = regex.compile(f"[{SPACE}]+")
 NEVER = 1 << 60
 #: Entries in each of a cache's two generations, in the table of token pairs, and the longest text that is kept.
-CACHED, CACHED_PAIRS, CACHED_CHARS = 100_000, 200_000, 48
+CACHED, CACHED_PAIRS, CACHED_CHARS = 250_000, 500_000, 48
 #: Bytes of texts that are put together at once, a text at least.
 TOGETHER = 4 << 20
 
@@ -91,6 +91,7 @@ class WordBpe:
                 self.automaton.add_word(symbols[i], (i, len(symbols[i])))
         self.automaton.make_automaton()
         self.fits: dict[int, bool] = {}
+        self.cached, self.cached_pairs = CACHED, CACHED_PAIRS
         self.young: dict[str, tuple[bytes, bytes]] = {}
         self.old: dict[str, tuple[bytes, bytes]] = {}
 
@@ -131,7 +132,7 @@ class WordBpe:
                     continue
                 ok = fits.get(key := before << 24 | token)
                 if ok is None:
-                    if len(fits) >= CACHED_PAIRS:
+                    if len(fits) >= self.cached_pairs:
                         fits.clear()
                     ok = fits[key] = self._apart(before, token)
                 if not ok:
@@ -146,7 +147,7 @@ class WordBpe:
     def _keep(self, text: str, got: tuple[bytes, bytes]) -> tuple[bytes, bytes]:
         """Puts into the young generation; a full one becomes the old one, so what is used often stays."""
         if len(text) <= CACHED_CHARS:
-            if len(self.young) >= CACHED:
+            if len(self.young) >= self.cached:
                 self.young, self.old = {}, self.young
             self.young[text] = got
         return got
@@ -249,9 +250,10 @@ def joined_lists(rows: list[pa.Array]) -> pa.Array:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, rows)]), pa.int32()), values)
 
 
-def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False) -> DataFrame:
+def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool = False, cached: int = CACHED) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 and, if with_ids, ids array<int> of every text.
 
+    cached bounds the entries of each of a worker's caches (twice as many token pairs), which cost memory and save time.
     The file at path is read on every executor. Null and empty texts have no tokens and the digests of nothing. The
     result of a row depends on its text alone, so repeated rows repeat. Only doc_id and text are read.
     """
@@ -259,6 +261,7 @@ def encode_documents(docs: DataFrame, path: str | None = None, with_ids: bool =
 
     def run(texts):
         bpe = load(path)
+        bpe.cached, bpe.cached_pairs = cached, 2 * cached
         n, ids, digests, decoded = [], [], [], []
         start = 0
         while start < len(texts):

@@ -587,3 +587,9 @@ def test_token_tables(spark, library):
         assert got[i].ids_sha256 == hashlib.sha256(np.array(want, "<u4").tobytes()).hexdigest()
     back = {r.doc_id: r.text for r in bpe.decode_documents(bpe.encode_documents(table(spark, texts), with_ids=True)).collect()}
     assert back[len(texts) - 1] == "hello , world 's 2 nd test"
+
+
+def test_caches_of_tokens_change_no_result(spark):
+    docs = table(spark, ["one two three two one", "four five six seven", "one four", None])
+    want, few = bpe.encode_documents(docs).collect(), bpe.encode_documents(docs, cached=2).collect()
+    assert sorted(few) == sorted(want) and bpe.CACHED > 100_000
