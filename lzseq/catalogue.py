@@ -85,7 +85,7 @@ def sequence_index(spark, sf_dir) -> index.Index:
 
 def fasta_lines(spark, sf_dir) -> DataFrame:
     d = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
-    body = F.filter(F.split(F.regexp_replace("text", "[^A-Za-z\n]", ""), "\n"), lambda x: F.length(x) > 0)
+    body = F.filter(F.split(C.letters_and_breaks(F.col("text")), "\n"), lambda x: F.length(x) > 0)
     rows = F.concat(F.array(F.concat(F.lit(">ACC"), F.col("doc_id").cast("string"), F.lit(" "), "lang")), body)
     return d.select(F.concat(F.lit("f"), (F.col("doc_id") % 7).cast("string")).alias("file"), "doc_id", F.posexplode(rows).alias("sub", "value")).select("file", (F.col("doc_id") * 1000000 + F.col("sub") + 1).alias("line_no"), "value")
 

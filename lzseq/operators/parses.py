@@ -80,16 +80,27 @@ def _batch(columns: dict[str, pa.Array], counts: list[int], found: dict[str, lis
     return pa.RecordBatch.from_arrays([*(c.take(at) for c in columns.values()), *joined.values()], names=[*columns, *joined])
 
 
-def _phrases(rows: DataFrame, parse, keys: list[str], columns: list[str]) -> DataFrame:
+#: What a parse gives of each phrase, and what it gives where short ones are merged.
+PHRASE = "phrase_ix bigint, pos bigint, len bigint"
+MERGED = f"{PHRASE}, is_literal boolean, text_start bigint, text_end bigint"
+
+
+def _rows(columns: dict[str, pa.Array], found: list[kernels.Phrases], context: int | None = None, apart: bool = False) -> pa.RecordBatch:
+    """The phrases found for each row beside its columns: PHRASE, with a context MERGED."""
+    cells = [{"phrase_ix": np.arange(len(pos)), "pos": pos, "len": n} if context is None else kernels.merged((pos, n), context, apart) for pos, n in found]
+    names = [x.split()[0] for x in (PHRASE if context is None else MERGED).split(", ")]
+    return _batch(columns, [len(x["pos"]) for x in cells], {k: [x[k] for x in cells] for k in names})
+
+
+def _phrases(rows: DataFrame, parse, keys: list[str], columns: list[str], most: int, context: int | None = None) -> DataFrame:
     types = dict(rows.dtypes)
-    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + ", phrase_ix bigint, pos bigint, len bigint"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {PHRASE if context is None else MERGED}"
 
     def run(batches):
         for batch in batches:
-            for part in _slices(batch, columns):
-                found = [parse(*map(symbols, one)) for one in zip(*(part.column(c).to_pylist() for c in columns))]
-                counts = [len(pos) for pos, _ in found]
-                yield _batch({k: part.column(k) for k in keys}, counts, {"phrase_ix": [np.arange(n) for n in counts], "pos": [x[0] for x in found], "len": [x[1] for x in found]})
+            for part in _slices(batch, columns, most):
+                found = parse(*([symbols(x) for x in part.column(c).to_pylist()] for c in columns))
+                yield _rows({k: part.column(k) for k in keys}, found, context)
 
     return spread(rows.select(*keys, *columns)).mapInArrow(run, schema)
 
@@ -109,9 +120,12 @@ def _slices(batch: pa.RecordBatch, columns: list[str], most: int = 4 * BLOCK_CHA
         yield batch.slice(start)
 
 
-def lz77_phrases(texts: DataFrame, keys: list[str] | None = None, leftmost: bool = False) -> DataFrame:
-    """(keys, phrase_ix, pos, len) of each row's text. Symbols are characters up to U+00FF, others raise; null and empty texts have no phrases, repeated rows repeat theirs."""
-    return _phrases(texts, lambda t: kernels.lz77(t, leftmost), keys or ["key"], ["text"])
+def lz77_phrases(texts: DataFrame, keys: list[str] | None = None, leftmost: bool = False, context: int | None = None) -> DataFrame:
+    """(keys, phrase_ix, pos, len) of each row's text. Symbols are characters up to U+00FF, others raise; null and empty texts have no phrases, repeated rows repeat theirs.
+
+    With a context, short phrases are merged where they are found, as phrases.merge_short() does it. Texts are parsed together up to BLOCK_CHARS.
+    """
+    return _phrases(texts, lambda t: kernels.lz77_all(t, leftmost), keys or ["key"], ["text"], BLOCK_CHARS, context)
 
 
 def rlz_phrases(rows: DataFrame, keys: list[str], leftmost: bool = True) -> DataFrame:
@@ -123,11 +137,11 @@ def rlz_phrases(rows: DataFrame, keys: list[str], leftmost: bool = True) -> Data
             last[0], last[1] = dictionary, kernels.Reference(dictionary)
         return last[1].parse(seq, leftmost)
 
-    return _phrases(rows, parse, keys, ["seq", "dictionary"])
+    return _phrases(rows, lambda *pairs: [parse(*x) for x in zip(*pairs)], keys, ["seq", "dictionary"], 4 * BLOCK_CHARS)
 
 
-def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], leftmost: bool = True, block_chars: int = GROUP_CHARS) -> DataFrame:
-    """(group, ids, phrase_ix, pos, len) of sequences relative to their group's dictionary (group, dictionary).
+def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], leftmost: bool = True, block_chars: int = GROUP_CHARS, context: int | None = None) -> DataFrame:
+    """(group, ids, phrase_ix, pos, len) of sequences relative to their group's dictionary (group, dictionary); with a context, short phrases of a sequence are merged as phrases.merge_short() does it.
 
     A group is dealt into blocks of about block_chars characters; its dictionary goes to each block once, ahead of the
     block's sequences, and its suffix array is made once a block. ids has seq_id. Groups without a dictionary are all literals.
@@ -140,7 +154,7 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
     blocks = dealt.select(group, "block").distinct()
     heads = blocks.join(dictionaries.select(group, "dictionary"), group).select(group, "block", F.lit(0).alias("kind"), *(F.lit(None).cast(types[k]).alias(k) for k in ids), F.col("dictionary").alias("seq"))
     rows = dealt.unionByName(heads).repartition(group, "block").sortWithinPartitions(group, "block", "kind")
-    schema = ", ".join(f"`{k}` {types[k]}" for k in (group, *ids)) + ", phrase_ix bigint, pos bigint, len bigint"
+    schema = ", ".join(f"`{k}` {types[k]}" for k in (group, *ids)) + f", {PHRASE if context is None else MERGED}"
 
     def run(batches):
         at, reference = None, kernels.Reference(b"")
@@ -157,9 +171,7 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
                     if not keys[start][2]:
                         reference = kernels.Reference(texts[-1])
                         continue
-                    found = reference.parse_all(texts, leftmost)
-                    counts = [len(pos) for pos, _ in found]
-                    yield _batch({k: part.column(k) for k in (group, *ids)}, counts, {"phrase_ix": [np.arange(n) for n in counts], "pos": [x[0] for x in found], "len": [x[1] for x in found]})
+                    yield _rows({k: part.column(k) for k in (group, *ids)}, reference.parse_all(texts, leftmost), context, True)
                 start = r
 
     return rows.mapInArrow(run, schema)

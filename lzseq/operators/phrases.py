@@ -15,14 +15,14 @@ from .chunks import BROADCAST_GROUPS, prefix_sums
 HOT_PHRASES = 2_000_000
 
 
-def _hot(rows: DataFrame, key: str = "key") -> bool:
+def hot_key(rows: DataFrame, key: str = "key") -> bool:
     """Whether a key has so many rows that one task shouldn't sort them. Counts are combined before they are shuffled."""
     return (rows.groupBy(key).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0) > HOT_PHRASES
 
 
 def running(rows: DataFrame, values: dict[str, Column], order: str = "phrase_ix", key: str = "key", hot: bool | None = None) -> DataFrame:
     """rows with, for each name: column of values, the sum over the key's rows before; a hot key's rows stay spread over tasks."""
-    if _hot(rows, key) if hot is None else hot:
+    if hot_key(rows, key) if hot is None else hot:
         return prefix_sums(rows, key, [order], values)
     before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
     return rows.withColumns({k: F.coalesce(F.sum(v).over(before), F.lit(0)).cast("bigint") for k, v in values.items()})
@@ -46,7 +46,7 @@ def merge_short(phrases: DataFrame, context: int, hot: bool | None = None) -> Da
     it; where phrases have a source (another key that they copy from), none is. (key, phrase_ix, pos, len, is_literal,
     text_start, text_end[, source]).
     """
-    hot = _hot(phrases) if hot is None else hot
+    hot = hot_key(phrases) if hot is None else hot
     apart = "source" in phrases.columns
     rows = phrases.withColumn("n", effective(F.col("len"))).withColumn("long", F.col("n") > 2 * context)
     if hot:
@@ -79,7 +79,7 @@ def piece_length(context: int, edits: int = 0) -> Column:
 
 def kernel_limits(merged: DataFrame, context: int, edits: int = 0, hot: bool | None = None) -> DataFrame:
     """merged with is_last, k_start and k_end: where each piece lies in its key's kernel text."""
-    hot = _hot(merged) if hot is None else hot
+    hot = hot_key(merged) if hot is None else hot
     if hot:
         last = merged.groupBy("key").agg(F.max("phrase_ix").alias("_last"))
         if last.count() <= BROADCAST_GROUPS:
@@ -164,7 +164,7 @@ def merge_parts(phrases: DataFrame, parts: list[str] | str = "part") -> DataFram
 
 def differences(limited: DataFrame, limit: str = "limit", order: str = "ix", key: str = "key", hot: bool | None = None) -> DataFrame:
     """limited with difference: each limit less the one before in its key, itself for the first. Limits rise; a hot key's rows stay spread over tasks."""
-    if _hot(limited, key) if hot is None else hot:
+    if hot_key(limited, key) if hot is None else hot:
         before = prefix_sums(limited, key, [order], {"_before": F.col(limit)}, largest=True)
     else:
         before = limited.withColumn("_before", F.coalesce(F.lag(limit).over(Window.partitionBy(key).orderBy(order)), F.lit(0)))

@@ -98,13 +98,13 @@ class Index:
         return Index(p, *(spark.read.parquet(f"{path}/{name}") for name in ("limited", "kernels", "catalogue")), there("names"), there("blocks"), there("directory"))
 
 
-def parse(texts: DataFrame, method: str = "lz77", prefix_chars: int | None = None) -> DataFrame:
-    """(key, phrase_ix, pos, len) by method: lz77, lz77_leftmost, or rlz with the first prefix_chars of each text as dictionary.
+def parse(texts: DataFrame, method: str = "lz77", prefix_chars: int | None = None, context: int | None = None) -> DataFrame:
+    """(key, phrase_ix, pos, len) by method: lz77, lz77_leftmost, or rlz with the first prefix_chars of each text as dictionary. With a context the first two merge short phrases where they find them.
 
     Relative parses are text-valid: the prefix itself is parsed too, so every source lies in the text before its phrase.
     """
     if method in ("lz77", "lz77_leftmost"):
-        return parses.lz77_phrases(texts, leftmost=method == "lz77_leftmost")
+        return parses.lz77_phrases(texts, leftmost=method == "lz77_leftmost", context=context)
     if method != "rlz" or not prefix_chars:
         raise ValueError("the method is lz77, lz77_leftmost or rlz with prefix_chars")
     head = parses.lz77_phrases(texts.select("key", F.left("text", F.lit(prefix_chars)).alias("text")))
@@ -115,10 +115,12 @@ def parse(texts: DataFrame, method: str = "lz77", prefix_chars: int | None = Non
 
 
 def kernelize(texts: DataFrame, parsed: DataFrame, parameters: Parameters) -> tuple[DataFrame, DataFrame]:
-    """(limited, kernels) of texts (key, text) and their parses, without a search structure."""
+    """(limited, kernels) of texts (key, text) and their parses, whose short phrases may be merged already, without a search structure."""
     shared_folder(texts.sparkSession)
     c, k = parameters.context, parameters.max_edit_distance
-    limited = phrases.kernel_limits(phrases.merge_short(parsed, c), c, k).checkpoint()
+    hot = phrases.hot_key(parsed)  # merged phrases are no more than these, which are counted once
+    merged = parsed if "is_literal" in parsed.columns else phrases.merge_short(parsed, c, hot)
+    limited = phrases.kernel_limits(merged, c, k, hot).checkpoint()
     return limited, phrases.kernels_of(limited, texts, c, k, parameters.separator)
 
 
@@ -139,7 +141,7 @@ def build(texts: DataFrame, catalogue: DataFrame, parameters: Parameters = Param
     """
     shared_folder(texts.sparkSession)
     parameters = with_separator(texts, parameters)
-    parsed = parse(texts, method, prefix_chars) if parsed is None else parsed
+    parsed = parse(texts, method, prefix_chars, parameters.context) if parsed is None else parsed
     if checkpoint:
         parsed = parsed.checkpoint()
     limited, kernels = kernelize(texts, parsed, parameters)
@@ -173,8 +175,8 @@ def over_groups(seqs: DataFrame, parameters: Parameters = Parameters(), quotient
     texts = texts.checkpoint()
     parameters = with_separator(texts.select("text").unionByName(heads.select("text")), parameters)
     group = F.regexp_replace("key", "/[^/]*$", "")
-    parsed = parses.rlz_by_group(texts.select(group.alias("groupname"), "key", F.xxhash64("key").alias("seq_id"), F.col("text").alias("seq")), heads.withColumnRenamed("text", "dictionary"), "groupname", ["key", "seq_id"], leftmost=False)
-    parsed = parsed.select("key", "phrase_ix", "pos", "len", head_key.alias("source")).checkpoint()
+    parsed = parses.rlz_by_group(texts.select(group.alias("groupname"), "key", F.xxhash64("key").alias("seq_id"), F.col("text").alias("seq")), heads.withColumnRenamed("text", "dictionary"), "groupname", ["key", "seq_id"], leftmost=False, context=parameters.context)
+    parsed = parsed.drop("groupname", "seq_id").withColumn("source", F.regexp_replace("key", "/[^/]*$", "/dictionary")).checkpoint()
     limited, kernels = kernelize(texts, parsed, parameters)
     n, zero = F.length("text").cast("bigint"), F.lit(0).cast("bigint")
     whole = heads.select(head_key.alias("key"), zero.alias("phrase_ix"), zero.alias("pos"), n.alias("len"), F.lit(True).alias("is_literal"), zero.alias("text_start"), n.alias("text_end"), head_key.alias("source"), F.lit(True).alias("is_last"), zero.alias("k_start"), n.alias("k_end"))
