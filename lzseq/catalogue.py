@@ -218,8 +218,7 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
         rows = t.select("key", n.cast("bigint").alias("n"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(n / _WIDTH) - 1)).alias("phrase_ix"))
         start = F.col("phrase_ix") * _WIDTH
         m = rows.select("key", "phrase_ix", F.lit(0).cast("bigint").alias("pos"), F.least(F.lit(_WIDTH).cast("bigint"), F.col("n") - start).alias("len"), (F.col("phrase_ix") % 3 == 0).alias("is_literal"), start.alias("text_start"), F.least(start + _WIDTH, F.col("n")).alias("text_end"))
-        pieces = phrases.kernel_pieces(phrases.kernel_limits(m, _PIECE_CONTEXT), t, _PIECE_CONTEXT)
-        return phrases.kernel_texts(pieces).select("key", _digest("kernel").alias("md5"), F.length("kernel").alias("n"))
+        return phrases.kernels_of(phrases.kernel_limits(m, _PIECE_CONTEXT), t, _PIECE_CONTEXT).select("key", _digest("kernel").alias("md5"), F.length("kernel").alias("n"))
 
     c = _PIECE_CONTEXT
     add("kernel_text", kernel_text, f"WITH {_SEQS}, t AS (SELECT CAST(seq_id AS VARCHAR) AS key, seq AS text FROM seqs WHERE length(seq) > 0), p0 AS (SELECT key, text, unnest(range(0, CAST(ceil(length(text) / {_WIDTH}) AS BIGINT))) AS i FROM t), p1 AS (SELECT *, substr(text, i * {_WIDTH} + 1, {_WIDTH}) AS w, (i + 1) * {_WIDTH} >= length(text) AS is_last FROM p0), p2 AS (SELECT key, i, CASE WHEN i % 3 = 0 OR (is_last AND length(w) <= {c}) OR (NOT is_last AND length(w) < {2 * c + 2}) THEN w WHEN is_last THEN substr(w, 1, {c + 1}) || '$' ELSE substr(w, 1, {c}) || '$' || right(w, {c}) END AS piece FROM p1) SELECT key, md5(string_agg(piece, '' ORDER BY i)) AS md5, CAST(length(string_agg(piece, '' ORDER BY i)) AS INTEGER) AS n FROM p2 GROUP BY key")

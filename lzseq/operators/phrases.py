@@ -91,38 +91,49 @@ def kernel_limits(merged: DataFrame, context: int, edits: int = 0, hot: bool | N
     return rows.withColumn("k_end", F.col("k_start") + F.col("k_len")).drop("k_len")
 
 
-def kernel_pieces(limited: DataFrame, texts: DataFrame, context: int, edits: int = 0, separator: str = "$") -> DataFrame:
-    """limited with piece: the whole phrase, or its ends around separators. texts: (key, text), each of a bounded block."""
-    n, gap = F.col("len"), F.lit(separator * (edits + 1))
-    part = lambda start, size: F.substring("text", start + 1, F.lit(size) if isinstance(size, int) else size)
-    whole = part(F.col("text_start"), n.cast("int"))
-    short = F.when(F.col("is_last"), n <= context).otherwise(n < 2 * context + 2) | F.col("is_literal")
-    last = F.concat(part(F.col("text_start"), context + 1), gap)
-    inner = F.concat(part(F.col("text_start"), context), gap, part(F.col("text_end") - context, context))
-    return limited.join(texts, "key").withColumn("piece", F.when(short, whole).when(F.col("is_last"), last).otherwise(inner)).drop("text")
+def _cut(text: str, phrases: pa.StructArray, context: int, edits: int, separator: str) -> list[str]:
+    """The pieces of one text's phrases, in their order: the whole phrase, or its ends around separators."""
+    gap = separator * (edits + 1)
+    n, start, end, literal, last = (phrases.field(k).to_numpy(zero_copy_only=False) for k in ("len", "text_start", "text_end", "is_literal", "is_last"))
+    short = literal | np.where(last, n <= context, n < 2 * context + 2)
+    out = []
+    for a, b, whole, final in zip(start.tolist(), end.tolist(), short.tolist(), last.tolist()):
+        out.append(text[a:b] if whole else text[a : a + context + 1] + gap if final else text[a : a + context] + gap + text[b - context : b])
+    return out
 
 
-def kernels_of(limited: DataFrame, texts: DataFrame, context: int, edits: int = 0, separator: str = "$") -> DataFrame:
-    """(key, kernel): kernel_texts() of kernel_pieces(), each text joined once to its key's limits and cut in one row."""
+def _gathered(limited: DataFrame, texts: DataFrame, fields: list[str]) -> DataFrame:
+    """Each text beside its phrases in order, so that no other row carries it."""
     bounded_batches(texts.sparkSession)
-    fields = ("phrase_ix", "len", "text_start", "text_end", "is_literal", "is_last")
-    gathered = limited.groupBy("key").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("p"))
-    gap = separator * (edits + 1)
+    gathered = limited.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("phrase_ix", *(k for k in fields if k != "phrase_ix")))).alias("p"))
+    return texts.select("key", "text").join(gathered, "key")
+
+
+def kernel_pieces(limited: DataFrame, texts: DataFrame, context: int, edits: int = 0, separator: str = "$") -> DataFrame:
+    """limited with piece: the whole phrase, or its ends around separators. texts: (key, text), each of a bounded block, one for a key."""
+    types = dict(limited.dtypes)
+    fields = [k for k in limited.columns if k != "key"]
 
-    def kernel(text: str, phrases: pa.Array) -> str:
-        out = []
-        n, start, end, literal, last = (phrases.field(k).to_numpy(zero_copy_only=False) for k in fields[1:])
-        short = literal | np.where(last, n <= context, n < 2 * context + 2)
-        for a, b, whole, final in zip(start.tolist(), end.tolist(), short.tolist(), last.tolist()):
-            out.append(text[a:b] if whole else text[a : a + context + 1] + gap if final else text[a : a + context] + gap + text[b - context : b])
-        return "".join(out)
+    def run(batches):
+        for batch in batches:
+            for key, text, p in zip(batch.column("key"), batch.column("text"), batch.column("p")):
+                some = p.values
+                pieces = pa.array(_cut(text.as_py(), some, context, edits, separator), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.repeat(key, len(some)), *(some.field(k) for k in fields), pieces], names=["key", *fields, "piece"])
+
+    schema = ", ".join(f"`{k}` {types[k]}" for k in ["key", *fields]) + ", piece string"
+    return _gathered(limited, texts, fields).mapInArrow(run, schema).select(*limited.columns, "piece")
+
+
+def kernels_of(limited: DataFrame, texts: DataFrame, context: int, edits: int = 0, separator: str = "$") -> DataFrame:
+    """(key, kernel): kernel_texts() of kernel_pieces(), each text cut and put together in one row."""
 
     def run(batches):
         for batch in batches:
-            made = [kernel(text.as_py(), p.values) for text, p in zip(batch.column("text"), batch.column("p"))]
+            made = ["".join(_cut(text.as_py(), p.values, context, edits, separator)) for text, p in zip(batch.column("text"), batch.column("p"))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(made, pa.string())], names=["key", "kernel"])
 
-    return texts.select("key", "text").join(gathered, "key").mapInArrow(run, f"key {dict(limited.dtypes)['key']}, kernel string")
+    return _gathered(limited, texts, ["len", "text_start", "text_end", "is_literal", "is_last"]).mapInArrow(run, f"key {dict(limited.dtypes)['key']}, kernel string")
 
 
 def kernel_texts(pieces: DataFrame) -> DataFrame:

@@ -65,3 +65,18 @@ def test_letters_by_a_table_are_those_of_a_pattern(spark):
     plain = F.regexp_replace("text", "[^A-Za-z]", "")
     got = rows.select(C.as_bases(F.col("text")).alias("a"), F.translate(F.upper(plain), C.LETTERS, C.BASES).alias("b"), C.letters_and_breaks(F.col("text")).alias("c"), F.regexp_replace("text", "[^A-Za-z\n]", "").alias("d")).collect()
     assert all(r.a == r.b and r.c == r.d for r in got) and len(got) == 5
+
+
+def test_pieces_are_cut_in_their_texts_own_row(spark):
+    """A text beside each of its phrases is gone over from its start for each, which grows with the square of its length."""
+    text = "ACGTTGCAACGGTACA" * 40
+    limited = spark.range(64).select(F.lit("k").alias("key"), F.col("id").alias("phrase_ix"), F.lit(0).cast("bigint").alias("pos"), F.lit(10).cast("bigint").alias("len"), (F.col("id") % 3 == 0).alias("is_literal"), (F.col("id") * 10).alias("text_start"), (F.col("id") * 10 + 10).alias("text_end"), F.lit("s").alias("source"))
+    limited = phrases.kernel_limits(limited, 3)
+    texts = spark.createDataFrame([("k", text), ("other", text)], "key string, text string")
+    pieces = phrases.kernel_pieces(limited, texts, 3)
+    assert pieces.columns == [*limited.columns, "piece"]
+    rows = {r.phrase_ix: r for r in pieces.collect()}
+    assert len(rows) == 64 and all(r.source == "s" and r.k_end - r.k_start == len(r.piece) for r in rows.values())
+    assert rows[3].piece == text[30:40] and rows[4].piece == text[40:43] + "$" + text[47:50] and rows[63].piece == text[630:640]
+    for plan in (pieces, phrases.kernels_of(limited, texts, 3)):
+        assert "substring(text" not in plan._jdf.queryExecution().toString()
