@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import cigar_aligned, first_token, mapped, unmapped_record
-from ..functions.session import exists
+from ..functions.session import exists, shared_folder
 from .ranges import range_join
 
 SAM_FIELDS = ("qname", "flag", "rname", "pos", "mapq", "cigar", "rnext", "pnext", "tlen", "seq", "qual")
@@ -71,17 +71,20 @@ def fasta_metadata(lines: DataFrame) -> DataFrame:
     """
     from .chunks import prefix_sums
 
-    rows = lines.withColumn("is_header", F.startswith("value", F.lit(">")))
-    rows = prefix_sums(rows, "file", ["line_no"], {"at": (F.length("value") + 1).cast("bigint"), "_headers": F.col("is_header").cast("bigint")})
+    shared_folder(lines.sparkSession)
+    header = F.startswith("value", F.lit(">"))
+    # Lines are read once, and only their lengths and names sorted.
+    rows = lines.select("file", "line_no", header.alias("is_header"), F.length("value").cast("bigint").alias("_size"), F.when(header, first_token(F.substring("value", 2, 1 << 30))).alias("_name")).checkpoint()
+    rows = prefix_sums(rows, "file", ["line_no"], {"at": F.col("_size") + 1, "_headers": F.col("is_header").cast("bigint")})
     rows = rows.withColumn("seq_ix", F.col("_headers") + F.col("is_header").cast("bigint") - 1)
     body = ~F.col("is_header")
     out = rows.groupBy("file", "seq_ix").agg(
-        F.max(F.when(F.col("is_header"), first_token(F.substring("value", 2, 1 << 30)))).alias("name"),
-        F.coalesce(F.sum(F.when(body, F.length("value"))), F.lit(0)).cast("bigint").alias("length"),
+        F.max("_name").alias("name"),
+        F.coalesce(F.sum(F.when(body, F.col("_size"))), F.lit(0)).cast("bigint").alias("length"),
         F.max(F.when(F.col("is_header"), F.col("at"))).alias("header_sp"),
-        F.max(F.when(F.col("is_header"), F.col("at") + F.length("value"))).cast("bigint").alias("header_ep"),
+        F.max(F.when(F.col("is_header"), F.col("at") + F.col("_size"))).cast("bigint").alias("header_ep"),
         F.sum(body.cast("int")).alias("_lines"),
-        F.min_by(F.when(body, F.length("value")), F.when(body, F.col("line_no"))).cast("bigint").alias("_first"),
+        F.min_by(F.when(body, F.col("_size")), F.when(body, F.col("line_no"))).cast("bigint").alias("_first"),
     )
     return out.where("seq_ix >= 0").select("file", "seq_ix", "name", "length", "header_sp", "header_ep", F.when(F.col("_lines") > 1, F.col("_first")).alias("line_len"))
 
@@ -102,6 +105,8 @@ def merged_metadata(metadata: DataFrame) -> DataFrame:
 
     metadata has file_len as well. Rows (file, seq_ix, name, length, header_sp, header_ep) with numbers of the whole.
     """
+    shared_folder(metadata.sparkSession)
+    metadata = metadata.checkpoint()  # a row a sequence, gone over twice
     totals = metadata.groupBy("file").agg(F.max("file_len").alias("bytes"), F.count(F.lit(1)).alias("n"))
     w = Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     moved = totals.select("file", F.coalesce(F.sum("bytes").over(w), F.lit(0)).alias("by"), F.coalesce(F.sum("n").over(w), F.lit(0)).alias("by_ix"))
