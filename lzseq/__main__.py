@@ -42,7 +42,7 @@ def parser() -> argparse.ArgumentParser:
 def main(argv: list[str] | None = None) -> None:
     from lzseq.functions import columns as C
     from lzseq.functions.session import exists, shared_folder
-    from lzseq.operators import parses, phrases, records
+    from lzseq.operators import phrases, records
     from lzseq.plans import index, jobs
     from lzseq.sinks import writers
     from lzseq.sources import readers
@@ -103,7 +103,7 @@ def main(argv: list[str] | None = None) -> None:
         rows = readers.parse_files(spark, a.path, "u64").select(C.base_name(F.col("file")).alias("key"), "phrase_ix", C.low_32_bits(F.col("pos")).alias("pos"), C.low_32_bits(F.col("len")).alias("len"))
         writers.parse_files(rows, a.out, kind="u32").write.format("noop").mode("overwrite").save()
     elif a.command == "decode":
-        parses.decoded(readers.parse_files(spark, a.path, a.format), ["file"]).write.mode("overwrite").parquet(a.out)
+        readers.decoded_files(spark, a.path, a.format).write.mode("overwrite").parquet(a.out)
 
 
 if __name__ == "__main__":

@@ -57,7 +57,7 @@ def parses(phrases: DataFrame, key: str = "key", kind: str = "u64") -> DataFrame
     rows = phrases.groupBy(key).agg(ordered.alias("p"))
 
     def content(pos: pa.Array, length: pa.Array) -> pa.Array:
-        return pa.array([parse_bytes(p, n, kind) for p, n in zip(pos.to_pylist(), length.to_pylist())], pa.binary())
+        return pa.array([parse_bytes(p.values.to_numpy(), n.values.to_numpy(), kind) for p, n in zip(pos, length)], pa.binary())
 
     return rows.select(key, F.arrow_udf(content, "binary")(F.transform("p", lambda x: x["pos"]), F.transform("p", lambda x: x["len"])).alias("content"))
 

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import letters_only
-from ..operators import records
+from ..functions.session import BATCH_BYTES, bounded_batches
+from ..operators import kernels, records
 
 
 def lines(spark: SparkSession, path: str, glob: str | None = None) -> DataFrame:
@@ -112,22 +113,57 @@ def merged_parses(spark: SparkSession, path: str, kind: str = "u64", glob: str |
 
 def parse_files(spark: SparkSession, path: str, kind: str = "u64", glob: str | None = None) -> DataFrame:
     """(file, phrase_ix, pos, len) of binary parses: pairs of little-endian u64 or u32, or of variable-length integers (vbyte)."""
+    files, pairs_of = _parse_contents(spark, path, kind, glob)
+
+    def run(batches):
+        for batch in batches:
+            for r in range(batch.num_rows):
+                pairs = pairs_of(batch, r)
+                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("file")[r], len(pairs)), pa.array(np.arange(len(pairs))), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["file", "phrase_ix", "pos", "len"])
+
+    return files.mapInArrow(run, "file string, phrase_ix bigint, pos bigint, len bigint")
+
+
+def _parse_contents(spark: SparkSession, path: str, kind: str, glob: str | None):
+    """(file, content) of binary parses, and what gives the phrases of a batch's row."""
     if kind not in ("u64", "u32", "vbyte"):
         raise ValueError("kind is u64, u32 or vbyte")
     reader = spark.read.format("binaryFile")
     files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.col("path").alias("file"), "content")
+    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    files = files.coalesce(max(4 * spark.sparkContext.defaultParallelism, size // BATCH_BYTES + 1))  # a scan has a task for each 32 files, however small
+
+    def pairs_of(batch: pa.RecordBatch, r: int) -> np.ndarray:
+        data = batch.column("content")[r].as_py()
+        numbers = from_vbyte(data) if kind == "vbyte" else np.frombuffer(data, "<u8" if kind == "u64" else "<u4").astype(np.int64)
+        if len(numbers) % 2:
+            raise ValueError(f"{batch.column('file')[r].as_py()}: a phrase is cut")
+        return numbers.reshape(-1, 2)
+
+    return files, pairs_of
+
+
+def decoded_files(spark: SparkSession, path: str, kind: str = "u64", glob: str | None = None) -> DataFrame:
+    """(file, text) of binary parses whose sources are in their own text, as parses.decoded() of parse_files(): a file is read whole, and decoded where it is read. A file without phrases has no row."""
+    bounded_batches(spark)
+    files, pairs_of = _parse_contents(spark, path, kind, glob)
 
     def run(batches):
         for batch in batches:
+            names, texts, size = [], [], 0
             for r in range(batch.num_rows):
-                data = batch.column("content")[r].as_py()
-                numbers = from_vbyte(data) if kind == "vbyte" else np.frombuffer(data, "<u8" if kind == "u64" else "<u4").astype(np.int64)
-                if len(numbers) % 2:
-                    raise ValueError(f"{batch.column('file')[r].as_py()}: a phrase is cut")
-                pairs = numbers.reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays([pa.repeat(batch.column("file")[r], len(pairs)), pa.array(np.arange(len(pairs))), pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], names=["file", "phrase_ix", "pos", "len"])
+                pairs = pairs_of(batch, r)
+                if not len(pairs):
+                    continue
+                names.append(batch.column("file")[r].as_py())
+                texts.append(kernels.decode(pairs[:, 0].tolist(), pairs[:, 1].tolist()).decode("latin-1"))
+                size += len(texts[-1])
+                if size > BATCH_BYTES:
+                    yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["file", "text"])
+                    names, texts, size = [], [], 0
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["file", "text"])
 
-    return files.mapInArrow(run, "file string, phrase_ix bigint, pos bigint, len bigint")
+    return files.mapInArrow(run, "file string, text string")
 
 
 def from_vbyte(data: bytes) -> np.ndarray:
@@ -144,11 +180,14 @@ def from_vbyte(data: bytes) -> np.ndarray:
 
 
 def to_vbyte(numbers) -> bytes:
-    out = bytearray()
-    for n in numbers:
-        n = int(n)
-        while n > 127:
-            out.append(n & 0x7F)
-            n >>= 7
-        out.append(n | 0x80)
-    return bytes(out)
+    n = np.asarray(numbers, np.int64)
+    if len(n) and n.min() < 0:
+        raise ValueError("a number is negative")
+    size = np.ones(len(n), np.int64)
+    for k in range(1, 9):
+        size += n >= 1 << (7 * k)
+    ends = np.cumsum(size)
+    within = np.arange(int(size.sum())) - np.repeat(ends - size, size)
+    out = ((np.repeat(n, size) >> (7 * within)) & 0x7F).astype(np.uint8)
+    out[ends - 1] |= 0x80
+    return out.tobytes()
