@@ -100,7 +100,7 @@ PIECE = 4096
 def seed_places(texts: DataFrame, seeds: DataFrame, whole: str | None = None) -> DataFrame:
     """seeds (query_id, seed, ...) with key and pos of the places in texts (key, text) that have the seed's hash.
 
-    A join on hashes of all parts of the texts with a seed's length, a pass for each length. Only hashes come to it that
+    A join on hashes of all parts of the texts with a seed's length; texts are read once for all lengths. Only hashes come to it that
     pass a filter made of the seeds; its size follows their number, and with more than it has room for all hashes are
     joined. Neither seeds nor places go through the driver. Equal hashes of different parts are as good as none; whoever
     compares the texts sees that: for that, with whole (a column that begins with the seed), window has the text
@@ -115,8 +115,7 @@ def seed_places(texts: DataFrame, seeds: DataFrame, whole: str | None = None) ->
         return pa.array(np.array([kernels.window_hashes(x, len(x))[0] for x in batch.to_pylist()], np.uint64).view(np.int64))
 
     hashed = hashed.withColumn("h", of_seed("seed")).checkpoint()
-    out = None
-    longest = F.max(F.length(whole or "seed"))
+    longest, passes_of = F.max(F.length(whole or "seed")), []
     for size, count, reach in sorted(map(tuple, hashed.groupBy("size").agg(F.approx_count_distinct("h"), longest).collect())):
         some = hashed.where(F.col("size") == size)
         bits = min(MOST_BITS, max(LEAST_BITS, 1 << int(BITS_A_SEED * count).bit_length()))
@@ -125,15 +124,19 @@ def seed_places(texts: DataFrame, seeds: DataFrame, whole: str | None = None) ->
             words = some.groupBy(F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(h & 63 as int))")).alias("bits")).toArrow()
             passes = np.zeros(bits >> 6, np.int64)
             passes[words.column("word").to_numpy()] = words.column("bits").to_numpy()
-        shared = spark.sparkContext.broadcast(passes)
+        passes_of.append((size, bits, reach, spark.sparkContext.broadcast(passes)))
+    if not passes_of:
+        empty = ", ".join(f"`{k}` {t}" for k, t in [*seeds.dtypes, ("key", dict(texts.dtypes)["key"]), ("pos", "bigint"), *([("window", "string")] if whole else [])])
+        return spark.createDataFrame([], empty)
 
-        def run(batches, size=size, shared=shared, bits=bits, reach=reach):
-            known = None if shared.value is None else shared.value.view(np.uint64)
-            for batch in batches:
-                for part in parses._slices(batch, ["text"]):
+    def run(batches):
+        for batch in batches:
+            for part in parses._slices(batch, ["text"]):
+                texts_of = [t or "" for t in part.column("text").to_pylist()]
+                for size, bits, reach, shared in passes_of:
+                    known = None if shared.value is None else shared.value.view(np.uint64)
                     found, said = [], []
-                    for t in part.column("text").to_pylist():
-                        t = t or ""
+                    for t in texts_of:
                         h = kernels.window_hashes(t, size)
                         if known is None:
                             pos = np.arange(len(h))
@@ -143,16 +146,12 @@ def seed_places(texts: DataFrame, seeds: DataFrame, whole: str | None = None) ->
                         found.append((h[pos].view(np.int64), pos))
                         if whole:
                             said += [t[p : p + reach] for p in pos.tolist()]
-                    rows = parses._batch({"key": part.column("key")}, [len(x[1]) for x in found], {"h": [x[0] for x in found], "pos": [x[1] for x in found]})
+                    counts = [len(x[1]) for x in found]
+                    rows = parses._batch({"key": part.column("key")}, counts, {"size": [np.full(n, size, np.int32) for n in counts], "h": [x[0] for x in found], "pos": [x[1] for x in found]})
                     yield rows.append_column("window", pa.array(said, pa.string())) if whole else rows
 
-        places = spread(texts.select("key", "text")).mapInArrow(run, f"key {dict(texts.dtypes)['key']}, h bigint, pos bigint" + ", window string" * bool(whole))
-        rows = some.join(places, "h").drop("h", "size")
-        out = rows if out is None else out.unionByName(rows)
-    if out is None:
-        empty = ", ".join(f"`{k}` {t}" for k, t in [*seeds.dtypes, ("key", dict(texts.dtypes)["key"]), ("pos", "bigint"), *([("window", "string")] if whole else [])])
-        return spark.createDataFrame([], empty)
-    return out
+    places = spread(texts.select("key", "text")).mapInArrow(run, f"key {dict(texts.dtypes)['key']}, size int, h bigint, pos bigint" + ", window string" * bool(whole))
+    return hashed.join(places, ["size", "h"]).drop("size", "h")
 
 
 #: Texts with candidates whose pieces' numbers are sent to them, so that only these are cut; with more numbers, all are.
