@@ -121,10 +121,19 @@ BLOCK, BLOCK_BYTES = 512, 32 << 20
 STAND = 2
 #: Up to so many ids are broadcast to a scan of the documents (16 MB); beyond it, that join shuffles.
 BROADCAST_IDS = 2_000_000
+#: Up to so many edges are connected in one task (two numbers each); more are contracted over all tasks until so few are left.
+FEW_EDGES = 50_000
+#: Rows of a task: a table of few rows isn't dealt over as many tasks as a shuffle of any size has. Those compared cost more.
+TASK_ROWS, COMPARED_ROWS = 20_000, 1_000
 #: Labels of up to so many keys are broadcast to any rows (some 3 MB); of more keys, those of keys with so many rows are.
 BROADCAST_LABELS, HOT_ROWS = 50_000, 100_000
 
 
+def packed(rows: DataFrame, n: int, per_task: int = TASK_ROWS) -> DataFrame:
+    """rows, some n of them, in fewer partitions where there are more than n rows and the cores need. Partitions are put together whole."""
+    return rows.coalesce(max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // per_task)))
+
+
 def forest(size: int, near) -> list[tuple[int, int]]:
     """Edges that connect 0 .. size-1 as near does. near(i, others) tells which of the others are near to i; what is connected already isn't asked again."""
     out, left = [], np.ones(size, bool)
@@ -208,15 +217,20 @@ def linked(sets: list[np.ndarray], columns: int = 1 << 12) -> np.ndarray:
 FEW, AT_ONCE = 8, 2048
 
 
+def by_task(dealt: DataFrame, data: list[str], n: int) -> DataFrame:
+    """What compared() takes of dealt, some n rows: those of one task (group, lo, hi) together, by id."""
+    keys = ["group", "lo", "hi"]
+    return packed(dealt.select(*keys, "id", "side", "part", *data).repartition(*keys).sortWithinPartitions(*keys, "id"), n, COMPARED_ROWS)
+
+
 def compared(dealt: DataFrame, data: list[str], kind) -> DataFrame:
     """Edges (a, b) that connect what is near within each task (group, lo, hi), and the ids that stand for it (grp, a).
 
-    dealt has group, lo, hi, id, side, part, data. Pairs of one part, and of one side (0 or 1; -1 is with all), aren't
+    dealt has group, lo, hi, id, side, part, data, as by_task() gives them. Pairs of one part, and of one side (0 or 1; -1 is with all), aren't
     looked at. kind (Sketches or FullSets) is made of the data columns. Rows come by id, so most edges lead to a group's
     smallest ids and are the same from group to group.
     """
-    keys, given = ["group", "lo", "hi"], len(data)
-    dealt = dealt.select(*keys, "id", "side", "part", *data).repartition(*keys).sortWithinPartitions(*keys, "id")
+    given = len(data)
 
     def run(batches):
         def groups():
@@ -298,8 +312,8 @@ def with_labels(rows: DataFrame, labels: DataFrame, on: list[str], how: str = "i
     return rows.join(hot, on, "left_anti").join(labels, on, how).unionByName(rows.join(hot, on, "left_semi").join(F.broadcast(labels.join(hot, on, "left_semi")), on, how))
 
 
-def by_blocks(members: DataFrame, large: DataFrame | None, fetch, data: list[str], kind) -> DataFrame:
-    """Edges (a, b) that connect what is near within each group of members (group, id, blocks).
+def by_blocks(members: DataFrame, n: int, large: DataFrame | None, fetch, data: list[str], kind) -> DataFrame:
+    """Edges (a, b) that connect what is near within each group of members (group, id, blocks), which has n rows.
 
     large has the members of groups of several blocks; fetch adds the data columns to rows with ids. A group of one block
     is one task. A larger one takes three steps: each block by itself; members that stand for the blocks with each other,
@@ -308,51 +322,62 @@ def by_blocks(members: DataFrame, large: DataFrame | None, fetch, data: list[str
     """
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
     none = F.lit(-1)
-    first = compared(fetch(members.select("group", "id", own.alias("lo"), own.alias("hi"), none.alias("side"), F.col("id").alias("part"))), data, kind)
+    first = compared(by_task(fetch(members.select("group", "id", own.alias("lo"), own.alias("hi"), none.alias("side"), F.col("id").alias("part"))), data, n), data, kind)
     links = lambda found: found.where("a < b").select("a", "b")
     if large is None:
-        return links(first).distinct().checkpoint()
+        return packed(links(first).distinct(), n).checkpoint()
     first = first.checkpoint()
-    held = fetch(large.select("group", "id", "blocks")).checkpoint()
-    stands = first.where("grp is not null").select(F.col("grp").alias("group"), F.col("a").alias("id")).join(F.broadcast(large.select("group").distinct()), "group", "left_semi").distinct().checkpoint()
-    stands = with_labels(stands, stands.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")).checkpoint(), ["group"])
-    dealt = held.drop("blocks").join(F.broadcast(stands) if stands.count() <= BROADCAST_IDS else stands, ["group", "id"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
-    second = links(compared(dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": none, "part": F.col("id")}), data, kind))
-    edges = links(first).unionByName(second).distinct().checkpoint()
-
-    ids = held.select("id").distinct().checkpoint()
+    n_large = large.count()
+    held = packed(fetch(large.select("group", "id", "blocks")), n_large, COMPARED_ROWS).checkpoint()
+    stands = first.where("grp is not null").select(F.col("grp").alias("group"), F.col("a").alias("id")).join(F.broadcast(large.select("group").distinct()), "group", "left_semi").distinct()
+    stands = packed(stands, n_large).checkpoint()
+    stands = with_labels(stands, packed(stands.groupBy("group").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), n_large).checkpoint(), ["group"])
+    n_stands, n_second = stands.agg(F.count(F.lit(1)), F.coalesce(F.sum("blocks"), F.lit(0))).first()
+    dealt = held.drop("blocks").join(F.broadcast(stands) if n_stands <= BROADCAST_IDS else stands, ["group", "id"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)))
+    second = links(compared(by_task(dealt.withColumns({"lo": F.least("own", "other"), "hi": F.greatest("own", "other"), "side": none, "part": F.col("id")}), data, n_second), data, kind))
+    edges = packed(links(first).unionByName(second).distinct(), n).checkpoint()
+
+    ids = packed(held.select("id").distinct(), n_large).checkpoint()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
-    among = edges.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b")
-    parts = held.select("group", "id").join(components(among), "id", "left").select("group", "id", F.coalesce("component", "id").alias("part")).checkpoint()
-    counts = parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n"))
-    main = counts.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("beside")).where("beside > 0").withColumn("seats", F.ceil(F.col("beside") / F.lit(BLOCK))).checkpoint()
-    if main.isEmpty():
+    among = edges.join(ids.select(F.col("id").alias("a")), "a", "left_semi").join(ids.select(F.col("id").alias("b")), "b", "left_semi").select("a", "b").checkpoint()
+    parts = held.select("group", "id").join(components(among), "id", "left").select("group", "id", F.coalesce("component", "id").alias("part"))
+    parts = packed(parts, n_large).checkpoint()
+    counts = packed(parts.groupBy("group", "part").agg(F.count(F.lit(1)).alias("n")), n_large)
+    main = counts.groupBy("group").agg(F.max_by("part", F.struct("n", "part")).alias("main"), (F.sum("n") - F.max("n")).alias("beside"), F.sum("n").alias("members")).where("beside > 0").withColumn("seats", F.ceil(F.col("beside") / F.lit(BLOCK)))
+    main = packed(main, n_large).checkpoint()
+    n_third = main.agg(F.sum(F.col("members") * F.col("seats") + F.col("beside") * F.ceil(F.col("members") / F.lit(BLOCK)))).first()[0]
+    if n_third is None:
         return edges
+    main = main.drop("members")
     rows = held.join(with_labels(parts, main, ["group"]), ["group", "id"])
     to = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1))
     residents = rows.withColumn("lo", own).withColumn("hi", to("seats")).withColumn("side", F.lit(0))
     visitors = rows.where("part <> main").withColumn("hi", F.pmod(F.xxhash64("id", F.lit(1)), F.col("seats"))).withColumn("lo", to("blocks")).withColumn("side", F.lit(1))
-    third = links(compared(residents.unionByName(visitors), data, kind))
-    return edges.unionByName(third).distinct().checkpoint()
+    third = links(compared(by_task(residents.unionByName(visitors), data, n_third), data, kind))
+    return packed(edges.unionByName(third).distinct(), n).checkpoint()
 
 
 def candidate_links(classes: DataFrame) -> DataFrame:
     """Edges that connect all classes (id, n, registers) which share a band and are likely links."""
+    n_banded = BANDS * classes.count()
     width = 2 * ROWS
     keys = F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("registers", 1 + i * width, F.lit(width))))
     banded = classes.select("id", F.explode(keys).alias("group"))
-    shared = banded.groupBy("group").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("group", F.ceil(F.col("size") / BLOCK).alias("blocks")).checkpoint()
+    shared = packed(banded.groupBy("group").agg(F.count(F.lit(1)).alias("size")), n_banded).where("size > 1").select("group", "size", F.ceil(F.col("size") / BLOCK).alias("blocks")).checkpoint()
+    n = shared.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    shared = shared.drop("size")
     members = with_labels(banded, shared, ["group"], hot=shared.where(F.col("blocks") > HOT_ROWS // BLOCK).select("group"))
     hot = shared.where("blocks > 1")
     large = with_labels(banded, hot, ["group"]).checkpoint() if not hot.isEmpty() else None
-    return by_blocks(members, large, lambda rows: rows.join(classes.select("id", "n", "registers"), "id"), ["n", "registers"], Sketches)
+    return by_blocks(members, n, large, lambda rows: rows.join(classes.select("id", "n", "registers"), "id"), ["n", "registers"], Sketches)
 
 
 def confirmed_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, words: int) -> DataFrame:
     """Edges that connect all links within the groups (id, component), counted on the full sets of the documents with these ids."""
     groups = groups.join(classes.select("id", "n"), "id")
     blocks = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(BLOCK), 8 * F.sum("n") / F.lit(BLOCK_BYTES)))
-    members = with_labels(groups, groups.groupBy("component").agg(blocks.alias("blocks")).checkpoint(), ["component"]).select(F.col("component").alias("group"), "id", "blocks").checkpoint()
+    n = groups.count()
+    members = with_labels(groups, packed(groups.groupBy("component").agg(blocks.alias("blocks")), n).checkpoint(), ["component"]).select(F.col("component").alias("group"), "id", "blocks").checkpoint()
     texts = docs.select(F.col("doc_id").cast("bigint").alias("_id"), "text")
 
     def fetch(rows: DataFrame) -> DataFrame:
@@ -370,15 +395,15 @@ def confirmed_links(groups: DataFrame, classes: DataFrame, docs: DataFrame, word
         return texts.join(placed, texts["_id"] == placed["id"]).select(*names, "text").mapInArrow(run, f"{schema}, elements binary")
 
     large = members.where("blocks > 1")
-    return by_blocks(members, None if large.isEmpty() else large, fetch, ["elements"], FullSets)
+    return by_blocks(members, n, None if large.isEmpty() else large, fetch, ["elements"], FullSets)
 
 
 def components(links: DataFrame) -> DataFrame:
     """id and component (the smallest id reachable) of every end of the links (a, b).
 
     Each round hooks every node to the smallest of itself and its neighbours, follows the hooks twice and contracts the
-    links to those between different hooks, until none is left. Minima are combined before they are shuffled, so a node
-    with many links costs no task more, and the links left shrink fast.
+    links to those between different hooks, until FEW_EDGES are left, which are connected in one task. Minima are
+    combined before they are shuffled, so a node with many links costs no task more, and the links left shrink fast.
     """
     spark = links.sparkSession
     folder, n = f"{shared_folder(spark)}/components-{uuid.uuid4().hex}", 0
@@ -392,7 +417,7 @@ def components(links: DataFrame) -> DataFrame:
 
     edges = links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     labels = None
-    while True:
+    while edges.count() > FEW_EDGES:
         both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         hooks = both.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("low")).select("id", F.least("id", "low").alias("hook")).checkpoint()
         for _ in range(2):
@@ -404,9 +429,33 @@ def components(links: DataFrame) -> DataFrame:
         edges = with_labels(edges, hooks.select(F.col("id").alias("a"), F.col("hook").alias("x")), ["a"])
         edges = with_labels(edges, hooks.select(F.col("id").alias("b"), F.col("hook").alias("y")), ["b"])
         edges = kept(edges.where("x <> y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct())
-        if edges.isEmpty():
-            remove(spark, folder)
-            return labels
+    last = connected(edges).checkpoint()
+    if labels is None:
+        return last
+    labels = with_labels(labels, last.select(F.col("id").alias("component"), F.col("component").alias("hook")), ["component"], "left").select("id", F.coalesce("hook", "component").alias("component")).checkpoint()
+    remove(spark, folder)
+    return labels
+
+
+def connected(edges: DataFrame) -> DataFrame:
+    """components() of few edges, in one task."""
+
+    def run(batches):
+        parts = [np.stack([batch.column(0).to_numpy(), batch.column(1).to_numpy()]) for batch in batches]
+        if not parts:
+            return
+        ids, ends = np.unique(np.concatenate(parts, axis=1), return_inverse=True)
+        a, b = ends.reshape(2, -1)
+        root = np.arange(len(ids))
+        while len(a):
+            np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+            while (root[root] != root).any():
+                root = root[root]
+            a, b = root[a], root[b]
+            a, b = a[a != b], b[a != b]
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(ids[root])], names=["id", "component"])
+
+    return edges.select("a", "b").coalesce(1).mapInArrow(run, "id bigint, component bigint")
 
 
 def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
@@ -420,9 +469,12 @@ def near_duplicates(docs: DataFrame, words: int = 2) -> DataFrame:
     shared_folder(docs.sparkSession)
     bounded_batches(docs.sparkSession)
     rows = sketched(docs, words).checkpoint()
-    classes = rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies")).checkpoint()
+    n = rows.count()
+    classes = rows.where("d1 is not null and doc_id is not null").groupBy("d1", "d2").agg(F.min("doc_id").alias("id"), F.first("n_shingles").alias("n"), F.first("registers").alias("registers"), F.count(F.lit(1)).alias("copies"))
+    classes = packed(classes, n).checkpoint()
     labels = components(confirmed_links(components(candidate_links(classes)), classes, docs, words))
-    by_class = classes.join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component")).checkpoint()
+    by_class = classes.join(labels, "id", "left").select("d1", "d2", F.coalesce("component", "id").alias("component"))
+    by_class = packed(by_class, n).checkpoint()
     return with_labels(rows.select("doc_id", "n_shingles", "d1", "d2"), by_class, ["d1", "d2"], "left", classes.where(F.col("copies") > HOT_ROWS).select("d1", "d2")).select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
