@@ -197,6 +197,8 @@ def _gathered(phrases: DataFrame, keys: list[str]) -> DataFrame:
 
 #: Characters of the pieces that dictionaries are cut into, each of which a copy is found in by going over the characters before it, and of the parts that texts are put together in.
 DICTIONARY_PIECE, TEXT_PART = 256, 262_144
+#: Characters of a dictionary that a task holds whole (four bytes each), and in whose rows it gets there; of phrases that go to a task with their dictionary.
+HELD_DICTIONARY, DICTIONARY_ROW, BLOCK_PHRASES = 16 << 20, 1 << 20, 2_000_000
 
 
 def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:
@@ -209,25 +211,152 @@ def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, id
 def decoded_parts(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:
     """(group, ids, part, text): the texts of decoded_by_group() in parts of about TEXT_PART characters, in the order of part.
 
-    A dictionary is cut into pieces and a phrase at their borders, so that one meets the other in a join; a dictionary of
-    any size is many rows, and so is a parse. Symbols of literals are characters up to U+00FF.
+    Phrases that follow each other are one row (phrase_runs). A group is dealt into blocks of about BLOCK_PHRASES by
+    its parses, and its dictionary goes to each block ahead of them. Dictionaries beyond HELD_DICTIONARY are cut into pieces and a phrase
+    at their borders, so that one meets the other in a join; a dictionary of any size is many rows, and so is a parse.
+    Symbols of literals are characters up to U+00FF.
     """
+    spark, folder = phrases.sparkSession, f"{shared_folder(phrases.sparkSession)}/decoded-{uuid.uuid4().hex}"
+    phrase_runs(phrases, group, ids).write.parquet(folder)  # parsed once
+    runs, dictionaries = spark.read.parquet(folder), dictionaries.select(group, "dictionary").checkpoint()
+    large = dictionaries.where(F.length("dictionary") > HELD_DICTIONARY)
+    if large.isEmpty():
+        return _decoded_by_task(runs, dictionaries, group, ids)
+    names = large.select(group).distinct()
+    rows = runs.join(names, group, "left_semi").select(group, *ids, "first_ix", F.posexplode(F.arrays_zip("pos", "len")).alias("_k", "_x")).select(group, *ids, (F.col("first_ix") + F.col("_k")).alias("phrase_ix"), "_x.pos", "_x.len")
+    return _decoded_by_task(runs.join(names, group, "left_anti"), dictionaries.join(names, group, "left_anti"), group, ids).unionByName(_decoded_by_pieces(rows, large, group, ids))
+
+
+def phrase_runs(phrases: DataFrame, group: str, ids: list[str]) -> DataFrame:
+    """(group, ids, first_ix, pos, len): phrases of a parse that come after each other and are numbered so, in one row; arrays. Phrases without a number, a place or a length have none."""
+    keys, types = [group, *ids], dict(phrases.dtypes)
+
+    def run(batches):
+        for batch in batches:
+            codes = [batch.column(k).dictionary_encode(null_encoding="encode").indices.to_numpy() for k in range(len(keys))]
+            ix = batch.column(len(keys)).to_numpy()
+            new = np.append(True, ix[1:] != ix[:-1] + 1)
+            for c in codes:
+                new[1:] |= c[1:] != c[:-1]
+            first = np.flatnonzero(new)
+            offsets = pa.array(np.append(first, batch.num_rows), pa.int32())
+            lists = [pa.ListArray.from_arrays(offsets, batch.column(len(keys) + k)) for k in (1, 2)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(first)) for k in range(len(keys))), pa.array(ix[first]), *lists], names=[*keys, "first_ix", "pos", "len"])
+
+    bounded_batches(phrases.sparkSession)
+    numbers = [F.col(k).cast("bigint").alias(k) for k in ("phrase_ix", "pos", "len")]
+    rows = phrases.where("phrase_ix is not null and pos is not null and len >= 0").select(*keys, *numbers)
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", first_ix bigint, pos array<bigint>, len array<bigint>")
+
+
+def said(symbols: np.ndarray, pos: np.ndarray, length: np.ndarray, most: int):
+    """The characters of phrases, up to most at a time. symbols has a dictionary's characters and then the 256 of literals."""
+    n = len(symbols) - 256
+    literal, start = length == 0, np.clip(pos, 0, n)
+    size = np.where(literal, pos >= 0, np.clip(pos + length, 0, n) - start)
+    start = np.where(literal, n + (pos & 255), start)
+    ends = np.cumsum(size)
+    if len(ends) and ends[-1] <= most:
+        yield symbols[np.arange(ends[-1]) + np.repeat(start - ends + size, size)]
+        return
+    for x, k in zip(start.tolist(), size.tolist()):
+        for at in range(x, x + k, most):
+            yield symbols[at : min(at + most, x + k)]
+
+
+def _decoded_by_task(runs: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:
+    """decoded_parts() of phrase_runs() whose dictionaries a task can hold."""
+    from .chunks import pieces
+
+    bounded_batches(runs.sparkSession)
+    types = dict(runs.dtypes)
+    totals = runs.groupBy(group).agg(F.ceil(F.sum(F.size("pos")) / BLOCK_PHRASES).alias("blocks")).checkpoint()
+    block = F.pmod(F.xxhash64(*ids), F.col("blocks")).alias("block")
+    dealt = runs.join(totals.withColumnRenamed(group, "_group"), F.col(group).eqNullSafe(F.col("_group"))).select(group, block, F.lit(1).alias("kind"), *ids, "first_ix", "pos", "len", F.lit(None).cast("string").alias("piece"))
+    cut = pieces(dictionaries.select(F.col(group).alias("key"), F.col("dictionary").alias("text")), DICTIONARY_ROW).withColumnRenamed("key", group)
+    none = F.lit(None).cast("array<bigint>")
+    heads = cut.join(totals, group).select(group, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), F.lit(0).alias("kind"), *(F.lit(None).cast(types[k]).alias(k) for k in ids), F.col("piece_ix").alias("first_ix"), none.alias("pos"), none.alias("len"), "piece")
+    rows = dealt.unionByName(heads).repartition(group, "block").sortWithinPartitions(group, "block", "kind", *ids, "first_ix")
+    names, most = [group, *ids], TEXT_PART
+
+    def text(parts: list[np.ndarray]) -> str:
+        return np.concatenate(parts).tobytes().decode("utf-32-le", "surrogatepass")
+
+    def run(batches):
+        literals = np.arange(256, dtype=np.uint32)
+        at, symbols, key, part, held, n = None, literals, None, 0, [], 0
+        out: list[tuple] = []
+        size = 0
+
+        def made():
+            nonlocal out, size
+            columns = [pa.array([k[j] for k, _, _ in out], schema[j]) for j in range(len(names))]
+            rows = pa.RecordBatch.from_arrays([*columns, pa.array([x for _, x, _ in out], pa.int64()), pa.array([t for _, _, t in out], pa.string())], names=[*names, "part", "text"])
+            out, size = [], 0
+            return rows
+
+        for batch in batches:
+            column = {k: batch.column(j) for j, k in enumerate(batch.schema.names)}
+            schema = [column[k].type for k in names]
+            keys, places = list(zip(*(column[k].to_pylist() for k in names))), list(zip(column[group].to_pylist(), column["block"].to_pylist()))
+            kinds = column["kind"].to_pylist()
+            offsets = column["pos"].offsets.to_numpy().tolist()
+            pos, length = (column[k].values.to_numpy() for k in ("pos", "len"))
+            for r in range(batch.num_rows):
+                if places[r] != at:
+                    at, symbols = places[r], literals
+                if not kinds[r]:
+                    piece = np.frombuffer(column["piece"][r].as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
+                    symbols = np.concatenate([symbols[:-256], piece, literals])
+                    continue
+                if keys[r] != key:
+                    if n:
+                        out.append((key, part, text(held)))
+                        size += n
+                    key, part, held, n = keys[r], 0, [], 0
+                for x in said(symbols, pos[offsets[r] : offsets[r + 1]], length[offsets[r] : offsets[r + 1]], most):
+                    held.append(x)
+                    n += len(x)
+                    if n > most:  # a part at most, as said() gives no more than one at a time
+                        whole = np.concatenate(held)
+                        out.append((key, part, text([whole[:most]])))
+                        size += most
+                        part, held, n = part + 1, [whole[most:]], n - most
+                    if size >= 16 * most:
+                        yield made()
+            if len(out) >= 2_000:
+                yield made()
+        if n:
+            out.append((key, part, text(held)))
+        if out:
+            yield made()
+
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in names) + ", part bigint, text string")
+
+
+#: Numbers below 0 that literals have in place of a piece's, so that they are spread where the join shuffles.
+NO_PIECE = 4096
+
+
+def _decoded_by_pieces(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:
+    """decoded_parts() of phrases by a join with pieces of dictionaries of any size. Rows are dealt by parses for the sums, and stay so for the texts where pieces can be broadcast."""
     from .chunks import pieces
     from .phrases import effective, running
 
-    spark, folder = phrases.sparkSession, f"{shared_folder(phrases.sparkSession)}/decoded-{uuid.uuid4().hex}"
-    phrases.withColumn("_key", F.struct(group, *ids)).write.parquet(folder)  # parsed once
-    rows = running(spark.read.parquet(folder), {"_at": effective(F.col("len"))}, key="_key")
+    rows = running(phrases.withColumn("_key", F.struct(group, *ids)), {"_at": effective(F.col("len"))}, key="_key")
     part = F.floor(F.col("_at") / TEXT_PART).alias("part")
-    literals = rows.where("len = 0").select(group, *ids, part, "phrase_ix", F.lit(0).cast("bigint").alias("piece_ix"), F.chr("pos").alias("said"))
+    literal = F.col("len") <= 0
     first, last = F.floor(F.col("pos") / DICTIONARY_PIECE), F.floor((F.col("pos") + F.col("len") - 1) / DICTIONARY_PIECE)
-    copies = rows.where("len > 0").select(group, *ids, part, "phrase_ix", "pos", "len", F.explode(F.sequence(first, last)).alias("piece_ix"))
-    cut = pieces(dictionaries.select(F.col(group).alias("key"), F.col("dictionary").alias("text")), DICTIONARY_PIECE).withColumnRenamed("key", group)
+    asked = F.when(literal, F.array(-1 - F.pmod("phrase_ix", F.lit(NO_PIECE)))).otherwise(F.sequence(first, last))
+    asked = rows.where("len >= 0").select("_key", F.col(group).alias("_group"), part, "phrase_ix", "pos", "len", F.explode(asked).alias("piece_ix"))
+    cut = pieces(dictionaries.select(F.col(group).alias("key"), F.col("dictionary").alias("text")), DICTIONARY_PIECE).withColumnRenamed("key", "_group")
     start = F.greatest(F.col("pos") - F.col("piece_ix") * DICTIONARY_PIECE, F.lit(0))
     end = F.least(F.col("pos") + F.col("len") - F.col("piece_ix") * DICTIONARY_PIECE, F.lit(DICTIONARY_PIECE))
-    said = copies.join(cut, [group, "piece_ix"]).select(group, *ids, "part", "phrase_ix", "piece_ix", F.substring("piece", (start + 1).cast("int"), (end - start).cast("int")).alias("said"))
+    copied = F.substring("piece", (start + 1).cast("int"), (end - start).cast("int"))
+    found = asked.join(cut, ["_group", "piece_ix"], "left").select("_key", "part", "phrase_ix", "piece_ix", F.when(literal, F.chr("pos")).otherwise(copied).alias("said")).where("said is not null")
     ordered = F.array_sort(F.collect_list(F.struct("phrase_ix", "piece_ix", "said")))
-    return literals.unionByName(said).groupBy(group, *ids, "part").agg(F.array_join(F.transform(ordered, lambda x: x["said"]), "").alias("text"))
+    texts = found.groupBy("_key", "part").agg(F.array_join(F.transform(ordered, lambda x: x["said"]), "").alias("text"))
+    return texts.select(*(F.col(f"_key.{k}").alias(k) for k in (group, *ids)), "part", "text")
 
 
 def decoded_by_rounds(phrases: DataFrame, most_rounds: int = 64) -> DataFrame:
