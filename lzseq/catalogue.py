@@ -151,12 +151,12 @@ def entries() -> dict:
     def texts_of(s, d):
         return seqs(s, d).select(F.col("seq_id").alias("key"), F.col("seq").alias("text"))
 
-    def relative(s, d):
+    def relative(s, d, runs=False):
         g = grouped(s, d).select("groupname", "seq_id", "header", "seq")
-        return jobs.compress_taxa(g)
+        return jobs.compress_taxa(g, runs=runs)
 
     def rlz_decode(s, d):
-        p, texts = relative(s, d)
+        p, texts = relative(s, d, runs=True)
         return parses.decoded_by_group(p, texts, "groupname", ["seq_id"]).select("seq_id", _digest("text").alias("md5"))
 
     full = f"WITH {_SEQS} SELECT seq_id, md5(seq) AS md5 FROM seqs WHERE length(seq) > 0"

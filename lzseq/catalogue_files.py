@@ -145,7 +145,7 @@ SELECT key, row_number() OVER w - 1 AS seq_ix, seq_id, length, (sum(length) OVER
         rows = T.seqs(s, d).where(F.length("seq") >= T._CHUNKS).select(F.concat(F.lit("-"), F.col("seq"), F.lit("--")).alias("value"))
 
         def read(f):
-            found, texts = jobs.compress_stripes(jobs.aligned_sequences(s, f), T._CHUNKS, 3)
+            found, texts = jobs.compress_stripes(jobs.aligned_sequences(s, f), T._CHUNKS, 3, runs=True)
             parts = parses.decoded_by_group(found, texts, "chunk_ix", ["seq_id"])
             whole = parts.groupBy("seq_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_ix", "text"))), lambda x: x["text"]), "").alias("text"))
             return whole.select(_md5("text").alias("md5"))
@@ -157,7 +157,7 @@ SELECT key, row_number() OVER w - 1 AS seq_ix, seq_id, length, (sum(length) OVER
     def compress_taxa(s, d):
         def read(f):
             rows = jobs.fasta_sequences(s, f)
-            found, texts = jobs.compress_taxa(rows)
+            found, texts = jobs.compress_taxa(rows, runs=True)
             return parses.decoded_by_group(found, texts, "groupname", ["seq_id"]).join(rows.select("seq_id", "header"), "seq_id").select("header", _md5("text").alias("md5"))
 
         return in_files(s, lambda f: fasta_of(T.seqs(s, d), f), read)

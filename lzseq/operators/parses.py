@@ -82,6 +82,7 @@ def _batch(columns: dict[str, pa.Array], counts: list[int], found: dict[str, lis
 
 #: What a parse gives of each phrase, and what it gives where short ones are merged.
 PHRASE = "phrase_ix bigint, pos bigint, len bigint"
+RUN = "first_ix bigint, pos array<bigint>, len array<bigint>"
 MERGED = f"{PHRASE}, is_literal boolean, text_start bigint, text_end bigint"
 
 
@@ -92,6 +93,21 @@ def _rows(columns: dict[str, pa.Array], found: list[kernels.Phrases], context: i
     return _batch(columns, [len(x["pos"]) for x in cells], {k: [x[k] for x in cells] for k in names})
 
 
+#: Phrases of a row where those that follow each other share one.
+RUN_PHRASES = 16_384
+
+
+def _runs(columns: dict[str, pa.Array], found: list[kernels.Phrases], most: int) -> pa.RecordBatch:
+    """The phrases found for each row beside its columns, as phrase_runs() has them, up to most in a row."""
+    sizes = np.array([len(pos) for pos, _ in found], np.int64)
+    first = [np.arange(0, n, most) for n in sizes.tolist()]
+    begin = np.cumsum(sizes) - sizes
+    offsets = pa.array(np.append(np.concatenate([f + b for f, b in zip(first, begin)]), sizes.sum()), pa.int32())
+    at = pa.array(np.repeat(np.arange(len(found)), [len(f) for f in first]))
+    lists = [pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([x[k] for x in found]), pa.int64())) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays([*(c.take(at) for c in columns.values()), pa.array(np.concatenate(first), pa.int64()), *lists], names=[*columns, "first_ix", "pos", "len"])
+
+
 def _phrases(rows: DataFrame, parse, keys: list[str], columns: list[str], most: int, context: int | None = None) -> DataFrame:
     types = dict(rows.dtypes)
     schema = ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {PHRASE if context is None else MERGED}"
@@ -140,8 +156,8 @@ def rlz_phrases(rows: DataFrame, keys: list[str], leftmost: bool = True) -> Data
     return _phrases(rows, lambda *pairs: [parse(*x) for x in zip(*pairs)], keys, ["seq", "dictionary"], 4 * BLOCK_CHARS)
 
 
-def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], leftmost: bool = True, block_chars: int = GROUP_CHARS, context: int | None = None) -> DataFrame:
-    """(group, ids, phrase_ix, pos, len) of sequences relative to their group's dictionary (group, dictionary); with a context, short phrases of a sequence are merged as phrases.merge_short() does it.
+def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], leftmost: bool = True, block_chars: int = GROUP_CHARS, context: int | None = None, runs: bool = False) -> DataFrame:
+    """(group, ids, phrase_ix, pos, len) of sequences relative to their group's dictionary (group, dictionary); with a context, short phrases of a sequence are merged as phrases.merge_short() does it. runs: as phrase_runs() has them instead.
 
     A group is dealt into blocks of about block_chars characters; its dictionary goes to each block once, ahead of the
     block's sequences, and its suffix array is made once a block. ids has seq_id. Groups without a dictionary are all literals.
@@ -154,7 +170,8 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
     blocks = dealt.select(group, "block").distinct()
     heads = blocks.join(dictionaries.select(group, "dictionary"), group).select(group, "block", F.lit(0).alias("kind"), *(F.lit(None).cast(types[k]).alias(k) for k in ids), F.col("dictionary").alias("seq"))
     rows = dealt.unionByName(heads).repartition(group, "block").sortWithinPartitions(group, "block", "kind")
-    schema = ", ".join(f"`{k}` {types[k]}" for k in (group, *ids)) + f", {PHRASE if context is None else MERGED}"
+    most = RUN_PHRASES
+    schema = ", ".join(f"`{k}` {types[k]}" for k in (group, *ids)) + f", {RUN if runs else PHRASE if context is None else MERGED}"
 
     def run(batches):
         at, reference = None, kernels.Reference(b"")
@@ -171,7 +188,8 @@ def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list
                     if not keys[start][2]:
                         reference = kernels.Reference(texts[-1])
                         continue
-                    yield _rows({k: part.column(k) for k in (group, *ids)}, reference.parse_all(texts, leftmost), context, True)
+                    columns, found = {k: part.column(k) for k in (group, *ids)}, reference.parse_all(texts, leftmost)
+                    yield _runs(columns, found, most) if runs else _rows(columns, found, context, True)
                 start = r
 
     return rows.mapInArrow(run, schema)
@@ -211,13 +229,13 @@ def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, id
 def decoded_parts(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:
     """(group, ids, part, text): the texts of decoded_by_group() in parts of about TEXT_PART characters, in the order of part.
 
-    Phrases that follow each other are one row (phrase_runs). A group is dealt into blocks of about BLOCK_PHRASES by
+    Phrases that follow each other are one row; given so already, they are taken as phrase_runs() has them. A group is dealt into blocks of about BLOCK_PHRASES by
     its parses, and its dictionary goes to each block ahead of them. Dictionaries beyond HELD_DICTIONARY are cut into pieces and a phrase
     at their borders, so that one meets the other in a join; a dictionary of any size is many rows, and so is a parse.
     Symbols of literals are characters up to U+00FF.
     """
     spark, folder = phrases.sparkSession, f"{shared_folder(phrases.sparkSession)}/decoded-{uuid.uuid4().hex}"
-    phrase_runs(phrases, group, ids).write.parquet(folder)  # parsed once
+    (phrases if "first_ix" in phrases.columns else phrase_runs(phrases, group, ids)).write.parquet(folder)  # parsed once
     runs, dictionaries = spark.read.parquet(folder), dictionaries.select(group, "dictionary").checkpoint()
     large = dictionaries.where(F.length("dictionary") > HELD_DICTIONARY)
     if large.isEmpty():
@@ -246,7 +264,7 @@ def phrase_runs(phrases: DataFrame, group: str, ids: list[str]) -> DataFrame:
     bounded_batches(phrases.sparkSession)
     numbers = [F.col(k).cast("bigint").alias(k) for k in ("phrase_ix", "pos", "len")]
     rows = phrases.where("phrase_ix is not null and pos is not null and len >= 0").select(*keys, *numbers)
-    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + ", first_ix bigint, pos array<bigint>, len array<bigint>")
+    return rows.mapInArrow(run, ", ".join(f"`{k}` {types[k]}" for k in keys) + f", {RUN}")
 
 
 def said(symbols: np.ndarray, pos: np.ndarray, length: np.ndarray, most: int):

@@ -32,8 +32,8 @@ def fasta_lines(spark: SparkSession, path: str) -> DataFrame:
     return readers.numbered_lines(spark, path).select("file", F.col("line").alias("line_no"), "value")
 
 
-def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat_first: bool = False, leftmost: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(phrases, dictionaries) of chunks relative to their stripe's first chunks: (chunk_ix, seq_id, phrase_ix, pos, len) and (chunk_ix, dictionary).
+def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat_first: bool = False, leftmost: bool = True, runs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(phrases, dictionaries) of chunks relative to their stripe's first chunks: (chunk_ix, seq_id, phrase_ix, pos, len) and (chunk_ix, dictionary). runs: phrases as parses.phrase_runs() has them.
 
     A stripe's dictionary is bounded by reference_size chunks; its chunks are dealt over tasks, not gathered in one.
     """
@@ -42,16 +42,16 @@ def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat
     selection = dictionaries.stripe_selection(cut, reference_size, repeat_first)
     ordered = F.array_sort(F.collect_list(F.struct("dict_ord", "chunk")))
     texts = selection.groupBy("chunk_ix").agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), "").alias("dictionary"))
-    return parses.rlz_by_group(cut.select("chunk_ix", "seq_id", F.col("chunk").alias("seq")), texts, "chunk_ix", ["seq_id"], leftmost), texts
+    return parses.rlz_by_group(cut.select("chunk_ix", "seq_id", F.col("chunk").alias("seq")), texts, "chunk_ix", ["seq_id"], leftmost, runs=runs), texts
 
 
-def compress_taxa(seqs: DataFrame, quotient: float = dictionaries.QUOTIENT, most: int = dictionaries.MOST, leftmost: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(phrases, dictionaries) of sequences relative to their group's dictionary: (groupname, seq_id, phrase_ix, pos, len) and (groupname, dictionary)."""
+def compress_taxa(seqs: DataFrame, quotient: float = dictionaries.QUOTIENT, most: int = dictionaries.MOST, leftmost: bool = True, runs: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(phrases, dictionaries) of sequences relative to their group's dictionary: (groupname, seq_id, phrase_ix, pos, len) and (groupname, dictionary). runs: phrases as parses.phrase_runs() has them."""
     shared_folder(seqs.sparkSession)
     seqs = seqs.select("seq_id", "header", "seq").checkpoint()  # dictionaries and blocks go over them several times each
     named = seqs.withColumn("groupname", C.group_key(F.col("header")))
     texts = dictionaries.texts(dictionaries.taxon_selection(seqs, quotient, most), seqs).withColumnRenamed("text", "dictionary")
-    return parses.rlz_by_group(named.select("groupname", "seq_id", "seq"), texts, "groupname", ["seq_id"], leftmost), texts
+    return parses.rlz_by_group(named.select("groupname", "seq_id", "seq"), texts, "groupname", ["seq_id"], leftmost, runs=runs), texts
 
 
 def index_fasta(spark: SparkSession, path: str, out: str, parameters: index.Parameters, **options) -> None:

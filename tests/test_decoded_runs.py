@@ -57,3 +57,17 @@ def test_phrases_of_a_parse_are_one_row(spark):
     assert runs.count() <= 4  # a batch ends within the third
     assert runs.agg(F.sum(F.size("pos"))).first()[0] == 3000
     assert sorted(r.first_ix for r in runs.collect())[:3] == [0, 0, 0]
+
+
+def test_runs_of_a_parse_are_its_phrases(spark, monkeypatch):
+    monkeypatch.setattr(parses, "RUN_PHRASES", 7)
+    rng = random.Random(4)
+    seqs = spark.createDataFrame([(rng.choice("ab"), k, "".join(rng.choices("ACGT", k=rng.choice([0, 1, 200])))) for k in range(40)], "g string, seq_id long, seq string")
+    dictionaries = spark.createDataFrame([("a", "ACGTTGCAAC")], "g string, dictionary string")
+    plain = parses.rlz_by_group(seqs, dictionaries, "g", ["seq_id"])
+    runs = parses.rlz_by_group(seqs, dictionaries, "g", ["seq_id"], runs=True)
+    assert runs.agg(F.max(F.size("pos"))).first()[0] == 7
+    again = runs.select("g", "seq_id", "first_ix", F.posexplode(F.arrays_zip("pos", "len")).alias("k", "x")).select("g", "seq_id", (F.col("first_ix") + F.col("k")).alias("phrase_ix"), "x.pos", "x.len")
+    assert sorted(map(tuple, again.collect())) == sorted(map(tuple, plain.select(*again.columns).collect()))
+    texts = {r.seq_id: r.text for r in parses.decoded_by_group(runs, dictionaries, "g", ["seq_id"]).collect()}
+    assert texts == {r.seq_id: r.seq for r in seqs.collect() if r.seq}
