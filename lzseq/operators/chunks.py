@@ -59,15 +59,19 @@ def prefix_sums(rows: DataFrame, group: str, order: list[str], values: dict, sta
 BROADCAST_GROUPS = 1_000_000
 
 
-def with_blocks(seqs: DataFrame, group: str, size: int) -> DataFrame:
+def with_blocks(seqs: DataFrame, group: str, size: int, least: DataFrame | None = None) -> DataFrame:
     """seqs with block: sequences of a group dealt by seq_id into ceil(characters of the group / size) blocks.
 
     Groups differ in size without bound; blocks don't by much, and which block a sequence is in depends on no order.
+    least (group, chars), a row a group at most, has the sizes of those groups' blocks where they are larger.
     """
     totals = seqs.groupBy(group).agg(F.sum(F.length("seq")).alias("_total"))
+    if least is not None:
+        totals = totals.join(least.select(group, F.col("chars").alias("_least")), group, "left").checkpoint()
     if totals.count() <= BROADCAST_GROUPS:  # else the sequences of a hot group meet in a shuffle by group
         totals = F.broadcast(totals)
-    return seqs.join(totals, group).withColumn("block", F.pmod("seq_id", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_total") / size)))).drop("_total")
+    most = F.lit(size) if least is None else F.greatest(F.lit(size), "_least")
+    return seqs.join(totals, group).withColumn("block", F.pmod("seq_id", F.greatest(F.lit(1).cast("bigint"), F.ceil(F.col("_total") / most)))).select(*seqs.columns, "block")
 
 
 def stripe_groups(chunks: DataFrame) -> DataFrame:

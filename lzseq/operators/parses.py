@@ -15,8 +15,8 @@ from . import kernels
 
 #: Characters of a text that one task parses at once; packing into blocks (chunks.with_blocks) keeps to it.
 BLOCK_CHARS = 262_144
-#: Characters of a group's sequences that one task parses against the group's dictionary, whose suffix array it makes for them.
-GROUP_CHARS = 4 << 20
+#: Characters of a group's sequences that one task parses against the group's dictionary, whose suffix array it makes for them; so many times the dictionary's, where that is more.
+GROUP_CHARS, TIMES_DICTIONARY = 4 << 20, 4
 
 
 def cut_long(seqs: DataFrame, size: int, overlap: int, group: str = "groupname") -> DataFrame:
@@ -159,14 +159,16 @@ def rlz_phrases(rows: DataFrame, keys: list[str], leftmost: bool = True) -> Data
 def rlz_by_group(seqs: DataFrame, dictionaries: DataFrame, group: str, ids: list[str], leftmost: bool = True, block_chars: int = GROUP_CHARS, context: int | None = None, runs: bool = False) -> DataFrame:
     """(group, ids, phrase_ix, pos, len) of sequences relative to their group's dictionary (group, dictionary); with a context, short phrases of a sequence are merged as phrases.merge_short() does it. runs: as phrase_runs() has them instead.
 
-    A group is dealt into blocks of about block_chars characters; its dictionary goes to each block once, ahead of the
-    block's sequences, and its suffix array is made once a block. ids has seq_id. Groups without a dictionary are all literals.
+    A group is dealt into blocks of about block_chars characters, and of TIMES_DICTIONARY times its dictionary where that is more; its dictionary goes to each block once, ahead of the
+    block's sequences, and its suffix array is made once a block, so for all blocks in proportion to what they have. ids has seq_id. Groups without a dictionary are all literals.
     """
     from .chunks import with_blocks
 
     bounded_batches(seqs.sparkSession)
+    shared_folder(seqs.sparkSession)
     types = dict(seqs.dtypes)
-    dealt = with_blocks(seqs, group, block_chars).select(group, "block", F.lit(1).alias("kind"), *ids, "seq")
+    sizes = dictionaries.select(group, (F.length("dictionary").cast("bigint") * TIMES_DICTIONARY).alias("chars"))
+    dealt = with_blocks(seqs, group, block_chars, sizes).select(group, "block", F.lit(1).alias("kind"), *ids, "seq")
     blocks = dealt.select(group, "block").distinct()
     heads = blocks.join(dictionaries.select(group, "dictionary"), group).select(group, "block", F.lit(0).alias("kind"), *(F.lit(None).cast(types[k]).alias(k) for k in ids), F.col("dictionary").alias("seq"))
     rows = dealt.unionByName(heads).repartition(group, "block").sortWithinPartitions(group, "block", "kind")

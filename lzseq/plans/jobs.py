@@ -41,7 +41,7 @@ def compress_stripes(seqs: DataFrame, n_chunks: int, reference_size: int, repeat
     cut = chunks.fixed_chunks(seqs, n_chunks, "raw").checkpoint()  # dictionaries and blocks go over them several times each
     selection = dictionaries.stripe_selection(cut, reference_size, repeat_first)
     ordered = F.array_sort(F.collect_list(F.struct("dict_ord", "chunk")))
-    texts = selection.groupBy("chunk_ix").agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), "").alias("dictionary"))
+    texts = selection.groupBy("chunk_ix").agg(F.array_join(F.transform(ordered, lambda x: x["chunk"]), "").alias("dictionary")).checkpoint()
     return parses.rlz_by_group(cut.select("chunk_ix", "seq_id", F.col("chunk").alias("seq")), texts, "chunk_ix", ["seq_id"], leftmost, runs=runs), texts
 
 
@@ -50,7 +50,7 @@ def compress_taxa(seqs: DataFrame, quotient: float = dictionaries.QUOTIENT, most
     shared_folder(seqs.sparkSession)
     seqs = seqs.select("seq_id", "header", "seq").checkpoint()  # dictionaries and blocks go over them several times each
     named = seqs.withColumn("groupname", C.group_key(F.col("header")))
-    texts = dictionaries.texts(dictionaries.taxon_selection(seqs, quotient, most), seqs).withColumnRenamed("text", "dictionary")
+    texts = dictionaries.texts(dictionaries.taxon_selection(seqs, quotient, most), seqs).withColumnRenamed("text", "dictionary").checkpoint()
     return parses.rlz_by_group(named.select("groupname", "seq_id", "seq"), texts, "groupname", ["seq_id"], leftmost, runs=runs), texts
 
 
