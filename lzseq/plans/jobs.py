@@ -57,7 +57,8 @@ def compress_taxa(seqs: DataFrame, quotient: float = dictionaries.QUOTIENT, most
 def index_fasta(spark: SparkSession, path: str, out: str, parameters: index.Parameters, search: bool = True, **options) -> None:
     """Builds an index of FASTA files, grouped by taxon and chromosome, and saves it, with its search structure or without. What lies between files and index goes at the end."""
     with scratch(spark):
-        seqs = keep(fasta_sequences(spark, path).select("seq_id", "header", C.without_zeros(F.col("seq")).alias("seq"), C.group_key(F.col("header")).alias("groupname")))
+        with scratch(spark):  # what numbers the sequences goes when they are numbered
+            seqs = keep(fasta_sequences(spark, path).select("seq_id", "header", C.without_zeros(F.col("seq")).alias("seq"), C.group_key(F.col("header")).alias("groupname")), outer=True)
         if options.get("method") == "relative":
             built = index.over_groups(seqs, parameters, block_chars=options["block_chars"], kept=True)
         else:

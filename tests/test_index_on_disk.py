@@ -66,3 +66,11 @@ def test_directory_has_a_row_for_a_text_and_bucket(spark):
         hashes = kernels.window_hashes(text, fm.GRAM)
         part, gram = fm.part_of(np.unique(np.lib.stride_tricks.sliding_window_view(hashes, fm.WINDOW).min(1)))
         assert {(r.part, g) for r in rows if r.key == key for g in r.grams} == set(zip(part.tolist(), gram.tolist()))
+
+
+def test_kept_in_the_outer_scratch_outlives_the_inner(spark):
+    with session.scratch(spark):
+        with session.scratch(spark):
+            gone, stays = session.keep(spark.range(5)), session.keep(spark.range(7), outer=True)
+            assert gone.count() == 5
+        assert stays.count() == 7 and len([x for x in folders(spark) if x.startswith("scratch-")]) == 1
