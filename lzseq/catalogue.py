@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as C
-from .functions.session import remove, shared_folder, spread
+from .functions.session import remove, remove_by_task, shared_folder, spread
 from .operators import chunks, dictionaries, parses, phrases, ranges, records, search, suffixes
 from .plans import index, jobs
 from .sinks import writers
@@ -322,7 +322,7 @@ phrase AS (SELECT key, phrase_ix, CAST(pos AS BIGINT) AS pos, CAST(n AS BIGINT)
         folder = f"{shared_folder(s)}/files-{uuid.uuid4().hex}"
         write(folder)
         out = read(folder).checkpoint()
-        remove(s, folder)
+        remove_by_task(s, folder)
         return out
 
     add("fasta_files", lambda s, d: in_files(s, lambda f: writers.fasta(seqs(s, d), f), lambda f: readers.fasta(s, f).select("header", _digest("seq").alias("seq_md5"))), f"WITH {_SEQS} SELECT header, md5(seq) AS seq_md5 FROM seqs")

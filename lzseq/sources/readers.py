@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import os
+from fnmatch import fnmatchcase
+from itertools import islice
+
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs as pa_fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import letters_only
-from ..functions.session import BATCH_BYTES, bounded_batches
+from ..functions.session import BATCH_BYTES, bounded_batches, qualified, shared_folder
 from ..operators import kernels, records
 
 
@@ -124,17 +129,66 @@ def parse_files(spark: SparkSession, path: str, kind: str = "u64", glob: str | N
     return files.mapInArrow(run, "file string, phrase_ix bigint, pos bigint, len bigint")
 
 
+def _listed(spark: SparkSession, path: str, glob: str | None) -> tuple[DataFrame, str, int] | None:
+    """(name, size) of a folder's files but empty ones, the folder as Spark names it, and their bytes. A task lists them, so the driver holds none. None for
+    what isn't a folder of files alone in a file system that Arrow knows, or has a pattern."""
+    if any(c in path for c in "*?[{,") or (glob and any(c in glob for c in "[{")):
+        return None
+    folder = qualified(spark, path)
+    try:
+        system, root = pa_fs.FileSystem.from_uri(folder)
+        if system.get_file_info(root).type != pa_fs.FileType.Directory:
+            return None
+    except (pa.ArrowException, OSError):
+        return None
+
+    def entries():
+        system, root = pa_fs.FileSystem.from_uri(folder)
+        if system.type_name == "local":
+            with os.scandir(root) as found:
+                for x in found:
+                    yield x.name, 0 if x.is_dir() else x.stat().st_size, x.is_dir()
+        else:
+            for x in system.get_file_info(pa_fs.FileSelector(root)):
+                yield x.base_name, x.size or 0, x.type == pa_fs.FileType.Directory
+
+    def run(batches):
+        for batch in batches:
+            seen = ((n, size, inner) for n, size, inner in entries() if n[0] not in "._" and (inner or size and (not glob or fnmatchcase(n, glob)))) if batch.num_rows else iter(())
+            while some := list(islice(seen, 50_000)):
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*some), (pa.string(), pa.int64(), pa.bool_()))], names=["name", "size", "inner"])
+
+    shared_folder(spark)
+    rows = spark.range(1, numPartitions=1).mapInArrow(run, "name string, size bigint, inner boolean").checkpoint()
+    size, inner = rows.agg(F.coalesce(F.sum("size"), F.lit(0)), F.coalesce(F.bool_or("inner"), F.lit(False))).first()
+    named = spark._jvm.org.apache.hadoop.fs.Path(folder).toString()
+    return None if inner else (rows.select("name", "size"), named.rstrip("/"), size)
+
+
 def _parse_contents(spark: SparkSession, path: str, kind: str, glob: str | None):
-    """(file, content) of binary parses, and what gives the phrases of a batch's row."""
+    """(file, ...) of binary parses, and what gives the phrases of a batch's row. Files of a folder are listed and opened by tasks, others by Spark's scan, whose list the driver holds."""
     if kind not in ("u64", "u32", "vbyte"):
         raise ValueError("kind is u64, u32 or vbyte")
-    reader = spark.read.format("binaryFile")
-    files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.col("path").alias("file"), "content")
-    size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    files = files.coalesce(max(4 * spark.sparkContext.defaultParallelism, size // BATCH_BYTES + 1))  # a scan has a task for each 32 files, however small
+    least, found = 4 * spark.sparkContext.defaultParallelism, _listed(spark, path, glob)
+    if found:
+        rows, named, size = found
+        files = rows.repartition(max(least, size // BATCH_BYTES + 1), "name").checkpoint().select(F.concat(F.lit(named + "/"), "name").alias("file"), "name")
+    else:
+        reader = spark.read.format("binaryFile")
+        files = (reader.option("pathGlobFilter", glob) if glob else reader).load(path).select(F.col("path").alias("file"), "content")
+        size = int(files._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+        files = files.coalesce(max(least, size // BATCH_BYTES + 1))  # a scan has a task for each 32 files, however small
+    folder = qualified(spark, path) if found else None
+
+    def contents(batch: pa.RecordBatch, r: int) -> bytes:
+        if folder is None:
+            return batch.column("content")[r].as_py()
+        system, root = pa_fs.FileSystem.from_uri(folder)
+        with system.open_input_stream(f"{root.rstrip('/')}/{batch.column('name')[r].as_py()}", compression=None) as f:
+            return f.read()
 
     def pairs_of(batch: pa.RecordBatch, r: int) -> np.ndarray:
-        data = batch.column("content")[r].as_py()
+        data = contents(batch, r)
         numbers = from_vbyte(data) if kind == "vbyte" else np.frombuffer(data, "<u8" if kind == "u64" else "<u4").astype(np.int64)
         if len(numbers) % 2:
             raise ValueError(f"{batch.column('file')[r].as_py()}: a phrase is cut")
