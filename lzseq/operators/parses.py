@@ -218,7 +218,7 @@ def _gathered(phrases: DataFrame, keys: list[str]) -> DataFrame:
 #: Characters of the pieces that dictionaries are cut into, each of which a copy is found in by going over the characters before it, and of the parts that texts are put together in.
 DICTIONARY_PIECE, TEXT_PART = 256, 262_144
 #: Characters of a dictionary that a task holds whole (four bytes each), and in whose rows it gets there; of phrases that go to a task with their dictionary.
-HELD_DICTIONARY, DICTIONARY_ROW, BLOCK_PHRASES = 16 << 20, 1 << 20, 2_000_000
+HELD_DICTIONARY, DICTIONARY_ROW, BLOCK_PHRASES = 16 << 20, 1_024, 2_000_000
 
 
 def decoded_by_group(phrases: DataFrame, dictionaries: DataFrame, group: str, ids: list[str]) -> DataFrame:
@@ -305,6 +305,7 @@ def _decoded_by_task(runs: DataFrame, dictionaries: DataFrame, group: str, ids:
     def run(batches):
         literals = np.arange(256, dtype=np.uint32)
         at, symbols, key, part, held, n = None, literals, None, 0, [], 0
+        read: list[str] = []
         out: list[tuple] = []
         size = 0
 
@@ -324,11 +325,12 @@ def _decoded_by_task(runs: DataFrame, dictionaries: DataFrame, group: str, ids:
             pos, length = (column[k].values.to_numpy() for k in ("pos", "len"))
             for r in range(batch.num_rows):
                 if places[r] != at:
-                    at, symbols = places[r], literals
+                    at, symbols, read = places[r], literals, []
                 if not kinds[r]:
-                    piece = np.frombuffer(column["piece"][r].as_py().encode("utf-32-le", "surrogatepass"), np.uint32)
-                    symbols = np.concatenate([symbols[:-256], piece, literals])
+                    read.append(column["piece"][r].as_py())
                     continue
+                if read:  # all pieces of a dictionary come before its phrases
+                    symbols, read = np.concatenate([np.frombuffer("".join(read).encode("utf-32-le", "surrogatepass"), np.uint32), literals]), []
                 if keys[r] != key:
                     if n:
                         out.append((key, part, text(held)))
